@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from sparkloom.llm.store import saved
 
 #: Bound of the labelled rows that rules are learned from.
-TRAIN_ROWS = 12_000
+TRAIN_ROWS = 6_000
 BINS = 32
 MOST_RULES = 10
 MOST_CONDITIONS = 3
@@ -39,7 +39,7 @@ def statistics(text: Column) -> dict[str, dict[str, Column]]:
         },
         "third": {
             "n_words": F.expr("CAST(size(__words) AS LONG)"),
-            "word_chars": F.expr(r"CAST(length(regexp_replace(__text, '[\\x20\\x09-\\x0D]+', '')) AS LONG)"),
+            "word_chars": F.expr("CAST(length(array_join(__words, '')) AS LONG)"),
             "n_symbols": F.expr("CAST(length(__text) - length(translate(__text, '#*$%&|<>', '')) AS LONG)"),
             "__upper": F.expr("CAST(length(__text) - length(translate(__text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) AS LONG)"),
             "__bang": F.expr("CAST(length(__text) - length(translate(__text, '!?', '')) AS LONG)"),
@@ -86,13 +86,22 @@ def with_statistics(docs: DataFrame, text: str = "text", into: str = "__q") -> D
     """docs with one struct column of the statistics of the text; null text counts as empty. Other columns stay."""
     own = [c for c in docs.columns if c != into]
     out = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("__row"))
-    steps = statistics(F.col(f"__row.`{text}`"))
-    for step in steps.values():
-        out = out.withColumns(step)
+    for name, step in statistics(F.col(f"__row.`{text}`")).items():
+        out = out.withColumns(step) if name in ("first", "fifth") else _settled(out, step)
     out = out.withColumns(_shares())
     return out.select("__row.*", F.struct(*_RESULT).alias(into))
 
 
+def _settled(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """df with columns computed once a row.
+
+    As plain projections the steps would be merged into one, and arrays that a later step uses several times
+    would be built anew at each use. Unpacking an array of one struct keeps them apart.
+    """
+    one = F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))
+    return df.select("*", F.explode(one).alias("__step")).select(*df.columns, "__step.*")
+
+
 @dataclass(frozen=True)
 class Condition:
     stat: str

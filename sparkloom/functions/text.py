@@ -12,7 +12,7 @@ PATH_PATTERNS = [
     (r"/Users/[^/\s]+", "/Users/<USER>"),
     (r"/home/[^/\s]+", "/home/<USER>"),
     (r"/root", "/<ROOT>"),
-    (r"C:\\Users\\[^\\s]+", r"C:\\Users\\<USER>"),
+    (r"C:\\Users\\[^\\s]+", r"C:\\\\Users\\\\<USER>"),
     (r"[A-Z]:\\[^\\s]*\\[^\\s]*", "<PATH>"),
 ]
 CREDENTIAL_PATTERNS = [

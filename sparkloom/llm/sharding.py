@@ -21,6 +21,9 @@ from sparkloom.llm.store import saved
 SHARDS = 8
 TOLERANCE = 0.001
 PROBES = 512
+#: Bound of the counts that a round brings to the driver, and of the ranges that rows are dealt into.
+PROBE_ROWS = 1 << 16
+MOST_RANGES = 4096
 _SALT_BITS = 40
 
 
@@ -35,22 +38,30 @@ class _Target:
     key: int | None = None  # set when low..high is a single doc_id and the salt is refined
     done: tuple[int, int] | None = None
 
+    def range(self) -> tuple[int | None, int, int]:
+        return (self.key, self.low, self.high)
 
-def _count(rows: DataFrame, targets: list[_Target]) -> dict[int, list[tuple[int, int]]]:
-    """For each open target the bytes of each of PROBES equal intervals of its range, as [(interval, bytes)]."""
-    arms = []
-    for i, t in enumerate(targets):
-        if t.done is None:
-            width = -(-(t.high - t.low) // PROBES)
-            col = "k" if t.key is None else "salt"
-            inside = f"{col} >= {t.low}BD AND {col} < {t.high}BD" + ("" if t.key is None else f" AND k = {t.key}BD")
-            arms.append(F.expr(f"CASE WHEN {inside} THEN named_struct('t', {i}, 'bin', ({col} - ({t.low}BD)) div {width}BD) END"))
-    # Each target's range is looked at on its own, as ranges of different targets may overlap in the first rounds.
-    hits = rows.select("size", F.explode(F.array_compact(F.array(*arms))).alias("h"))
-    out: dict[int, list[tuple[int, int]]] = {}
-    for r in hits.groupBy("h.t", "h.bin").agg(F.sum("size").alias("b")).collect():  # at most targets x PROBES rows
-        out.setdefault(r.t, []).append((r.bin, r.b))
-    return {k: sorted(v) for k, v in out.items()}
+
+def _count(rows: DataFrame, targets: list[_Target], probes: int) -> dict[tuple, list[tuple[int, int]]]:
+    """For each range that open targets look at the bytes of each of its `probes` equal intervals, as [(interval, bytes)].
+
+    Ranges of open targets are the same or apart, so a row falls into one of them at most.
+    """
+    ranges = sorted({t.range() for t in targets if t.done is None}, key=lambda r: (r[1], 0) if r[0] is None else (r[0], r[1]))
+    array = lambda xs: F.array(*[F.expr(f"CAST({x}BD AS DECIMAL(20,0))") for x in xs])
+    lows = [(r[1], 0) if r[0] is None else (r[0], r[1]) for r in ranges]
+    highs = [(r[2], 0) if r[0] is None else (r[0], r[2]) for r in ranges]
+    k, salt = F.col("k"), F.col("salt")
+    at = rows.withColumn("r", _range_of(lows, k, salt)).where("r > 0")
+    pick = lambda xs: F.element_at(array(xs), F.col("r"))
+    hk, hs = pick([h[0] for h in highs]), pick([h[1] for h in highs])
+    inside = at.where((k < hk) | ((k == hk) & (salt < hs)))
+    x = F.when(F.element_at(F.array(*[F.lit(r[0] is not None) for r in ranges]), F.col("r")), salt).otherwise(k)
+    inside = inside.select("size", "r", x.alias("x"), pick([r[1] for r in ranges]).alias("low"), pick([-(-(r[2] - r[1]) // probes) for r in ranges]).alias("width"))
+    out: dict[tuple, list[tuple[int, int]]] = {}
+    for r in inside.groupBy("r", F.expr("(x - low) div width").alias("bin")).agg(F.sum("size").alias("b")).collect():  # at most ranges x probes rows
+        out.setdefault(ranges[r.r - 1], []).append((r.bin, r.b))
+    return {key: sorted(v) for key, v in out.items()}
 
 
 def splitters(rows: DataFrame, shares: list[float], tolerance: float = TOLERANCE) -> list[tuple[int, int]]:
@@ -66,18 +77,20 @@ def splitters(rows: DataFrame, shares: list[float], tolerance: float = TOLERANCE
     slack = tolerance * total * min(steps)
     targets = [_Target(s * total, low, high + 1) for s in shares]
     while any(t.done is None for t in targets):
-        found = _count(rows, targets)
-        for i, t in enumerate(targets):
+        open_ranges = len({t.range() for t in targets if t.done is None})
+        probes = max(16, min(PROBES, PROBE_ROWS // open_ranges))
+        found = _count(rows, targets, probes)
+        for t in targets:
             if t.done is not None:
                 continue
-            width, below = -(-(t.high - t.low) // PROBES), t.below
-            for k, size in found.get(i, []):
+            width, below, own = -(-(t.high - t.low) // probes), t.below, t.range()
+            for k, size in found.get(own, []):
                 if below + size >= t.want:
                     break
                 below += size
             else:
                 # Only rounding can leave nothing to take: the range's end.
-                k, size = PROBES, 0
+                k, size = probes, 0
             left = t.low + k * width
             right = min(left + width, t.high)
             near_left, near_right = t.want - below, below + size - t.want
@@ -117,7 +130,7 @@ def histogram_shards(docs: DataFrame, shards: int = SHARDS, text: str = "text",
     counted = saved(rows.select(F.col("__k").cast("decimal(20,0)").alias("k"), F.col("__salt").cast("decimal(20,0)").alias("salt"), "size"), "shard-sizes")
     # Finer ranges than shards, so that a shard is not one task: each shard is cut into `fine` ranges.
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    fine = max(1, -(-tasks // shards))
+    fine = max(1, min(-(-tasks // shards), MOST_RANGES // shards))
     bounds = splitters(counted, [i / (shards * fine) for i in range(1, shards * fine)], tolerance)
     placed = rows.withColumn("__range", _range_of(bounds, F.col("__k"), F.col("__salt")))
     moved = placed.repartition(shards * fine, "__range")

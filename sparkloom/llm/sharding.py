@@ -53,10 +53,10 @@ def _count(rows: DataFrame, targets: list[_Target], probes: int) -> dict[tuple,
     highs = [(r[2], 0) if r[0] is None else (r[0], r[2]) for r in ranges]
     k, salt = F.col("k"), F.col("salt")
     at = rows.withColumn("r", _range_of(lows, k, salt)).where("r > 0")
-    pick = lambda xs: F.element_at(array(xs), F.col("r"))
+    pick = lambda xs: F.get(array(xs), F.col("r") - 1)
     hk, hs = pick([h[0] for h in highs]), pick([h[1] for h in highs])
     inside = at.where((k < hk) | ((k == hk) & (salt < hs)))
-    x = F.when(F.element_at(F.array(*[F.lit(r[0] is not None) for r in ranges]), F.col("r")), salt).otherwise(k)
+    x = F.when(F.get(F.array(*[F.lit(r[0] is not None) for r in ranges]), F.col("r") - 1), salt).otherwise(k)
     inside = inside.select("size", "r", x.alias("x"), pick([r[1] for r in ranges]).alias("low"), pick([-(-(r[2] - r[1]) // probes) for r in ranges]).alias("width"))
     out: dict[tuple, list[tuple[int, int]]] = {}
     for r in inside.groupBy("r", F.expr("(x - low) div width").alias("bin")).agg(F.sum("size").alias("b")).collect():  # at most ranges x probes rows

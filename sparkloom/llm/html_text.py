@@ -190,8 +190,14 @@ def main_text(page: str | None, w: Weights) -> str:
 
 def train(pages: DataFrame, html: str = "html", key: str = "page_id", most: int = TRAIN_PAGES) -> Weights:
     """Weights from at most `most` pages with an article or main element, those with the least hashes of their key."""
-    marked = pages.select(F.xxhash64(F.col(key).cast("string")).alias("h"), F.substring(F.col(html).cast("string"), 1, TRAIN_CHARS).alias("t")).where(F.col("t").rlike("(?i)<(article|main)[\\s>]"))
-    return learn(sorted(r.t for r in marked.orderBy("h", "t").limit(most).collect()))  # at most `most` rows
+    html_col, h = F.col(html).cast("string"), F.xxhash64(F.col(key).cast("string"))
+    marked = pages.where(html_col.rlike("(?i)<(article|main)[\\s>]"))
+    # Keys first, so that no task sends pages that are not chosen.
+    chosen = [r.h for r in marked.select(h.alias("h")).distinct().orderBy("h").limit(most).collect()]  # at most `most` rows
+    if not chosen:
+        return Weights()
+    texts = marked.where(h.isin(chosen)).groupBy(h.alias("h")).agg(F.min(F.substring(html_col, 1, TRAIN_CHARS)).alias("t"))
+    return learn(sorted(r.t for r in texts.collect()))  # at most `most` rows
 
 
 def extract(pages: DataFrame, weights: Weights, html: str = "html", into: str = "text") -> DataFrame:

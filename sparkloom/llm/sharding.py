@@ -10,9 +10,10 @@ falls inside its rows; those are then parted by it.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -48,15 +49,15 @@ def _count(rows: DataFrame, targets: list[_Target], probes: int) -> dict[tuple,
     Ranges of open targets are the same or apart, so a row falls into one of them at most.
     """
     ranges = sorted({t.range() for t in targets if t.done is None}, key=lambda r: (r[1], 0) if r[0] is None else (r[0], r[1]))
-    array = lambda xs: F.array(*[F.expr(f"CAST({x}BD AS DECIMAL(20,0))") for x in xs])
+    array = lambda xs: F.expr("array(" + ", ".join(f"CAST({x}BD AS DECIMAL(20,0))" for x in xs) + ")")
     lows = [(r[1], 0) if r[0] is None else (r[0], r[1]) for r in ranges]
     highs = [(r[2], 0) if r[0] is None else (r[0], r[2]) for r in ranges]
     k, salt = F.col("k"), F.col("salt")
-    at = rows.withColumn("r", _range_of(lows, k, salt)).where("r > 0")
+    at = _with_range(rows, "r", lows, "k", "salt").where("r > 0")
     pick = lambda xs: F.get(array(xs), F.col("r") - 1)
     hk, hs = pick([h[0] for h in highs]), pick([h[1] for h in highs])
     inside = at.where((k < hk) | ((k == hk) & (salt < hs)))
-    x = F.when(F.get(F.array(*[F.lit(r[0] is not None) for r in ranges]), F.col("r") - 1), salt).otherwise(k)
+    x = F.when(F.get(F.expr("array(" + ", ".join(str(r[0] is not None) for r in ranges) + ")"), F.col("r") - 1), salt).otherwise(k)
     inside = inside.select("size", "r", x.alias("x"), pick([r[1] for r in ranges]).alias("low"), pick([-(-(r[2] - r[1]) // probes) for r in ranges]).alias("width"))
     out: dict[tuple, list[tuple[int, int]]] = {}
     for r in inside.groupBy("r", F.expr("(x - low) div width").alias("bin")).agg(F.sum("size").alias("b")).collect():  # at most ranges x probes rows
@@ -132,11 +133,11 @@ def histogram_shards(docs: DataFrame, shards: int = SHARDS, text: str = "text",
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     fine = max(1, min(-(-tasks // shards), MOST_RANGES // shards))
     bounds = splitters(counted, [i / (shards * fine) for i in range(1, shards * fine)], tolerance)
-    placed = rows.withColumn("__range", _range_of(bounds, F.col("__k"), F.col("__salt")))
+    placed = _with_range(rows, "__range", bounds, "__k", "__salt")
     moved = placed.repartition(shards * fine, "__range")
     place = moved.withColumn("__at", F.row_number().over(Window.partitionBy("__range").orderBy("__k", "__salt")) - 1)
     # Exact row counts below each range, from the counted table.
-    per = counted.select(_range_of(bounds, F.col("k"), F.col("salt")).alias("r")).groupBy("r").count().collect()  # one row a range
+    per = _with_range(counted, "r", bounds, "k", "salt").groupBy("r").count().collect()  # one row a range
     counts = dict((r.r, r["count"]) for r in per)
     first, begin = [], 0
     for i in range(shards * fine):
@@ -144,22 +145,26 @@ def histogram_shards(docs: DataFrame, shards: int = SHARDS, text: str = "text",
             begin = 0
         first.append(begin)
         begin += counts.get(i, 0)
-    base = F.element_at(F.array(*[F.lit(x).cast("long") for x in first]), F.col("__range") + 1)
+    base = F.get(F.expr("array(" + ", ".join(f"{x}L" for x in first) + ")"), F.col("__range"))
     return place.withColumns(
         {"law": F.lit("bytes"), "shard": F.floor(F.col("__range") / fine).cast("int"), "slot": F.col("__at") + base, "grown_shard": F.lit(None).cast("int")}
     ).drop("__k", "__salt", "__range", "__at")
 
 
-def _range_of(bounds: list[tuple[int, int]], k, salt):
-    """How many boundaries are at or below the key, by a balanced tree of comparisons."""
-
-    def build(low: int, high: int):
-        if low == high:
-            return F.lit(low)
-        mid = (low + high) // 2
-        bk, bs = bounds[mid]
-        at_or_above = (k > F.expr(f"{bk}BD")) | ((k == F.expr(f"{bk}BD")) & (salt >= F.expr(f"{bs}BD")))
-        return F.when(at_or_above, build(mid + 1, high)).otherwise(build(low, mid))
-
-    return build(0, len(bounds)).cast("int")
+def _with_range(df: DataFrame, name: str, bounds: list[tuple[int, int]], k: str, salt: str) -> DataFrame:
+    """df with the number of boundaries at or below the key of columns k and salt.
 
+    Boundaries are held as blocks of about the square root of their number: first the blocks that lie below the
+    key are counted, then the boundaries inside the next one.
+    """
+    n = len(bounds)
+    if not n:
+        return df.withColumn(name, F.lit(0))
+    step = math.isqrt(n - 1) + 1
+    blocks = [bounds[i : i + step] for i in range(0, n, step)]
+    one = lambda b: f"named_struct('a', CAST({b[0]}BD AS DECIMAL(20,0)), 'b', CAST({b[1]}BD AS DECIMAL(20,0)))"
+    array = lambda bs: "array(" + ", ".join(map(one, bs)) + ")"
+    below = f"x -> x.a < {k} OR (x.a = {k} AND x.b <= {salt})"
+    coarse = df.withColumn("__block", F.expr(f"size(filter({array([b[-1] for b in blocks])}, {below}))"))
+    inner = f"coalesce(size(filter(get(array({', '.join(map(array, blocks))}), __block), {below})), 0)"
+    return coarse.withColumn(name, F.expr(f"least({n}, __block * {step} + greatest(0, {inner}))")).drop("__block")

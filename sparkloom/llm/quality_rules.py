@@ -147,7 +147,7 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     rows = saved(stats.join(marks.where(near), "k").where("NOT base_failed").select("k", "y", *[F.col(c).cast("double").alias(c) for c in _STATS]), "rules-stats")
 
     # Thresholds: quantiles of each statistic over all rows and over bad rows.
-    qs = F.array(*[F.lit(i / BINS) for i in range(1, BINS)])
+    qs = F.array(*[F.lit(i / BINS) for i in range(BINS + 1)])
     edges = rows.agg(
         *[F.percentile_approx(c, qs, 2000).alias(c) for c in _STATS],
         *[F.percentile_approx(F.when(F.col("y") == 0, F.col(c)), qs, 2000).alias("bad_" + c) for c in _STATS],

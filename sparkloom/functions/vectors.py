@@ -24,7 +24,7 @@ def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column |
 def hotness(last_hit: Column, as_of: Column, alpha: float) -> Column:
     """exp(-alpha x days since the last hit), days at least 0; 0 where the time is missing."""
     days = F.greatest(F.timestamp_diff("MICROSECOND", last_hit, as_of) / F.lit(86_400_000_000.0), F.lit(0.0))
-    return F.coalesce(F.exp(-F.lit(alpha) * days), F.lit(0.0))
+    return F.when(last_hit.isNull(), F.lit(0.0)).otherwise(F.exp(-F.lit(alpha) * days))
 
 
 def boost(tier: Column, boosts: dict[str, float]) -> Column:

@@ -17,7 +17,7 @@ _BLOCKS = ["text", "thinking", "tool_use", "tool_result"]
 
 
 def read_files(spark: SparkSession, path: str, cap: int = DEFAULTS.file_cap_bytes) -> DataFrame:
-    """(session, size, text) of every .jsonl file below path that is not hidden and not over the cap."""
+    """(session, size, text) of every .jsonl file below path that is not hidden, empty or over the cap."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[jJ][sS][oO][nN][lL]").option("recursiveFileLookup", "true").load(path)
     below = F.replace("path", F.lit(path.rstrip("/")), F.lit(""))
     shown = files.where(~F.coalesce(below, F.col("path")).rlike(r"/\.")).where(F.col("length") <= cap)

@@ -82,7 +82,7 @@ def test_files(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / ".hidden").mkdir()
     (tmp_path / "sub" / "a.jsonl").write_text('{"role":"user","content":"x"}\n')
-    (tmp_path / "b.JSONL").write_text("")
+    (tmp_path / "b.JSONL").write_text("{}")
     (tmp_path / ".hidden" / "c.jsonl").write_text("x")
     (tmp_path / "d.txt").write_text("x")
     (tmp_path / "big.jsonl").write_text("x" * 50)

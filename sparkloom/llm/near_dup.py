@@ -30,15 +30,11 @@ THRESHOLD = 0.8
 RARE = 0.005
 ROWS, BANDS = 7, 25
 SAMPLES = ROWS * BANDS
-#: The second banding, for classes of large buckets that stars have not settled: longer keys, more of them.
-ROWS2, BANDS2 = 14, 60
+#: What stars leave open in a bucket is compared in blocks of so many classes.
 SMALL_BUCKET = 24
 BUCKET_BITS = 22
 #: Of 128 samples' lowest bits, 13 differ on average at a similarity of 0.8, with a deviation of 3.4.
 MOST_BITS = 25
-#: Of SAMPLES samples' four lowest bits, 33 differ on average at 0.8, with a deviation of 5.2: 2 % of such pairs differ more, 0.4 % at 0.82.
-MOST_NIBBLES = 43
-NIBBLE_WORDS = -(-SAMPLES // 16)
 
 _TABLE_BITS = 16
 _LOW = np.uint64(0xFFFFFFFF)
@@ -160,12 +156,8 @@ def corpus_idf(docs: DataFrame, text: str = "text") -> Idf:
 
 
 def _band_keys(sig: np.ndarray, rows: int, bands: int) -> np.ndarray:
-    """A 64-bit key for each band; the first SAMPLES / rows bands take samples in turn, more bands drawn sets of them."""
-    if rows * bands <= SAMPLES:
-        picks = np.arange(rows * bands).reshape(bands, rows)
-    else:
-        g = np.random.Generator(np.random.PCG64(11))
-        picks = np.array([g.choice(SAMPLES, rows, replace=False) for _ in range(bands)])
+    """A 64-bit key for each band, of samples taken in turn."""
+    picks = np.arange(rows * bands).reshape(bands, rows)
     out = np.zeros((len(sig), bands), np.uint64)
     for b, pick in enumerate(picks):
         h = np.full(len(sig), b + 1, np.uint64)
@@ -190,27 +182,6 @@ def buckets(signed: DataFrame, rows: int, bands: int) -> DataFrame:
     return signed.select("node", "sig").mapInArrow(run, "bucket long, node long")
 
 
-def sketches(signed: DataFrame) -> DataFrame:
-    """(node, n0, n1, ..): four bits of each sample."""
-    names = [f"n{i}" for i in range(NIBBLE_WORDS)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, SAMPLES)
-            four = np.zeros((len(sig), 16 * NIBBLE_WORDS), np.uint8)
-            four[:, :SAMPLES] = sig & np.uint32(15)
-            words = (four[:, ::2] | four[:, 1::2] << 4).copy().view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(words[:, i]) for i in range(NIBBLE_WORDS))], names=["node", *names])
-
-    return signed.select("node", "sig").mapInArrow(run, "node long, " + ", ".join(f"{n} long" for n in names))
-
-
-def _alike4(a: str, b: str) -> str:
-    """Whether few enough samples differ in their four bits."""
-    each = "bit_count(({x} | shiftrightunsigned({x}, 1) | shiftrightunsigned({x}, 2) | shiftrightunsigned({x}, 3)) & 1229782938247303441L)"
-    return " + ".join(each.format(x=f"({a}.n{i} ^ {b}.n{i})") for i in range(NIBBLE_WORDS)) + f" <= {MOST_NIBBLES}"
-
-
 def _alike(a: str, b: str) -> str:
     return f"bit_count({a}.s1 ^ {b}.s1) + bit_count({a}.s2 ^ {b}.s2) <= {MOST_BITS}"
 
@@ -338,11 +309,8 @@ def _grouped(docs: DataFrame, text: str, key: str, threshold: float) -> DataFram
     discard(met, main)
     unsettled = labelled.groupBy("bucket").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low < high").select("bucket")
     again = labelled.join(unsettled, "bucket")
-    small = _cross(again.where(F.col("members") <= SMALL_BUCKET), _alike("a", "b"))
-    large = again.where(F.col("members") > SMALL_BUCKET).groupBy("node").agg(F.min("g").alias("g"), F.min("ml").alias("ml"), F.min("ms").alias("ms"))
-    chosen = signed.join(large.select("node"), "node", "left_semi")
-    second = buckets(chosen, ROWS2, BANDS2).join(sketches(chosen).join(large, "node"), "node")
-    cross = saved(small.unionByName(_cross(second, _alike4("a", "b"))).distinct(), "nd-cross")
+    held = _shareable(again.select("node").distinct().join(texts, "node"), idf)
+    cross = saved(_cross(again.join(held, "node"), threshold), "nd-cross")
     more = saved(verified(cross, texts, idf, threshold), "nd-links")
     group2 = connected_components(links.select("src", "dst").unionByName(more.select("src", "dst")))
 
@@ -357,16 +325,49 @@ def _grouped(docs: DataFrame, text: str, key: str, threshold: float) -> DataFram
     return out
 
 
-def _cross(members: DataFrame, alike: str) -> DataFrame:
-    """Pairs of bucket-mates of different groups that can reach a similarity of 0.8.
+def _shareable(texts: DataFrame, idf: Idf) -> DataFrame:
+    """(node, w, held): the weight of each class and the part of it in shingles that another class of texts has too."""
+    shared = texts.sparkSession.sparkContext.broadcast(idf)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in B.pieces(batch, "text"):
+                h, times, firsts = B.text_shingles(piece.column(1), WIDTH)
+                w = np.concatenate([[0.0], np.cumsum(shared.value.weights(h, times))])
+                node = piece.column(0).to_numpy()
+                each = np.repeat(node, np.diff(firsts))
+                # A class's whole weight is a row of its own, under its own name in place of a shingle.
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.append(each, node)), pa.array(np.append(h.view(np.int64), node)), pa.array(np.arange(len(each) + len(node)) >= len(each)), pa.array(np.append(np.diff(w), w[firsts[1:]] - w[firsts[:-1]]))],
+                    names=["node", "shingle", "whole", "w"],
+                )
+
+    rows = texts.select("node", "text").mapInArrow(run, "node long, shingle long, whole boolean, w double")
+    by = rows.groupBy("shingle", "whole").agg(F.count(F.lit(1)).alias("k"), F.max("node").alias("node"), F.max("w").alias("w")).where("whole OR k = 1")
+    return by.groupBy("node").agg(F.sum(F.expr("if(whole, w, 0D)")).alias("w"), F.sum(F.expr("if(whole, w, -w)")).alias("held"))
+
+
+def _cross(members: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of bucket-mates of different groups that can reach the threshold, in buckets of any size.
 
-    Pairs of one group could add nothing to what is linked already. A pair is left out if its samples' bits
-    differ too much, or if its similarities with a common leader differ by more than 0.2: weighted Jaccard
-    distance is a metric, so such a pair is farther apart than 0.2.
+    Pairs of one group could add nothing to what is linked already, so one of a pair is always outside the group
+    with most classes of the bucket: these classes are compared with all others of the bucket, which are dealt
+    over blocks of about SMALL_BUCKET, so that a large bucket is the work of many tasks. A pair is left out only
+    by bounds that hold for certain. Two classes share no more than the lesser of their weights in shingles that
+    are not theirs alone; and weighted Jaccard distance is a metric, so the similarities of a pair at the
+    threshold with a common leader differ by no more than 1 - threshold.
     """
-    a, b = members.alias("a"), members.alias("b")
-    near = "coalesce(a.ml <> b.ml OR abs(a.ms - b.ms) <= 0.2 + 1e-9, true)"
-    return a.join(b, F.expr(f"a.bucket = b.bucket AND a.node > b.node AND a.g <> b.g AND {near} AND {alike}")).select(F.col("a.node").alias("src"), F.col("b.node").alias("dst")).distinct()
+    able = members.where(f"held >= {threshold} * w * (1 - 1e-9)")
+    sizes = able.groupBy("bucket", "g").agg(F.count(F.lit(1)).alias("k"))
+    most = sizes.groupBy("bucket").agg(F.max(F.struct("k", "g")).alias("m"), F.count(F.lit(1)).alias("groups")).where("groups > 1").select("bucket", F.col("m.g").alias("most"))
+    blocks = F.ceil(F.col("members") / SMALL_BUCKET)
+    b = able.withColumn("block", F.pmod("node", blocks)).alias("b")
+    a = able.join(most, "bucket").where("g <> most").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).alias("a")
+    once = "(b.g = a.most OR a.node > b.node)"
+    near = f"coalesce(a.ml <> b.ml OR abs(a.ms - b.ms) <= 1 - {threshold} + 1e-9, true)"
+    enough = f"least(a.held, b.held) * (1 + 1e-9) >= {threshold} * (a.w + b.w - least(a.held, b.held))"
+    met = a.join(b, F.expr(f"a.bucket = b.bucket AND a.block = b.block AND a.g <> b.g AND {once} AND {near} AND {enough}"))
+    return met.select(F.greatest("a.node", "b.node").alias("src"), F.least("a.node", "b.node").alias("dst")).distinct()
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -87,6 +87,18 @@ def test_near_duplicates_against_brute_force(spark):
     assert {r.doc_id for r in kept.collect()} == set(got.values())
 
 
+def test_large_bucket_that_its_leader_does_not_link(spark):
+    # 30 classes of one bucket at 0.79 from its leader, each a group of its own: all pairs are to be compared but those that bounds rule out.
+    rows = [(1, 31, i, i, 99, 0.79, 100.0, 95.0) for i in range(30)] + [(1, 31, 30, 30, 99, 0.79, 100.0, 70.0), (1, 31, 31, 31, 99, 0.5, 100.0, 95.0)]
+    members = spark.createDataFrame(rows, "bucket long, members long, node long, g long, ml long, ms double, w double, held double")
+    got = [(r.src, r.dst) for r in near_dup._cross(members, 0.8).collect()]
+    assert sorted(got) == [(i, j) for i in range(30) for j in range(i)]
+    texts = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e g"), (3, "p q r s t")], "node long, text string")
+    none = near_dup.Idf(3, near_dup.np.zeros(0, near_dup.np.uint64), near_dup.np.zeros(0, near_dup.np.int64))
+    near_dup.ship(spark)
+    assert sorted((r.node, r.w, r.held) for r in near_dup._shareable(texts, none).collect()) == [(1, 3.0, 1.5), (2, 3.0, 1.5), (3, 1.5, 0.0)]
+
+
 def test_near_duplicates_of_odd_rows(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "g"), (None, None)], "doc_id long, text string")
     rows = near_dup.near_duplicates(df).collect()

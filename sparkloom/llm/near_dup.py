@@ -27,7 +27,9 @@ from sparkloom.llm.store import discard, saved, ship
 
 WIDTH = 5
 THRESHOLD = 0.8
-RARE = 0.005
+RARE = 0.002
+#: Counters are named over at least so many rows of the share RARE, so that chance names few of them.
+LEAST_NAMED = 16
 ROWS, BANDS = 7, 25
 SAMPLES = ROWS * BANDS
 #: What stars leave open in a bucket is compared in blocks of so many classes.
@@ -112,15 +114,11 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return float(low / total) if len(a[0]) and len(b[0]) else 0.0
 
 
-def corpus_idf(docs: DataFrame, text: str = "text") -> Idf:
-    """Exact document counts of all shingles that reach the share RARE, over all rows of docs.
+def named_counters(texts: DataFrame) -> DataFrame:
+    """(bucket, n): the counters of hashed shingles that reach the share RARE of some task's rows, and the rows under -1.
 
-    A shingle with that share of all documents has it in some task's rows at least. So each task keeps a table
-    of 2**22 counters of hashed shingles and names those that reach the share of its own rows; only shingles
-    that fall on a named counter are then counted, exactly, by a second pass.
+    Small partitions are read together: in a task of few rows the share is a row or two, which nearly all shingles reach.
     """
-    spark = docs.sparkSession
-    ship(spark)
     mask = np.uint64((1 << BUCKET_BITS) - 1)
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,9 +132,23 @@ def corpus_idf(docs: DataFrame, text: str = "text") -> Idf:
         hot = np.flatnonzero(counters >= max(RARE * rows, 1)) if rows else np.zeros(0, np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(hot, -1), pa.int64()), pa.array(np.append(np.zeros(len(hot), np.int64), rows), pa.int64())], names=["bucket", "n"])
 
-    texts = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    tasks = max(1, int(texts.count() * RARE / LEAST_NAMED))
     # At most 2**22 + 1 groups, whatever the corpus.
-    named = texts.mapInArrow(name, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    return texts.coalesce(tasks).mapInArrow(name, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+
+
+def corpus_idf(docs: DataFrame, text: str = "text") -> Idf:
+    """Exact document counts of all shingles that reach the share RARE, over all rows of docs.
+
+    A shingle with that share of all documents has it in some task's rows at least. So each task keeps a table
+    of 2**22 counters of hashed shingles and names those that reach the share of its own rows; only shingles
+    that fall on a named counter are then counted, exactly, by a second pass.
+    """
+    spark = docs.sparkSession
+    ship(spark)
+    mask = np.uint64((1 << BUCKET_BITS) - 1)
+    texts = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    named = named_counters(texts).toPandas()
     n = int(named.loc[named.bucket < 0, "n"].sum())
     wanted = np.zeros(1 << BUCKET_BITS, bool)
     wanted[named.bucket[named.bucket >= 0].to_numpy(np.int64)] = True

@@ -99,6 +99,16 @@ def test_large_bucket_that_its_leader_does_not_link(spark):
     assert sorted((r.node, r.w, r.held) for r in near_dup._shareable(texts, none).collect()) == [(1, 3.0, 1.5), (2, 3.0, 1.5), (3, 1.5, 0.0)]
 
 
+def test_rare_share_and_named_counters(spark):
+    # A shingle in 0.3 % of all documents has an idf of its own, and small partitions do not name what is rare.
+    rng = random.Random(4)
+    texts = ["one two three four five" if i < 6 else " ".join(f"{w}{rng.randrange(10**6)}" for w in WORDS[:12]) for i in range(2000)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(40)
+    idf = near_dup.corpus_idf(df)
+    assert [round(float(x), 6) for x in idf.idf] == [round(1 + 0.5 * near_dup.math.log(2000 / 6) / near_dup.math.log(500), 6)]
+    assert near_dup.named_counters(df).where("bucket >= 0").count() < 10
+
+
 def test_near_duplicates_of_odd_rows(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "g"), (None, None)], "doc_id long, text string")
     rows = near_dup.near_duplicates(df).collect()

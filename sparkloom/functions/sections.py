@@ -7,11 +7,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.functions.text import strip
+
 
 def parsed(text: Column) -> Column:
     """array<struct<title, body>>; the first section has no title and holds what comes before the first heading."""
     # A mark before every heading at a line's beginning, then each part is its first line and the rest.
-    parts = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?m)^## ", "\u0001## "), "\u0001")
+    parts = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?dm)^## ", "\u0001## "), "\u0001")
     clean = F.transform(parts, lambda p, i: F.when(i < F.size(parts) - 1, F.regexp_replace(p, r"\n\z", "")).otherwise(p))
     first = lambda p: p.startswith("## ")
     return F.transform(
@@ -31,10 +33,6 @@ def exploded(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     return df.select(*keep, F.posexplode(parsed(F.col(text))).alias("pos", "s")).select(*keep, "pos", "s.title", "s.body")
 
 
-def _trim(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
-
-
 def _body_of(sections: Column, title: Column, last: bool) -> Column:
     """The body of the section with the title: the last of equals for headings, the first for the preamble."""
     hits = F.filter(sections, lambda s: s["title"] == title)
@@ -46,7 +44,7 @@ def compared(user: Column, default: Column) -> Column:
 
     def kind(s: Column) -> Column:
         other = F.when(s["title"] == "", F.coalesce(_body_of(default, F.lit(""), False), F.lit(""))).otherwise(_body_of(default, s["title"], True))
-        return F.when(other.isNull(), "added").when(_trim(other) == _trim(s["body"]), "unchanged").otherwise("modified")
+        return F.when(other.isNull(), "added").when(strip(other) == strip(s["body"]), "unchanged").otherwise("modified")
 
     return F.transform(user, lambda s: F.struct(s["title"].alias("title"), s["body"].alias("body"), kind(s).alias("kind")))
 
@@ -65,15 +63,14 @@ TASKS = "## Active Tasks"
 
 def task_lines(body: Column) -> Column:
     """Lines that are neither blank nor begin or end a comment."""
-    t = lambda x: _trim(x)
-    return F.filter(F.split(body, "\n"), lambda x: (t(x) != "") & ~t(x).startswith("<!--") & ~t(x).endswith("-->"))
+    return F.filter(F.split(body, "\n"), lambda x: (strip(x) != "") & ~strip(x).startswith("<!--") & ~strip(x).endswith("-->"))
 
 
 def merged_tasks(user_text: Column, source_default: Column, target_default: Column) -> Column:
     """merged(), with the user's new task lines put before the first comment of the task section."""
     first_body = lambda t: F.coalesce(_body_of(parsed(t), F.lit(TASKS), False), F.lit(""))
-    known = F.transform(task_lines(first_body(source_default)), _trim)
-    new = F.filter(task_lines(first_body(user_text)), lambda x: ~F.array_contains(known, _trim(x)))
+    known = F.transform(task_lines(first_body(source_default)), strip)
+    new = F.filter(task_lines(first_body(user_text)), lambda x: ~F.array_contains(known, strip(x)))
     base = parsed(merged(user_text, source_default, target_default))
     at = F.array_position(F.transform(base, lambda s: s["title"]), F.lit(TASKS))
 
@@ -90,9 +87,9 @@ def merged_tasks(user_text: Column, source_default: Column, target_default: Colu
 
 def user_lines(user_text: Column, default: Column) -> Column:
     """The user's lines that the default has not, trimmed for comparing; the whole text where there is no default."""
-    known = F.transform(F.split(_trim(default), "\n"), _trim)
-    mine = F.filter(F.split(_trim(user_text), "\n"), lambda x: (_trim(x) != "") & ~F.array_contains(known, _trim(x)))
-    return F.when(_trim(default) == "", _trim(user_text)).otherwise(_trim(F.array_join(mine, "\n")))
+    known = F.transform(F.split(strip(default), "\n"), strip)
+    mine = F.filter(F.split(strip(user_text), "\n"), lambda x: (strip(x) != "") & ~F.array_contains(known, strip(x)))
+    return F.when(strip(default) == "", strip(user_text)).otherwise(strip(F.array_join(mine, "\n")))
 
 
 def target_path(source: Column, path: Column, target: Column, mapping: dict[tuple[str, str], dict[str, str | None]]) -> Column:

@@ -36,13 +36,22 @@ ERROR_MARKERS = [
     "keyerror", "attributeerror", "segmentation fault", "core dumped", "exit code", "exit status", "报错", "异常栈", "堆栈", "未捕获", "执行失败", "运行失败",
     "启动失败", "编译失败", "构建失败", "test failed", "assertionerror",
 ]
+MEMORY_TYPES = ["pattern", "error", "security", "life", "correction", "preference"]
 TRIGGER_WORDS = ["when", "trigger", "use this", "适用", "触发", "何时", "场景"]
 EDGE_WORDS = ["error", "fail", "exception", "fallback", "if not", "otherwise", "异常", "失败", "回退", "边界", "注意"]
 SENTENCE_ENDS = "。！？；\n.!?;"
 # End of fixed values.
 
-#: Stand-in for an entity recogniser: what regular expressions can tell.
-PII_PATTERNS = [(r"[\w.+-]+@[\w-]+\.[\w.-]+", "<EMAIL_ADDRESS>"), (r"\b(?:\d{1,3}\.){3}\d{1,3}\b", "<IP_ADDRESS>"), (r"\b(?:\d[ -]?){15}\d\b", "<CREDIT_CARD>")]
+#: Stand-in for an entity recogniser: what regular expressions can tell. Card numbers are checked besides.
+PII_PATTERNS = [(r"[\w.+-]+@[\w-]+\.[\w.-]+", "<EMAIL_ADDRESS>"), (r"\b(?:\d{1,3}\.){3}\d{1,3}\b", "<IP_ADDRESS>")]
+CARD_PATTERN, CARD_MARK = r"\b(?:\d[ -]?){15}\d\b", "<CREDIT_CARD>"
+#: What counts as white space at a text's ends.
+WHITE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
+
+
+def strip(text: Column) -> Column:
+    """The text without white space at its ends."""
+    return F.trim(text, F.lit(WHITE))
 
 
 def any_of(text: Column, words: list[str]) -> Column:
@@ -60,9 +69,21 @@ def language(text: Column) -> Column:
     return F.when(F.regexp_count(text, F.lit("[\u4e00-\u9fff]")) / F.greatest(F.length(text), F.lit(1)) > 0.2, "zh").otherwise("en")
 
 
+def without_cards(text: Column) -> Column:
+    """Runs of 16 digits that pass the check of card numbers replaced by a mark."""
+    found = F.filter(F.regexp_extract_all(text, F.lit(CARD_PATTERN), F.lit(0)), lambda c: F.call_function("luhn_check", F.regexp_replace(c, "[ -]", "")))
+    return F.aggregate(found, text, lambda t, c: F.replace(t, c, F.lit(CARD_MARK)))
+
+
+def without_personal_data(text: Column, pii: list[tuple[str, str]] | None = None) -> Column:
+    """Mail and network addresses and card numbers replaced; a recogniser's own patterns can take their place."""
+    return without_cards(replace_all(text, PII_PATTERNS)) if pii is None else replace_all(text, pii)
+
+
 def sanitize(text: Column, custom: list[tuple[str, str]] | None = None, pii: list[tuple[str, str]] | None = None) -> Column:
     """Paths, credentials, personal data, then own patterns; null and empty stay as they are."""
-    done = replace_all(replace_all(replace_all(replace_all(text, PATH_PATTERNS), CREDENTIAL_PATTERNS), PII_PATTERNS if pii is None else pii), custom or [])
+    clean = replace_all(replace_all(text, PATH_PATTERNS), CREDENTIAL_PATTERNS)
+    done = replace_all(without_personal_data(clean, pii), custom or [])
     return F.when(text.isNull() | (text == ""), text).otherwise(done)
 
 
@@ -72,13 +93,27 @@ def memory_type(content: Column, context: Column, resolution: Column) -> Column:
     return F.when(any_of(blob, SECURITY_MARKERS), "security").when(any_of(blob, ERROR_MARKERS), "error").otherwise("pattern")
 
 
+def typed(content: Column, context: Column, resolution: Column, classifier=None) -> Column:
+    """The type that a classifier, a column function of the three fields, gives if it is one of the six; else the rule's."""
+    rule = memory_type(content, context, resolution)
+    if classifier is None:
+        return rule
+    own = classifier(content, context, resolution)
+    return F.when(own.isin(MEMORY_TYPES), own).otherwise(rule)
+
+
+def token_count(text: Column) -> Column:
+    """Words and single marks; stands in for a tokenizer's counter wherever one is an argument."""
+    return F.coalesce(F.regexp_count(text, F.lit(r"\w+|[^\w\s]")), F.lit(0))
+
+
 def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
 
 
 def one_line(text: Column) -> Column:
     """Trimmed, non-blank lines joined by a space."""
-    return F.array_join(F.filter(F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != ""), " ")
+    return F.array_join(F.filter(F.transform(F.split(text, "\n"), strip), lambda x: x != ""), " ")
 
 
 def slug(text: Column) -> Column:
@@ -125,54 +160,108 @@ def verification_passed(grounded: Column, contradiction: Column, given: Column)
     return F.when(given, (F.coalesce(grounded, F.lit(0.0)) >= 0.8) & ~F.coalesce(contradiction, F.lit(False))).otherwise(F.lit(True))
 
 
+def capped(text: Column, cap: int) -> Column:
+    """A field within `cap` characters; 0 is no cap."""
+    return truncate(text, cap) if cap > 0 else text
+
+
+def _let(value: Column, f) -> Column:
+    """f(value) with the value worked out once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def merge_texts(old: Column, new: Column, cap: int) -> Column:
     """Rule merge of two fields: what holds the other, or the longer near the cap, else both with a rule between."""
-    ex, inc = F.trim(F.coalesce(old, F.lit(""))), F.trim(F.coalesce(new, F.lit("")))
-    o, n = collapse(ex), collapse(inc)
-    longer = F.when(F.length(ex) >= F.length(inc), ex).otherwise(inc)
-    near = F.length(ex) + F.length(inc) > int(cap * 0.8)
-    return F.when(inc == "", ex).when(ex == "", inc).when(o.contains(n), ex).when(n.contains(o), inc).when(near, longer).otherwise(F.concat(ex, F.lit("\n\n---\n\n"), inc))
+
+    def chosen(t: Column) -> Column:
+        ex, inc, o, n = t["ex"], t["inc"], t["o"], t["n"]
+        longer = F.when(F.length(ex) >= F.length(inc), ex).otherwise(inc)
+        near = (F.length(ex) + F.length(inc) > int(cap * 0.8)) if cap > 0 else F.lit(False)
+        both = F.concat(ex, F.lit("\n\n---\n\n"), inc)
+        kept = F.when(ex == "", inc).when(F.contains(o, n) | F.contains(ex, inc), ex).when(F.contains(n, o) | F.contains(inc, ex), inc).when(near, longer).otherwise(both)
+        return F.when(inc == "", ex).otherwise(_let(kept, lambda k: capped(k, cap)))
+
+    ends = F.struct(*[strip(F.coalesce(c, F.lit(""))).alias(k) for k, c in (("ex", old), ("inc", new))])
+    flat = lambda t: F.struct(t["ex"].alias("ex"), t["inc"].alias("inc"), collapse(t["ex"]).alias("o"), collapse(t["inc"]).alias("n"))
+    return _let(_let(ends, flat), chosen)
+
+
+def merged_or_old(merged: Column, old: Column, cap: int) -> Column:
+    """A merger's field, or the old one where that is empty, within the cap."""
+    return capped(F.coalesce(F.nullif(merged, F.lit("")), old), cap)
+
+
+def sentence_end(text: Column, pos: Column) -> Column:
+    """The greatest place up to `pos` right after a sentence's end and beyond the first 80 % of it; else `pos`."""
+    keep = F.floor(pos * F.lit(0.8)).cast("int")
+    tail = F.substring(text, keep + 1, pos - keep)
+    # Java's class needs no escape for these characters but the line feed's own form.
+    snapped = F.length(F.regexp_extract(tail, "(?s)^(.*[。！？；\n.!?;])", 1))
+    return F.when((pos > 0) & (snapped > 0), keep + snapped).otherwise(pos)
 
 
 def truncate(text: Column, most: Column | int) -> Column:
     """The longest prefix within `most` characters less one for the mark, back to a sentence end in its last fifth,
     with a mark; for a counter of one token a character. Unchanged if it fits, empty for no budget."""
     most = F.lit(most) if isinstance(most, int) else most
-    size = F.greatest(F.lit(1), most - 1)
-    cut = F.substring(text, F.lit(1), size)
-    keep = F.floor(size * F.lit(0.8)).cast("int")
-    tail = F.substring(cut, keep + 1, size)
-    # Java's class needs no escape for these characters but the line feed's own form.
-    snapped = F.regexp_extract(tail, "(?s)^(.*[。！？；\n.!?;])", 1)
-    best = F.when(snapped != "", F.concat(F.substring(cut, F.lit(1), keep), snapped)).otherwise(cut)
-    short = F.regexp_replace(best, r"\s+$", "")
+    best = F.substring(text, F.lit(1), sentence_end(text, F.greatest(F.lit(1), most - 1)))
+    short = F.rtrim(best, F.lit(WHITE))
     return F.when((most <= 0) | text.isNull() | (text == ""), F.lit("")).when(F.length(text) <= most, text).when(short == "", short).otherwise(F.concat(short, F.lit("…")))
 
 
 def summaries(content: Column, context: Column, resolution: Column, l0: int, l1: int) -> tuple[Column, Column]:
     """(l0, l1) by rule: the first field with text on one line; then content, context, resolution by 70, 15, 15 %."""
-    has = lambda c: F.coalesce(F.trim(collapse(c)), F.lit("")) != ""
+    has = lambda c: strip(F.coalesce(c, F.lit(""))) != ""
     first = F.when(has(content), one_line(content)).when(has(context), one_line(context)).when(has(resolution), one_line(resolution)).otherwise("")
     part = lambda c, share, flat: F.when(F.coalesce(c, F.lit("")) != "", truncate(one_line(c) if flat else c, max(int(l1 * share), 1)))
     both = F.concat_ws("\n", part(content, 0.70, True), part(context, 0.15, False), part(resolution, 0.15, False))
     return truncate(first, l0), truncate(both, l1)
 
 
+def summaries_or_rule(content: Column, context: Column, resolution: Column, l0: int, l1: int, summarizer=None) -> tuple[Column, Column]:
+    """What a summarizer, a column function to struct<l0, l1>, gives where its l0 is not empty; else the rule's."""
+    rule = summaries(content, context, resolution, l0, l1)
+    if summarizer is None:
+        return rule
+    own = summarizer(content, context, resolution)
+    given = F.coalesce(own["l0"], F.lit("")) != ""
+    return F.when(given, own["l0"]).otherwise(rule[0]), F.when(given, F.coalesce(own["l1"], F.lit(""))).otherwise(rule[1])
+
+
 def embed_input(kind: Column, content: Column, context: Column, resolution: Column) -> Column:
     """Text that a memory is embedded by."""
     cut = lambda c, n: F.substring(F.coalesce(c, F.lit("")), 1, n)
     return F.concat(F.lit("memory type: "), kind, F.lit(" content: "), cut(content, 300), F.lit(" context: "), cut(context, 200), F.lit(" resolution: "), cut(resolution, 200))
 
 
+def embed_skill_input(name: Column, description: Column, content: Column) -> Column:
+    """Text that a skill is embedded by."""
+    return F.concat_ws(" ", name, description, F.substring(content, 1, 500))
+
+
+def keyword_categories(text: Column, words: dict[str, list[str]], most: int = 3, otherwise: str = "general") -> Column:
+    """The categories with most of their words in the lower-cased text, in order; equals as listed."""
+    low = F.lower(text)
+    hits = lambda ws: sum((low.contains(w).cast("int") for w in ws), F.lit(0))
+    scored = F.array(*[F.struct((-hits(ws)).alias("n"), F.lit(i).alias("i"), F.lit(c).alias("c")) for i, (c, ws) in enumerate(words.items())])
+    top = F.slice(F.array_sort(F.filter(scored, lambda e: e["n"] < 0)), 1, most)
+    return F.when(F.size(top) == 0, F.array(F.lit(otherwise))).otherwise(F.transform(top, lambda e: e["c"]))
+
+
+def categories(text: Column, words: dict[str, list[str]], suggester=None) -> Column:
+    """A suggester's categories, a column function of the text, or where it has none those by keywords."""
+    rule = keyword_categories(text, words)
+    if suggester is None:
+        return rule
+    own = suggester(text)
+    return F.when(F.size(F.coalesce(own, F.array().cast("array<string>"))) > 0, F.slice(own, 1, 3)).otherwise(rule)
+
+
 def fold_tags(tags: Column, cap: int | None) -> Column:
     """Trimmed, non-blank tags, the first spelling of each without regard to case, at most `cap` of them."""
-    clean = F.filter(F.transform(F.coalesce(tags, F.array().cast("array<string>")), lambda t: F.trim(t)), lambda t: t.isNotNull() & (t != ""))
+    clean = F.filter(F.transform(F.coalesce(tags, F.array().cast("array<string>")), strip), lambda t: t.isNotNull() & (t != ""))
     first = F.filter(
         F.transform(clean, lambda t, i: F.struct(t.alias("t"), i.alias("i"))), lambda e: e["i"] == F.array_position(F.transform(clean, lambda x: F.lower(x)), F.lower(e["t"])).cast("int") - 1
     )
     out = F.transform(first, lambda e: e["t"])
     return F.slice(out, 1, cap) if cap else out
-
-
-def section_titles(text: Column) -> Column:
-    return F.filter(F.split(text, "\n"), lambda x: x.startswith("## "))

@@ -16,7 +16,8 @@ from sparkloom.functions import messages as M
 from sparkloom.functions import sections as S
 from sparkloom.functions import text as T
 from sparkloom.operators.similarity import nearest_duplicate
-from sparkloom.sources.sessions import fingerprint, slices
+from sparkloom.scratch import discard, saved
+from sparkloom.sources.sessions import slices
 
 EMBED_DIMS = 64
 
@@ -42,20 +43,38 @@ def embed(text: Column, dims: int = EMBED_DIMS) -> Column:
     return run(text)
 
 
-def upload(new: DataFrame, existing: DataFrame, soft: float = DEFAULTS.dedup_soft, hard: float = DEFAULTS.dedup_hard, embedder=embed, confirm=None) -> DataFrame:
+def decoded_tags(text: Column) -> Column:
+    """Tags from JSON text; bad or missing text is no tags."""
+    return F.coalesce(F.from_json(text, "array<string>"), F.array().cast("array<string>"))
+
+
+def decoded_vector(vector: Column) -> Column:
+    """A vector as array<double>, missing ones empty."""
+    return F.coalesce(vector.cast("array<double>"), F.array().cast("array<double>"))
+
+
+def upload(new: DataFrame, existing: DataFrame, soft: float = DEFAULTS.dedup_soft, hard: float = DEFAULTS.dedup_hard, embedder=embed, confirm=None, classifier=None) -> DataFrame:
     """What becomes of each row of new(new_id, content, context, resolution) against existing memories.
 
     Fields are sanitised, typed and embedded; the nearest memory of the type at `hard` takes the row as a hit
-    (action merge), one at `soft` does so only if confirm(row) says so, else the row is inserted as warm.
+    (action merge). One at `soft` does so only if confirm says so, a column function of the existing and the new
+    content and context; without it, and else, the row is inserted as warm. Further columns of new are kept.
     """
     clean = new.withColumns({c: T.sanitize(F.col(c)) for c in ("content", "context", "resolution")})
-    typed = clean.withColumn("memory_type", T.memory_type(F.col("content"), F.col("context"), F.col("resolution")))
+    kind = T.typed(F.col("content"), F.col("context"), F.col("resolution"), classifier)
     vec = lambda d: d.withColumn("embedding", embedder(T.embed_input(F.col("memory_type"), F.col("content"), F.col("context"), F.col("resolution"))))
-    rows = vec(typed)
+    # Rows are read twice below, and texts are embedded once.
+    rows = saved(vec(clean.withColumn("memory_type", kind)), "upload")
     best = nearest_duplicate(rows.select("new_id", "memory_type", "embedding"), vec(existing), soft)
+    found = rows.join(best, "new_id", "left")
     sure = F.col("sim") >= hard
-    merge = sure | (confirm(F.col("sim")) if confirm else F.lit(False))
-    return rows.join(best, "new_id", "left").withColumn("action", F.when(F.coalesce(merge, F.lit(False)), "merge").otherwise("insert")).withColumn("duplicate_of", F.when(F.col("action") == "merge", F.col("id")))
+    if confirm is not None:
+        old = existing.select("id", F.col("content").alias("__content"), F.col("context").alias("__context"))
+        found = found.join(old, "id", "left")
+        sure = sure | confirm(F.col("__content"), F.col("__context"), F.col("content"), F.col("context"))
+    merged = F.coalesce(F.col("id").isNotNull() & sure, F.lit(False))
+    out = found.withColumn("action", F.when(merged, "merge").otherwise("insert")).withColumn("duplicate_of", F.when(F.col("action") == "merge", F.col("id")))
+    return out.drop("__content", "__context")
 
 
 def merge_tags(memories: DataFrame, incoming: DataFrame, cap: int = DEFAULTS.tag_cap) -> DataFrame:
@@ -64,34 +83,97 @@ def merge_tags(memories: DataFrame, incoming: DataFrame, cap: int = DEFAULTS.tag
     return joined.withColumn("tags", F.when(F.col("incoming").isNotNull(), T.fold_tags(both, cap)).otherwise(F.col("tags"))).drop("incoming")
 
 
-def greedy_merges(pairs: DataFrame, most: int) -> DataFrame:
-    """The first `most` pairs of (winner, loser, sim) in order of similarity whose ends are no loser of an earlier one.
+def mergeable(pairs: DataFrame, hard: float = DEFAULTS.dedup_hard, dry_run: bool = False, confirm: Column | None = None) -> DataFrame:
+    """The pairs that consolidation may merge: those at `hard`, and those below that `confirm` (a boolean column over
+    pairs) holds for; without a confirmation all of them. A dry run takes only those at `hard`."""
+    sure = F.col("sim") >= hard
+    if dry_run:
+        return pairs.where(sure)
+    return pairs if confirm is None else pairs.where(sure | confirm)
 
-    Rounds of local choice: a pair is taken for sure if no better pair that is still open touches its ends;
-    its loser's other pairs then go. Every round is one aggregate and two joins, never a loop over pairs.
+
+def greedy_merges(pairs: DataFrame, most: int | None = None) -> DataFrame:
+    """(winner, loser, sim): pairs in order of similarity, then winner, then loser, each taken unless one of its ends
+    is the loser of a pair taken before; the first `most` of them.
+
+    Rounds of local choice: a pair is taken for sure when no open pair before it has one of its ends as loser, and
+    what ranks after a taken pair and has its loser at an end goes. Once `most` are taken, pairs that rank after these cannot matter and go
+    as well. A round is one aggregate and a few joins over a saved table; there are as many as the longest chain of
+    pairs that wait for each other.
     """
-    rank = F.struct(-F.col("sim"), F.col("winner"), F.col("loser"))
-    open_pairs, taken = pairs.withColumn("o", rank), None
-    for _ in range(most):
-        ends = open_pairs.select(F.col("winner").alias("n"), "o").unionByName(open_pairs.select(F.col("loser").alias("n"), "o"))
-        best = ends.groupBy("n").agg(F.min("o").alias("b"))
-        first = open_pairs.join(best.select(F.col("n").alias("winner"), F.col("b").alias("bw")), "winner").join(best.select(F.col("n").alias("loser"), F.col("b").alias("bl")), "loser")
-        now = first.where("o = bw AND o = bl").select("winner", "loser", "sim", "o").checkpoint() if open_pairs.sparkSession.sparkContext.getCheckpointDir() else first.where("o = bw AND o = bl").select("winner", "loser", "sim", "o")
-        taken = now if taken is None else taken.unionByName(now)
-        gone = taken.select(F.col("loser").alias("n"))
-        rest = open_pairs.join(gone.select(F.col("n").alias("winner")), "winner", "left_anti").join(gone.select(F.col("n").alias("loser")), "loser", "left_anti").join(taken.select("o"), "o", "left_anti")
-        if taken.count() >= most or rest.isEmpty():
-            break
-        open_pairs = rest
-    return taken.orderBy("o").limit(most).drop("o")
-
-
-def apply_merges(memories: DataFrame, merges: DataFrame) -> DataFrame:
-    """Losers archived; each merge is one more hit for its winner."""
-    won = merges.groupBy(F.col("winner").alias("id")).agg(F.count(F.lit(1)).alias("__won"))
-    lost = merges.select(F.col("loser").alias("id")).distinct().withColumn("__lost", F.lit(True))
+    key = F.struct((-F.col("sim")).alias("s"), F.col("winner").alias("w"), F.col("loser").alias("l"))
+    left = saved(pairs.select("winner", "loser", "sim").dropDuplicates(["winner", "loser"]).withColumn("o", key), "merges-open")
+    taken: DataFrame | None = None
+    while not left.isEmpty():
+        least = left.groupBy(F.col("loser").alias("n")).agg(F.min("o").alias("b"))
+        own, other = least.select(F.col("n").alias("loser"), F.col("b").alias("bl")), least.select(F.col("n").alias("winner"), F.col("b").alias("bw"))
+        first = left.join(own, "loser").join(other, "winner", "left").where("o = bl AND (bw IS NULL OR o < bw)")
+        now = first.select("winner", "loser", "sim", "o")
+        before, taken = taken, saved(now if taken is None else taken.unionByName(now), "merges-taken")
+        # A pair that ranks before a taken one is not hindered by it.
+        gone = taken.select(F.col("loser").alias("n"), F.col("o").alias("since"))
+        rest = left.join(gone, F.expr("loser = n AND o >= since"), "left_anti").join(gone, F.expr("winner = n AND o > since"), "left_anti")
+        if most is not None:
+            # The most-th of those taken so far: at most `most` rows, sorted by Spark's top-k.
+            head = taken.orderBy("o").limit(most).agg(F.count(F.lit(1)).alias("k"), F.max("o").alias("last")).where(F.col("k") == most)
+            rest = rest.join(F.broadcast(head), F.expr("o > last"), "left_anti")
+        done, left = left, saved(rest, "merges-open")
+        discard(done, *([before] if before is not None else []))
+    discard(left)
+    if taken is None:
+        return pairs.select("winner", "loser", "sim").limit(0)
+    ordered = taken.orderBy("o")
+    return (ordered if most is None else ordered.limit(most)).drop("o")
+
+
+def merged_fields(old: list[Column], new: list[Column], merger=None, cap: int = DEFAULTS.merge_field_tokens) -> list[Column]:
+    """content, context and resolution of a merged pair: what a merger, a column function of both triples to a struct of
+    the three or null, makes of them, each within the cap and the old field where it is empty. Without a merger, or
+    where it gives null, the old fields."""
+    if merger is None:
+        return old
+    made = merger(old, new)
+    return [F.when(made.isNull(), o).otherwise(T.merged_or_old(made[n], o, cap)) for n, o in zip(("content", "context", "resolution"), old, strict=True)]
+
+
+def rule_merger(old: list[Column], new: list[Column], cap: int = DEFAULTS.merge_field_tokens) -> Column:
+    """A merger by rule, for want of a model."""
+    return F.struct(*[T.merge_texts(o, n, cap).alias(c) for c, o, n in zip(("content", "context", "resolution"), old, new, strict=True)])
+
+
+def apply_merges(memories: DataFrame, merges: DataFrame, merger=None, embedder=embed, at: str | None = None) -> DataFrame:
+    """memories after merges(winner, loser, sim) in their order, each made of the rows as they were before all of them.
+
+    A merge that leaves the winner's text as it is changes nothing. Else the winner has one more hit if the loser had
+    any (last hit at `at`, where given), the merged fields with their embedding and summaries, and both rows' tags;
+    the loser is archived. Of several merges into one winner the last one's fields and tags stay.
+    """
+    fields, cols = ["content", "context", "resolution"], memories.columns
+    side = lambda name, own: merges.select("winner", "loser", "sim").join(memories.select(F.col("id").alias(name), *[F.col(c).alias(f"{own}_{c}") for c in [*fields, "tags", "hit_count"]]), name)
+    both = side("winner", "w").join(side("loser", "l").drop("sim"), ["winner", "loser"])
+    made = merged_fields([F.col(f"w_{c}") for c in fields], [F.col(f"l_{c}") for c in fields], merger)
+    both = both.withColumns({f"m_{c}": m for c, m in zip(fields, made, strict=True)})
+    same = F.lit(True)
+    for c in fields:
+        same = same & F.col(f"m_{c}").eqNullSafe(F.col(f"w_{c}"))
+    tags = T.fold_tags(F.concat(F.coalesce("w_tags", F.array().cast("array<string>")), F.coalesce("l_tags", F.array().cast("array<string>"))), DEFAULTS.tag_cap)
+    changed = both.where(~same).withColumns({"order": F.struct(-F.col("sim"), "winner", "loser"), "m_tags": tags})
+    last = F.max_by(F.struct(*[F.col(f"m_{c}").alias(c) for c in [*fields, "tags"]]), "order")
+    won = changed.groupBy(F.col("winner").alias("id")).agg(F.count_if(F.col("l_hit_count") > 0).alias("__hits"), last.alias("__new"))
+    lost = changed.select(F.col("loser").alias("id")).distinct().withColumn("__lost", F.lit(True))
     out = memories.join(won, "id", "left").join(lost, "id", "left")
-    return out.withColumns({"hit_count": F.col("hit_count") + F.coalesce("__won", F.lit(0)), "status": F.when(F.col("__lost"), "archived").otherwise(F.col("status"))}).drop("__won", "__lost")
+    new = F.col("__new").isNotNull()
+    values = {c: F.when(new, F.col(f"__new.{c}")).otherwise(F.col(c)) for c in [*fields, "tags"]}
+    values |= {"hit_count": F.col("hit_count") + F.coalesce("__hits", F.lit(0)), "status": F.when(F.col("__lost"), "archived").otherwise(F.col("status"))}
+    own = [F.col(f"__new.{c}") for c in fields]
+    if at is not None and "last_hit_at" in cols:
+        values["last_hit_at"] = F.when(F.col("__hits") > 0, F.lit(at).cast("timestamp_ntz")).otherwise(F.col("last_hit_at"))
+    if "embedding" in cols:
+        values["embedding"] = F.when(new, embedder(F.when(new, T.embed_input(F.col("memory_type"), *own)))).otherwise(F.col("embedding"))
+    if "summary_l0" in cols:
+        l0, l1 = T.summaries(*own, DEFAULTS.l0_tokens, DEFAULTS.l1_tokens)
+        values |= {"summary_l0": F.when(new, l0).otherwise(F.col("summary_l0")), "overview_l1": F.when(new, l1).otherwise(F.col("overview_l1"))}
+    return out.withColumns(values).select(*cols)
 
 
 def segment_sessions(messages: DataFrame, window: int) -> DataFrame:
@@ -105,7 +187,64 @@ def segment_sessions(messages: DataFrame, window: int) -> DataFrame:
     cut = w.join(size, "session").withColumn("segment_index", F.when(F.col("n") <= 2, 0).otherwise(F.col("window")))
     spans = cut.groupBy("session", "segment_index").agg(F.min("msg_idx").alias("start_line"), F.max("msg_idx").alias("end_line"))
     own = messages.join(cut.select("session", "msg_idx", "segment_index"), ["session", "msg_idx"])
-    return spans.join(fingerprint(own, ["session", "segment_index"]), ["session", "segment_index"])
+    return spans.join(M.fingerprint(own, ["session", "segment_index"]), ["session", "segment_index"])
+
+
+def task_segments(messages: DataFrame, segmenter=None, budget: int = DEFAULTS.extract_window_tokens) -> DataFrame:
+    """(session, segment_index, start_line, end_line, topic): the tasks that a segmenter finds in each session.
+
+    The segmenter takes the numbered lines of a window, which fit `budget` characters (a single message that does not
+    is cut), and gives a list of (start, end, topic) that covers the window from 1 to its end without gap or overlap,
+    or None. The next window begins at the last task found, which it replaces, or after the window if that is one
+    task. A session of at most two messages is one task. A session gives no rows where the segmenter fails, or is
+    None and there are more messages. Sessions are files of bounded size, one is one group.
+    """
+    lines = messages.select("session", "msg_idx", "role", F.coalesce("body", F.lit("")).alias("body"))
+
+    def found(said: list[str]) -> list[tuple[int, int, str]] | None:
+        if len(said) <= 2:
+            return [(1, len(said), "full conversation")]
+        if segmenter is None:
+            return None
+        out: list[tuple[int, int, str]] = []
+        at = 0
+        while at < len(said):
+            shown, used = [], -1
+            for n, text in enumerate(said[at:], 1):
+                line = f"[{n}] {text}"
+                if shown and used + 1 + len(line) > budget:
+                    break
+                shown.append(line[:budget])
+                used += 1 + len(line)
+            tasks = segmenter(shown)
+            ends = [0, *(e for _, e, _ in tasks or [])]
+            if not tasks or ends[-1] != len(shown) or any(s != before + 1 or e < s for (s, e, _), before in zip(tasks, ends)):
+                return None
+            out += [(at + s, at + e, t) for s, e, t in tasks]
+            if at + len(shown) >= len(said):
+                return out
+            if len(tasks) == 1:
+                at += len(shown)
+            else:
+                at = out.pop()[0] - 1
+        return out
+
+    def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        ordered = group.sort_by("msg_idx")
+        said = [f"[{r}]: {b}" for r, b in zip(ordered.column("role").to_pylist(), ordered.column("body").to_pylist(), strict=True)]
+        tasks = found(said) or []
+        return pa.table(
+            {
+                "session": pa.array([key[0].as_py()] * len(tasks), group.schema.field("session").type),
+                "segment_index": pa.array(range(len(tasks)), pa.int32()),
+                "start_line": pa.array([s for s, _, _ in tasks], pa.int32()),
+                "end_line": pa.array([e for _, e, _ in tasks], pa.int32()),
+                "topic": pa.array([t for _, _, t in tasks], pa.string()),
+            }
+        )
+
+    kind = messages.schema["session"].dataType.simpleString()
+    return lines.groupBy("session").applyInArrow(run, f"session {kind}, segment_index int, start_line int, end_line int, topic string")
 
 
 def new_and_superseded(known: DataFrame, found: DataFrame) -> DataFrame:
@@ -124,21 +263,6 @@ def label(segments: DataFrame, scorer=None) -> DataFrame:
     return segments.withColumns({"quality_metrics": metrics, "labeled": F.lit(True)})
 
 
-def extract(segments: DataFrame, messages: DataFrame, window: int = DEFAULTS.extract_window_tokens, extractor=None) -> DataFrame:
-    """(id, window, content, tags): what an extractor makes of each token window of each segment, with its tags.
-
-    The default extractor keeps the window's first line; a model is a column function of the window's text to
-    array<string>.
-    """
-    own = slices(segments, messages)
-    w = M.windows(own, ["id"], window)
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("msg_idx", F.concat(F.lit("["), "role", F.lit("]: "), "text").alias("l")))), lambda e: e["l"])
-    texts = w.groupBy("id", "window").agg(F.array_join(lines, "\n").alias("text"))
-    found = extractor(F.col("text")) if extractor else F.array(F.substring_index("text", "\n", 1))
-    tags = F.array_compact(F.array(F.lit("trajectory"), F.concat(F.lit("segment:"), "id"), F.concat(F.lit("topic:"), F.substring("topic", 1, 40)), F.concat(F.lit("agent:"), "agent_id")))
-    return texts.select("id", "window", F.explode(found).alias("content")).join(segments.select("id", tags.alias("tags")), "id")
-
-
 def evolution_cycle(clusters: DataFrame, members: DataFrame, evolutions: DataFrame, limit: int) -> DataFrame:
     """(cluster_id, phase): up to `limit` clusters, those ready to crystallise first, then to recrystallise."""
     from sparkloom.operators.aggregates import members_since
@@ -157,15 +281,20 @@ def upgrade_gate(evolutions: DataFrame) -> DataFrame:
 
 
 def sft_export(segments: DataFrame, messages: DataFrame, least: int = 2) -> DataFrame:
-    """(id, messages): role:text of each segment's messages in order, for segments with at least `least` of them."""
-    own = slices(segments, messages).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("msg_idx", F.concat("role", F.lit(":"), F.trim("content")).alias("l")))).alias("m"))
-    return own.where(F.size("m") >= least).select("id", F.transform("m", lambda e: e["l"]).alias("messages"))
+    """(id, messages): the training messages of each segment in order, for segments with at least `least` messages."""
+    own = slices(segments, messages).select("id", "msg_idx", M.training_message().alias("m"))
+    listed = own.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("msg_idx", "m"))).alias("m"))
+    return listed.where(F.size("m") >= least).select("id", F.transform("m", lambda e: e["m"]).alias("messages"))
+
+
+def unit_interval(x: Column) -> Column:
+    """A score or threshold clamped to [0, 1]; null stays null."""
+    return F.when(x.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), x.cast("double"))))
 
 
-def slug_and_version(directory: Column) -> tuple[Column, Column]:
-    """slug-version of a package folder, where the part after the last dash begins with a digit; else 1.0.0."""
-    tail = F.regexp_extract(directory, r"^.*-([0-9][^-]*)$", 1)
-    return F.when(tail != "", F.regexp_extract(directory, r"^(.*)-[0-9][^-]*$", 1)).otherwise(directory), F.coalesce(F.nullif(tail, F.lit("")), F.lit("1.0.0"))
+def text_budget(prompt: Column, most: int = 200_000, reserve: int = 8192, counter=T.token_count) -> Column:
+    """Tokens that a prompt leaves for a text, at least 256."""
+    return F.greatest(F.lit(most - reserve) - counter(prompt), F.lit(256))
 
 
 def concatenated(parts: DataFrame, key: list[str]) -> DataFrame:

@@ -9,30 +9,28 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkloom.config import DEFAULTS
+from sparkloom.scratch import saved
 
 
 def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     """df with each row's place (from 1) in a total order, without one task for all rows.
 
-    Rows are dealt by range of the order, numbered inside their range, and shifted by the rows of the ranges
-    before; the shifts are one row a range.
+    Rows are dealt once by range of the order, sorted inside their range, and numbered there by Spark's row ids, which
+    hold the range's number and the row's; what is saved is read twice, for the sizes of the ranges before a row's
+    own (one row a range), and for the rows. Pass only the columns that are needed: all of them are saved.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order).withColumn("__p", F.spark_partition_id())
-    numbered = ranged.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(*order)))
-    sizes = ranged.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
-    before = sizes.select("__p", (F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))).alias("__before"))
-    return numbered.join(F.broadcast(before), "__p").withColumn(name, F.col("__r") + F.coalesce("__before", F.lit(0))).drop("__p", "__r", "__before")
+    rows = saved(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()), "ranked")
+    part, place = F.shiftright("__id", 33).alias("__p"), F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = rows.groupBy(part).agg(F.count(F.lit(1)).alias("__n"))
+    before = sizes.select("__p", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    return rows.withColumn("__p", part).join(F.broadcast(before), "__p").withColumn(name, place + F.col("__before") + 1).drop("__p", "__id", "__before")
 
 
 def tier_rebalance(memories: DataFrame, hot: float = DEFAULTS.hot_percent, warm: float = DEFAULTS.warm_percent) -> DataFrame:
-    """memories that are not archived with new_tier, changed and newly_hot: the first ceil(n x hot %) by hits, last
-    hit and id are hot, the next ceil(n x warm %) warm, the rest cold.
-
-    The borders are two rows found by rank of distinct (hits, last hit) counts: rows are compared with them, so
-    nothing but the counts is sorted.
-    """
-    live = memories.where("status <> 'archived'")
+    """(id, tier, hit_count, last_hit_at, rank, new_tier, changed, newly_hot) of memories that are not archived: the
+    first ceil(n x hot %) by hits, last hit and id are hot, the next ceil(n x warm %) warm, the rest cold."""
+    live = memories.where("status <> 'archived'").select("id", "tier", "hit_count", "last_hit_at")
     order = [F.col("hit_count").desc(), F.col("last_hit_at").desc(), F.col("id").asc()]
     total = live.count()
     n_hot, n_warm = math.ceil(total * hot / 100), math.ceil(total * warm / 100)
@@ -59,10 +57,10 @@ def leaderboard(memories: DataFrame, limit: int) -> DataFrame:
 
 
 def warm_overflow(memories: DataFrame, most: int) -> DataFrame:
-    """The warm rows beyond the cap: those with fewest hits, then the longest unhit."""
-    warm = memories.where("tier = 'warm' AND status <> 'archived'")
+    """(id, hit_count, last_hit_at, rank) of the warm rows beyond the cap: those with fewest hits, then the longest unhit."""
+    warm = memories.where("tier = 'warm' AND status <> 'archived'").select("id", "hit_count", "last_hit_at")
     over = max(0, warm.count() - most)
-    return warm.orderBy("hit_count", "last_hit_at", "id").limit(over)
+    return global_rank(warm, [F.col("hit_count"), F.col("last_hit_at"), F.col("id")]).where(F.col("rank") <= over)
 
 
 def contiguous(segments: DataFrame) -> DataFrame:

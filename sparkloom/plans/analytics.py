@@ -9,6 +9,7 @@ from sparkloom.functions import text as T
 from sparkloom.operators import aggregates as A
 from sparkloom.operators import ranking as R
 from sparkloom.operators import similarity as S
+from sparkloom.operators import writes as W
 from sparkloom.plans.registry import query
 from sparkloom.sources import fixtures as X
 from sparkloom.sources.fixtures import AS_OF, ctes
@@ -46,9 +47,9 @@ def jon03_memories_by_ids(spark, sf):
     return X.memories(spark, sf).join(F.broadcast(ids), "id", "left_semi").select("id", "tier")
 
 
-@query(ctes("members", "vectors") + "SELECT cluster_id, memory_id, status, hit_count FROM members JOIN vectors ON memory_id = id WHERE memory_id % 11 <> 0 ORDER BY cluster_id, added_at, memory_id")
+@query(ctes("members", "vectors") + "SELECT cluster_id, memory_id, status, hit_count FROM members JOIN vectors ON memory_id = id ORDER BY cluster_id, added_at, memory_id")
 def jon04_cluster_memories(spark, sf):
-    some = X.vectors(spark, sf).where("id % 11 <> 0").select(F.col("id").alias("memory_id"), "status", "hit_count")
+    some = X.vectors(spark, sf).select(F.col("id").alias("memory_id"), "status", "hit_count")
     return X.members(spark, sf).join(some, "memory_id").orderBy("cluster_id", "added_at", "memory_id").select("cluster_id", "memory_id", "status", "hit_count")
 
 
@@ -134,9 +135,9 @@ def jon11_categories_with_counts(spark, sf):
     return A.category_counts(X.skills(spark, sf), c)
 
 
-@query(ctes("memories") + "SELECT id FROM memories WHERE list_contains(tags, 'lang:de') AND status <> 'archived'")
+@query(ctes("memories") + "SELECT id, CASE WHEN list_contains(tags, 'lang:de') THEN 'archived' ELSE status END AS status FROM memories")
 def jon12_tagged(spark, sf):
-    return X.memories(spark, sf).where(F.array_contains("tags", "lang:de") & (F.col("status") != "archived")).select("id")
+    return W.archive_by_tag(X.memories(spark, sf), "lang:de").select("id", "status")
 
 
 @query(
@@ -234,10 +235,10 @@ def top06_ready_to_recrystallize(spark, sf):
     return X.clusters(spark, sf).where("skill_slug <> ''").join(ready, "cluster_id").select("cluster_id", "n")
 
 
-@query(ctes("members", "vectors") + _CENT + " SELECT cluster_id, p - 1 AS p, round(x, 4) AS x FROM m")
+@query(ctes("members", "vectors") + _CENT + " SELECT cluster_id, p - 1 AS p, round(x, 4) + 0.0 AS x FROM m")
 def agg11_centroids(spark, sf):
     c = S.centroids(X.members(spark, sf), X.vectors(spark, sf))
-    return c.select("cluster_id", F.posexplode("centroid").alias("p", "x")).select("cluster_id", F.col("p").cast("long").alias("p"), F.round("x", 4).alias("x"))
+    return c.select("cluster_id", F.posexplode("centroid").alias("p", "x")).select("cluster_id", F.col("p").cast("long").alias("p"), (F.round("x", 4) + 0.0).alias("x"))
 
 
 @query("SELECT count(*) AS files, sum(length(html)) AS bytes, round(sum(length(html)) / 1048576.0, 2) AS mb FROM pages".replace("sum(length(html)) AS bytes", "CAST(sum(length(html)) AS BIGINT) AS bytes"))
@@ -330,14 +331,15 @@ def set03_distinct_phrases(spark, sf):
 
 @query(
     ctes("segments")
-    + """, old AS (SELECT agent_id, segment_index AS i, md5(task_type) AS fp FROM segments WHERE segment_index < 500), new AS (SELECT agent_id, segment_index AS i, md5(CASE WHEN segment_index % 10 = 0 THEN task_type || 'x' ELSE task_type END) AS fp FROM segments WHERE segment_index < 600)
+    + """, old AS (SELECT agent_id, segment_index AS i, md5(task_type) AS fp FROM segments WHERE segment_index % 7 <> 0), new AS (SELECT agent_id, segment_index AS i, md5(CASE WHEN segment_index % 10 = 0 THEN task_type || 'x' ELSE task_type END) AS fp FROM segments WHERE segment_index % 11 <> 0)
     SELECT 'inserted' AS what, i FROM new WHERE NOT EXISTS (SELECT 1 FROM old WHERE old.agent_id = new.agent_id AND old.fp = new.fp AND old.i = new.i)
     UNION ALL SELECT 'superseded', old.i FROM old JOIN new ON old.agent_id = new.agent_id AND old.i = new.i AND old.fp <> new.fp"""
 )
 def set04_fingerprint_difference(spark, sf):
     s = X.segments(spark, sf).select("agent_id", F.col("segment_index").alias("i"), F.get_json_object("quality_metrics", "$.summary.task_type").alias("t"))
-    old = s.where("i < 500").select("agent_id", "i", F.md5("t").alias("fp"))
-    new = s.where("i < 600").select("agent_id", "i", F.md5(F.when(F.col("i") % 10 == 0, F.concat("t", F.lit("x"))).otherwise(F.col("t"))).alias("fp"))
+    # Each side lacks some rows of every range.
+    old = s.where("i % 7 <> 0").select("agent_id", "i", F.md5("t").alias("fp"))
+    new = s.where("i % 11 <> 0").select("agent_id", "i", F.md5(F.when(F.col("i") % 10 == 0, F.concat("t", F.lit("x"))).otherwise(F.col("t"))).alias("fp"))
     added = new.join(old, ["agent_id", "fp", "i"], "left_anti").select(F.lit("inserted").alias("what"), "i")
     gone = old.alias("o").join(new.alias("n"), ["agent_id", "i"]).where("o.fp <> n.fp").select(F.lit("superseded").alias("what"), "i")
     return added.unionByName(gone)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkloom.plans import analytics, changes, functions, pipelines, reads  # noqa: F401
+from sparkloom.plans import analytics, changes, conversations, evolution, functions, pipelines, reads, trees  # noqa: F401
 from sparkloom.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.config import DEFAULTS
 from sparkloom.operators import writes as W
+from sparkloom.operators.similarity import hit_events
 from sparkloom.plans.registry import query
 from sparkloom.sources import fixtures as X
 from sparkloom.sources.fixtures import AS_OF, ctes
@@ -35,7 +36,7 @@ def dml02_apply_hits(spark, sf):
 
 @query(ctes("memories") + "SELECT id, hit_count + CASE WHEN id IN (4, 9) THEN 2 ELSE 0 END AS hit_count FROM memories")
 def dml03_light_hits(spark, sf):
-    h = spark.createDataFrame([(4,), (9,)], "id long").select("id", F.lit(2).cast("long").alias("weight"), F.lit("2023-01-01").cast("timestamp_ntz").alias("ts"))
+    h = hit_events(X.memories(spark, sf).where("id IN (4, 9)"), "2023-01-01", 2)
     return W.apply_hits(X.memories(spark, sf), h).select("id", "hit_count")
 
 

@@ -8,7 +8,9 @@ from sparkloom.config import DEFAULTS
 from sparkloom.functions import quality
 from sparkloom.functions import text as T
 from sparkloom.functions import vectors as V
-from sparkloom.plans.registry import query
+from sparkloom.functions import messages as M
+from sparkloom.functions import sections as S
+from sparkloom.plans.registry import cut_sql, query, strip_sql
 from sparkloom.sources import fixtures as X
 from sparkloom.sources.fixtures import AS_OF, ctes
 
@@ -93,68 +95,56 @@ def fn08_language(spark, sf):
     return e.select("event_id", T.language(t).alias("lang"))
 
 
-@query(None)
+@query("SELECT event_id, 'mail <EMAIL_ADDRESS> from <IP_ADDRESS>, card ' || CASE WHEN event_id % 2 = 0 THEN '<CREDIT_CARD>' ELSE '4111-1111-1111-1112' END AS clean FROM events")
+def fn09_personal_data(spark, sf):
+    e = X.table(spark, sf, "events")
+    card = F.when(F.col("event_id") % 2 == 0, "4111 1111 1111 1111").otherwise("4111-1111-1111-1112")
+    note = F.concat(F.lit("mail a"), "event_id", F.lit("@ex.org from 10.0."), F.col("event_id") % 250, F.lit(".7, card "), card)
+    return e.select("event_id", T.without_personal_data(note).alias("clean"))
+
+
+@query(f"SELECT event_id, {_chain(T.PATH_PATTERNS + T.CREDENTIAL_PATTERNS + T.PII_PATTERNS, _NOTE)} AS clean FROM events")
 def fn10_sanitize(spark, sf):
     return _notes(spark, sf).select("event_id", T.sanitize(F.col("note")).alias("clean"))
 
 
-@query("SELECT doc_id, CASE WHEN length(text) <= 500 THEN text END AS short, length(text) > 500 AS cut FROM documents")
+@query(f"SELECT doc_id, {cut_sql('text', 500)} AS cut, {cut_sql('text', 'doc_id % 90')} AS short FROM documents")
 def fn11_truncate(spark, sf):
-    d = X.table(spark, sf, "documents").select("doc_id", "text", T.truncate(F.col("text"), 500).alias("t"))
-    return d.select("doc_id", F.when(F.length("text") <= 500, F.col("t")).alias("short"), (F.col("t").endswith("…") & (F.length("t") <= 500)).alias("cut"))
-
-
-@query(ctes("messages") + "SELECT session, substr(sha256(string_agg(role || ':' || trim(content), chr(10) ORDER BY msg_idx)), 1, 16) AS fingerprint FROM messages GROUP BY session")
-def fn13_fingerprint(spark, sf):
-    m = X.messages(spark, sf)
-    lines = F.array_sort(F.collect_list(F.struct("msg_idx", F.concat("role", F.lit(":"), F.trim("content")).alias("l"))))
-    return m.groupBy("session").agg(F.substring(F.sha2(F.array_join(F.transform(lines, lambda e: e["l"]), "\n"), 256), 1, 16).alias("fingerprint"))
-
-
-_BODY = """CASE role WHEN 'assistant' THEN nullif(concat_ws(chr(10) || chr(10), CASE WHEN msg_idx % 2 = 0 THEN '[reasoning]' || chr(10) || 'why ' || msg_idx END, nullif(trim(content), '')), '')
-    WHEN 'tool' THEN trim(content) ELSE nullif(trim(content), '') END"""
-
+    d = X.table(spark, sf, "documents")
+    return d.select("doc_id", T.truncate(F.col("text"), 500).alias("cut"), T.truncate(F.col("text"), (F.col("doc_id") % 90).cast("int")).alias("short"))
 
-def _native(spark, sf):
-    from sparkloom.functions import messages as M
 
-    m = X.messages(spark, sf)
-    reasoning = F.when((F.col("role") == "assistant") & (F.col("msg_idx") % 2 == 0), F.concat(F.lit("why "), F.col("msg_idx")))
-    return m.withColumns({"reasoning_content": reasoning, "tool_calls": F.lit(None).cast("string"), "name": F.lit(""), "tool_call_id": F.lit("")}).withColumn("body", M.body())
+@query(
+    """WITH p AS (SELECT doc_id, text, least(length(text), 20 + doc_id % 300) AS pos FROM documents), t AS (SELECT *, CAST(floor(pos * 0.8::DOUBLE) AS BIGINT) AS keep FROM p),
+    e AS (SELECT *, length(regexp_extract(substring(text, keep + 1, pos - keep), '(?s)^(.*[。！？；\n.!?;])', 1)) AS n FROM t) SELECT doc_id, CASE WHEN n > 0 THEN keep + n ELSE pos END AS pos FROM e"""
+)
+def fn12_sentence_end(spark, sf):
+    d = X.table(spark, sf, "documents")
+    pos = F.least(F.length("text"), (F.col("doc_id") % 300 + 20).cast("int"))
+    return d.select("doc_id", T.sentence_end(F.col("text"), pos).cast("long").alias("pos"))
 
 
-@query(ctes("messages") + f"SELECT session, msg_idx, {_BODY} AS body FROM messages")
+@query(ctes("native") + "SELECT session, msg_idx, body FROM shown")
 def fn15_message_body(spark, sf):
-    return _native(spark, sf).select("session", "msg_idx", "body")
+    return X.native(spark, sf).select("session", "msg_idx", "body")
 
 
-@query(ctes("messages") + f"SELECT session, msg_idx, role, {_BODY} AS body FROM messages WHERE {_BODY} IS NOT NULL")
+@query(ctes("native") + "SELECT session, msg_idx, role, body FROM shown WHERE body IS NOT NULL")
 def fn49_plain_messages(spark, sf):
-    return _native(spark, sf).where("body IS NOT NULL").select("session", "msg_idx", "role", "body")
+    return X.native(spark, sf).where("body IS NOT NULL").select("session", "msg_idx", "role", "body")
 
 
-@query(ctes("messages") + f", b AS (SELECT session, msg_idx, role, {_BODY} AS body FROM messages) SELECT session, string_agg('[' || role || ']: ' || body, chr(10) ORDER BY msg_idx) AS text FROM b WHERE body <> '' GROUP BY session")
+@query(ctes("native") + "SELECT session, string_agg('[' || role || ']: ' || body, chr(10) ORDER BY msg_idx) AS text FROM shown WHERE body <> '' GROUP BY session")
 def fn51_joined_messages(spark, sf):
-    from sparkloom.functions import messages as M
-
-    return M.joined(_native(spark, sf), ["session"])
+    return M.joined(X.native(spark, sf), ["session"])
 
 
 @query(
-    ctes("messages")
-    + f", b AS (SELECT session, msg_idx, role, {_BODY} AS body FROM messages), n AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY msg_idx) AS i FROM b WHERE body IS NOT NULL) SELECT session, string_agg('[' || i || '] [' || role || ']: ' || body, chr(10) ORDER BY i) AS text FROM n GROUP BY session"
+    ctes("native")
+    + ", n AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY msg_idx) AS i FROM shown WHERE body IS NOT NULL) SELECT session, string_agg('[' || i || '] [' || role || ']: ' || body, chr(10) ORDER BY i) AS text FROM n GROUP BY session"
 )
 def fn52_numbered_messages(spark, sf):
-    from sparkloom.functions import messages as M
-
-    return M.numbered(_native(spark, sf), ["session"])
-
-
-@query(None)
-def fn16_summaries(spark, sf):
-    m = X.memories(spark, sf)
-    l0, l1 = T.summaries(F.col("content"), F.col("context"), F.col("resolution"), DEFAULTS.l0_tokens, DEFAULTS.l1_tokens)
-    return m.select("id", l0.alias("summary_l0"), l1.alias("overview_l1"))
+    return M.numbered(X.native(spark, sf), ["session"])
 
 
 @query("SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS flat FROM documents")
@@ -166,14 +156,15 @@ _FLAT = "trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
 
 
 @query(
-    "WITH t AS (SELECT doc_id, trim(substring(text, 1, 60)) AS a, trim(CASE doc_id % 3 WHEN 0 THEN substring(text, 1, 30) WHEN 1 THEN source ELSE text END) AS b FROM documents) SELECT doc_id, CASE WHEN contains("
-    + _FLAT.format(x="a") + ", " + _FLAT.format(x="b") + ") THEN a WHEN contains(" + _FLAT.format(x="b") + ", " + _FLAT.format(x="a")
-    + ") THEN b WHEN length(a) + length(b) > 160 THEN CASE WHEN length(a) >= length(b) THEN a ELSE b END ELSE a || chr(10) || chr(10) || '---' || chr(10) || chr(10) || b END AS merged FROM t"
-)
+    f"""WITH t AS (SELECT doc_id, {strip_sql('text')} AS a, {strip_sql("CASE doc_id % 3 WHEN 0 THEN substring(text, length(text) // 2) WHEN 1 THEN source || doc_id ELSE 'x ' || text END")} AS b FROM documents),
+    f AS (SELECT *, {_FLAT.format(x='a')} AS fa, {_FLAT.format(x='b')} AS fb FROM t),
+    k AS (SELECT *, CASE WHEN a = '' THEN b WHEN contains(fa, fb) OR contains(a, b) THEN a WHEN contains(fb, fa) OR contains(b, a) THEN b WHEN length(a) + length(b) > 1600 THEN CASE WHEN length(a) >= length(b) THEN a ELSE b END
+    ELSE a || chr(10) || chr(10) || '---' || chr(10) || chr(10) || b END AS x FROM f) SELECT doc_id, CASE WHEN b = '' THEN a ELSE {cut_sql('x', 2000)} END AS merged FROM k"""
+)
 def fn18_merge_fields(spark, sf):
-    d = X.table(spark, sf, "documents")
-    b = F.when(F.col("doc_id") % 3 == 0, F.substring("text", 1, 30)).when(F.col("doc_id") % 3 == 1, F.col("source")).otherwise(F.col("text"))
-    return d.select("doc_id", T.merge_texts(F.substring("text", 1, 60), b, 200).alias("merged"))
+    d, n = X.table(spark, sf, "documents"), F.col("doc_id") % 3
+    new = F.when(n == 0, F.substring("text", F.floor(F.length("text") / 2).cast("int"), F.length("text"))).when(n == 1, F.concat("source", "doc_id")).otherwise(F.concat(F.lit("x "), "text"))
+    return d.select("doc_id", T.merge_texts(F.col("text"), new, 2000).alias("merged"))
 
 
 @query(ctes("memories") + "SELECT id, 'memory type: ' || memory_type || ' content: ' || substring(content, 1, 300) || ' context: ' || context || ' resolution: ' || resolution AS input FROM memories")
@@ -212,10 +203,7 @@ _WORDS = {"travel": ["the", "thor"], "food": ["ing", "le "], "home": ["haus", "d
     "WITH k AS (SELECT * FROM (VALUES (0,'travel','the'),(0,'travel','thor'),(1,'food','ing'),(1,'food','le '),(2,'home','haus'),(2,'home','der '),(3,'law','que')) v(o, cat, w)), h AS (SELECT doc_id, cat, o, count(*) AS n FROM documents JOIN k ON contains(lower(text), w) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, o) AS r FROM h) SELECT d.doc_id, coalesce(list(cat ORDER BY r) FILTER (WHERE r <= 3), ['general']) AS categories FROM documents d LEFT JOIN r ON d.doc_id = r.doc_id GROUP BY d.doc_id"
 )
 def fn22_keyword_categories(spark, sf):
-    d = X.table(spark, sf, "documents").withColumn("t", F.lower("text"))
-    scored = F.array(*[F.struct((-sum((F.col("t").contains(w).cast("int") for w in ws), F.lit(0))).alias("n"), F.lit(i).alias("o"), F.lit(c).alias("c")) for i, (c, ws) in enumerate(_WORDS.items())])
-    top = F.slice(F.array_sort(F.filter(scored, lambda e: e["n"] < 0)), 1, 3)
-    return d.select("doc_id", F.when(F.size(top) == 0, F.array(F.lit("general"))).otherwise(F.transform(top, lambda e: e["c"])).alias("categories"))
+    return X.table(spark, sf, "documents").select("doc_id", T.keyword_categories(F.col("text"), _WORDS).alias("categories"))
 
 
 _STEPS = "E'\\n1. go\\n2) do\\n- end '"
@@ -273,28 +261,26 @@ def fn28_bump_last(spark, sf):
     return _versions(spark, sf).select("p_partkey", T.bump_last(F.col("version")).alias("version"))
 
 
-_MD = "'intro ' || doc_id || E'\\n## A\\n' || substring(replace(text, chr(10), ' '), 1, 20) || E'\\n\\n## B ' || lang || E'\\nx\\ny'"
+_MD = "'intro ' || doc_id || chr(10) || '## A' || chr(10) || text || chr(10) || chr(10) || '## B ' || lang || chr(10) || 'x' || chr(10) || 'y'"
 
 
 def _markdown(spark, sf):
     d = X.table(spark, sf, "documents")
-    body = F.substring(F.regexp_replace("text", "\n", " "), 1, 20)
-    return d.select("doc_id", "lang", F.concat(F.lit("intro "), F.col("doc_id"), F.lit("\n## A\n"), body, F.lit("\n\n## B "), "lang", F.lit("\nx\ny")).alias("md"))
+    return d.select("doc_id", F.concat(F.lit("intro "), F.col("doc_id"), F.lit("\n## A\n"), "text", F.lit("\n\n## B "), "lang", F.lit("\nx\ny")).alias("md"))
 
 
 @query(
-    "SELECT doc_id, 0 AS pos, '' AS title, 'intro ' || doc_id AS body FROM documents UNION ALL SELECT doc_id, 1, '## A', substring(replace(text, chr(10), ' '), 1, 20) || chr(10) FROM documents UNION ALL SELECT doc_id, 2, '## B ' || lang, 'x' || chr(10) || 'y' FROM documents"
+    f"""WITH p AS (SELECT doc_id, string_split(regexp_replace({_MD}, '(?m)^## ', chr(1) || '## ', 'g'), chr(1)) AS parts FROM documents),
+    e AS (SELECT doc_id, unnest(parts) AS part, unnest(range(len(parts))) AS pos, len(parts) AS n FROM p), c AS (SELECT doc_id, pos, CASE WHEN pos < n - 1 THEN regexp_replace(part, '\n$', '') ELSE part END AS part FROM e)
+    SELECT doc_id, CAST(pos AS INTEGER) AS pos, CASE WHEN starts_with(part, '## ') THEN split_part(part, chr(10), 1) ELSE '' END AS title,
+    CASE WHEN NOT starts_with(part, '## ') THEN part WHEN contains(part, chr(10)) THEN substring(part, length(split_part(part, chr(10), 1)) + 2) ELSE '' END AS body FROM c"""
 )
 def fn34_sections(spark, sf):
-    from sparkloom.functions import sections as S
-
     return S.exploded(_markdown(spark, sf), "md", ["doc_id"]).select("doc_id", "pos", "title", "body")
 
 
-@query(None)
+@query(f"SELECT doc_id, {_MD} AS content FROM documents")
 def fn65_sections_to_content(spark, sf):
-    from sparkloom.functions import sections as S
-
     return _markdown(spark, sf).select("doc_id", S.content(S.parsed(F.col("md"))).alias("content"))
 
 
@@ -303,8 +289,6 @@ _PATHS = {("a", "SOUL.md"): {"b": "memories/USER.md"}, ("a", "IDENTITY.md"): {"b
 
 @query("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'SOUL.md' ELSE CASE doc_id % 3 WHEN 0 THEN 'memories/USER.md' WHEN 1 THEN NULL ELSE 'skills/x.md' END END AS target FROM documents")
 def fn35_target_path(spark, sf):
-    from sparkloom.functions import sections as S
-
     d = X.table(spark, sf, "documents")
     path = F.when((F.col("doc_id") % 5 == 0) | (F.col("doc_id") % 3 == 0), F.lit("SOUL.md")).when(F.col("doc_id") % 3 == 1, F.lit("IDENTITY.md")).otherwise(F.lit("skills/x.md"))
     to = F.when(F.col("doc_id") % 5 == 0, F.lit("a")).otherwise(F.lit("b"))
@@ -319,23 +303,21 @@ def fn41_rounded(spark, sf):
 @query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_type END AS stop_reason FROM events")
 def fn48_stop_reason(spark, sf):
     raw = F.when(F.col("event_id") % 3 == 0, F.lit("  ")).otherwise(F.concat(F.lit(" "), "event_type", F.lit(" ")))
-    return X.table(spark, sf, "events").select("event_id", F.nullif(F.trim(raw), F.lit("")).alias("stop_reason"))
+    return X.table(spark, sf, "events").select("event_id", M.stop_reason(raw).alias("stop_reason"))
 
 
-@query("SELECT p_partkey, p_name || ' ' || p_type || ' ' || substring(p_brand, 1, 500) AS input FROM part")
+@query("SELECT doc_id, lang || ' ' || source || ' ' || substring(text, 1, 500) AS input FROM documents")
 def fn53_embed_skill_input(spark, sf):
-    return X.table(spark, sf, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type", F.substring("p_brand", 1, 500)).alias("input"))
+    return X.table(spark, sf, "documents").select("doc_id", T.embed_skill_input(F.col("lang"), F.col("source"), F.col("text")).alias("input"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lang ELSE source END AS merged FROM documents")
+@query(f"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lang ELSE {cut_sql('text', 400)} END AS merged FROM documents")
 def fn58_merged_or_old(spark, sf):
     new = F.when(F.col("doc_id") % 2 == 0, F.col("lang")).otherwise(F.lit(""))
-    return X.table(spark, sf, "documents").select("doc_id", F.coalesce(F.nullif(new, F.lit("")), "source").alias("merged"))
+    return X.table(spark, sf, "documents").select("doc_id", T.merged_or_old(new, F.col("text"), 400).alias("merged"))
 
 
 @query("SELECT doc_id, [lang, '  ' || source] AS tasks FROM documents")
 def fn66_task_lines(spark, sf):
-    from sparkloom.functions import sections as S
-
     body = F.concat("lang", F.lit("\n\n<!-- c -->\n  "), "source", F.lit("\nend -->"))
     return X.table(spark, sf, "documents").select("doc_id", S.task_lines(body).alias("tasks"))

@@ -13,8 +13,10 @@ from sparkloom.operators import aggregates as A
 from sparkloom.operators import knowledge as K
 from sparkloom.operators import lookup as L
 from sparkloom.operators import similarity as V
-from sparkloom.plans.registry import query
+from sparkloom.plans.evolution import WINDOWS_SQL
+from sparkloom.plans.registry import cut_sql, query, strip_sql
 from sparkloom.sources import fixtures as X
+from sparkloom.sources import packages as P
 from sparkloom.sources import sessions as J
 from sparkloom.sources.fixtures import ctes
 
@@ -33,7 +35,7 @@ def src03_ingest_totals(spark, sf):
     return u.agg(F.count(F.lit(1)).alias("total_files"), F.count_if("success").alias("successful"), F.sum(F.coalesce("memories_uploaded", F.lit(0))).alias("total_memories"))
 
 
-@query("SELECT doc_id AS session, CAST(i AS BIGINT) AS line_no, string_split(trim(text), chr(10))[i] AS raw FROM documents, range(1, 100000) t(i) WHERE i <= len(string_split(trim(text), chr(10)))")
+@query(f"SELECT doc_id AS session, unnest(range(1, len(l) + 1)) AS line_no, unnest(l) AS raw FROM (SELECT doc_id, string_split({strip_sql('text')}, chr(10)) AS l FROM documents)")
 def src05_session_lines(spark, sf):
     return J.lines(X.table(spark, sf, "documents").select(F.col("doc_id").alias("session"), "text"))
 
@@ -50,17 +52,17 @@ def src07_dialect(spark, sf):
     return J.dialects(_lines(spark, sf))
 
 
-@query("SELECT conv_id AS session, turn + 1 AS msg_idx, role, trim(text, E' \\n\\t\\r') AS body FROM conversations WHERE conv_id % 2 = 0")
+@query("""SELECT conv_id AS session, turn + 1 AS msg_idx, role, """ + strip_sql("text") + """ AS body FROM conversations WHERE conv_id % 2 = 0""")
 def src08_plain_dialect(spark, sf):
     return J.messages(_lines(spark, sf).where("session % 2 = 0")).select("session", "msg_idx", "role", "body")
 
 
-@query("SELECT conv_id AS session, turn + 1 AS msg_idx, role, trim(text, E' \\n\\t\\r') AS body FROM conversations WHERE conv_id % 2 = 1")
+@query("""SELECT conv_id AS session, turn + 1 AS msg_idx, role, """ + strip_sql("text") + """ AS body FROM conversations WHERE conv_id % 2 = 1""")
 def src09_block_dialect(spark, sf):
     return J.messages(_lines(spark, sf).where("session % 2 = 1")).select("session", "msg_idx", "role", "body")
 
 
-@query("SELECT conv_id AS session, turn + 1 AS msg_idx, role FROM conversations WHERE trim(text, E' \\n\\t\\r') <> ''")
+@query("SELECT conv_id AS session, turn + 1 AS msg_idx, role FROM conversations WHERE " + strip_sql("text") + " <> ''")
 def src10_trajectory_messages(spark, sf):
     return J.messages(_lines(spark, sf)).select("session", "msg_idx", "role")
 
@@ -75,7 +77,7 @@ def _dirs(spark, sf):
 
 @query(f"SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_brand ELSE {_DIR} END AS slug, CASE WHEN p_partkey % 3 = 0 THEN '1.' || p_size ELSE '1.0.0' END AS version FROM part")
 def src12_skill_directories(spark, sf):
-    slug, version = K.slug_and_version(F.col("dir"))
+    slug, version = P.slug_and_version(F.col("dir"))
     return _dirs(spark, sf).select("p_partkey", slug.alias("slug"), version.alias("version"))
 
 
@@ -84,23 +86,27 @@ def src13_versions_of_slug(spark, sf):
     return X.skills(spark, sf).where(F.startswith("slug", F.lit("17"))).select("version").distinct().orderBy(F.col("version").desc())
 
 
-@query(None)
+@query(ctes("native").replace("WITH ", "WITH RECURSIVE ", 1) + WINDOWS_SQL(2000) + ' SELECT session, msg_idx, role, win AS "window", body AS text FROM packed')
 def win06_token_windows(spark, sf):
-    m = X.messages(spark, sf).withColumn("body", F.nullif(F.trim("content"), F.lit("")))
-    return M.windows(m, ["session"], 2000).select("session", "msg_idx", "window", F.length("text").alias("chars"))
+    return M.windows(X.native(spark, sf), ["session"], 2000)
 
 
-@query(None)
+@query(
+    ctes("native")
+    + f""", m AS (SELECT *, length(role) + length(body) + 4 AS n FROM shown WHERE body <> ''), u AS (SELECT *, 800 - coalesce(sum(n) OVER (PARTITION BY session ORDER BY msg_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest FROM m),
+    l AS (SELECT session, msg_idx, CASE WHEN n <= rest THEN '[' || role || ']: ' || body WHEN rest - length(role) - 4 > 0 THEN '[' || role || ']: ' || nullif({cut_sql('body', 'CAST(rest - length(role) - 4 AS BIGINT)')}, '') END AS line FROM u)
+    SELECT session, string_agg(line, chr(10) ORDER BY msg_idx) AS text FROM l WHERE line IS NOT NULL GROUP BY session"""
+)
 def win07_within_budget(spark, sf):
-    m = X.messages(spark, sf).withColumn("body", F.nullif(F.trim("content"), F.lit("")))
-    return M.within_budget(m, ["session"], 800).select("session", F.length("text").alias("chars"))
+    return M.within_budget(X.native(spark, sf), ["session"], 800)
 
 
 def _files(spark, sf):
-    d = X.table(spark, sf, "documents").select("doc_id", "lang", F.substring(F.regexp_replace("text", "\n", " "), 1, 20).alias("t"))
+    """A user's file whose section A holds a whole text in every second row, the default it came from, and a new default."""
+    d = X.table(spark, sf, "documents").select("doc_id", "text")
     md = lambda a, b, extra: F.concat(F.lit("intro\n## A\n"), a, F.lit("\n## B\n"), b, extra)
     odd = F.col("doc_id") % 2 == 1
-    user = md(F.when(odd, F.col("t")).otherwise(F.lit("same")), F.lit("b"), F.when(F.col("doc_id") % 3 == 0, F.lit("\n## C\nown")).otherwise(F.lit("")))
+    user = md(F.when(odd, F.col("text")).otherwise(F.lit("same")), F.lit("b"), F.when(F.col("doc_id") % 3 == 0, F.lit("\n## C\nown")).otherwise(F.lit("")))
     return d.select("doc_id", user.alias("user"), md(F.lit("same"), F.lit("b"), F.lit("")).alias("source"), F.lit("hello\n## A\nnew a\n## B\nnew b").alias("target"))
 
 
@@ -113,14 +119,15 @@ def set05_section_difference(spark, sf):
 
 
 @query(
-    "SELECT doc_id, trim(CASE WHEN doc_id % 2 = 1 AND trim(t) <> '' THEN t ELSE '' END || CASE WHEN doc_id % 3 = 0 THEN chr(10) || '## C' || chr(10) || 'own' ELSE '' END, E' \\n') AS diff FROM (SELECT *, substring(replace(text, chr(10), ' '), 1, 20) AS t FROM documents)"
+    f"""WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: {strip_sql('x')} <> '' AND NOT list_contains(['intro', '## A', 'same', '## B', 'b'], {strip_sql('x')})) AS own FROM documents)
+    SELECT doc_id, {strip_sql("concat_ws(chr(10), CASE WHEN doc_id % 2 = 1 AND len(own) > 0 THEN array_to_string(own, chr(10)) END, CASE WHEN doc_id % 3 = 0 THEN '## C' || chr(10) || 'own' END)")} AS diff FROM l"""
 )
 def set06_user_lines(spark, sf):
     return _files(spark, sf).select("doc_id", S.user_lines(F.col("user"), F.col("source")).alias("diff"))
 
 
 @query(
-    "SELECT doc_id, 'hello' || chr(10) || '## A' || chr(10) || CASE WHEN doc_id % 2 = 1 THEN substring(replace(text, chr(10), ' '), 1, 20) ELSE 'new a' END || chr(10) || '## B' || chr(10) || 'new b' || CASE WHEN doc_id % 3 = 0 THEN chr(10) || '## C' || chr(10) || 'own' ELSE '' END AS merged FROM documents"
+    "SELECT doc_id, 'hello' || chr(10) || '## A' || chr(10) || CASE WHEN doc_id % 2 = 1 THEN text ELSE 'new a' END || chr(10) || '## B' || chr(10) || 'new b' || CASE WHEN doc_id % 3 = 0 THEN chr(10) || '## C' || chr(10) || 'own' ELSE '' END AS merged FROM documents"
 )
 def pipe18_merged_sections(spark, sf):
     return _files(spark, sf).select("doc_id", S.merged(F.col("user"), F.col("source"), F.col("target")).alias("merged"))
@@ -138,14 +145,14 @@ def pipe19_merged_tasks(spark, sf):
 
 
 @query(
-    """SELECT p_partkey AS path, CASE WHEN p_partkey % 4 = 0 THEN 'default' WHEN p_partkey % 4 = 1 THEN 'import' WHEN p_partkey % 4 = 2 THEN 'merged' ELSE 'skip' END AS action FROM part"""
+    """SELECT p_partkey AS path, CASE WHEN p_partkey % 4 = 0 THEN 'default' WHEN p_partkey % 4 = 1 THEN 'import' WHEN p_partkey % 4 = 2 THEN 'merged' ELSE 'skip' END AS action, CASE WHEN p_partkey % 4 IN (1, 2) THEN p_name ELSE 'd' END AS content FROM part"""
 )
 def pipe20_workspace_merge(spark, sf):
     p = X.table(spark, sf, "part").select(F.col("p_partkey").alias("path"), "p_name")
     n = F.col("path") % 4
     incoming = p.where(n != 0).select("path", F.when(n == 3, F.lit("d")).otherwise(F.col("p_name")).alias("text"))
     defaults = p.where(n != 1).select("path", F.lit("d").alias("text"))
-    return K.merge_workspace(incoming, defaults, defaults).select("path", "action")
+    return K.merge_workspace(incoming, defaults, defaults).select("path", "action", "content")
 
 
 @query("SELECT p_brand AS category, string_agg(p_name, chr(10) ORDER BY p_partkey) AS content FROM part GROUP BY p_brand")
@@ -153,14 +160,6 @@ def pipe21_role_resources(spark, sf):
     return K.concatenated(X.table(spark, sf, "part").select(F.col("p_brand").alias("category"), F.col("p_partkey").alias("pos"), F.col("p_name").alias("text")), ["category"])
 
 
-@query(None)
-def pipe01_upload(spark, sf):
-    m = X.memories(spark, sf)
-    new = m.where("id % 10 = 0").select(F.col("id").alias("new_id"), "content", "context", "resolution")
-    old = m.where("id % 10 <> 0").select("id", "memory_type", "tier", "status", "content", "context", "resolution")
-    return K.upload(new, old).select("new_id", "memory_type", "action", "duplicate_of")
-
-
 @query(
     ctes("memories")
     + """SELECT id, CASE WHEN id % 2 = 0 THEN ['lang:' || context, 'src:' || resolution, 'extra'] ELSE tags END AS tags FROM memories"""
@@ -171,17 +170,49 @@ def pipe02_merged_tags(spark, sf):
     return K.merge_tags(m, new).select("id", F.transform("tags", lambda t: F.when(t == "Extra", "extra").otherwise(t)).alias("tags"))
 
 
-@query(None)
+_MERGES = """, p AS (SELECT a.id AS ia, b.id AS ib, a.hit_count AS ha, b.hit_count AS hb, round(list_cosine_similarity(a.embedding, b.embedding), 6) AS sim FROM vectors a JOIN vectors b
+    ON a.memory_type = b.memory_type AND a.id < b.id WHERE a.status <> 'archived' AND b.status <> 'archived'),
+    q AS (SELECT CASE WHEN ha >= hb THEN ia ELSE ib END AS winner, CASE WHEN ha >= hb THEN ib ELSE ia END AS loser, sim FROM p WHERE sim >= {soft}),
+    r AS (SELECT *, row_number() OVER (ORDER BY sim DESC, winner, loser) AS i FROM q WHERE {fit}),
+    g AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS lost, false AS ok, NULL::BIGINT AS winner, NULL::BIGINT AS loser, NULL::DOUBLE AS sim
+    UNION ALL SELECT r.i, CASE WHEN list_contains(lost, r.winner) OR list_contains(lost, r.loser) THEN lost ELSE list_append(lost, r.loser) END, NOT (list_contains(lost, r.winner) OR list_contains(lost, r.loser)), r.winner, r.loser, r.sim
+    FROM g JOIN r ON r.i = g.i + 1 WHERE len(lost) < {most}), merges AS (SELECT winner, loser, sim, i FROM g WHERE ok)"""
+_SOFT = {"soft": 0.3, "most": DEFAULTS.consolidate_most}
+
+
+def _pairs(spark, sf):
+    return V.consolidation_pairs(X.vectors(spark, sf), 0.29).withColumn("sim", F.round("sim", 6)).where("sim >= 0.3")
+
+
+@query(ctes("vectors").replace("WITH ", "WITH RECURSIVE ", 1) + _MERGES.format(fit="sim >= 0.4 OR (winner + loser) % 3 > 0", **_SOFT) + " SELECT winner, loser, sim FROM merges")
 def pipe03_consolidation(spark, sf):
-    pairs = V.consolidation_pairs(X.vectors(spark, sf), 0.3)
-    return K.greedy_merges(pairs, DEFAULTS.consolidate_most).select("winner", "loser", F.round("sim", 4).alias("sim"))
+    fit = K.mergeable(_pairs(spark, sf), 0.4, confirm=(F.col("winner") + F.col("loser")) % 3 > 0)
+    return K.greedy_merges(fit, DEFAULTS.consolidate_most)
 
 
-@query(None)
+@query(ctes("vectors").replace("WITH ", "WITH RECURSIVE ", 1) + _MERGES.format(fit="sim >= 0.35", soft=0.3, most=100000) + " SELECT winner, loser, sim FROM merges")
+def pipe03_dry_run(spark, sf):
+    return K.greedy_merges(K.mergeable(_pairs(spark, sf), 0.35, dry_run=True))
+
+
+@query(
+    ctes("memories", "vectors").replace("WITH ", "WITH RECURSIVE ", 1)
+    + _MERGES.format(fit="true", **_SOFT)
+    + f""", b AS (SELECT m.i, m.winner, m.loser, w.content AS wc, {strip_sql('w.content')} AS a, {strip_sql('l.content')} AS b, w.context AS wx, l.context AS lx, w.resolution AS wr, l.resolution AS lr, w.tags || l.tags AS tags, l.hit_count AS lh FROM merges m JOIN memories w ON w.id = m.winner JOIN memories l ON l.id = m.loser),
+    f AS (SELECT *, trim(regexp_replace(a, '\\s+', ' ', 'g')) AS fa, trim(regexp_replace(b, '\\s+', ' ', 'g')) AS fb FROM b),
+    k AS (SELECT *, CASE WHEN a = '' THEN b WHEN contains(fa, fb) OR contains(a, b) THEN a WHEN contains(fb, fa) OR contains(b, a) THEN b WHEN length(a) + length(b) > 6553 THEN CASE WHEN length(a) >= length(b) THEN a ELSE b END
+    ELSE a || chr(10) || chr(10) || '---' || chr(10) || chr(10) || b END AS x FROM f),
+    n AS (SELECT *, CASE WHEN b = '' THEN a ELSE {cut_sql('x', 8192)} END AS nc, CASE WHEN contains(wx, lx) THEN wx ELSE wx || chr(10) || chr(10) || '---' || chr(10) || chr(10) || lx END AS nx,
+    CASE WHEN contains(wr, lr) THEN wr ELSE wr || chr(10) || chr(10) || '---' || chr(10) || chr(10) || lr END AS nr FROM k),
+    d AS (SELECT *, CASE WHEN nc = '' THEN wc ELSE nc END AS fc FROM n), c AS (SELECT * FROM d WHERE fc <> wc OR nx <> wx OR nr <> wr),
+    won AS (SELECT winner, count(*) FILTER (WHERE lh > 0) AS hits, arg_max(fc, i) AS content, arg_max(nx, i) AS context, arg_max(tags, i) AS tags FROM c GROUP BY winner)
+    SELECT m.id, m.hit_count + coalesce(hits, 0) AS hit_count, CASE WHEN id IN (SELECT loser FROM c) THEN 'archived' ELSE status END AS status, coalesce(won.content, m.content) AS content, coalesce(won.context, m.context) AS context,
+    len(list_distinct(coalesce(won.tags, m.tags))) AS tags FROM memories m LEFT JOIN won ON won.winner = m.id"""
+)
 def pipe04_apply_merges(spark, sf):
-    v = X.vectors(spark, sf).select("id", "memory_type", "tier", "hit_count", "status", "embedding")
-    merges = K.greedy_merges(V.consolidation_pairs(v, 0.3), DEFAULTS.consolidate_most)
-    return K.apply_merges(v, merges).select("id", "hit_count", "status")
+    m = X.memories(spark, sf).drop("created_at")
+    done = K.apply_merges(m, K.greedy_merges(_pairs(spark, sf), DEFAULTS.consolidate_most), K.rule_merger)
+    return done.select("id", "hit_count", "status", "content", "context", F.size("tags").cast("long").alias("tags"))
 
 
 @query(None)
@@ -189,35 +220,43 @@ def pipe05_leader_clusters(spark, sf):
     return V.leader_clusters(X.vectors(spark, sf), 0.3)
 
 
-@query(None)
-def pipe06_segment_sessions(spark, sf):
-    m = X.messages(spark, sf).withColumns({"tool_calls": F.lit(None).cast("string"), "reasoning_content": F.lit(""), "name": F.lit(""), "tool_call_id": F.lit(""), "stop_reason": F.lit(None).cast("string")}).withColumn("body", M.body())
-    found = K.segment_sessions(m, 2000)
-    known = found.where("session % 2 = 0")
-    return K.new_and_superseded(known.withColumn("fingerprint", F.when(F.col("session") % 4 == 0, F.lit("old")).otherwise(F.col("fingerprint"))), found)
+@query("SELECT doc_id AS id, round(least(1.0, length(text) / 200.0), 4) AS score, true AS labeled FROM documents")
+def pipe08_label_segments(spark, sf):
+    done = K.label(X.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"))
+    return done.select("id", F.round(quality.score(F.col("quality_metrics")), 4).alias("score"), "labeled")
 
 
-@query(None)
-def pipe08_label_segments(spark, sf):
-    s = X.segments(spark, sf).where("NOT labeled")
-    return K.label(s.select("id", F.col("quality_metrics").alias("text"))).select("id", F.round(quality.score(F.col("quality_metrics")), 4).alias("score"))
+_RENDERED = """'<tool_call>' || chr(10) || '<function=look>' || chr(10) || '<parameter=n>' || chr(10) || msg_idx || chr(10) || '</parameter>' || chr(10) || '</function>' || chr(10) || '</tool_call>'"""
+_TRAIN = f"""t AS (SELECT session, msg_idx, role || '|' || CASE WHEN calls IS NULL THEN content WHEN said = '' THEN {_RENDERED} ELSE content || chr(10) || chr(10) || {_RENDERED} END || '|' || CASE WHEN thinks THEN reason ELSE '' END AS m FROM shown WHERE body IS NOT NULL)"""
 
 
-@query(
-    ctes("messages")
-    + """, s AS (SELECT DISTINCT session FROM messages WHERE session % 5 < 3), m AS (SELECT messages.* FROM messages JOIN s USING (session) WHERE trim(content) <> '')
-    SELECT session AS id, list(role || ':' || trim(content) ORDER BY msg_idx) AS messages FROM m GROUP BY session HAVING count(*) >= 2"""
-)
+def _exported(spark, sf, sessions):
+    m = X.native(spark, sf).where("body IS NOT NULL")
+    seg = sessions.select(F.col("session").alias("id"), "session", F.lit(1).alias("start_line"), "end_line")
+    line = lambda e: F.concat(e["role"], F.lit("|"), e["content"], F.lit("|"), F.coalesce(e["reasoning_content"], F.lit("")))
+    return K.sft_export(seg, m).select("id", F.transform("messages", line).alias("messages"))
+
+
+def _all_sessions(spark, sf):
+    return X.messages(spark, sf).groupBy("session").agg(F.max("msg_idx").alias("end_line"))
+
+
+@query(ctes("native") + f", {_TRAIN} SELECT session AS id, list(m ORDER BY msg_idx) AS messages FROM t GROUP BY session HAVING count(*) >= 2")
 def pipe10_sft_export(spark, sf):
-    m = X.messages(spark, sf)
-    seg = m.where("session % 5 < 3").select("session").distinct().select(F.col("session").alias("id"), "session", F.lit(1).alias("start_line"), F.lit(1000).alias("end_line"))
-    return K.sft_export(seg, m.where("trim(content) <> ''"))
+    return _exported(spark, sf, _all_sessions(spark, sf))
 
 
-@query(ctes("segments") + "SELECT count(*) AS n FROM (SELECT id FROM segments WHERE labeled AND score >= 0.8 AND created_at > TIMESTAMP '2024-01-20' ORDER BY created_at, id LIMIT 200)")
+@query(
+    ctes("native")
+    + f""", {_TRAIN}, s AS (SELECT DISTINCT session, TIMESTAMP '2024-01-01' + to_hours(session) AS created_at, (session % 100) / 100.0 AS score FROM native),
+    e AS (SELECT session FROM s WHERE score >= 0.8 AND created_at > TIMESTAMP '2024-01-03' ORDER BY created_at, session LIMIT 5000) SELECT session AS id, list(m ORDER BY msg_idx) AS messages FROM t WHERE session IN (SELECT session FROM e) GROUP BY session HAVING count(*) >= 2"""
+)
 def pipe11_sft_export_since(spark, sf):
-    s = A.eligible(X.segments(spark, sf), DEFAULTS.sft_score, since=F.lit("2024-01-20").cast("timestamp_ntz"))
-    return L.newest(s, "created_at", "id", 200, oldest=True).agg(F.count(F.lit(1)).alias("n"))
+    score = F.concat(F.lit('{"summary":{"overall_score":'), (F.col("session") % 100) / 100, F.lit("}}"))
+    hours = F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, cast(session as int), 0, 0)")
+    s = _all_sessions(spark, sf).withColumns({"quality_metrics": score, "labeled": F.lit(True), "created_at": hours})
+    fit = A.eligible(s, DEFAULTS.sft_score, since=F.lit("2024-01-03").cast("timestamp_ntz"))
+    return _exported(spark, sf, L.newest(fit, "created_at", "session", 5000, oldest=True))
 
 
 @query(ctes("segments") + "SELECT count(*) >= 100 AS trigger FROM segments WHERE labeled AND score >= 0.8")
@@ -225,7 +264,12 @@ def pipe12_should_trigger(spark, sf):
     return A.eligible(X.segments(spark, sf), DEFAULTS.sft_score).agg((F.count(F.lit(1)) >= DEFAULTS.sft_trigger).alias("trigger"))
 
 
-@query(None)
+@query(
+    ctes("clusters", "members", "evolutions")
+    + """, e AS (SELECT cluster_id, max(timestamp) AS last FROM evolutions WHERE status IN ('crystallized', 'recrystallized') GROUP BY cluster_id), n AS (SELECT m.cluster_id, count(*) AS n, count(*) FILTER (WHERE last IS NULL OR added_at > last) AS since FROM members m LEFT JOIN e USING (cluster_id) GROUP BY m.cluster_id),
+    c AS (SELECT cluster_id, created_at, CASE WHEN skill_slug = '' THEN 'crystallize' ELSE 'recrystallize' END AS phase FROM clusters JOIN n USING (cluster_id) WHERE (skill_slug = '' AND n >= 5) OR (skill_slug <> '' AND since >= 3))
+    SELECT cluster_id, phase FROM c ORDER BY phase, created_at DESC, cluster_id LIMIT 10"""
+)
 def pipe13_evolution_cycle(spark, sf):
     return K.evolution_cycle(X.clusters(spark, sf), X.members(spark, sf), X.evolutions(spark, sf), DEFAULTS.evolution_batch)
 
@@ -243,10 +287,9 @@ def pipe17_details(spark, sf):
 
 @query(None)
 def udf01_hash_embedding(spark, sf):
-    d = X.table(spark, sf, "documents")
-    return d.select("doc_id", K.embed(F.substring("text", 1, 300), 32).alias("e")).select("doc_id", F.size("e").alias("dims"), F.round(F.aggregate("e", F.lit(0.0), lambda s, x: s + x * x), 4).alias("norm"))
+    return X.table(spark, sf, "documents").select("doc_id", F.transform(K.embed(F.col("text"), 32), lambda x: F.round(x, 4)).alias("embedding"))
 
 
-@query("SELECT doc_id, [trim(substring(text, 1, 20))] AS phrases FROM documents")
+@query(f"SELECT conv_id, turn, CASE WHEN {strip_sql('text')} = '' THEN [] ELSE [{strip_sql('text')}] END AS phrases FROM conversations")
 def udf12_query_phrases(spark, sf):
-    return X.table(spark, sf, "documents").select("doc_id", T.fold_tags(F.array(F.substring("text", 1, 20)), None).alias("phrases"))
+    return X.table(spark, sf, "conversations").select("conv_id", "turn", T.fold_tags(F.array("text"), None).alias("phrases"))

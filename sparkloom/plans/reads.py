@@ -286,10 +286,10 @@ def top05_all_clusters(spark, sf):
 
 
 @query(
-    "SELECT slug, coalesce(max(title) FILTER (WHERE lang = 'fr'), max(title) FILTER (WHERE lang = 'en')) AS title FROM (SELECT source AS slug, lang, text AS title FROM documents WHERE length(text) < 400) GROUP BY slug HAVING coalesce(max(title) FILTER (WHERE lang = 'fr'), max(title) FILTER (WHERE lang = 'en')) IS NOT NULL"
+    "SELECT slug, coalesce(max(title) FILTER (WHERE lang = 'fr'), max(title) FILTER (WHERE lang = 'en')) AS title FROM (SELECT source AS slug, lang, text AS title FROM documents) GROUP BY slug HAVING coalesce(max(title) FILTER (WHERE lang = 'fr'), max(title) FILTER (WHERE lang = 'en')) IS NOT NULL"
 )
 def api06_showcases_with_fallback(spark, sf):
-    d = X.table(spark, sf, "documents").where("length(text) < 400").select(F.col("source").alias("slug"), "lang", "text")
+    d = X.table(spark, sf, "documents").select(F.col("source").alias("slug"), "lang", "text")
     title = lambda lang: F.max(F.when(F.col("lang") == lang, F.col("text")))
     return d.groupBy("slug").agg(F.coalesce(title("fr"), title("en")).alias("title")).where("title IS NOT NULL")
 
@@ -299,11 +299,6 @@ def api09_showcase(spark, sf):
     return X.table(spark, sf, "documents").where("source = 'src2' AND lang = 'es'").groupBy(F.col("source").alias("slug")).agg(F.max("text").alias("body"))
 
 
-@query("SELECT p_brand AS category, list(p_partkey ORDER BY p_partkey) AS presets FROM part GROUP BY p_brand")
-def api10_presets(spark, sf):
-    return X.table(spark, sf, "part").groupBy(F.col("p_brand").alias("category")).agg(F.array_sort(F.collect_list("p_partkey")).alias("presets"))
-
-
 @query("SELECT p_partkey AS id, p_name AS name FROM part WHERE p_partkey = 17")
 def api11_preset(spark, sf):
     return X.table(spark, sf, "part").where("p_partkey = 17").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.functions import messages as M
+from sparkloom.functions.text import WHITE
+
 AS_OF = "2024-02-01 00:00:00"
 TYPES = ["pattern", "error", "security", "life", "correction", "preference"]
 TIERS = ["hot", "warm", "cold"]
@@ -70,7 +73,10 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+    return hits_of(table(spark, sf_dir, "events"))
+
+
+def hits_of(e: DataFrame) -> DataFrame:
     return e.select(F.col("user_id").alias("id"), F.col("ts").alias("ts"), F.when(F.col("event_type") == "click", 2).otherwise(1).cast("long").alias("weight"))
 
 
@@ -93,8 +99,8 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").cast("string").alias("full_name"),
         F.concat(F.lit("doc "), F.col("doc_id")).alias("name"),
         F.when(F.col("doc_id") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("Doc "), F.col("doc_id"))).alias("display_name"),
-        F.substring("text", 1, 40).alias("description"),
-        F.when(F.col("lang") == "en", F.substring("text", 1, 20)).otherwise(F.lit("")).alias("description_en"),
+        F.col("text").alias("description"),
+        F.when(F.col("lang") == "en", F.reverse("text")).otherwise(F.lit("")).alias("description_en"),
         F.col("lang").alias("category_id"),
         F.col("source").alias("category_name"),
         F.col("doc_id").alias("key"),
@@ -139,6 +145,22 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.col("conv_id").alias("session"), (F.col("turn") + 1).alias("msg_idx"), "role", F.col("text").alias("content"))
 
 
+def native(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """messages with the fields of native ones: every second assistant message has a reason, every third a call."""
+    m = messages(spark, sf_dir)
+    assistant = F.col("role") == "assistant"
+    call = F.concat(F.lit('[{"id": "c'), F.col("msg_idx"), F.lit('", "type": "function", "function": {"name": "look", "arguments": "{\\"n\\": '), F.col("msg_idx"), F.lit('}"}}]'))
+    return m.withColumns(
+        {
+            "reasoning_content": F.when(assistant, F.when(F.col("msg_idx") % 2 == 0, F.concat(F.lit("why "), F.col("msg_idx"))).otherwise("")),
+            "tool_calls": F.when(assistant & (F.col("msg_idx") % 3 == 0), call),
+            "name": F.lit(None).cast("string"),
+            "tool_call_id": F.lit(None).cast("string"),
+            "stop_reason": F.when(assistant & (F.col("session") % 2 == 0), F.lit(" end ")),
+        }
+    ).withColumn("body", M.body())
+
+
 def agents(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     return c.select(
@@ -167,7 +189,7 @@ SQL = {
     "skills": """skills AS (SELECT CAST(p_partkey % 500 AS VARCHAR) AS slug, '1.' || (p_partkey % 7) || '.0' AS version, p_name AS name, p_type AS description,
         string_split(p_type, ' ') AS categories, 1704067200000 + p_partkey * 1000 AS published_at, p_partkey AS key FROM part)""",
     "catalog": """catalog AS (SELECT CAST(doc_id AS VARCHAR) AS full_name, 'doc ' || doc_id AS name, CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'Doc ' || doc_id END AS display_name,
-        substring(text, 1, 40) AS description, CASE WHEN lang = 'en' THEN substring(text, 1, 20) ELSE '' END AS description_en, lang AS category_id,
+        text AS description, CASE WHEN lang = 'en' THEN reverse(text) ELSE '' END AS description_en, lang AS category_id,
         source AS category_name, doc_id AS key, TIMESTAMP '2024-01-01' + to_minutes(doc_id) AS created_at FROM documents)""",
     "members": "members AS (SELECT CAST(label AS BIGINT) AS cluster_id, vec_id AS memory_id, TIMESTAMP '2024-01-01' + to_minutes(vec_id * 30) AS added_at FROM embeddings)",
     "clusters": """clusters AS (SELECT DISTINCT CAST(label AS BIGINT) AS cluster_id, 'topic ' || label AS topic, CASE WHEN label % 2 = 0 THEN 'skill-' || label ELSE '' END AS skill_slug,
@@ -177,6 +199,11 @@ SQL = {
     "uploads": """uploads AS (SELECT page_id AS id, regexp_extract(url, '://([^/]*)', 1) || '/upload' AS source, CAST(length(html) AS BIGINT) AS size,
         TIMESTAMP '2024-01-01' + to_minutes(page_id) AS created_at FROM pages)""",
     "messages": "messages AS (SELECT conv_id AS session, turn + 1 AS msg_idx, role, text AS content FROM conversations)",
+    "native": r"""native AS (SELECT conv_id AS session, turn + 1 AS msg_idx, role, text AS content, {s} AS said, role = 'assistant' AND turn % 2 = 1 AS thinks,
+        'why ' || (turn + 1) AS reason, CASE WHEN role = 'assistant' AND (turn + 1) % 3 = 0 THEN '[{{"id": "c' || (turn + 1) || '", "type": "function", "function": {{"name": "look", "arguments": "{{\"n\": ' || (turn + 1) || '}}"}}}}]' END AS calls,
+        role = 'assistant' AND conv_id % 2 = 0 AS stops FROM conversations),
+        shown AS (SELECT *, CASE WHEN role = 'assistant' THEN nullif(concat_ws(chr(10) || chr(10), CASE WHEN thinks THEN '[reasoning]' || chr(10) || reason END, '[tool_calls]' || chr(10) || calls, nullif(said, '')), '')
+        WHEN role = 'tool' THEN said ELSE nullif(said, '') END AS body FROM native)""".format(s="trim(text, '" + WHITE + "')"),
     "agents": """agents AS (SELECT c_custkey % 100 AS user_id, c_custkey AS agent_id, c_name AS display_name, c_mktsegment AS product, c_custkey % 9 + 1 AS revision,
         TIMESTAMP '2024-01-01' + to_minutes(c_custkey) AS created_at FROM customer)""",
 }

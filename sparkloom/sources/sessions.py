@@ -5,53 +5,151 @@ A session file has a bounded size (files over the cap are left out), so the line
 
 from __future__ import annotations
 
+import json
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkloom.config import DEFAULTS
 from sparkloom.functions import messages as M
+from sparkloom.functions.jsontext import dumped
+from sparkloom.functions.text import strip
 
 _ROLES = ["user", "assistant", "tool", "system"]
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.\-]*:(//[^/]*)?"
 _BLOCKS = ["text", "thinking", "tool_use", "tool_result"]
 
 
+def is_session_path(path: Column, root: Column | str = "") -> Column:
+    """Whether a file below root is a session file: the suffix .jsonl in any case, and no hidden part below root."""
+    root = F.lit(root) if isinstance(root, str) else root
+    below = F.when(F.startswith(path, root), F.substring(path, F.length(root) + 1, F.length(path))).otherwise(path)
+    return F.endswith(F.lower(path), F.lit(".jsonl")) & ~F.concat(F.lit("/"), below).rlike(r"/\.")
+
+
 def read_files(spark: SparkSession, path: str, cap: int = DEFAULTS.file_cap_bytes) -> DataFrame:
-    """(session, size, text) of every .jsonl file below path that is not hidden, empty or over the cap."""
+    """(session, size, text) of every session file below path that is not over the cap; bad UTF-8 is replaced.
+
+    Files over the cap keep a row with a null text, so that they can be reported; their content is not read.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[jJ][sS][oO][nN][lL]").option("recursiveFileLookup", "true").load(path)
-    below = F.replace("path", F.lit(path.rstrip("/")), F.lit(""))
-    shown = files.where(~F.coalesce(below, F.col("path")).rlike(r"/\.")).where(F.col("length") <= cap)
-    return shown.select(F.col("path").alias("session"), F.col("length").alias("size"), F.decode("content", "UTF-8").alias("text"))
+    shown = files.where(is_session_path(F.regexp_replace("path", _SCHEME, ""), re.sub(_SCHEME, "", path).rstrip("/")))
+    keep = lambda small: shown.where((F.col("length") <= cap) if small else (F.col("length") > cap))
+    whole = keep(True).select(F.col("path").alias("session"), F.col("length").alias("size"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
+    return whole.unionByName(keep(False).select(F.col("path").alias("session"), F.col("length").alias("size"), F.lit(None).cast("string").alias("text")))
+
+
+def ingested(files: DataFrame, agent: Column, known: DataFrame, cap: int = DEFAULTS.file_cap_bytes) -> DataFrame:
+    """(agent_id, session_file, success, new_trajectory_count, lines, error) of files(session, size, text).
+
+    A file counts as new if known(agent_id, session_file) lacks it; lines is how far a later extraction has read.
+    A file over the cap fails and is not registered.
+    """
+    own = files.select(agent.alias("agent_id"), F.col("session").alias("session_file"), "size", "text")
+    seen = known.select("agent_id", "session_file").distinct().withColumn("__seen", F.lit(True))
+    small = F.col("size") <= cap
+    clean = strip(F.coalesce("text", F.lit("")))
+    return own.join(seen, ["agent_id", "session_file"], "left").select(
+        "agent_id",
+        "session_file",
+        small.alias("success"),
+        (small & F.col("__seen").isNull()).cast("int").alias("new_trajectory_count"),
+        F.when(small, F.when(clean == "", 0).otherwise(F.size(F.split(clean, "\n")))).alias("lines"),
+        F.when(~small, F.concat(F.lit("File too large: "), "session_file")).alias("error"),
+    )
 
 
 def lines(texts: DataFrame) -> DataFrame:
     """(session, line_no, raw) of (session, text): lines from 1 in the file's order, the text trimmed."""
-    whole = F.regexp_replace("text", r"^\s+|\s+$", "")
-    return texts.select("session", F.posexplode(F.split(whole, "\n")).alias("p", "raw")).select("session", (F.col("p") + 1).cast("long").alias("line_no"), "raw")
+    return texts.select("session", F.posexplode(F.split(strip(F.col("text")), "\n")).alias("p", "raw")).select("session", (F.col("p") + 1).cast("long").alias("line_no"), "raw")
+
+
+def _get(value: Column, path: str, kind: str = "string") -> Column:
+    return F.try_variant_get(value, path, kind)
+
+
+def _string(value: Column, path: str) -> Column:
+    """The value at the path if it is a string; a cast would write other values as text."""
+    return F.when(F.schema_of_variant(_get(value, path, "variant")) == "STRING", _get(value, path))
 
 
 def _parsed(rows: DataFrame) -> DataFrame:
-    v = F.try_parse_json(F.trim("raw"))
-    out = rows.where(F.trim("raw") != "").withColumn("v", v)
-    out = out.withColumns({"role": F.try_variant_get("v", "$.role", "string"), "kind": F.try_variant_get("v", "$._type", "string"), "blocks": F.try_variant_get("v", "$.content", "array<variant>")})
-    return out.where(F.col("v").isNotNull() & F.col("role").isin(_ROLES) & (F.coalesce("kind", F.lit("")) != "metadata"))
+    """Lines that are not blank with v, role, blocks, and `good`: a JSON object of a known role that is no metadata."""
+    out = rows.withColumn("raw", strip(F.col("raw"))).where("raw <> ''").withColumn("v", F.try_parse_json("raw"))
+    v = F.col("v")
+    out = out.withColumns({"role": _get(v, "$.role"), "kind": _get(v, "$._type"), "blocks": _get(v, "$.content", "array<variant>")})
+    good = v.isNotNull() & F.col("role").isin(_ROLES) & (F.coalesce("kind", F.lit("")) != "metadata")
+    return out.withColumn("good", F.coalesce(good, F.lit(False))).drop("kind")
 
 
 def is_blocks(blocks: Column) -> Column:
     """Whether content is a list of blocks of the four kinds, those of text with a text."""
 
     def good(b: Column) -> Column:
-        t = F.try_variant_get(b, "$.type", "string")
-        return F.coalesce(t.isin(_BLOCKS) & ((t != "text") | F.try_variant_get(b, "$.text", "variant").isNotNull()), F.lit(False))
+        t = _get(b, "$.type")
+        return F.coalesce(t.isin(_BLOCKS) & ((t != "text") | _get(b, "$.text", "variant").isNotNull()), F.lit(False))
 
     return F.coalesce((F.size(blocks) > 0) & F.forall(blocks, good), F.lit(False))
 
 
+def _with_dialect(rows: DataFrame, most: int = 500) -> DataFrame:
+    """Parsed lines of repartitioned rows with `split`, whether the line has blocks, and `in_blocks`, whether one of
+    its session's first `most` lines that are not blank has."""
+    p = _parsed(rows.repartition("session")).withColumn("split", F.col("good") & is_blocks(F.col("blocks")))
+    p = p.withColumn("n", F.row_number().over(Window.partitionBy("session").orderBy("line_no")))
+    return p.withColumn("in_blocks", F.max(F.col("split") & (F.col("n") <= most)).over(Window.partitionBy("session")))
+
+
 def dialects(rows: DataFrame, most: int = 500) -> DataFrame:
     """(session, dialect): blocks if one of the first `most` lines that are not blank has them, else plain."""
-    own = rows.where(F.trim("raw") != "").withColumn("n", F.row_number().over(Window.partitionBy("session").orderBy("line_no"))).where(F.col("n") <= most)
-    found = _parsed(own).groupBy("session").agg(F.bool_or(is_blocks(F.col("blocks"))).alias("b"))
-    return rows.select("session").distinct().join(found, "session", "left").select("session", F.when(F.col("b"), "blocks").otherwise("plain").alias("dialect"))
+    p = _with_dialect(rows, most).groupBy("session").agg(F.max("in_blocks").alias("b"))
+    # Sessions of blank lines alone are plain.
+    return rows.select("session").distinct().join(p, "session", "left").select("session", F.when(F.col("b"), "blocks").otherwise("plain").alias("dialect"))
+
+
+def calls_of_blocks(content: Column) -> Column:
+    """tool_calls as JSON text of a content list's tool_use blocks (JSON text), null without any: each becomes a function
+    call whose arguments are text, the input's own if it is text."""
+
+    @F.arrow_udf("string")
+    def run(column: pa.Array) -> pa.Array:
+        def argument(given: object) -> str:
+            return given if isinstance(given, str) else json.dumps({} if given is None else given, ensure_ascii=False)
+
+        def calls(t: str | None) -> str | None:
+            found = [b for b in json.loads(t or "[]") if b.get("type") == "tool_use"]
+            out = [{"id": b.get("id") or "", "type": "function", "function": {"name": b.get("name") or "", "arguments": argument(b.get("input"))}} for b in found]
+            return json.dumps(out, ensure_ascii=False) if out else None
+
+        return pa.array([calls(t) for t in column.to_pylist()], pa.string())
+
+    return run(content)
+
+
+def thoughts(blocks: Column) -> Column:
+    """The thinking blocks' texts, blank ones left out."""
+    own = F.filter(blocks, lambda b: _get(b, "$.type") == "thinking")
+    return F.array_join(F.filter(F.transform(own, lambda b: strip(F.coalesce(_get(b, "$.thinking"), F.lit("")))), lambda t: t != ""), "\n\n")
+
+
+def said(blocks: Column) -> Column:
+    """The text blocks' texts, a line each."""
+    own = F.filter(blocks, lambda b: _get(b, "$.type") == "text")
+    return strip(F.array_join(F.transform(own, lambda b: F.coalesce(_get(b, "$.text"), F.lit(""))), "\n"))
+
+
+def told(blocks: Column) -> Column:
+    """Texts and thoughts of a system message, a line each."""
+    own = F.filter(blocks, lambda b: _get(b, "$.type").isin("text", "thinking"))
+    return strip(F.array_join(F.transform(own, lambda b: F.when(_get(b, "$.type") == "text", F.coalesce(_get(b, "$.text"), F.lit(""))).otherwise(F.coalesce(_get(b, "$.thinking"), F.lit("")))), "\n"))
+
+
+def result_text(text: Column, raw: Column) -> Column:
+    """A tool result's content: text as it is, null as empty, anything else (raw JSON) as JSON text."""
+    return F.coalesce(text, dumped(F.when(text.isNull() & (raw != "null"), raw)), F.lit(""))
 
 
 def messages(rows: DataFrame) -> DataFrame:
@@ -59,63 +157,53 @@ def messages(rows: DataFrame) -> DataFrame:
 
     Lines that are no JSON object, metadata and unknown roles go. In the block dialect a user line can give several
     messages: runs of text, and one for each tool result, in order. Messages that show nothing go, but for tools'.
-    tool_calls is JSON text.
+    tool_calls is JSON text; content that is neither text nor blocks stands as JSON text.
+
+    Lines are dealt by session once and parsed once; everything after works inside a session's rows.
     """
-    p = _parsed(rows).join(dialects(rows), "session").withColumn("split", (F.col("dialect") == "blocks") & is_blocks(F.col("blocks")))
-    text = lambda path: F.try_variant_get("v", path, "string")
-    plain_content = F.coalesce(text("$.content"), F.to_json(F.try_variant_get("v", "$.content", "variant")), F.lit(""))
-    own_calls = F.to_json(F.try_variant_get("v", "$.tool_calls", "variant"))
-    calls = F.when(F.coalesce(own_calls, F.lit("null")).isin("null", "[]"), F.lit(None)).otherwise(own_calls)
-    stop = F.nullif(F.trim(text("$.stop_reason")), F.lit(""))
-    assistant = F.col("role") == "assistant"
-    whole = p.where(~(F.col("split") & F.col("role").isin("user", "assistant", "system"))).select(
-        "session",
-        "line_no",
-        F.lit(0).alias("part"),
-        "role",
-        plain_content.alias("content"),
-        F.when(assistant, calls).alias("tool_calls"),
-        F.when(assistant, F.coalesce(text("$.reasoning_content"), F.lit(""))).alias("reasoning_content"),
-        F.when(F.col("role") == "tool", F.coalesce(text("$.name"), F.lit(""))).alias("name"),
-        F.when(F.col("role") == "tool", F.coalesce(text("$.tool_call_id"), F.lit(""))).alias("tool_call_id"),
-        F.when(assistant, stop).alias("stop_reason"),
-    )
-    get = lambda b, path, kind="string": F.try_variant_get(b, path, kind)
-    of = lambda kind: F.filter("blocks", lambda b: get(b, "$.type") == kind)
-    trimmed = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
-    thinking = F.filter(F.transform(of("thinking"), lambda b: trimmed(F.coalesce(get(b, "$.thinking"), F.lit("")))), lambda t: t != "")
-    arguments = lambda b: F.coalesce(get(b, "$.input"), F.to_json(get(b, "$.input", "variant")), F.lit("{}"))
-    tools = F.transform(
-        of("tool_use"),
-        lambda b: F.struct(
-            F.coalesce(get(b, "$.id"), F.lit("")).alias("id"), F.lit("function").alias("type"), F.struct(F.coalesce(get(b, "$.name"), F.lit("")).alias("name"), arguments(b).alias("arguments")).alias("function")
-        ),
-    )
-    said = trimmed(F.array_join(F.transform(of("text"), lambda b: F.coalesce(get(b, "$.text"), F.lit(""))), "\n"))
-    system = F.filter("blocks", lambda b: get(b, "$.type").isin("text", "thinking"))
-    told = trimmed(F.array_join(F.transform(system, lambda b: F.coalesce(get(b, "$.text"), get(b, "$.thinking"), F.lit(""))), "\n"))
-    none = F.lit(None).cast("string")
-    whole_blocks = p.where(F.col("split") & F.col("role").isin("assistant", "system")).select(
-        "session", "line_no", F.lit(0).alias("part"), "role", F.when(assistant, said).otherwise(told).alias("content"), F.when(assistant & (F.size(tools) > 0), F.to_json(tools)).alias("tool_calls"),
-        F.when(assistant, F.array_join(thinking, "\n\n")).alias("reasoning_content"), none.alias("name"), none.alias("tool_call_id"), F.when(assistant, stop).alias("stop_reason"),
+    v, blocks, role = F.col("v"), F.col("blocks"), F.col("role")
+    p = _with_dialect(rows).where("good").withColumn("split", F.col("split") & F.col("in_blocks"))
+    assistant, tool, split, user = role == "assistant", role == "tool", F.col("split"), role == "user"
+    text = lambda path: F.coalesce(_get(v, path), F.lit(""))
+    raw = lambda path: F.get_json_object("raw", path)
+    own_text = _string(v, "$.content")
+    # The raw text is looked at only where content is no string; null and missing content is empty.
+    other = F.when(own_text.isNull() & _get(v, "$.content", "variant").isNotNull(), raw("$.content"))
+    plain = F.coalesce(own_text, dumped(F.when(other != "null", other)), F.lit(""))
+    own_calls = dumped(F.when(assistant & ~split & _get(v, "$.tool_calls", "variant").isNotNull(), raw("$.tool_calls")))
+    calls = F.when(assistant & split, calls_of_blocks(F.when(assistant & split, raw("$.content")))).otherwise(F.when(~own_calls.isin("null", "[]"), own_calls))
+    whole = p.select(
+        "session", "line_no", "role", (split & user).alias("many"),
+        F.when(split & assistant, said(blocks)).when(split & (role == "system"), told(blocks)).when(split & user, None).otherwise(plain).alias("content"),
+        calls.alias("tool_calls"),
+        F.when(assistant & split, thoughts(blocks)).when(assistant, text("$.reasoning_content")).alias("reasoning_content"),
+        F.when(tool, text("$.name")).alias("name"),
+        F.when(tool, text("$.tool_call_id")).alias("tool_call_id"),
+        F.when(assistant, M.stop_reason(_get(v, "$.stop_reason"))).alias("stop_reason"),
+        F.when(split & user, blocks).alias("b"),
+        F.from_json(F.when(split & user, raw("$.content")), "array<string>").alias("r"),
     )
-    # A user's blocks: islands of text between tool results. A line's blocks are one task's work.
-    each = p.where(F.col("split") & (F.col("role") == "user")).select("session", "line_no", F.posexplode("blocks").alias("pos", "b"))
-    each = each.withColumn("t", get("b", "$.type")).where(F.col("t").isin("text", "tool_result"))
+    each = whole.select("*", F.posexplode_outer(F.arrays_zip("b", "r")).alias("pos", "p")).drop("b", "r").withColumn("t", _get(F.col("p.b"), "$.type"))
+    each = each.where("NOT many OR t IN ('text', 'tool_result')")
+    # A user's islands of text between tool results.
+    is_result = F.coalesce(F.col("t") == "tool_result", F.lit(False))
     line = Window.partitionBy("session", "line_no").orderBy("pos")
-    island = each.withColumn("part", F.sum(F.when(F.col("t") == "tool_result", 2).otherwise(0)).over(line) - F.when(F.col("t") == "tool_result", 1).otherwise(0))
-    result = F.coalesce(get("b", "$.content"), F.to_json(get("b", "$.content", "variant")), F.lit(""))
-    merged = island.groupBy("session", "line_no", "part").agg(
-        F.max("t").alias("t"),
-        trimmed(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.when(F.col("t") == "text", F.coalesce(get("b", "$.text"), F.lit(""))).otherwise(result).alias("x")))), lambda e: e["x"]), "\n")).alias("content"),
-        F.max(get("b", "$.tool_use_id")).alias("use"),
+    each = each.withColumn("part", F.sum(F.when(is_result, 2).otherwise(0)).over(line) - F.when(is_result, 1).otherwise(0))
+    b = F.col("p.b")
+    piece = F.when(is_result, result_text(_string(b, "$.content"), F.when(is_result & _string(b, "$.content").isNull(), F.get_json_object("p.r", "$.content")))).otherwise(F.coalesce(_get(b, "$.text"), F.lit("")))
+    each = each.withColumns({"piece": F.when(F.col("many"), piece), "use": F.when(is_result, F.coalesce(_get(b, "$.tool_use_id"), F.lit("")))}).drop("p")
+    kept = ["role", "content", "tool_calls", "reasoning_content", "name", "tool_call_id", "stop_reason"]
+    pieces = F.transform(F.array_sort(F.collect_list(F.when(F.col("many"), F.struct("pos", "piece")))), lambda e: e["piece"])
+    merged = each.groupBy("session", "line_no", "part").agg(
+        F.bool_or("many").alias("many"), F.max("t").alias("t"), F.max("use").alias("use"), F.array_join(pieces, "\n").alias("joined"), *[F.max(c).alias(c) for c in kept]
     )
-    tool = F.col("t") == "tool_result"
-    users = merged.where(tool | (F.col("content") != "")).select(
-        "session", "line_no", F.col("part").cast("int").alias("part"), F.when(tool, "tool").otherwise("user").alias("role"), "content", none.alias("tool_calls"), none.alias("reasoning_content"),
-        F.when(tool, F.lit("")).alias("name"), F.when(tool, F.coalesce("use", F.lit(""))).alias("tool_call_id"), none.alias("stop_reason"),
-    )
-    out = whole.unionByName(whole_blocks).unionByName(users).withColumn("body", M.body()).where("body IS NOT NULL")
+    result = F.col("many") & (F.col("t") == "tool_result")
+    out = merged.select(
+        "session", "line_no", "part",
+        F.when(result, "tool").otherwise(F.col("role")).alias("role"),
+        F.when(result, F.col("joined")).when(F.col("many"), strip(F.col("joined"))).otherwise(F.col("content")).alias("content"),
+        "tool_calls", "reasoning_content", F.when(result, "").otherwise(F.col("name")).alias("name"), F.when(result, F.col("use")).otherwise(F.col("tool_call_id")).alias("tool_call_id"), "stop_reason",
+    ).withColumn("body", M.body()).where("body IS NOT NULL")
     order = Window.partitionBy("session").orderBy("line_no", "part")
     return out.withColumn("msg_idx", F.row_number().over(order).cast("long")).drop("line_no", "part")
 
@@ -123,23 +211,3 @@ def messages(rows: DataFrame) -> DataFrame:
 def slices(segments: DataFrame, rows: DataFrame) -> DataFrame:
     """Messages of each segment(id, session, start_line, end_line): those with start <= msg_idx <= end."""
     return segments.alias("s").join(rows.alias("m"), F.expr("s.session = m.session AND m.msg_idx BETWEEN s.start_line AND s.end_line")).select("s.id", "m.*")
-
-
-def fingerprint(rows: DataFrame, key: list[str]) -> DataFrame:
-    """(key, fingerprint): 16 hex digits over the canonical JSON of the messages in order, keys sorted."""
-    trimmed = lambda c: F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"^\s+|\s+$", "")
-    tool, assistant = F.col("role") == "tool", F.col("role") == "assistant"
-    # to_json leaves out what is null; fields stand in the alphabet's order.
-    canon = F.to_json(
-        F.struct(
-            F.when(tool, F.coalesce("content", F.lit(""))).otherwise(trimmed("content")).alias("content"),
-            F.when(tool, trimmed("name")).alias("name"),
-            F.when(assistant, trimmed("reasoning_content")).alias("reasoning_content"),
-            F.col("role"),
-            F.when(assistant, F.col("stop_reason")).alias("stop_reason"),
-            F.when(tool, trimmed("tool_call_id")).alias("tool_call_id"),
-            F.when(assistant, F.coalesce("tool_calls", F.lit("null"))).alias("tool_calls"),
-        )
-    )
-    ordered = F.array_sort(F.collect_list(F.struct("msg_idx", canon.alias("c"))))
-    return rows.groupBy(*key).agg(F.substring(F.sha2(F.concat(F.lit("["), F.array_join(F.transform(ordered, lambda e: e["c"]), ", "), F.lit("]")), 256), 1, 16).alias("fingerprint"))

@@ -59,12 +59,61 @@ def test_nearest_duplicate_prefers_hot(spark):
     assert S.nearest_duplicate(new, old).first().id == 7
 
 
+def plain_best(left, right, threshold):
+    out = {}
+    for i, k, v in left:
+        best = None
+        for j, kk, place, w in right:
+            if kk != k or w is None or v is None:
+                continue
+            n = np.linalg.norm(v) * np.linalg.norm(w)
+            sim = round(float(np.dot(v, w) / n), 12) if n else 0.0
+            if sim >= threshold and (best is None or (-sim, place, j) < best):
+                best = (-sim, place, j)
+        if best:
+            out[i] = best[2]
+    return out
+
+
+@pytest.mark.parametrize("block", [1024, 40, 7])
+def test_best_match_in_blocks(spark, block):
+    """A right side that is broadcast, a left one, and pairs of blocks all give what every pair compared gives."""
+    g = np.random.default_rng(3)
+    vec = lambda: g.normal(size=4).round(1).tolist()
+    left = [(i, "ab"[i % 2], None if i == 5 else vec()) for i in range(30)]
+    right = [(100 + j, "abc"[j % 3], j % 3, None if j == 7 else ([0.0] * 4 if j == 8 else vec())) for j in range(70)]
+    right += [(500, "a", 2, left[0][2]), (400, "a", 1, left[0][2]), (401, "a", 1, left[0][2])]
+    l = spark.createDataFrame(left, "left_id long, kind string, embedding array<double>")
+    r = spark.createDataFrame(right, "right_id long, kind string, place int, embedding array<double>")
+    got = {x.left_id: x.right_id for x in S.best_match(l, r, 0.5, "kind", block).collect()}
+    assert got == plain_best([(i, k, v) for i, k, v in left], right, 0.5)
+    assert got[0] == 400
+
+
 def test_leader_clusters(spark):
     rows = [(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [0.0, 1.0]), (4, [0.1, 1.0]), (5, None)]
     df = spark.createDataFrame(rows, "id long, embedding array<double>").withColumn("memory_type", F.lit("error"))
     assert {r.id: r.cluster_id for r in S.leader_clusters(df).collect()} == {1: 1, 2: 1, 3: 3, 4: 3, 5: None}
 
 
+def test_leader_clusters_one_by_one(spark):
+    g = np.random.default_rng(5)
+    rows = [(i, "ab"[i % 2], g.normal(size=5).tolist()) for i in range(300)]
+    want, clusters = {}, {"a": [], "b": []}
+    for i, k, v in rows:
+        sims = [float(np.dot(c[1], v) / np.linalg.norm(c[1]) / np.linalg.norm(v)) for c in clusters[k]]
+        best = int(np.argmax(sims)) if sims else -1
+        if best >= 0 and sims[best] >= 0.9:
+            clusters[k][best][1] += np.array(v)
+        else:
+            clusters[k].append([i, np.array(v)])
+            best = len(clusters[k]) - 1
+        want[i] = clusters[k][best][0]
+    df = spark.createDataFrame(rows, "id long, memory_type string, embedding array<double>")
+    assert {r.id: r.cluster_id for r in S.leader_clusters(df, 0.9).collect()} == want
+    assert len({*want.values()}) > 140
+
+
 def greedy(pairs, most):
     lost, out = set(), []
     for sim, w, lo in sorted(pairs, key=lambda p: (-p[0], p[1], p[2])):
@@ -74,10 +123,110 @@ def greedy(pairs, most):
     return out
 
 
-def test_greedy_merges(spark):
-    pairs = [(0.9, 1, 2), (0.8, 2, 3), (0.7, 1, 3), (0.95, 4, 1), (0.6, 5, 6), (0.6, 6, 7)]
+def merges(spark, pairs, most):
     df = spark.createDataFrame([(w, lo, s) for s, w, lo in pairs], "winner long, loser long, sim double")
-    assert {(r.winner, r.loser) for r in K.greedy_merges(df, 50).collect()} == set(greedy(pairs, 50))
+    return [(r.winner, r.loser) for r in K.greedy_merges(df, most).collect()]
+
+
+@pytest.mark.parametrize("most", [1, 3, None])
+def test_greedy_merges(spark, most):
+    cases = [
+        [(0.9, 1, 2), (0.8, 2, 3), (0.7, 1, 3), (0.95, 4, 1), (0.6, 5, 6), (0.6, 6, 7)],
+        [(0.9, 1, 2), (0.89, 1, 3), (0.88, 1, 4), (0.5, 100, 101), (0.499, 102, 103), (0.498, 104, 105)],
+        [(0.9 - k / 100, k, k + 1) for k in range(8)],
+    ]
+    for pairs in cases:
+        assert merges(spark, pairs, most) == greedy(pairs, 99 if most is None else most)
+
+
+@pytest.mark.parametrize("seed", [2, 5])
+def test_greedy_merges_of_random_pairs(spark, seed):
+    g = np.random.default_rng(seed)
+    pairs = sorted({(float(g.integers(0, 8)) / 8, int(a), int(b)) for a, b in g.integers(0, 14, (30, 2)) if a != b})
+    seen, unique = set(), []
+    for s, a, b in pairs:
+        if (a, b) not in seen:
+            seen.add((a, b))
+            unique.append((s, a, b))
+    for most in (4, None):
+        assert merges(spark, unique, most) == greedy(unique, 99 if most is None else most)
+
+
+def test_greedy_merges_of_nothing(spark):
+    assert K.greedy_merges(spark.createDataFrame([], "winner long, loser long, sim double"), 5).count() == 0
+
+
+def test_mergeable(spark):
+    df = spark.createDataFrame([(1, 2, 0.9), (3, 4, 0.8), (5, 6, 0.8)], "winner long, loser long, sim double")
+    ids = lambda d: {r.winner for r in d.collect()}
+    assert ids(K.mergeable(df, 0.85)) == {1, 3, 5}
+    assert ids(K.mergeable(df, 0.85, dry_run=True)) == {1}
+    assert ids(K.mergeable(df, 0.85, confirm=F.col("winner") == 3)) == {1, 3}
+
+
+def test_merges_without_a_merger_change_nothing(spark):
+    df = spark.createDataFrame([(1, "a", "", "", ["t"], 3, "active"), (2, "b", "", "", ["u"], 1, "active")], "id long, content string, context string, resolution string, tags array<string>, hit_count long, status string")
+    pair = spark.createDataFrame([(1, 2, 0.9)], "winner long, loser long, sim double")
+    assert sorted(K.apply_merges(df, pair).collect()) == sorted(df.collect())
+    got = {r.id: r for r in K.apply_merges(df, pair, K.rule_merger).collect()}
+    assert (got[1].content, got[1].hit_count, got[1].tags, got[2].status) == ("a\n\n---\n\nb", 4, ["t", "u"], "archived")
+
+
+def plain_tasks(said, segment, budget):
+    """Windows and restarts, told once more over the whole list."""
+    done, at = [], 0
+    while True:
+        end = at
+        while end < len(said) and (end == at or len("\n".join(f"[{k + 1}] {t}" for k, t in enumerate(said[at : end + 1]))) <= budget):
+            end += 1
+        tasks = segment([f"[{k + 1}] {t}"[:budget] for k, t in enumerate(said[at:end])])
+        done = [d for d in done if d[0] < at + tasks[0][0]] + [(at + a, at + b) for a, b, _ in tasks]
+        if end == len(said):
+            return done
+        at = end if len(tasks) == 1 else done[-1][0] - 1
+
+
+@pytest.mark.parametrize("budget", [60, 130, 100000])
+def test_task_segments(spark, budget):
+    from sparkloom.plans.evolution import by_user_turns
+
+    g = np.random.default_rng(1)
+    rows = [(s, i + 1, "user" if g.random() < 0.3 else "assistant", "w" * int(g.integers(1, 30))) for s in range(6) for i in range((0, 2, 5, 9, 14, 20)[s])]
+    df = spark.createDataFrame(rows, "session long, msg_idx long, role string, body string")
+    got = {}
+    for r in K.task_segments(df, by_user_turns(), budget).orderBy("session", "segment_index").collect():
+        got.setdefault(r.session, []).append((r.start_line, r.end_line))
+    for s in range(2, 6):
+        assert got[s] == plain_tasks([f"[{r}]: {b}" for x, _, r, b in rows if x == s], by_user_turns(), budget)
+    assert got[1] == [(1, 2)] and 0 not in got
+    assert {r.session for r in K.task_segments(df, None, budget).collect()} == {1}
+    assert K.task_segments(df, lambda lines: [(1, 1, "x")], budget).where("session = 5").count() == 0
+
+
+def test_hash_embedding(spark):
+    import re
+    import zlib
+
+    texts = ["one two two", "", None, "Ünïcode wörds " * 50, "!!"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: np.array(r.e) for r in df.select("i", K.embed(F.col("t"), 16).alias("e")).collect()}
+    for i, t in enumerate(texts):
+        v = np.zeros(16)
+        for w in re.findall(r"\w+", (t or "").lower()):
+            h = zlib.crc32(w.encode())
+            v[h % 16] += 1 if h >> 16 & 1 else -1
+        n = np.linalg.norm(v)
+        assert np.allclose(got[i], v / n if n else v)
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
+    from sparkloom import scratch
+
+    assert scratch.shared_dir(spark).startswith("file://") or spark.conf.get("spark.checkpoint.dir", None)
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        monkeypatch.setattr(type(spark.sparkContext), "master", "spark://host:7077", raising=False)
+        with pytest.raises(RuntimeError):
+            scratch.shared_dir(spark)
 
 
 def test_contiguous(spark):

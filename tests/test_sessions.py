@@ -1,9 +1,11 @@
 """Session files, packages and the maintenance stream."""
 
+import hashlib
 import json
 
 from pyspark.sql import functions as F
 
+from sparkloom.functions import jsontext as JT
 from sparkloom.functions import messages as M
 from sparkloom.sources import packages as P
 from sparkloom.sources import sessions as J
@@ -34,7 +36,7 @@ def test_block_messages(spark):
     assert [(r.role, r.content) for r in got] == [("user", "one\ntwo"), ("tool", "out"), ("user", "three"), ("assistant", "hi"), ("assistant", "[]")]
     assert got[1].tool_call_id == "t1" and got[1].body == "(id=t1)\nout"
     assert got[3].reasoning_content == "hm" and got[3].stop_reason == "end"
-    assert json.loads(got[3].tool_calls)[0]["function"] == {"name": "f", "arguments": '{"a":1}'}
+    assert json.loads(got[3].tool_calls)[0]["function"] == {"name": "f", "arguments": '{"a": 1}'}
     assert got[3].body.startswith("[reasoning]\nhm\n\n[tool_calls]\n[")
 
 
@@ -46,7 +48,7 @@ def test_plain_messages_keep_empty_tool_rows(spark):
 
 def test_fingerprints(spark):
     m = J.messages(lines(spark, {"a": PLAIN, "b": PLAIN, "c": [*PLAIN, {"role": "user", "content": "more"}]}))
-    got = {r.session: r.fingerprint for r in J.fingerprint(m, ["session"]).collect()}
+    got = {r.session: r.fingerprint for r in M.fingerprint(m, ["session"]).collect()}
     assert got["a"] == got["b"] != got["c"] and all(len(x) == 16 for x in got.values())
 
 
@@ -86,20 +88,81 @@ def test_files(spark, tmp_path):
     (tmp_path / ".hidden" / "c.jsonl").write_text("x")
     (tmp_path / "d.txt").write_text("x")
     (tmp_path / "big.jsonl").write_text("x" * 50)
-    got = {r.session.rsplit("/", 1)[-1] for r in J.read_files(spark, str(tmp_path), cap=40).collect()}
-    assert got == {"a.jsonl", "b.JSONL"}
+    got = {r.session.rsplit("/", 1)[-1]: r.text for r in J.read_files(spark, str(tmp_path), cap=40).collect()}
+    assert set(got) == {"a.jsonl", "b.JSONL", "big.jsonl"} and got["big.jsonl"] is None and got["b.JSONL"] == "{}"
+
+
+def test_files_over_the_cap_and_bad_bytes(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_bytes(b"ok \xff\nsecond")
+    (tmp_path / "big.jsonl").write_text("x" * 50)
+    files = J.read_files(spark, str(tmp_path), cap=40)
+    known = spark.createDataFrame([], "agent_id string, session_file string")
+    got = {r.session_file.rsplit("/", 1)[-1]: r for r in J.ingested(files, F.lit("me"), known, cap=40).collect()}
+    assert (got["a.jsonl"].success, got["a.jsonl"].lines, got["a.jsonl"].new_trajectory_count) == (True, 2, 1)
+    assert not got["big.jsonl"].success and got["big.jsonl"].error.startswith("File too large")
+    assert files.where("session LIKE '%a.jsonl'").first().text == "ok \ufffd\nsecond"
+    seen = J.ingested(files, F.lit("me"), J.ingested(files, F.lit("me"), known, cap=40), cap=40)
+    assert {r.new_trajectory_count for r in seen.collect()} == {0}
+
+
+def test_canonical_json_is_that_of_python(spark):
+    rows = [
+        ("s", 1, "user", ' a "q" \n\\u000B \x0b\x1f\x7f é漏 ', None, None, None, None, None),
+        ("s", 2, "assistant", "x", '[{"id": "1", "b": {"z": 1.50, "a": [true, null]}}]', " r ", None, None, " stop "),
+        ("s", 3, "tool", " kept ", None, None, " n ", "t", None),
+        ("s", 4, "other", "x", None, None, None, None, None),
+    ]
+    df = spark.createDataFrame(rows, "session string, msg_idx long, role string, content string, tool_calls string, reasoning_content string, name string, tool_call_id string, stop_reason string")
+    want = [
+        {"role": "user", "content": rows[0][3].strip()},
+        {"role": "assistant", "content": "x", "reasoning_content": "r", "tool_calls": json.loads(rows[1][4]), "stop_reason": "stop"},
+        {"role": "tool", "content": " kept ", "name": "n", "tool_call_id": "t"},
+        {"role": "other"},
+    ]
+    text = json.dumps(want, sort_keys=True, ensure_ascii=False)
+    assert M.canonical_list(df, ["session"]).first().canonical == text
+    assert M.fingerprint(df, ["session"]).first().fingerprint == hashlib.sha256(text.encode()).hexdigest()[:16]
+
+
+def test_replies(spark):
+    texts = ['```json\n{"a": 1}\n```', 'no', '[1, 2] and ]', 'x {bad} {"k": "a\tb"}', "", None, "[" * 3000]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r.v for r in df.select(JT.from_reply(F.col("t")).alias("v")).collect()] == ['{"a": 1}', "[]", "[1, 2]", '{"k": "a\\tb"}', "[]", "[]", "[]"]
 
 
 def test_packages(spark, tmp_path):
     root = tmp_path / "skills"
-    for name, text in {"fetch-1.2.0/SKILL.md": "---\nname: Fetch\ndescription: 'gets'\n---\nBody\n", "fetch-1.2.0/scripts/x.py": "pass", "bare/SKILL.md": "Just text"}.items():
+    files = {
+        "fetch-1.2.0/SKILL.md": "---\nname: 'Fetch'\ndescription: gets\n  more\nname: Fetch it\nmetadata: {\"x\": 1}\n---\n\nBody\n",
+        "fetch-1.2.0/meta.json": '{"ownerId": "me", "slug": "fetch", "version": "1.2.0", "publishedAt": 7}',
+        "fetch-1.2.0/scripts/x.py": "pass",
+        "bare/SKILL.md": "---\nname: bare\n---\nJust text",
+        "none/SKILL.md": "no front matter",
+        ".hidden/SKILL.md": "---\nname: h\n---\n",
+    }
+    for name, text in files.items():
         (root / name).parent.mkdir(parents=True, exist_ok=True)
         (root / name).write_text(text)
+    (root / "bad.md").write_bytes(b"\xff\xfe")
     tree = P.read_tree(spark, str(root))
-    got = {r.slug: r for r in P.skills(tree).collect()}
-    assert (got["fetch"].version, got["fetch"].name, got["fetch"].description, got["fetch"].text) == ("1.2.0", "Fetch", "gets", "Body\n")
-    assert got["fetch"].scripts == {"scripts/x.py": "pass"} and got["bare"].version == "1.0.0" and got["bare"].text == "Just text"
+    assert {r.path for r in tree.collect()} == set(files) - {".hidden/SKILL.md"}
+    got = {r.dir: r for r in P.skills(tree).collect()}
+    f, b = got["fetch-1.2.0"], got["bare"]
+    assert set(got) == {"fetch-1.2.0", "bare"}
+    assert (f.owner, f.slug, f.version, f.published_at, f.name, f.description, f.text, f.metadata) == ("me", "fetch", "1.2.0", 7, "Fetch it", "gets\n  more", "Body", '{"x": 1}')
+    assert f.scripts == {"x.py": "pass"} and (b.owner, b.slug, b.version, b.text, b.scripts) == ("unknown", "bare", "1.0.0", "Just text", {})
     assert P.read_tree(spark, str(root), allow=["*.py"]).count() == 1
+    assert P.skill_text(tree, "fetch").first().version == "1.2.0" and P.skill_text(tree, "fetch", "9").count() == 0
+
+
+def test_adoption_stream(spark, tmp_path):
+    rows = [(1, "2024-01-01 01:00:00", 2), (1, "2024-01-01 05:00:00", 1), (2, "2024-01-02 01:00:00", 1)]
+    src = str(tmp_path / "hits")
+    spark.createDataFrame(rows, "id long, t string, weight long").select("id", F.col("t").cast("timestamp_ntz").alias("ts"), "weight").write.parquet(src)
+    counts = maintenance.adoption_stream(maintenance.hit_log(spark, src))
+    q = counts.writeStream.format("memory").queryName("adoption").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.awaitTermination(60)
+    assert {(r.id, r.hits) for r in spark.table("adoption").collect()} == {(1, 3), (2, 1)}
 
 
 def test_maintenance(spark, tmp_path):

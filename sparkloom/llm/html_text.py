@@ -1,9 +1,15 @@
 """Main text of web pages by a maximum-scoring subsequence of their tokens.
 
-A page is a sequence of tags and words. Words score by where they stand, tags cost: the weights are log-odds of
-standing inside the main region, learned from pages that mark it (an article or main element). A single linear
-scan finds the contiguous run of tokens with the greatest sum; its blocks, without what never is main text, are
-the page's text.
+A page is a sequence of tags and words. Words score positive or negative by the elements around them, tags cost:
+the weights are log-odds of standing inside the main text, learned from pages that mark it (an article or main
+element). A single linear scan finds the contiguous run of tokens with the greatest sum; its blocks, without what
+never is main text, are the page's text.
+
+Inside a marked main region nothing is weighed against being text: words there count at least KEPT, so that lists or
+headings that pages use elsewhere for menus do not cost an article its end. Blocks inside it that are something else
+are left out one by one and count nothing either way: those whose class, id or role the marked pages have outside
+their main region, and containers that are named as comments, adverts or the like, for which marked pages give no
+evidence as they may have them inside.
 """
 
 from __future__ import annotations
@@ -19,143 +25,243 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.store import ship
+from sparkloom.llm.store import free_name, ship
 
-#: Bound of the labelled pages that weights are learned from, and of the characters of each.
+#: Bound of the labelled pages that weights are learned from.
 TRAIN_PAGES = 300
-TRAIN_CHARS = 200_000
+#: The least score of a word in a marked region, the least of a tag there, and the greatest log-odds of a key.
+KEPT, TAG_INSIDE, MOST = 0.5, -0.01, 4.0
+#: A class, id or role stands for something else than text if its words' log-odds are at most this, on as many pages.
+APART, LEAST_PAGES = -2.5, 3
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|</?[a-zA-Z][^<]*\Z|<[!?][^>]*\Z|[^<]+|<", re.S)
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _RAW = {"script", "style", "textarea", "noscript", "template", "svg", "math", "iframe", "object", "select", "title"}
 _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
-#: Elements that are no main text wherever they stand, and words in class, id or role that say the same.
+#: Elements that are no main text wherever they stand.
 _NEVER = {"nav", "footer", "aside", "form", "button", "dialog", "menu", "fieldset"}
-_NEVER_NAMES = re.compile(r"^(?:ad|ads|advert\w*|adbox|banner|sponsor\w*|promo\w*|comment\w*|disqus\w*|sidebar\w*|cookie\w*|consent\w*|notice\w*|newsletter\w*|subscribe\w*|share|sharing|social\w*|related\w*|breadcrumb\w*|menu\w*|nav|navbar|navigation|footer|popup\w*|modal\w*|reply|replies|respond|contentinfo|complementary|search)$", re.I)
 _MAIN = {"article", "main"}
+#: Containers, and names of what is no main text though it often stands inside a main region.
+_CONTAINERS = {"div", "section", "aside", "ul", "ol", "dl", "table", "figure", "header"}
+_PRIOR = re.compile(r"(?:ads?|advert\w*|sponsor\w*|promo\w*|comments?|disqus\w*|replies|respond|sidebar|cookies?|consent|notices?|newsletter|subscribe|share|sharing|social|related|breadcrumbs?|menu|nav|navbar|popup|modal)", re.I)
 _CLOSES_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
 
 
-@dataclass
-class Token:
-    tag: str | None  # None for a run of words
-    keys: tuple[str, ...] = ()  # of a tag: its own; of words: those of all elements around them
-    words: int = 0
-    text: str = ""
-    block: int = 0
-    never: bool = False
-    main: bool = False
-
-
 @dataclass
 class Weights:
-    """Log-odds by element key for words and for tags; a key is the element's name, or name and class."""
+    """Log-odds by element key for words and for tags; a key is the element's name, or name and class, id or role.
+    apart are the classes, ids and roles whose blocks are left out inside a marked region."""
 
     word: dict[str, float] = field(default_factory=dict)
     tag: dict[str, float] = field(default_factory=dict)
+    apart: frozenset[str] = frozenset()
     known: bool = False
 
 
-def tokens(page: str) -> list[Token]:
+def _is_named_apart(element: str, names: list[str]) -> bool:
+    return element in _CONTAINERS and any(_PRIOR.fullmatch(p) for x in names for p in (x, re.split("[-_]", x)[0]))
+
+
+class Around:
+    """What is open at a place: one record for each open element, with sums from the outermost inwards, so that opening
+    and closing cost the same however deep a page is nested."""
+
+    __slots__ = ("anchor", "apart", "counts", "keys", "main", "name", "never", "outer", "weight")
+
+    def __init__(self, outer: Around | None, name: str, keys: tuple[str, ...], names: list[str], w: Weights) -> None:
+        self.outer, self.name, self.keys = outer, name, keys
+        self.counts = [0, 0]
+        #: The nearest element, itself counted, that is not inline.
+        self.anchor = self if name not in _INLINE or outer is None else outer.anchor
+        in_main = outer is not None and outer.main
+        self.main = in_main or name in _MAIN
+        self.never = (outer is not None and outer.never) or name in _NEVER or (name == "header" and not in_main)
+        other = in_main and name not in _MAIN and (_is_named_apart(name, names) or any(x in w.apart for x in names))
+        self.apart = (outer is not None and outer.apart) or other
+        own = sum(w.word.get(k, 0.0) for k in keys if k not in ("html", "body"))
+        self.weight = own + (outer.weight if outer is not None else 0.0)
+
+
+class Token:
+    __slots__ = ("around", "block", "keys", "tag", "text")
+
+    def __init__(self, tag: str | None, keys: tuple[str, ...], text: str, block: int, around: Around | None) -> None:
+        self.tag, self.keys, self.text, self.block, self.around = tag, keys, text, block, around
+
+
+def _tag_end(page: str, at: int, size: int) -> int:
+    """Where the tag that opens at `at` ends (its >), not counting any in quotes after an equals sign; -1 if it never
+    does. A quote that is not closed is no quote."""
+    while True:
+        close = page.find(">", at)
+        if close < 0:
+            return -1
+        equals = page.find("=", at, close)
+        while equals >= 0:
+            k = equals + 1
+            while k < close and page[k].isspace():
+                k += 1
+            if k < close and page[k] in "\"'":
+                end = page.find(page[k], k + 1)
+                if end < 0:
+                    return close
+                if end > close:
+                    at = end + 1
+                    break
+                equals = page.find("=", end + 1, close)
+            else:
+                equals = page.find("=", k, close)
+        else:
+            return close
+
+
+def tokens(page: str, w: Weights, made: list[Around] | None = None) -> Iterator[Token]:
     """Tags and runs of words of a page in order, with what is open around them. Scripts, styles and other raw
-    elements make no words. Broken markup never fails: what is not closed ends with the page."""
-    out: list[Token] = []
-    stack: list[tuple[str, tuple[str, ...], bool]] = []
-    at, block = 0, 0
-    around: tuple[str, ...] = ()
-    never = main = False
-
-    def look() -> None:
-        nonlocal around, never, main
-        around = tuple(k for _, keys, _ in stack for k in keys)
-        never = any(n for _, _, n in stack)
-        main = any(name in _MAIN for name, _, _ in stack)
-
-    size = len(page)
+    elements make no words. Broken markup never fails: what is not closed ends with the page. One pass: what a search
+    to the page's end has not found is not looked for again. Open elements are added to made, outer ones first."""
+    size, at, block = len(page), 0, 0
+    top: Around | None = None
+    open_names: Counter[str] = Counter()
+    missing: set[str] = set()  # ends that the rest of the page does not have
+    low = page.lower()
+    if len(low) != size:  # letters whose small form is longer
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in page)
+
+    def find(what: str, start: int) -> int:
+        if what in missing:
+            return -1
+        found = low.find(what, start)
+        if found < 0:
+            missing.add(what)
+        return found
+
     while at < size:
-        m = _TOKEN.match(page, at)
-        at = m.end()
-        name = m[2]
-        if name is None:
-            piece = m[0]
-            if piece[0] == "<" and len(piece) > 1:
-                continue  # a comment, a declaration, or a tag that the page's end cut off
-            out.append(Token(None, around, len(piece.split()), piece, block, never, main))
+        begin = page.find("<", at)
+        if begin != at:
+            end = size if begin < 0 else begin
+            yield Token(None, (), page[at:end], block, top)
+            at = end
             continue
-        name = name.lower()
+        follow = page[at + 1 : at + 2]
+        if page.startswith("<!--", at):
+            end = find("-->", at + 4)
+            at = size if end < 0 else end + 3
+            continue
+        closing = follow == "/"
+        m = _NAME.match(page, at + 1 + closing)
+        if m is None:
+            if follow in ("!", "?") or closing:
+                end = find(">", at)
+                at = size if end < 0 else end + 1
+            else:
+                yield Token(None, (), "<", block, top)
+                at += 1
+            continue
+        name = m[0].lower()
+        if ">" in missing:
+            return  # a tag that the page's end cut off
+        end = _tag_end(page, m.end(), size)
+        if end < 0:
+            missing.add(">")
+            return
+        inside = page[m.end() : end]
+        at = end + 1
         if name not in _INLINE and name != "br":
             block += 1
-        if m[1]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if depth is not None:
-                keys = stack[depth][1]
-                out.append(Token(name, keys, 0, "", block, never, main))
-                del stack[depth:]
-                look()
+        if closing:
+            if not open_names[name]:
+                continue
+            while top is not None:
+                gone, top = top, top.outer
+                open_names[gone.name] -= 1
+                if gone.name == name:
+                    yield Token(name, gone.keys, "", block, top)
+                    break
             continue
-        names = [x for g in _NAMES.findall(m[3]) for x in "".join(g).split()] if m[3] else []
-        keys = (name, *(f"{name}.{x.lower()}" for x in names))
+        names = [x for g in _NAMES.findall(inside) for x in "".join(g).lower().split()] if "=" in inside else []
+        keys = (name, *(f"{name}.{x}" for x in names))
         if name in _RAW:
-            end = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(page, at)
-            at = end.end() if end else size
-            out.append(Token(name, keys, 0, "", block, never, main))
+            end = find(f"</{name}", at)
+            close = page.find(">", end) if end >= 0 else -1
+            at = size if end < 0 else (close + 1 if close >= 0 else size)
+            yield Token(name, keys, "", block, top)
             continue
-        out.append(Token(name, keys, 0, " " if name == "br" else "", block, never, main))
-        if name in _VOID or m[3].endswith("/"):
+        yield Token(name, keys, " " if name == "br" else "", block, top)
+        if name in _VOID or inside.endswith("/"):
             continue
         if name in _CLOSES_P or name == "li":
             # An open paragraph or item ends where the next begins, if nothing but inline elements lies between.
-            end = "li" if name == "li" else "p"
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == end:
-                    del stack[i:]
-                    break
-                if stack[i][0] not in _INLINE:
-                    break
-        inside = any(n in _MAIN for n, _, _ in stack)
-        bad = name in _NEVER or (name == "header" and not inside) or any(p and _NEVER_NAMES.match(p) for x in names for p in re.split(r"[-_]", x)[:1] + [x])
-        stack.append((name, keys, bad and name not in _MAIN and name not in ("html", "body")))
-        look()
-    return out
+            ends, inner = "li" if name == "li" else "p", top.anchor if top is not None else None
+            if inner is not None and inner.name == ends:
+                while top is not inner:
+                    open_names[top.name] -= 1
+                    top = top.outer
+                open_names[ends] -= 1
+                top = inner.outer
+        top = Around(top, name, keys, names, w)
+        open_names[name] += 1
+        if made is not None:
+            made.append(top)
 
 
 def learn(pages: list[str]) -> Weights:
-    """Weights from pages that mark their main region; without such pages the built-in ones of score() hold."""
+    """Weights from pages that mark their main region; without such pages the built-in ones of score() hold.
+
+    Main text is what stands in the region outside elements that never are text, and outside containers whose name
+    alone speaks against them, which teach nothing.
+    """
     word, tag = (Counter(), Counter()), (Counter(), Counter())
-    used = 0
+    by_name: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
+    pages_with: Counter[str] = Counter()
+    used, none = 0, Weights()
     for page in pages:
-        ts = tokens(page[:TRAIN_CHARS])
-        if not any(t.main for t in ts):
+        made: list[Around] = []
+        ts = list(tokens(page, none, made))
+        if not any(t.tag in _MAIN for t in ts):
             continue
         used += 1
         for t in ts:
-            inside = int(t.main and not t.never)
-            if t.tag is None:
+            a = t.around
+            if t.tag is not None:
                 for k in t.keys:
-                    word[inside][k] += t.words
-            else:
-                for k in t.keys:
-                    tag[inside][k] += 1
+                    tag[int(a is not None and a.main and not a.never)][k] += 1
+            elif a is not None and not a.apart:
+                a.counts[int(a.main and not a.never)] += len(t.text.split())
+        # Innermost first, so that an element's words are all of those inside it.
+        for a in reversed(made):
+            for k in a.keys:
+                for side in (0, 1):
+                    word[side][k] += a.counts[side]
+                    by_name[side][k.partition(".")[2]] += a.counts[side]
+            if a.outer is not None:
+                a.outer.counts[0] += a.counts[0]
+                a.outer.counts[1] += a.counts[1]
+        pages_with.update({k.partition(".")[2] for a in made for k in a.keys})
     if not used:
-        return Weights()
+        return none
     odds = lambda c, k: math.log((c[1][k] + 1) / (c[0][k] + 1))
     cut = lambda x, low, high: max(low, min(high, x))
-    return Weights({k: cut(odds(word, k), -4, 4) for k in {*word[0], *word[1]}}, {k: cut(odds(tag, k) - 2, -8, -0.05) for k in {*tag[0], *tag[1]}}, True)
+    words = {k: cut(odds(word, k), -MOST, MOST) for k in {*word[0], *word[1]}}
+    apart = frozenset(x for x, n in pages_with.items() if x and n >= LEAST_PAGES and odds(by_name, x) <= APART)
+    return Weights(words, {k: cut(odds(tag, k) - 2, -8, -0.05) for k in {*tag[0], *tag[1]}}, apart, True)
 
 
 def score(t: Token, w: Weights) -> float:
     """Score of a token: words by the elements around them, positive unless these speak against; tags negative."""
+    a = t.around
+    main = a is not None and a.main
     if t.tag is None:
-        if t.never:
-            return -2.0 * t.words
-        total = sum(w.word.get(k, 0.0) for k in t.keys if k not in ("html", "body"))
-        each = max(-2.0, min(2.0, total)) if w.known and total else (1.0 if t.main or not w.known else 0.5)
-        return each * t.words
-    if t.main and not t.never and t.tag not in _MAIN:
-        return -0.1
+        n = len(t.text.split())
+        if a is not None and (a.never or a.apart):
+            return 0.0 if main else -2.0 * n
+        total = a.weight if a is not None else 0.0
+        if main:
+            return n * max(KEPT, min(2.0, total))
+        return n * (max(-2.0, min(2.0, total)) if w.known and total else 0.5 if w.known else 1.0)
     known = [w.tag[k] for k in t.keys if k in w.tag]
-    return min(known) if known else (-0.5 if t.tag in _INLINE or t.tag in ("p", "br", "li", "h1", "h2", "h3", "h4") else -3.0)
+    cost = min(known) if known else (-0.5 if t.tag in _INLINE or t.tag in ("p", "br", "li", "h1", "h2", "h3", "h4") else -3.0)
+    return max(cost, TAG_INSIDE) if main and t.tag not in _MAIN else cost
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:
@@ -172,7 +278,7 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 
 def main_text(page: str | None, w: Weights) -> str:
     """The page's main text: blocks of the best region, white space made single, joined by an empty line."""
-    ts = tokens(page or "")
+    ts = list(tokens(page or "", w))
     begin, end = best_region([score(t, w) for t in ts])
     blocks: list[str] = []
     now: list[str] = []
@@ -181,7 +287,7 @@ def main_text(page: str | None, w: Weights) -> str:
         if t.block != last:
             blocks.append("".join(now))
             now, last = [], t.block
-        if not t.never and t.text:
+        if t.text and not (t.around is not None and (t.around.never or t.around.apart)):
             now.append(t.text)
     blocks.append("".join(now))
     clean = (" ".join(entities.unescape(b).split()) for b in blocks)
@@ -189,14 +295,16 @@ def main_text(page: str | None, w: Weights) -> str:
 
 
 def train(pages: DataFrame, html: str = "html", key: str = "page_id", most: int = TRAIN_PAGES) -> Weights:
-    """Weights from at most `most` pages with an article or main element, those with the least hashes of their key."""
+    """Weights from at most `most` pages with an article or main element, those with the least hashes of their key.
+
+    Chosen pages are read whole, on the driver."""
     html_col, h = F.col(html).cast("string"), F.xxhash64(F.col(key).cast("string"))
     marked = pages.where(html_col.rlike("(?i)<(article|main)[\\s>]"))
     # Keys first, so that no task sends pages that are not chosen.
     chosen = [r.h for r in marked.select(h.alias("h")).distinct().orderBy("h").limit(most).collect()]  # at most `most` rows
     if not chosen:
         return Weights()
-    texts = marked.where(h.isin(chosen)).groupBy(h.alias("h")).agg(F.min(F.substring(html_col, 1, TRAIN_CHARS)).alias("t"))
+    texts = marked.where(h.isin(chosen)).groupBy(h.alias("h")).agg(F.min(html_col).alias("t"))
     return learn(sorted(r.t for r in texts.collect()))  # at most `most` rows
 
 
@@ -216,5 +324,6 @@ def extract(pages: DataFrame, weights: Weights, html: str = "html", into: str =
         for column in columns:
             yield pa.array([main_text(x.as_py(), w) for x in column], pa.string())
 
-    out = pages.withColumn("__text", run(F.col(html).cast("string")))
-    return out.withColumns({into: F.col("__text"), "n_chars": F.length("__text").cast("long")}).drop("__text")
+    own = free_name(pages, "text")
+    out = pages.withColumn(own, run(F.col(html).cast("string")))
+    return out.withColumns({into: F.col(own), "n_chars": F.length(own).cast("long")}).drop(own)

@@ -17,14 +17,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from sparkloom.llm import bytesops as B
-from sparkloom.llm.store import ship
+from sparkloom.llm.store import free_name, hash_limit, ship
 
-#: Bounds of the training sample: documents for each language, and characters of each.
+#: Bounds of the training sample: languages (those with most rows), documents of each, and of a longer text so many
+#: characters, as RUNS runs that are spread evenly over all of it.
+MOST_LANGS = 64
 TRAIN_DOCS = 160
 TRAIN_CHARS = 6000
+RUNS = 12
 TABLE_BITS = 17
 LINK = 40  # words of a training sequence
 BLOCK = 32  # words whose products are formed together in prediction
@@ -86,8 +88,9 @@ def marginals(e: np.ndarray, links: np.ndarray, first: np.ndarray, firsts: np.nd
     """Posterior probability of each word's language, for texts that begin at firsts (one more entry at the end);
     with pairs also the expected number of each transition.
 
-    Exact forward-backward: each block's products of transition and emission factors are formed for all blocks of
-    all texts at once, then the blocks' ends are linked text by text, then every word's messages follow.
+    Exact forward-backward: each block's product of transition and emission factors is formed for all blocks of all
+    texts at once, then the blocks' ends are linked text by text, then every word's messages follow. Memory is
+    words x languages, and languages squared only once a block.
     """
     n, size = e.shape
     if not n:
@@ -107,24 +110,13 @@ def marginals(e: np.ndarray, links: np.ndarray, first: np.ndarray, firsts: np.nd
     full = real.all(0)
     em = scaled[index]  # (blocks, BLOCK, languages)
 
-    eye = np.broadcast_to(np.eye(size), (total, size, size))
-    forward = np.empty((BLOCK, total, size, size))
-    product = eye.copy()
+    # Each block's product of factors, so that blocks can be linked; only one product a block is held.
+    whole = np.broadcast_to(np.eye(size), (total, size, size)).copy()
     for t in range(BLOCK):
-        new = (product.reshape(-1, size) @ step).reshape(total, size, size) * em[:, t, None, :]
+        new = (whole.reshape(-1, size) @ step).reshape(total, size, size) * em[:, t, None, :]
         if t % 8 == 7:
             new /= new.sum((1, 2), keepdims=True)
-        product = new if full[t] else np.where(real[:, t, None, None], new, product)
-        forward[t] = product
-    backward = np.empty((BLOCK, total, size, size))
-    product = eye.copy()
-    for t in range(BLOCK - 1, -1, -1):
-        backward[t] = product  # from word t of the block to the block's end
-        new = (step @ (em[:, t, :, None] * product).transpose(1, 0, 2).reshape(size, -1)).reshape(size, total, size).transpose(1, 0, 2)
-        if t % 8 == 0:
-            new /= new.sum((1, 2), keepdims=True)
-        product = new if full[t] else np.where(real[:, t, None, None], new, product)
-    whole = product  # the same up to scale as forward[-1]
+        whole = new if full[t] else np.where(real[:, t, None, None], new, whole)
 
     # Messages at the blocks' borders, one block of every text at a time. Before the first word the factor is
     # exp(first) in place of a transition: solve for a start vector s with s @ step proportional to it.
@@ -146,9 +138,22 @@ def marginals(e: np.ndarray, links: np.ndarray, first: np.ndarray, firsts: np.nd
         rows = block0[order[: count[k + 1]]] + k
         a = np.einsum("bij,bj->bi", whole[rows + 1], leave[rows + 1])
         leave[rows] = a / a.sum(1, keepdims=True)
-    alpha = sum(enter[:, i, None] * forward[:, :, i, :] for i in range(size))
-    beta = sum(backward[:, :, :, j] * leave[:, j, None] for j in range(size))
-    alpha, beta = (np.maximum(x, 0).transpose(1, 0, 2)[real] for x in (alpha, beta))
+    # Then every word's messages, as vectors, in all blocks at once.
+    alpha, beta = np.empty((BLOCK, total, size)), np.empty((BLOCK, total, size))
+    now = enter
+    for t in range(BLOCK):
+        now = np.maximum((now @ step) * em[:, t], 0)
+        if t % 8 == 7:
+            now = now / np.maximum(now.sum(1, keepdims=True), 1e-300)
+        alpha[t] = now
+    now = leave
+    for t in range(BLOCK - 1, -1, -1):
+        beta[t] = now
+        new = (em[:, t] * now) @ step.T
+        if t % 8 == 0:
+            new = new / np.maximum(new.sum(1, keepdims=True), 1e-300)
+        now = new if full[t] else np.where(real[:, t, None], new, now)
+    alpha, beta = (x.transpose(1, 0, 2)[real] for x in (alpha, beta))
     post = alpha * beta
     post /= np.maximum(post.sum(1, keepdims=True), 1e-300)
     if not pairs:
@@ -224,15 +229,40 @@ def fit(texts: list[str], langs: list[str], epochs: int = 6, rate: float = 0.4,
     return Model(names, weights.astype(np.float32), links, begin, lexicon)
 
 
+def sampled(text: Column, chars: int = TRAIN_CHARS, runs: int = RUNS) -> Column:
+    """The text, or of one longer than `chars` characters runs of whole words that are spread evenly over all of it."""
+    size = chars // runs
+    step = (F.length(text) - size) / F.lit(runs - 1)
+    run = lambda i: F.regexp_replace(F.substring(text, F.floor(i * step).cast("int") + 1, F.lit(size)), r"^\S*\s|\s\S*$", "")
+    return F.when(F.length(text) <= chars, text).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), run), " "))
+
+
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = TRAIN_DOCS, chars: int = TRAIN_CHARS) -> Model:
-    """Fit on at most per_lang labelled rows of each language, those with the least hashes of their key, and
-    chars characters of each. Rows with a null lang, key or text teach nothing."""
+    """Fit on about per_lang labelled rows of each of the MOST_LANGS languages with most rows, those with the least
+    hashes of their key, and `chars` characters of each. Rows with a null lang, key or text teach nothing.
+
+    Rows are chosen by a limit on the hash, from the number of keys of each language, so that no key's rows meet
+    in one task. The number of a language's keys is estimated (within a few per cent)."""
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(lang).cast("string").alias("l"), F.col(text).cast("string").alias("t")).where("k IS NOT NULL AND l IS NOT NULL AND t IS NOT NULL")
-    best = Window.partitionBy("l").orderBy(F.xxhash64("k"), "k")
-    chosen = rows.select("k", "l").distinct().withColumn("r", F.row_number().over(best)).where(F.col("r") <= per_lang).select("k", "l")
-    sample = rows.join(F.broadcast(chosen), ["k", "l"]).select("k", "l", F.substring("t", 1, chars).alias("t")).dropDuplicates(["k", "l"])  # bounded by per_lang rows a language
-    got = sorted((r.k, r.l, r.t) for r in sample.collect())
-    return fit([x[2] for x in got], [x[1] for x in got])
+    counts = rows.groupBy("l").agg(F.approx_count_distinct("k").alias("n")).orderBy(F.col("n").desc(), "l").limit(MOST_LANGS).collect()  # at most MOST_LANGS rows
+    if not counts:
+        return fit([], [])
+    # More than per_lang are let through by four deviations and the counts' error, so that nearly always enough are; the
+    # least hashes of them stay.
+    share = {r.l: 1.2 * (per_lang + 4 * per_lang**0.5 + 4) / max(r.n, 1) for r in counts}
+    limit = F.create_map(*[F.lit(x) for name, s in share.items() for x in (name, hash_limit(s))])
+    near = rows.where(F.xxhash64("k") <= F.try_element_at(limit, F.col("l")))
+    # One row a key: about per_lang rows a language, and no more than `chars` characters of each.
+    once = near.groupBy("l", "k").agg(F.min(sampled(F.col("t"), chars)).alias("t")).select("k", "l", "t", F.xxhash64("k").alias("h"))
+    got = sorted((r.l, r.h, r.k, r.t) for r in once.collect())
+    place: dict[str, int] = {}
+    some = []
+    for name, _, k, t in got:
+        place[name] = place.get(name, 0) + 1
+        if place[name] <= per_lang:
+            some.append((k, name, t))
+    some.sort()
+    return fit([x[2] for x in some], [x[1] for x in some])
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", spans: bool = True) -> DataFrame:
@@ -256,9 +286,10 @@ def predict(docs: DataFrame, model: Model, text: str = "text", spans: bool = Tru
             parts = [_label(m, p.column(0), spans) for p in B.pieces(batch, "text")]
             yield pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("lang_pred", pa.string()), ("score", pa.float64())]))
 
-    out = docs.withColumn("__label", label(F.col(text).cast("string")))
-    names = {"lang_pred": "__label.lang_pred", "score": "__label.score"} | ({"lang_spans": "__label.lang_spans"} if spans else {})
-    return out.withColumns({k: F.col(v) for k, v in names.items()}).drop("__label")
+    own = free_name(docs, "label")
+    out = docs.withColumn(own, label(F.col(text).cast("string")))
+    names = ["lang_pred", "score", *(["lang_spans"] if spans else [])]
+    return out.withColumns({k: F.col(f"{own}.{k}") for k in names}).drop(own)
 
 
 def _label(m: Model, column: pa.Array, spans: bool) -> pa.Array:

@@ -2,8 +2,8 @@
 
 The pieces of an existing subword vocabulary span a lattice over every word; a word's probability is the sum
 over all its segmentations of the product of piece probabilities, by a forward recursion in log space. The
-vocabulary's own scores start the estimate; expected piece counts over the training words, forward-backward over
-the same lattice, then replace them (two rounds). A text is its words and an end.
+vocabulary's own scores start the estimate and stay a part of it: a mixture with the expected piece counts over the
+training words, by forward-backward over the same lattice, whose weight is learned. A text is its words and an end.
 
 Beside it stands the plain unigram score of the same tokens, from exact counts of all training tokens. Frequent
 words' counts, a table of bounded size, are known to every task; the others are joined by hash.
@@ -27,7 +27,11 @@ from sparkloom.llm.store import saved, ship
 FREQUENT = 300_000
 #: Words whose lattice score a Python worker remembers.
 KNOWN_WORDS = 300_000
-ROUNDS = 2
+ROUNDS = 1
+#: Shares of the vocabulary's own scores that learning chooses from.
+WEIGHTS = (0.0001, 0.001, 0.01, 0.1, 0.5)
+#: Places of a word whose pieces are looked up together.
+BLOCK = 4096
 SMOOTH = 0.1
 _FIXED = 1 << 20
 _TABLE_BITS = 20
@@ -90,57 +94,71 @@ def load_vocabulary(path: str) -> Lattice:
     return Lattice(table, place, np.log(weight / weight.sum()), max(map(len, names)))
 
 
-def _spread(lattice: Lattice, data: np.ndarray, begin: np.ndarray, size: int, spans: B.Spans) -> np.ndarray:
-    """Piece over each span of words of `size` bytes (with the leading space): (words, start, length), -1 if none."""
+def _spread(lattice: Lattice, spans: B.Spans, begin: np.ndarray, size: int, low: int, high: int) -> np.ndarray:
+    """Piece over each span that starts at low .. high - 1 in words of `size` bytes: (words, start, length), -1 if none."""
     most = min(lattice.longest, size)
-    ids = np.full((len(begin), size, most), -1, np.int64)
+    ids = np.full((len(begin), high - low, most), -1, np.int64)
     for length in range(1, most + 1):
-        at = begin[:, None] + np.arange(size - length + 1)
-        ids[:, : size - length + 1, length - 1] = lattice.find(spans.hash(at, at + length))
+        end = min(high, size - length + 1)
+        if end > low:
+            at = begin[:, None] + np.arange(low, end)
+            ids[:, : end - low, length - 1] = lattice.find(spans.hash(at, at + length))
     return ids
 
 
+def _log_sum(x: np.ndarray) -> np.ndarray:
+    top = x.max(1)
+    top = np.where(np.isfinite(top), top, 0)
+    with np.errstate(divide="ignore"):
+        return top + np.log(np.exp(x - top[:, None]).sum(1))
+
+
 def word_scores(lattice: Lattice, data: np.ndarray, begin: np.ndarray, end: np.ndarray, counts: np.ndarray | None = None, expected: np.ndarray | None = None) -> np.ndarray:
     """Natural-log probability of each word of data[begin:end], each starting with a space, over all segmentations.
 
-    With counts, the pieces' expected counts are added to expected.
+    With counts, the pieces' expected counts are added to expected. Spans are looked up for BLOCK places of a word at
+    a time, so that a very long word takes no more memory than a few numbers for each of its bytes.
     """
     out = np.zeros(len(begin))
     spans = B.Spans(data)
     padded = np.append(lattice.scores, -np.inf)  # -1 is no piece
     sizes = end - begin
     for size in np.unique(sizes):
+        size = int(size)
         group = np.flatnonzero(sizes == size)
-        step = max(1, int(400_000 // (size * min(lattice.longest, size))))
+        most = min(lattice.longest, size)
+        step = max(1, 400_000 // (min(size, BLOCK + most) * most))
         for cut in range(0, len(group), step):
             g = group[cut : cut + step]
-            ids = _spread(lattice, data, begin[g], int(size), spans)
-            s = padded[ids]
-            most = ids.shape[2]
             alpha = np.full((len(g), size + 1), -np.inf)
             alpha[:, 0] = 0
-            for i in range(1, size + 1):
-                n = min(i, most)
-                # Pieces of length 1..n that end at i start at i - 1, .., i - n.
-                back = np.arange(i - 1, i - n - 1, -1)
-                x = alpha[:, back] + s[:, back, np.arange(n)]
-                top = x.max(1)
-                top = np.where(np.isfinite(top), top, 0)
-                with np.errstate(divide="ignore"):
-                    alpha[:, i] = top + np.log(np.exp(x - top[:, None]).sum(1))
+            ids = low = None
+            for a in range(0, size, BLOCK):
+                b = min(a + BLOCK, size)
+                low = max(0, a - most + 1)
+                ids = _spread(lattice, spans, begin[g], size, low, b)
+                s = padded[ids]
+                for i in range(a + 1, b + 1):
+                    # Pieces of length 1..n that end at i start at i - 1, .., i - n.
+                    n = min(i, most)
+                    back = np.arange(i - 1, i - n - 1, -1)
+                    alpha[:, i] = _log_sum(alpha[:, back] + s[:, back - low, np.arange(n)])
             out[g] = alpha[:, size]
-            if counts is not None:
-                beta = np.full((len(g), size + 1), -np.inf)
-                beta[:, size] = 0
-                for i in range(size - 1, -1, -1):
+            if counts is None:
+                continue
+            beta = np.full((len(g), size + 1), -np.inf)
+            beta[:, size] = 0
+            for a in reversed(range(0, size, BLOCK)):
+                b = min(a + BLOCK, size)
+                if size > BLOCK:
+                    low, ids = a, _spread(lattice, spans, begin[g], size, a, b)
+                s = padded[ids]
+                for i in range(b - 1, a - 1, -1):
                     n = min(size - i, most)
-                    x = s[:, i, :n] + beta[:, i + 1 : i + 1 + n]
-                    top = x.max(1)
-                    top = np.where(np.isfinite(top), top, 0)
-                    with np.errstate(divide="ignore"):
-                        beta[:, i] = top + np.log(np.exp(x - top[:, None]).sum(1))
+                    x = s[:, i - low, :n] + beta[:, i + 1 : i + 1 + n]
+                    beta[:, i] = _log_sum(x)
                     post = np.exp(alpha[:, i, None] + x - alpha[:, size, None]) * counts[g, None]
-                    expected += np.bincount(ids[:, i, :n].ravel() + 1, post.ravel(), len(expected) + 1)[1:]
+                    expected += np.bincount(ids[:, i - low, :n].ravel() + 1, post.ravel(), len(expected) + 1)[1:]
     return out
 
 
@@ -178,34 +196,66 @@ def count_words(texts: DataFrame) -> DataFrame:
 
 
 def learn(counts: DataFrame, lattice: Lattice, rounds: int = ROUNDS) -> Lattice:
-    """The lattice with scores from the expected piece counts of counts(word, n); the end counts as a piece.
-
-    Each round adds up at most as many rows for each task as there are pieces. Sums are in fixed point, so that
-    they do not depend on the order of tasks."""
-    spark = counts.sparkSession
-    size = len(lattice.scores)
+    """The lattice with scores fitted to counts(word, n); the end counts as a piece.
+
+    Scores are a mixture of the vocabulary's own and of the pieces' expected counts, by forward-backward over the
+    lattice. Rounds run on four fifths of the words, by their hash; the mixture's weight is the one of WEIGHTS that
+    gives the other words the greatest likelihood, and a last round over all words uses it. Each round adds up at
+    most as many rows for each task as there are pieces, in fixed point, so that sums do not depend on the order of
+    tasks. Without words the vocabulary's own scores stay."""
+    size, own = len(lattice.scores), np.exp(lattice.scores)
+    words = counts.where("word <> ''").select("word", "n")
+    kept = F.pmod(F.xxhash64("word"), F.lit(5)) == 0
     ends = counts.where("word = ''").agg(F.sum("n")).first()[0] or 0
-    for _ in range(rounds):
-        shared = spark.sparkContext.broadcast(lattice)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            m = shared.value
-            expected = np.zeros(size)
+    def mixed(n: np.ndarray, weight: float) -> Lattice:
+        p = weight * own + (1 - weight) * (n + 1e-9) / (n + 1e-9).sum()
+        return Lattice(lattice.hashes, lattice.piece, np.log(p / p.sum()), lattice.longest)
+
+    def expected(some: DataFrame, model: Lattice, ends: float) -> np.ndarray:
+        shared = some.sparkSession.sparkContext.broadcast(model)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = np.zeros(size)
             for batch in batches:
                 for piece in B.pieces(batch, "word"):
                     data, offsets = B.column_bytes(piece.column(0))
-                    own, begin, end = _with_space(data, offsets[:-1], offsets[1:])
-                    word_scores(m, own, begin, end, piece.column(1).to_numpy().astype(np.float64), expected)
-            fixed = np.rint(expected * _FIXED).astype(np.int64)
-            some = np.flatnonzero(fixed)
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(fixed[some])], names=["piece", "n"])
-
-        got = counts.where("word <> ''").select("word", "n").mapInArrow(run, "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n")).toPandas()
-        n = np.full(size, 0.05)
+                    word_scores(shared.value, *_with_space(data, offsets[:-1], offsets[1:]), piece.column(1).to_numpy().astype(np.float64), sums)
+            fixed = np.rint(sums * _FIXED).astype(np.int64)
+            there = np.flatnonzero(fixed)
+            yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(fixed[there])], names=["piece", "n"])
+
+        got = some.mapInArrow(run, "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n")).toPandas()
+        n = np.zeros(size)
         n[got.piece.to_numpy(np.int64)] += got.n.to_numpy(np.float64) / _FIXED
         n[-1] += ends
-        lattice = Lattice(lattice.hashes, lattice.piece, np.log(n / n.sum()), lattice.longest)
-    return lattice
+        return n
+
+    def likelihoods(some: DataFrame, models: list[Lattice]) -> list[float]:
+        shared = some.sparkSession.sparkContext.broadcast(models)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = np.zeros(len(models))
+            for batch in batches:
+                for piece in B.pieces(batch, "word"):
+                    data, offsets = B.column_bytes(piece.column(0))
+                    spaced, n = _with_space(data, offsets[:-1], offsets[1:]), piece.column(1).to_numpy()
+                    sums += [n @ word_scores(m, *spaced) for m in shared.value]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(models))), pa.array(np.rint(sums * _FIXED).astype(np.int64))], names=["model", "l"])
+
+        got = {r.model: r.l for r in some.mapInArrow(run, "model long, l long").groupBy("model").agg(F.sum("l").alias("l")).collect()}
+        return [got.get(i, 0) / _FIXED for i in range(len(models))]
+
+    if words.isEmpty():
+        return lattice
+    model, n = lattice, np.zeros(size)
+    for _ in range(rounds):
+        n = expected(words.where(~kept), model, ends * 0.8)
+        model = mixed(n, WEIGHTS[0])
+    models = [mixed(n, w) for w in WEIGHTS]
+    found = likelihoods(words.where(kept), models)
+    best = max(range(len(WEIGHTS)), key=lambda i: (found[i], -i))
+    return mixed(expected(words, models[best], ends), WEIGHTS[best])
 
 
 def score_texts(docs: DataFrame, training: Column, vocabulary: str | None = None, text: str = "text", key: str = "doc_id", frequent: int = FREQUENT) -> DataFrame:
@@ -265,7 +315,8 @@ def score_texts(docs: DataFrame, training: Column, vocabulary: str | None = None
                 cum = lambda x: np.concatenate([[0], np.cumsum(x)])
                 over = lambda x: (lambda s: s[firsts[1:]] - s[firsts[:-1]])(cum(x))
                 mine = c[which]
-                base = over(np.where(mine > 0, np.log10(mine + SMOOTH), 0.0)) + math.log10(ends + SMOOTH)
+                # As if all others were unknown; what training knows of them is added after.
+                base = over(np.log10(mine + SMOOTH)) + math.log10(ends + SMOOTH)
                 rest = np.flatnonzero(mine == 0)
                 doc = np.searchsorted(firsts, rest, "right") - 1
                 o = np.lexsort((h[rest], doc))
@@ -286,15 +337,16 @@ def score_texts(docs: DataFrame, training: Column, vocabulary: str | None = None
     part = saved(
         texts.mapInArrow(run, "row long, doc_id long, n_tokens long, n_known long, logs double, score double, rest array<struct<h:long,k:int>>"), "lm-part"
     )
-    # Rarer words: at most as often as the cut says in training, so no key is hot but words that training lacks.
+    # Rarer words: only those that training has are joined, and these at most as often there as the cut says. A word that
+    # training lacks meets nothing, so that Spark can split it however common it is.
     rest = part.select("row", F.explode("rest").alias("w")).select("row", "w.h", "w.k")
     rare = counts.where("word <> ''").select("h", "n")
     if cut is not None:
         rare = rare.where(F.floor(8 * F.log2("n")).cast("int") < cut)
     per = (
-        rest.join(rare, "h", "left")
+        rest.join(rare, "h")
         .groupBy("row")
-        .agg(F.sum(F.col("k") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(SMOOTH))).alias("more"), F.sum(F.expr("CASE WHEN n > 0 THEN CAST(k AS LONG) ELSE 0L END")).alias("known"))
+        .agg(F.sum(F.col("k") * (F.log10(F.col("n") + F.lit(SMOOTH)) - F.lit(math.log10(SMOOTH)))).alias("more"), F.sum(F.col("k").cast("long")).alias("known"))
     )
     return (
         part.select("row", "doc_id", "n_tokens", "n_known", "logs", "score")

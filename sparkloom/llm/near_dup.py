@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm import bytesops as B
 from sparkloom.llm.components import connected_components
-from sparkloom.llm.store import discard, saved, ship
+from sparkloom.llm.store import discard, free_name, saved, ship
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -387,10 +387,10 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
 
     Of rows with the same doc_id and text one stays. Rows with a null doc_id stay only if their group has no other.
     """
-    own = "__node"
+    own, n, i = (free_name(docs, x) for x in ("node", "n", "id"))
     tagged = docs.withColumn(own, F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))))
     found = _grouped(docs, text, key, THRESHOLD)
     # A group's first row, and of several texts with that id the one with the least hash.
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("g").agg(F.min(F.struct("node", "doc_id")).alias("f")).select(F.col("f.node").alias("__n"), F.col("f.doc_id").alias("__id"))
-    kept = tagged.join(first, (F.col(own) == F.col("__n")) & F.col(key).cast("long").eqNullSafe(F.col("__id")), "left_semi")
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("g").agg(F.min(F.struct("node", "doc_id")).alias("f")).select(F.col("f.node").alias(n), F.col("f.doc_id").alias(i))
+    kept = tagged.join(first, (F.col(own) == F.col(n)) & F.col(key).cast("long").eqNullSafe(F.col(i)), "left_semi")
     return kept.dropDuplicates([key, own]).drop(own)

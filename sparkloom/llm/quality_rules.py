@@ -14,10 +14,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.store import saved
+from sparkloom.llm.store import hash_limit, saved
 
 #: Bound of the labelled rows that rules are learned from.
-TRAIN_ROWS = 6_000
+TRAIN_ROWS = 12_000
 BINS = 32
 MOST_RULES = 10
 MOST_CONDITIONS = 3
@@ -82,14 +82,12 @@ def _shares() -> dict[str, Column]:
 _RESULT = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "mean_word", "symbol_share", "dup_line_share", "repeat_share", "upper_share", "bang_share", "words_per_line"]
 
 
-def with_statistics(docs: DataFrame, text: str = "text", into: str = "__q") -> DataFrame:
-    """docs with one struct column of the statistics of the text; null text counts as empty. Other columns stay."""
-    own = [c for c in docs.columns if c != into]
-    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("__row"))
-    for name, step in statistics(F.col(f"__row.`{text}`")).items():
+def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(row, q): the rows of docs as structs, and the statistics of their text; null text counts as empty."""
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    for name, step in statistics(F.col(f"row.`{text}`")).items():
         out = out.withColumns(step) if name in ("first", "fifth") else _settled(out, step)
-    out = out.withColumns(_shares())
-    return out.select("__row.*", F.struct(*_RESULT).alias(into))
+    return out.withColumns(_shares()).select("row", F.struct(*_RESULT).alias("q"))
 
 
 def _settled(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
@@ -118,7 +116,7 @@ class DecisionList:
 
     rules: tuple[tuple[Condition, ...], ...]
 
-    def verdict(self, stats: str = "__q") -> Column:
+    def verdict(self, stats: str = "q") -> Column:
         """The rule that a row of statistics meets first, as text; null if none."""
         out = F.lit(None).cast("string")
         for rule in reversed(self.rules):
@@ -141,9 +139,9 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     marks = labels.select(F.col(key).cast("long").alias("k"), F.col(quality).cast("int").alias("y")).where("k IS NOT NULL AND y IS NOT NULL").groupBy("k").agg(F.min("y").alias("y"))
     total = marks.count()
     share = min(1.0, most / total) if total else 1.0
-    near = F.pmod(F.xxhash64("k"), F.lit(1_000_000)) < int(1_000_000 * share)
+    near = F.xxhash64("k") <= hash_limit(share)
     some = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("text")).where(F.col("k").isNotNull() & near)
-    stats = with_statistics(some).select("k", "__q.*")
+    stats = with_statistics(some).select("row.k", "q.*")
     rows = saved(stats.join(marks.where(near), "k").where("NOT base_failed").select("k", "y", *[F.col(c).cast("double").alias(c) for c in _STATS]), "rules-stats")
 
     # Thresholds: quantiles of each statistic over all rows and over bad rows.
@@ -155,67 +153,67 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     cuts = {c: sorted({float(f"{x:.6g}") for x in (*(edges[c] or []), *(edges["bad_" + c] or []))}) for c in _STATS}
     if not any(cuts.values()):
         return DecisionList(())
-    # Each statistic as the number of thresholds at or below it.
-    binned = saved(
-        rows.select(
-            "y",
-            (F.pmod(F.xxhash64(F.col("k"), F.lit(1)), F.lit(3)) > 0).alias("grow"),
-            F.array(*[_bin(c, cuts[c]) for c in _STATS]).alias("b"),
-        ),
-        "rules-binned",
-    )
-
-    def tally(where: str) -> tuple[dict[tuple[int, int], list[int]], list[int]]:
-        """Bad and good rows by statistic and bin, and in all."""
-        out: dict[tuple[int, int], list[int]] = {}
-        total = [0, 0]
-        for r in binned.where(where).select(F.posexplode("b").alias("f", "bin"), "y").groupBy("f", "bin", "y").count().collect():  # at most stats x bins x 2 rows
-            bad = int(r.y != 0)
-            out.setdefault((r.f, r.bin), [0, 0])[bad] += r["count"]
-            if r.f == 0:
-                total[bad] += r["count"]
-        return out, total
-
-    def test(c: tuple[int, bool, int]) -> str:
-        return f"b[{c[0]}] {'>=' if c[1] else '<'} {c[2]}"
-
-    rules: list[tuple[tuple[int, bool, int], ...]] = []
-    left = "true"
+    # Each statistic as the number of thresholds at or below it: about `most` rows of a few small numbers, which are
+    # looked through here rather than by a job for every condition tried.
+    grow = F.pmod(F.xxhash64(F.col("k"), F.lit(1)), F.lit(3)) > 0
+    binned = rows.select("y", grow.alias("grow"), F.array(*[_bin(c, cuts[c]) for c in _STATS]).alias("b")).collect()  # about `most` rows
+    return DecisionList(tuple(tuple(Condition(_STATS[f], at_least, cuts[_STATS[f]][b - 1]) for f, at_least, b in rule) for rule in cover([(r.y != 0, r.grow, r.b) for r in binned], [len(cuts[c]) for c in _STATS])))
+
+
+Test = tuple[int, bool, int]  # statistic, at least or below, bin
+
+
+def cover(rows: list[tuple[bool, bool, list[int]]], bins: list[int]) -> list[list[Test]]:
+    """Rules in order for rows of (good, grown on, bins) by sequential covering; bins tells each statistic's number."""
+
+    def fits(b: list[int], rule: list[Test]) -> bool:
+        return all((b[f] >= at) == at_least for f, at_least, at in rule)
+
+    def counts(some: list[tuple[bool, bool, list[int]]]) -> tuple[int, int]:
+        good = sum(g for g, _, _ in some)
+        return len(some) - good, good
+
+    rules: list[list[Test]] = []
+    left = rows
     while len(rules) < MOST_RULES:
-        rule: list[tuple[int, bool, int]] = []
+        rule: list[Test] = []
+        grown = [r for r in left if r[1]]
         while len(rule) < MOST_CONDITIONS:
-            by, (p0, n0) = tally(" AND ".join([left, "grow", *map(test, rule)]))
+            p0, n0 = counts(grown)
             if p0 == 0 or n0 == 0:
                 break
-            best = (1e-9, None)
-            for f, c in enumerate(_STATS):
+            best: tuple[float, Test | None] = (1e-9, None)
+            for f, number in enumerate(bins):
+                by = [[0, 0] for _ in range(number + 1)]
+                for good, _, b in grown:
+                    by[b[f]][good] += 1
                 p = n = 0
-                for b in range(len(cuts[c]), 0, -1):
-                    dp, dn = by.get((f, b), (0, 0))
-                    p, n = p + dp, n + dn
+                for at in range(number, 0, -1):
+                    p, n = p + by[at][0], n + by[at][1]
                     for at_least, pp, nn in ((True, p, n), (False, p0 - p, n0 - n)):
                         if pp >= LEAST_COVERED:
                             gain = pp * (math.log2(pp / (pp + nn)) - math.log2(p0 / (p0 + n0)))
                             if gain > best[0]:
-                                best = (gain, (f, at_least, b))
+                                best = (gain, (f, at_least, at))
             if best[1] is None:
                 break
             rule.append(best[1])
+            grown = [r for r in grown if fits(r[2], rule[-1:])]
         if not rule:
             break
         # Prune: the beginning of the rule that does best on the other rows; then the whole must be precise.
         tried = []
         for k in range(1, len(rule) + 1):
-            _, (p, n) = tally(" AND ".join([left, "NOT grow", *map(test, rule[:k])]))
-            _, (pg, ng) = tally(" AND ".join([left, "grow", *map(test, rule[:k])]))
-            tried.append(((p - n) / (p + n) if p + n else -1.0, (p + pg) / max(p + pg + n + ng, 1), p + pg, k))
-        tried = [x for x in tried if x[1] >= LEAST_PRECISION and x[2] >= LEAST_COVERED]
+            met = [r for r in left if fits(r[2], rule[:k])]
+            p, n = counts([r for r in met if not r[1]])
+            all_p, all_n = counts(met)
+            if all_p >= LEAST_COVERED and all_p / max(all_p + all_n, 1) >= LEAST_PRECISION:
+                tried.append(((p - n) / (p + n) if p + n else -1.0, -k))
         if not tried:
             break
-        k = max(tried, key=lambda x: (x[0], -x[3]))[3]
-        rules.append(tuple(rule[:k]))
-        left += " AND NOT (" + " AND ".join(map(test, rule[:k])) + ")"
-    return DecisionList(tuple(tuple(Condition(_STATS[f], at_least, cuts[_STATS[f]][b - 1]) for f, at_least, b in rule) for rule in rules))
+        rules.append(rule[: -max(tried)[1]])
+        left = [r for r in left if not fits(r[2], rules[-1])]
+    return rules
 
 
 def judge(docs: DataFrame, rules: DecisionList, text: str = "text") -> DataFrame:
@@ -226,6 +224,8 @@ def judge(docs: DataFrame, rules: DecisionList, text: str = "text") -> DataFrame
     as empty. Every row is judged by itself: repeated rows get equal results, an empty table an empty one.
     """
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    base = with_statistics(docs, text)
-    out = base.withColumns({n: F.col(f"__q.{n}") for n in names} | {"rule": F.when(~F.col("__q.base_failed"), rules.verdict())})
-    return out.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull()).drop("__q")
+    made = [*names, "rule", "kept"]
+    rule = F.when(~F.col("q.base_failed"), rules.verdict())
+    base = with_statistics(docs, text).select("row", *[F.col(f"q.{n}").alias(n) for n in names], rule.alias("rule"))
+    own = [F.col(f"row.`{c}`") for c in docs.columns if c.lower() not in made]
+    return base.select(*own, *names, "rule", (~F.col("base_failed") & F.col("rule").isNull()).alias("kept"))

@@ -119,23 +119,23 @@ def histogram_shards(docs: DataFrame, shards: int = SHARDS, text: str = "text",
     """
     spark = docs.sparkSession
     names = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
-    plain = docs.drop(*names) if text not in names and key not in names else docs
     raw = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = plain.withColumns({"size": F.octet_length(raw).cast("long") + 1, "text_crc32": F.crc32(F.encode(raw, "UTF-8"))})
-    rows = rows.withColumns(
-        {
-            "__k": F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63) + 1)),
-            "__salt": F.shiftrightunsigned(F.xxhash64("text_crc32", "size", F.monotonically_increasing_id()), 64 - _SALT_BITS),
-        }
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        (F.octet_length(raw).cast("long") + 1).alias("size"),
+        F.crc32(F.encode(raw, "UTF-8")).alias("text_crc32"),
+        F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63) + 1)).alias("k"),
     )
-    counted = saved(rows.select(F.col("__k").cast("decimal(20,0)").alias("k"), F.col("__salt").cast("decimal(20,0)").alias("salt"), "size"), "shard-sizes")
+    rows = rows.withColumn("salt", F.shiftrightunsigned(F.xxhash64("text_crc32", "size", F.monotonically_increasing_id()), 64 - _SALT_BITS))
+    counted = saved(rows.select(F.col("k").cast("decimal(20,0)").alias("k"), F.col("salt").cast("decimal(20,0)").alias("salt"), "size"), "shard-sizes")
     # Finer ranges than shards, so that a shard is not one task: each shard is cut into `fine` ranges.
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     fine = max(1, min(-(-tasks // shards), MOST_RANGES // shards))
     bounds = splitters(counted, [i / (shards * fine) for i in range(1, shards * fine)], tolerance)
-    placed = _with_range(rows, "__range", bounds, "__k", "__salt")
-    moved = placed.repartition(shards * fine, "__range")
-    place = moved.withColumn("__at", F.row_number().over(Window.partitionBy("__range").orderBy("__k", "__salt")) - 1)
+    placed = _with_range(rows, "range", bounds, "k", "salt")
+    # The one exchange: each range is a task of its own.
+    moved = placed.repartitionById(shards * fine, F.col("range").cast("int"))
+    place = moved.withColumn("at", F.row_number().over(Window.partitionBy("range").orderBy("k", "salt")) - 1)
     # Exact row counts below each range, from the counted table.
     per = _with_range(counted, "r", bounds, "k", "salt").groupBy("r").count().collect()  # one row a range
     counts = dict((r.r, r["count"]) for r in per)
@@ -145,10 +145,11 @@ def histogram_shards(docs: DataFrame, shards: int = SHARDS, text: str = "text",
             begin = 0
         first.append(begin)
         begin += counts.get(i, 0)
-    base = F.get(F.expr("array(" + ", ".join(f"{x}L" for x in first) + ")"), F.col("__range"))
-    return place.withColumns(
-        {"law": F.lit("bytes"), "shard": F.floor(F.col("__range") / fine).cast("int"), "slot": F.col("__at") + base, "grown_shard": F.lit(None).cast("int")}
-    ).drop("__k", "__salt", "__range", "__at")
+    base = F.get(F.expr("array(" + ", ".join(f"{x}L" for x in first) + ")"), F.col("range"))
+    own = [F.col(f"row.`{c}`") for c in docs.columns if c.lower() not in names]
+    return place.select(
+        *own, "size", "text_crc32", F.lit("bytes").alias("law"), F.floor(F.col("range") / fine).cast("int").alias("shard"), (F.col("at") + base).alias("slot"), F.lit(None).cast("int").alias("grown_shard")
+    )
 
 
 def _with_range(df: DataFrame, name: str, bounds: list[tuple[int, int]], k: str, salt: str) -> DataFrame:
@@ -165,6 +166,6 @@ def _with_range(df: DataFrame, name: str, bounds: list[tuple[int, int]], k: str,
     one = lambda b: f"named_struct('a', CAST({b[0]}BD AS DECIMAL(20,0)), 'b', CAST({b[1]}BD AS DECIMAL(20,0)))"
     array = lambda bs: "array(" + ", ".join(map(one, bs)) + ")"
     below = f"x -> x.a < {k} OR (x.a = {k} AND x.b <= {salt})"
-    coarse = df.withColumn("__block", F.expr(f"size(filter({array([b[-1] for b in blocks])}, {below}))"))
-    inner = f"coalesce(size(filter(get(array({', '.join(map(array, blocks))}), __block), {below})), 0)"
-    return coarse.withColumn(name, F.expr(f"least({n}, __block * {step} + greatest(0, {inner}))")).drop("__block")
+    coarse = df.withColumn("block", F.expr(f"size(filter({array([b[-1] for b in blocks])}, {below}))"))
+    inner = f"coalesce(size(filter(get(array({', '.join(map(array, blocks))}), block), {below})), 0)"
+    return coarse.withColumn(name, F.expr(f"least({n}, block * {step} + greatest(0, {inner}))")).drop("block")

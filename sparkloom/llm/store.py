@@ -1,46 +1,31 @@
-"""Scratch tables in the folder that all executors share, and the code that Python workers need."""
+"""Scratch tables, names that clash with none of a table's, and the code that Python workers need."""
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
-import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sparkloom.scratch import discard, new_path, saved, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where that is unset, as in tests, a local one of our own."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+__all__ = ["discard", "free_name", "hash_limit", "new_path", "saved", "shared_dir", "ship"]
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that the table does not have, in any case of letters."""
+    taken, name = {c.lower() for c in df.columns}, f"__{stem}"
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: lineage ends here and survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._scratch = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete scratch tables made by saved() that nothing will read any more."""
-    for t in tables:
-        path = getattr(t, "_scratch", None)
-        if path:
-            spark = t.sparkSession
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def hash_limit(share: float) -> int:
+    """The 64-bit hash that the share of all hashes lies at or below."""
+    return max(-(1 << 63), min(int(share * (1 << 64)) - (1 << 63), (1 << 63) - 1))
 
 
 def ship(spark: SparkSession) -> None:
@@ -49,7 +34,9 @@ def ship(spark: SparkSession) -> None:
     if getattr(sc, "_sparkloom_shipped", False):
         return
     package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    target = os.path.join(tempfile.mkdtemp(prefix="sparkloom-py-"), "sparkloom_py.zip")
+    folder = tempfile.mkdtemp(prefix="sparkloom-py-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = os.path.join(folder, "sparkloom_py.zip")
     with zipfile.ZipFile(target, "w") as z:
         for folder, _, names in os.walk(package):
             for n in sorted(names):

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.components import connected_components
+from sparkloom.llm.store import saved
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rules up to this number become one conditional expression; more are joined by host.
@@ -79,30 +80,30 @@ def judge_urls(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None =
     rules(rule, verdict) as in rule_of. Edges come from redirects(src, dst) of urls, and from canonical links and
     refreshes in html. verdict is the rule's; without a rule 'block' if a url of the same component has a rule
     that blocks it, else 'allow'. So a rule that allows a url always wins for that url. Urls are the same resource
-    if host, path and query are. A url that is null or has no `://` has an empty host and path, fits no rule, has
+    if host, path and query are, told apart by a 64-bit hash. A url that is null or has no `://` has an empty host and path, fits no rule, has
     no aliases and is allowed. Repeated rows get equal results; no row is lost or made.
     """
-    own = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "rule_verdict")]
-    host, path = host_and_path(F.col(url).cast("string"))
-    found = rule_of(pages.withColumn("__url", F.col(url).cast("string")).select(*[F.col(f"`{c}`") for c in own], "__url").withColumns({"host": host, "path": path}), rules)
+    made = ["host", "path", "rule", "verdict"]
+    host, path = host_and_path(F.col("u"))
+    base = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("row"), F.col(url).cast("string").alias("u"))
+    found = rule_of(base.withColumns({"host": host, "path": path}), rules)
+    out_cols = [*[F.col(f"row.`{c}`") for c in pages.columns if c.lower() not in made], "host", "path", "rule"]
     edges = links_of(pages, url, html) if html else None
     if redirects is not None:
         more = redirects.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"))
         edges = more if edges is None else edges.unionByName(more)
-    out_cols = [*[F.col(f"`{c}`") for c in own], "host", "path", "rule"]
     if edges is None:
         return found.select(*out_cols, F.coalesce("rule_verdict", F.lit("allow")).alias("verdict"))
-    edges = edges.where(normal(F.col("src")).isNotNull() & normal(F.col("dst")).isNotNull())
+    # Read from the pages once: links are few beside the html that they stand in.
+    edges = saved(edges.where(normal(F.col("src")).isNotNull() & normal(F.col("dst")).isNotNull()).distinct(), "url-links")
     node = lambda c: F.xxhash64(normal(F.col(c)))
-    ids = edges.select(node("src").alias("src"), node("dst").alias("dst"))
-    group = connected_components(ids)
+    group = connected_components(edges.select(node("src").alias("src"), node("dst").alias("dst")))
     # Rules of every url of a component, pages' or only named by a link. A url of a page and of a link is the same.
     ends = edges.select(F.explode(F.array("src", "dst")).alias("u")).distinct()
-    h, p = host_and_path(F.col("u"))
-    blocked = rule_of(ends.withColumns({"host": h, "path": p}), rules).where("rule_verdict = 'block'").select(node("u").alias("node")).distinct()
+    blocked = rule_of(ends.withColumns({"host": host, "path": path}), rules).where("rule_verdict = 'block'").select(node("u").alias("node")).distinct()
     # A page's own url has the same host and path as its node, so blocked ends hold all that matters.
     bad = group.join(blocked, "node", "left_semi").select("component").distinct()
-    hit = group.join(bad, "component", "left_semi").select("node").withColumn("__hit", F.lit(True))
-    asked = found.withColumn("node", F.when(F.col("rule_verdict").isNull(), F.xxhash64(normal(F.col("__url")))))
-    verdict = F.coalesce(F.col("rule_verdict"), F.when(F.col("__hit"), F.lit("block")), F.lit("allow"))
+    hit = group.join(bad, "component", "left_semi").select("node").withColumn("hit", F.lit(True))
+    asked = found.withColumn("node", F.when(F.col("rule_verdict").isNull(), F.xxhash64(normal(F.col("u")))))
+    verdict = F.coalesce(F.col("rule_verdict"), F.when(F.col("hit"), F.lit("block")), F.lit("allow"))
     return asked.join(hit, "node", "left").select(*out_cols, verdict.alias("verdict"))

@@ -17,12 +17,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.store import ship
+from sparkloom.llm.store import saved, ship
 
 SEGMENT = 64 << 10
 CHUNK = 16 << 10
 RECORDS_PER_FILE = 1024
 LEAST_REVISIT = 100
+#: Digests (of about 100 bytes a row) up to this number are broadcast.
+BROADCAST_DIGESTS = 200_000
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the standard namespace of URLs
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 
@@ -44,7 +46,10 @@ def plan(pages: DataFrame, text: str = "html", key: str = "page_id", least: int
         .where("n > 1 AND first IS NOT NULL")
         .select("payload_digest", "first")
     )
-    joined = base.join(twice, "payload_digest", "left")
+    # Payloads stay where they are read while the digests that occur twice are few; else both sides are shuffled.
+    twice = saved(twice, "warc-twice")
+    few = twice.limit(BROADCAST_DIGESTS + 1).count() <= BROADCAST_DIGESTS
+    joined = base.join(F.broadcast(twice) if few else twice.hint("merge"), "payload_digest", "left")
     refers = F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("first")), F.col("first"))
     return joined.select("page_id", "url", "payload", "payload_bytes", "payload_digest", refers.alias("refers_to"))
 
@@ -92,12 +97,17 @@ def _record(kind: str, fields: dict[str, object], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + head.encode() + b"\r\n" + block
 
 
+def _page_ident(page_id: int | None, row: int | None = None) -> str:
+    """The record identifier of a page's first response; of rows that repeat a page_id, and of revisits, the row's own."""
+    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'page/{page_id}' if row is None else f'{row}/{page_id}')}>"
+
+
 def _records(row: int, page_id: int | None, url: str | None, payload: bytes, size: int, digest: str, refers_to: int | None) -> list[bytes]:
-    ident = f"<urn:uuid:{uuid.uuid5(_SPACE, f'{row}/{page_id}')}>"
+    ident = _page_ident(page_id, row)
     clean = None if url is None else url.replace("\r", "%0D").replace("\n", "%0A")
     common: dict[str, object] = {"WARC-Date": "1970-01-01T00:00:00Z", "WARC-Target-URI": clean, "X-Page-Id": page_id, "WARC-Payload-Digest": f"sha256:{digest}", "X-Payload-Length": size}
     if refers_to is not None:
-        more = {"WARC-Record-ID": ident, "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "X-Refers-To-Page": refers_to, "Content-Type": "application/http;msgtype=response"}
+        more = {"WARC-Record-ID": ident, "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": _page_ident(refers_to), "X-Refers-To-Page": refers_to, "Content-Type": "application/http;msgtype=response"}
         return [_record("revisit", common | more, b"HTTP/1.1 200 OK\r\n\r\n")]
     parts = _cut(_HTTP + chunked(payload), SEGMENT)
     first = common | {"WARC-Record-ID": ident, "Content-Type": "application/http;msgtype=response", "WARC-Segment-Number": 1 if len(parts) > 1 else None}
@@ -136,6 +146,24 @@ def write_archives(planned: DataFrame, path: str) -> None:
     text.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
+def members(data: bytes) -> Iterator[bytes]:
+    """An archive's bytes, of all gzip members one after the other; what is no gzip is given as it is.
+
+    Archives usually hold one member a record. Each is inflated by itself."""
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
+    while data[:2] == b"\x1f\x8b":
+        one = zlib.decompressobj(31)
+        out = one.decompress(data) + one.flush()
+        if not one.eof:
+            raise ValueError("the archive ends inside a gzip member")
+        yield out
+        data = one.unused_data
+    if data.strip(b"\0"):
+        raise ValueError("bytes after the last gzip member")
+
+
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers (names in lower case) and block of each record of an archive, by their lengths."""
     at = 0
@@ -170,7 +198,8 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         number = lambda h, k: int(h[k]) if k in h else None
         for batch in batches:
             for content in batch.column(0):
-                data = zlib.decompress(content.as_buffer(), 31) if content.as_buffer()[:2] == b"\x1f\x8b" else content.as_py()
+                # Records may go over the ends of members.
+                data = b"".join(members(content.as_py()))
                 rows, held = [], 0
                 for h, block in parse(data):
                     ident = h.get("warc-record-id")

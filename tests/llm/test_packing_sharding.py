@@ -81,3 +81,29 @@ def test_shards_of_odd_rows(spark):
     assert all(r.text_crc32 == zlib.crc32((dict(TEXTS).get(r.doc_id) or "").encode()) for r in rows if r.doc_id)
     assert {r.law for r in rows} == {"bytes"} and {r.grown_shard for r in rows} == {None}
     assert sharding.histogram_shards(docs(spark).limit(0)).count() == 0
+
+
+def test_shards_keep_columns_of_any_name(spark):
+    own = ["k", "salt", "range", "at", "row", "block", "__k", "__range"]
+    df = spark.createDataFrame([(i, "x" * (i % 7), *own) for i in range(100)], "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in own))
+    out = sharding.histogram_shards(df)
+    assert out.columns == [*df.columns, "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    got = out.collect()
+    assert len(got) == 100 and all([r.asDict()[c] for c in own] == own for r in got)
+    for k in range(8):
+        assert sorted(r.slot for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got)))
+
+
+def test_one_exchange(spark):
+    df = spark.range(1000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 50).cast("int")).alias("text"))
+    plan = sharding.histogram_shards(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
+def test_buckets_are_written_by_length(spark, tmp_path):
+    df = spark.createDataFrame([(1, "one two three"), (2, None), (3, "a " * 5000)], "doc_id long, text string")
+    packed = packing.pack(df)
+    packing.write_buckets(packed, str(tmp_path / "b"))
+    back = spark.read.parquet(str(tmp_path / "b"))
+    assert back.agg(F.sum("length")).first()[0] == packed.agg(F.sum("length")).first()[0]
+    assert back.where("length <> power(2, bucket)").count() == 0 and back.where("octet_length(ids) <> 4 * length").count() == 0

@@ -42,6 +42,31 @@ def test_rules(spark, inline):
         assert (got[i].rule, got[i].rule_verdict) == plain_rule(host, path)
 
 
+def test_aliases_by_links_of_many_pages(spark):
+    """Chains of canonical links and redirects over 600 pages against a plain search for what hangs together."""
+    import random
+
+    rng = random.Random(11)
+    urls = [f"http://{'com' if i % 50 == 0 else f'h{i}.net'}/{'de' if i % 50 == 0 else 'p'}/{i}" for i in range(600)]
+    to = {i: rng.randrange(600) for i in range(600) if rng.random() < 0.55}
+    red = [(urls[i], urls[j]) for i, j in to.items() if i % 2]
+    pages = [(i, u, f'<head><link rel="canonical" href="{urls[to[i]]}"></head>' if i in to and i % 2 == 0 else "<p>") for i, u in enumerate(urls)]
+    df = spark.createDataFrame([(*p, "own", "own", "own") for p in pages], "page_id long, url string, html string, node string, u string, hit string")
+    got = {r.page_id: r.verdict for r in url_filter.judge_urls(df, rules(spark), spark.createDataFrame(red, "src string, dst string")).collect()}
+    at = list(range(600))
+
+    def top(x):
+        while at[x] != x:
+            x = at[x]
+        return x
+
+    for i, j in to.items():
+        at[top(i)] = top(j)
+    blocked = {top(i) for i in range(0, 600, 50)}
+    assert got == {i: "block" if top(i) in blocked else "allow" for i in range(600)}
+    assert list(got.values()).count("block") > 40
+
+
 def test_aliases(spark):
     pages = spark.createDataFrame(
         [(1, "http://A.net/x", "<link href='/k' rel=canonical>"), (2, "http://a.net/k", ""), (3, "http://c.net/1", None), (4, "http://q.org/z", ""), (5, None, ""), (6, "foo", ""), (7, "http://z.net", ""), (8, "http://m.net/", '<meta http-equiv="refresh" content="0; url=http://b.com/de/9">'), (3, "http://c.net/1", None)],
@@ -73,6 +98,37 @@ def test_main_text():
         html_text.main_text(PAGE[:n], w)
 
 
+def test_parts_of_an_article():
+    """Asides and comments inside an article neither end it nor come along; lists, notices in paragraphs and what has a
+    class that pages do not use elsewhere stay."""
+    w = html_text.learn([PAGE] * 5)
+    words = lambda n: " ".join(["word"] * n)
+    page = f"<body><nav><ul><li>m</li></ul></nav><article><h1>Head</h1><p>{words(100)}</p><aside><p>{words(300)}</p></aside><div class='ad'><p>{words(300)}</p></div><p class=notice>{words(80)}</p>"
+    page += f"<div class='search'>find it</div><section id=comments><p>{words(200)}</p></section><table><tr><td><div><span><b>w</b></span></div></td></tr></table><ul>{'<li>i</li>' * 40}</ul></article><footer>f</footer></body>"
+    want = ["Head", words(100), words(80), "find it", "w", *["i"] * 40]
+    assert html_text.main_text(page, w) == "\n\n".join(want)
+
+
+def test_pages_that_mark_nothing():
+    w = html_text.learn([PAGE.replace("Second", "Longer words in a second")] * 5)
+    bare = "<body><nav><ul><li><a href=/a>one</a></li><li>two</li></ul></nav><div class='ad'>buy this now</div><h1>Head</h1><p>some words <b>and</b> more</p><p>last</p><aside>side</aside><footer>foot</footer></body>"
+    assert html_text.main_text(bare, w) == "Head\n\nsome words and more\n\nlast"
+    assert html_text.main_text("just words", html_text.Weights()) == "just words"
+
+
+def test_hostile_markup_takes_linear_time():
+    import time
+
+    w = html_text.learn([PAGE] * 5)
+    pages = ["<a " * 350_000, "<div>" * 100_000 + "x", "<b>" * 50_000 + "<div>x</div>" * 50_000, "<!--" * 250_000, "<script>" * 100_000, "<a href='" * 100_000, "</x>" * 250_000, "<p>x" * 100_000, "<" * 200_000, '<a b="' * 100_000 + ">"]
+    for page in pages:
+        began = time.time()
+        html_text.main_text(page, w)
+        assert time.time() - began < 20, page[:20]
+    assert html_text.main_text("<p title='a > b'>x x x</p><p title=it's>y y y</p>", html_text.Weights()) == "x x x\n\ny y y"
+    assert html_text.main_text("\u0130 w w w w w<script>a</script><p>b b b b b b", html_text.Weights()) == "\u0130 w w w w w\n\nb b b b b b"
+
+
 def test_best_region_against_brute_force():
     import random
 
@@ -119,6 +175,24 @@ def test_round_trip(spark):
     assert warc.round_trip(df.limit(0), new_path(spark, "warc")).count() == 0
 
 
+def test_archives_of_many_members():
+    import gzip
+
+    records = [warc._record("response", {"WARC-Record-ID": f"<{i}>"}, b"block %d" % i) + b"\r\n\r\n" for i in range(5)]
+    for data in (b"".join(map(gzip.compress, records)), gzip.compress(b"".join(records)), b"".join(records), gzip.compress(records[0][:9]) + gzip.compress(records[0][9:] + b"".join(records[1:])) + b"\0" * 8):
+        assert [b for _, b in warc.parse(b"".join(warc.members(data)))] == [b"block %d" % i for i in range(5)]
+    for bad in (gzip.compress(records[0])[:-9], gzip.compress(records[0]) + b"rest"):
+        with pytest.raises(ValueError):
+            list(warc.members(bad))
+
+
+def test_revisits_beyond_the_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BROADCAST_DIGESTS", 0)
+    df = spark.createDataFrame([(i, "u", "x" * 200 if i < 6 else str(i) * 300) for i in range(9)], "page_id long, url string, html string")
+    got = {r.page_id: r.refers_to for r in warc.plan(df).collect()}
+    assert got == {i: (0 if 0 < i < 6 else None) for i in range(9)}
+
+
 def test_missing_segment_fails(spark):
     schema = warc._RECORDS
     part = lambda n, total, block: ("i", "i", n, total, "response", 1, None, None, None, block)

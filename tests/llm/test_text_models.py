@@ -62,6 +62,46 @@ def test_languages(spark):
     assert abs(spans[-1].first - 40) <= 2
 
 
+def test_many_languages_and_a_long_text():
+    """Whole texts of 20 000 words, 40 languages: exact marginals in bounded memory."""
+    import tracemalloc
+
+    g = np.random.default_rng(2)
+    e, links, first = g.normal(size=(20_000, 40)), g.normal(size=(40, 40)) * 0.3, g.normal(size=40)
+    tracemalloc.start()
+    post = lang_id.marginals(e, links, first, np.array([0, 20_000]))
+    assert tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
+    step, al, be = np.exp(links), [np.exp(first + e[0])], [np.ones(40)]
+    for t in range(1, 20_000):
+        a = (al[-1] @ step) * np.exp(e[t])
+        al.append(a / a.sum())
+        b = step @ (np.exp(e[20_000 - t]) * be[-1])
+        be.append(b / b.sum())
+    want = np.array(al) * np.array(be[::-1])
+    assert np.allclose(post, want / want.sum(1, keepdims=True))
+
+
+def test_samples_cover_whole_texts(spark):
+    text = " ".join(f"w{i}" for i in range(20_000))
+    df = spark.createDataFrame([(text,), ("short text",), ("x" * 50_000,)], "t string")
+    got = [r.s for r in df.select(lang_id.sampled(F.col("t")).alias("s")).collect()]
+    assert got[1] == "short text" and len(got[2]) <= 6011
+    taken = [int(w[1:]) for w in got[0].split()]
+    assert set(taken) <= set(range(20_000)) and min(taken) < 100 and max(taken) > 19_900 and len(got[0]) <= 6011
+    assert max(b - a for a, b in zip(taken, taken[1:])) < 2500
+
+
+def test_hot_rows_of_one_key_and_more_languages_than_the_bound(spark, monkeypatch):
+    monkeypatch.setattr(lang_id, "MOST_LANGS", 3)
+    rng = random.Random(4)
+    rows = [(i, words(rng, "abc"[i % 3] * 2, 40), "abc"[i % 3] * 2) for i in range(90)] + [(1000, words(rng, "aa", 40), "rare")] + [(5, words(rng, "cc", 40), "cc")] * 300
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = lang_id.train(df)
+    assert model.langs == ["aa", "bb", "cc"]
+    assert lang_id.predict(df.where("doc_id < 3"), model).orderBy("doc_id").first().lang_pred == "aa"
+
+
 def test_no_labels(spark):
     empty = labelled(spark).limit(0)
     model = lang_id.train(empty)
@@ -90,6 +130,55 @@ def test_lattice_sums_all_segmentations():
         assert got == pytest.approx(math.log(total(w)))
 
 
+def test_a_long_word_in_blocks(monkeypatch):
+    v = lattice_lm.load_vocabulary(lattice_lm.default_vocabulary())
+    w = np.frombuffer(b" " + b"thornbush" * 40, np.uint8)
+    sums = lambda: np.zeros(len(v.scores))
+    whole, cut = sums(), sums()
+    a = lattice_lm.word_scores(v, w, np.array([0]), np.array([len(w)]), np.array([2.0]), whole)
+    monkeypatch.setattr(lattice_lm, "BLOCK", 37)
+    b = lattice_lm.word_scores(v, w, np.array([0]), np.array([len(w)]), np.array([2.0]), cut)
+    assert np.allclose(a, b) and np.allclose(whole, cut) and whole.sum() > 2
+
+
+def test_learned_scores_against_brute_force(spark):
+    """Expected piece counts over all segmentations, listed one by one, give what learn() gives."""
+    v = lattice_lm.load_vocabulary(lattice_lm.default_vocabulary())
+    counts = {"then": 4, "at": 7, "it": 2, "ant": 3, "rat": 5, "tea": 1, "hen": 3, "net": 2, "ten": 6, "thin": 2, "on": 9, "no": 1}
+    df = spark.createDataFrame([*counts.items(), ("", 6)], "word string, n long")
+    lattice_lm.ship(spark)
+    kept = {r.word for r in df.where("pmod(xxhash64(word), 5) = 0").collect()}
+    id_of = lambda b: int(v.find(np.array([lattice_lm.B.hash_of(b)], np.uint64))[0])
+
+    def ways(word):
+        if not word:
+            return [[]]
+        return [[i, *rest] for k in range(1, len(word) + 1) if (i := id_of(word[:k])) >= 0 for rest in ways(word[k:])]
+
+    def expected(some, scores, ends):
+        out = np.zeros(len(scores))
+        for w, n in some.items():
+            paths = ways(b" " + w.encode())
+            p = np.array([math.exp(sum(scores[i] for i in x)) for x in paths])
+            for x, q in zip(paths, p / p.sum()):
+                for i in x:
+                    out[i] += n * q
+        out[-1] += ends
+        return out
+
+    def mixed(n, weight):
+        p = weight * np.exp(v.scores) + (1 - weight) * (n + 1e-9) / (n + 1e-9).sum()
+        return np.log(p / p.sum())
+
+    learn_on = {w: n for w, n in counts.items() if w not in kept}
+    n = expected(learn_on, v.scores, 6 * 0.8)
+    likely = lambda s: sum(c * math.log(sum(math.exp(sum(s[i] for i in x)) for x in ways(b" " + w.encode()))) for w, c in counts.items() if w in kept)
+    best = max(lattice_lm.WEIGHTS, key=lambda w: (likely(mixed(n, w)), -w))
+    want = mixed(expected(counts, mixed(n, best), 6), best)
+    assert kept and np.allclose(lattice_lm.learn(df, v).scores, want, atol=1e-4)
+    assert lattice_lm.learn(df.where("word = ''"), v) is v
+
+
 def test_scores(spark):
     rng = random.Random(5)
     rows = [(i, words(rng, "aa", 30).title()) for i in range(40)] + [(40, None), (41, ""), (40, "repeated katora"), (None, "katora"), (42, "ka" * 3000)]
@@ -137,6 +226,62 @@ def test_statistics(spark):
         assert r.base_failed == (want[0] < 50 or 100 * want[4] > 50 * want[0]) and r.kept == (not r.base_failed)
 
 
+def plain_cover(rows, bins):
+    """The same choices, by trying every condition on every row."""
+    ok = lambda b, rule: all((b[f] >= at) == up for f, up, at in rule)
+    rules, left = [], list(rows)
+    for _ in range(quality_rules.MOST_RULES):
+        rule = []
+        while len(rule) < quality_rules.MOST_CONDITIONS:
+            live = [r for r in left if r[1] and ok(r[2], rule)]
+            p0 = sum(not r[0] for r in live)
+            if p0 in (0, len(live)):
+                break
+            best = None
+            for c in [(f, up, at) for f, k in enumerate(bins) for at in range(k, 0, -1) for up in (True, False)]:
+                met = [r for r in live if ok(r[2], [c])]
+                p = sum(not r[0] for r in met)
+                if p >= quality_rules.LEAST_COVERED:
+                    gain = p * (math.log2(p / len(met)) - math.log2(p0 / len(live)))
+                    if gain > (best[0] if best else 1e-9):
+                        best = (gain, c)
+            if best is None:
+                break
+            rule.append(best[1])
+        tried = []
+        for k in range(1, len(rule) + 1):
+            met = [r for r in left if ok(r[2], rule[:k])]
+            bad, other = sum(not r[0] for r in met), [r for r in met if not r[1]]
+            if bad >= quality_rules.LEAST_COVERED and bad / len(met) >= quality_rules.LEAST_PRECISION:
+                p = sum(not r[0] for r in other)
+                tried.append(((2 * p - len(other)) / len(other) if other else -1.0, -k))
+        if not tried:
+            break
+        rules.append(rule[: -max(tried)[1]])
+        left = [r for r in left if not ok(r[2], rules[-1])]
+    return rules
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_rules_against_brute_force(seed):
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(250):
+        b = [rng.randrange(5) for _ in range(3)]
+        bad = (b[0] >= 3 and b[1] < 2) or b[2] >= 4 or rng.random() < 0.02
+        rows.append((not bad, rng.random() < 0.67, b))
+    got = quality_rules.cover(rows, [4, 4, 4])
+    assert got == plain_cover(rows, [4, 4, 4]) and got
+    assert quality_rules.cover([r for r in rows if r[0]], [4, 4, 4]) == [] and quality_rules.cover([], [4, 4, 4]) == []
+
+
+def test_judged_rows_keep_columns_of_any_name(spark):
+    own = ["q", "row", "__text", "__words", "__step", "__q", "__row", "kept"]
+    df = spark.createDataFrame([("a b c", *own), (None, *own)], "text string, " + ", ".join(f"`{c}` string" for c in own))
+    got = quality_rules.judge(df, quality_rules.DecisionList(())).collect()
+    assert [r.asDict()[c] for r in got for c in own[:-1]] == own[:-1] * 2 and [r.kept for r in got] == [False, False]
+
+
 def test_rules_are_learned(spark):
     rng = random.Random(7)
     rows, labels = [], []

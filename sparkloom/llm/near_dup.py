@@ -370,6 +370,8 @@ def _cross(members: DataFrame, threshold: float) -> DataFrame:
     threshold with a common leader differ by no more than 1 - threshold.
     """
     able = members.where(f"held >= {threshold} * w * (1 - 1e-9)")
+    # At most one bucket a band.
+    able = able.join(able.groupBy("node").agg(F.collect_list("bucket").alias("own")), "node")
     sizes = able.groupBy("bucket", "g").agg(F.count(F.lit(1)).alias("k"))
     most = sizes.groupBy("bucket").agg(F.max(F.struct("k", "g")).alias("m"), F.count(F.lit(1)).alias("groups")).where("groups > 1").select("bucket", F.col("m.g").alias("most"))
     blocks = F.ceil(F.col("members") / SMALL_BUCKET)
@@ -378,8 +380,9 @@ def _cross(members: DataFrame, threshold: float) -> DataFrame:
     once = "(b.g = a.most OR a.node > b.node)"
     near = f"coalesce(a.ml <> b.ml OR abs(a.ms - b.ms) <= 1 - {threshold} + 1e-9, true)"
     enough = f"least(a.held, b.held) * (1 + 1e-9) >= {threshold} * (a.w + b.w - least(a.held, b.held))"
-    met = a.join(b, F.expr(f"a.bucket = b.bucket AND a.block = b.block AND a.g <> b.g AND {once} AND {near} AND {enough}"))
-    return met.select(F.greatest("a.node", "b.node").alias("src"), F.least("a.node", "b.node").alias("dst")).distinct()
+    here = "array_min(array_intersect(a.own, b.own)) = a.bucket"
+    met = a.join(b, F.expr(f"a.bucket = b.bucket AND a.block = b.block AND a.g <> b.g AND {once} AND {near} AND {enough} AND {here}"))
+    return met.select(F.greatest("a.node", "b.node").alias("src"), F.least("a.node", "b.node").alias("dst"))
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

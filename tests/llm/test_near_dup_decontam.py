@@ -88,8 +88,9 @@ def test_near_duplicates_against_brute_force(spark):
 
 
 def test_large_bucket_that_its_leader_does_not_link(spark):
-    # 30 classes of one bucket at 0.79 from its leader, each a group of its own: all pairs are to be compared but those that bounds rule out.
-    rows = [(1, 31, i, i, 99, 0.79, 100.0, 95.0) for i in range(30)] + [(1, 31, 30, 30, 99, 0.79, 100.0, 70.0), (1, 31, 31, 31, 99, 0.5, 100.0, 95.0)]
+    # 30 classes of one bucket at 0.79 from its leader, each a group of its own: all pairs are to be compared but those that bounds rule out,
+    # and a pair that meets in more buckets is formed once.
+    rows = [(b, 31, i, i, 99, 0.79, 100.0, 95.0) for b in (1, 2) for i in range(30) if b == 1 or i < 20] + [(1, 31, 30, 30, 99, 0.79, 100.0, 70.0), (1, 31, 31, 31, 99, 0.5, 100.0, 95.0)]
     members = spark.createDataFrame(rows, "bucket long, members long, node long, g long, ml long, ms double, w double, held double")
     got = [(r.src, r.dst) for r in near_dup._cross(members, 0.8).collect()]
     assert sorted(got) == [(i, j) for i in range(30) for j in range(i)]

@@ -78,18 +78,40 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_packing, op2_url_filter, op3_sharding, op4_language_id, op5_quality_rules, op6_decontamination, op7_html_text, op8_warc, op9_lm_scoring, op10_near_duplicates)
 }
 
-_HOST = r"CASE WHEN instr(url, '://') > 0 THEN translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END"
-_PATH = r"CASE WHEN instr(url, '://') > 0 THEN regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's') ELSE '' END"
+
+
+def _host(u: str) -> str:
+    return rf"CASE WHEN instr({u}, '://') > 0 THEN translate(regexp_extract({u}, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END"
+
+
+def _path(u: str) -> str:
+    return rf"CASE WHEN instr({u}, '://') > 0 THEN regexp_extract({u}, '^.*?://[^/?#]*([^?#]*)', 1, 's') ELSE '' END"
+
+
+_NODE = r"host || CASE WHEN path = '' THEN '/' ELSE path END || regexp_extract(u, '^[^#]*?(\?[^#]*)', 1, 's')"
 
 ORACLE_SQL: dict[str, str] = {
-    # For pages without canonical links and refreshes, as all given tables are: aliases then decide nothing.
-    "op2_url_filter": f"""
-        WITH u AS (SELECT page_id, {_HOST} AS host, {_PATH} AS path FROM pages),
-        rules(rule, verdict, rh, rp) AS (VALUES ('org/', 'allow', 'org', '/'), ('example.org/es/', 'block', 'example.org', '/es/'),
+    # Rules, then what hangs together by canonical links and refreshes, found by following links to a fixed point.
+    "op2_url_filter": rf"""
+        WITH RECURSIVE rules(rule, verdict, rh, rp) AS (VALUES ('org/', 'allow', 'org', '/'), ('example.org/es/', 'block', 'example.org', '/es/'),
             ('example.org/en/1', 'block', 'example.org', '/en/1'), ('com/fr/', 'allow', 'com', '/fr/'), ('com/de/', 'block', 'com', '/de/')),
+        p AS (SELECT page_id, url AS u, {_host('url')} AS host, {_path('url')} AS path, regexp_extract(coalesce(url, ''), '^([^:]*):', 1) AS scheme,
+            regexp_extract(regexp_extract(coalesce(html, ''), '<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>', 0, 'i'), '\bhref\s*=\s*["'']?([^"''\s>]+)', 1, 'i') AS href,
+            regexp_extract(regexp_extract(coalesce(html, ''), '<meta\b[^>]*http-equiv\s*=\s*["'']?refresh\b[^>]*>', 0, 'i'), '\burl\s*=\s*["'']?([^"''\s>]+)', 1, 'i') AS goes FROM pages),
+        t AS (SELECT *, unnest([href, goes]) AS t FROM p),
+        l AS (SELECT u AS src, replace(CASE WHEN contains(t, '://') THEN t WHEN starts_with(t, '//') THEN scheme || ':' || t WHEN starts_with(t, '/') THEN scheme || '://' || host || t
+            ELSE scheme || '://' || host || regexp_extract(path, '^(.*/)?', 0, 's') || t END, '&amp;', '&') AS dst FROM t WHERE t <> '' AND host <> ''),
+        ends AS (SELECT DISTINCT u, {_host('u')} AS host, {_path('u')} AS path FROM (SELECT src AS u FROM l UNION ALL SELECT dst FROM l)),
+        named AS (SELECT u, host, path, {_NODE} AS node FROM ends WHERE host <> ''),
+        e AS (SELECT a.node AS a, b.node AS b FROM l JOIN named a ON a.u = src JOIN named b ON b.u = dst),
+        ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+        reach(a, b) AS (SELECT a, a FROM ways UNION SELECT r.a, ways.b FROM reach r JOIN ways ON r.b = ways.a),
+        ranked AS (SELECT named.node, verdict, row_number() OVER (PARTITION BY named.u ORDER BY length(rule) DESC, rule) AS r FROM named JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)),
+        bad AS (SELECT DISTINCT reach.a AS node FROM reach JOIN ranked ON reach.b = ranked.node WHERE r = 1 AND verdict = 'block'),
         hit AS (SELECT page_id, rule, verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC, rule) AS r
-            FROM u JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp))
-        SELECT u.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM u LEFT JOIN hit ON u.page_id = hit.page_id AND hit.r = 1""",
+            FROM p JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp))
+        SELECT p.page_id, host, path, rule, CASE WHEN verdict IS NOT NULL THEN verdict WHEN host <> '' AND {_NODE} IN (SELECT node FROM bad) THEN 'block' ELSE 'allow' END AS verdict
+        FROM p LEFT JOIN hit ON p.page_id = hit.page_id AND hit.r = 1""",
     # Items and documents by exact containment of distinct five-word shingles.
     "op6_decontamination": r"""
         WITH d AS (SELECT doc_id, [x FOR x IN regexp_split_to_array(lower(coalesce(text, '')), '[ \t-\r]+') IF x <> ''] AS w FROM documents),

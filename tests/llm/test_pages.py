@@ -67,6 +67,28 @@ def test_aliases_by_links_of_many_pages(spark):
     assert list(got.values()).count("block") > 40
 
 
+def test_linked_pages_are_what_sql_says(spark, tmp_path):
+    """The query over pages with canonical links and refreshes of all kinds against its recursive SQL."""
+    import random
+
+    import duckdb
+
+    from sparkloom.llm import queries
+
+    rng = random.Random(5)
+    hosts = ["a.com", "b.org", "example.org", "c.net", "D.com"]
+    urls = [f"http://{rng.choice(hosts)}{rng.choice(['/de/', '/fr/', '/en/', '/es/', '/x/', ''])}{rng.choice(['', '1', '12', '3?q=1&r=2', '4#f'])}" for _ in range(120)] + [None, "no scheme", "http://c.net"]
+    links = ["/de/1", "k", "//c.net/x/1", "http://b.org/en/3?q=1&amp;r=2", "http://a.com/de/", "../up", "http://c.net"]
+    html = lambda: rng.choice(["", None, f"<LINK rel='canonical' href='{rng.choice(links)}'>", f'<link href={rng.choice(links)} rel=canonical>', f'<meta http-equiv="refresh" content="0; URL={rng.choice(links)}">', "<p>x"])
+    df = spark.createDataFrame([(i, u, html()) for i, u in enumerate(urls)], "page_id long, url string, html string")
+    df.coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    got = sorted(tuple(r) for r in queries.op2_url_filter(spark, str(tmp_path)).select("page_id", "host", "path", "rule", "verdict").collect())
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert got == sorted(duck.execute(queries.ORACLE_SQL["op2_url_filter"]).fetchall())
+    assert sum(v == "block" and r is None for _, _, _, r, v in got) > 5
+
+
 def test_aliases(spark):
     pages = spark.createDataFrame(
         [(1, "http://A.net/x", "<link href='/k' rel=canonical>"), (2, "http://a.net/k", ""), (3, "http://c.net/1", None), (4, "http://q.org/z", ""), (5, None, ""), (6, "foo", ""), (7, "http://z.net", ""), (8, "http://m.net/", '<meta http-equiv="refresh" content="0; url=http://b.com/de/9">'), (3, "http://c.net/1", None)],

@@ -36,3 +36,20 @@ def test_stages(spark):
     hits = decontam.contained_items(d, spark.read.parquet(f"{SF}/benchmark.parquet"))
     assert ids(e) == ids(d) - ids(hits)
     assert p.agg(F.sum("length")).first()[0] == packing.pack(e).agg(F.sum("length")).first()[0] and ids(p) == ids(e)
+
+
+@pytest.mark.parametrize("rows", ["none", "twice"])
+def test_stages_of_odd_tables(spark, rows):
+    """An empty table passes every stage; rows that come twice are one document after near-dedup, with columns of any name."""
+    import corpus_pipeline as P
+    from sparkloom.llm.store import saved
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("node", F.lit("own")).withColumn("__q", F.lit("own"))
+    now = docs.limit(0) if rows == "none" else docs.unionByName(docs)
+    for name, f in P.STAGES:
+        now = saved(f(spark, now, SF), "odd")
+        if name != "packing":
+            assert now.columns == docs.columns
+        if name == "near-dedup" and rows == "twice":
+            assert now.count() == now.select("doc_id").distinct().count() > 50
+    assert (now.count() == 0) == (rows == "none")

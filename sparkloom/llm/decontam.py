@@ -3,18 +3,19 @@
 A short item inside a long document has a tiny Jaccard similarity with the whole of it. So items are put into
 size classes (shingle counts from 2**k up to 2**(k+1) - 1), and for each class a document is cut into overlapping
 windows of twice the class's greatest size, every such size; an item's passage lies whole in some window, where
-its Jaccard similarity is at least 0.15 if its containment is 0.8. One-row bands of SLOTS minima then find it with
-all but a chance of 10**-6. What is found is verified by exact containment of the item's shingles in the
+its Jaccard similarity is at least 0.8 / 4.2 = 0.19 if its containment is 0.8. One-row bands of SLOTS minima then
+miss it with a chance of 0.81**64, about 10**-6. What is found is verified by exact containment of the item's shingles in the
 whole document.
 
 Items are the query set: they are worked through in blocks of at most BLOCK_ITEMS items with BLOCK_BYTES bytes
-of text, and only a block's signatures and shingles are broadcast, whatever the number of items. Documents stay
-where they are; each is read once for every block.
+of text, PASS_BLOCKS of them in one pass over the documents, so that what is broadcast is bounded whatever the number
+of items. Documents stay where they are; each is read and cut into words and shingles once a pass.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,7 @@ THRESHOLD = 0.8
 SLOTS = 64
 BLOCK_ITEMS = 20_000
 BLOCK_BYTES = 16 << 20
+PASS_BLOCKS = 4
 SCHEMA = "doc_id long, item_id long, shared long, item_shingles long, containment double"
 
 _G = np.random.Generator(np.random.PCG64(5))
@@ -72,13 +74,17 @@ def _pairs(left: np.ndarray, right: np.ndarray, keys: np.ndarray) -> tuple[np.nd
     return at, np.repeat(left, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
-def search(items: Items, column: pa.Array, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(index of text, index of item, shared shingles) where containment reaches the threshold."""
+def shingled(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Every shingle of the texts in order, and the index of its text."""
     import pyarrow.compute as pc
 
     data, offsets = B.column_bytes(pc.utf8_lower(column))
     starts, ends, firsts = B.words(data, offsets)
-    h, doc = B.shingles(B.Spans(data).hash(starts, ends), firsts, WIDTH)
+    return B.shingles(B.Spans(data).hash(starts, ends), firsts, WIDTH)
+
+
+def search(items: Items, h: np.ndarray, doc: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index of text, index of item, shared shingles) where containment reaches the threshold, of shingled() texts."""
     found: list[np.ndarray] = []
     n_items = len(items.ids)
     if len(h) and items.classes:
@@ -149,6 +155,12 @@ def _blocks(benchmark: DataFrame, key: str, text: str) -> Iterator[tuple[np.ndar
         yield np.array(ids, object), pa.array(texts, pa.string())
 
 
+def _passes(benchmark: DataFrame, key: str, text: str) -> Iterator[list[tuple[np.ndarray, pa.Array]]]:
+    blocks = _blocks(benchmark, key, text)
+    while some := list(islice(blocks, PASS_BLOCKS)):
+        yield some
+
+
 def contained_items(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, text: str = "text", key: str = "doc_id", item_key: str = "item_id") -> DataFrame:
     """(doc_id, item_id, shared, item_shingles, containment): a row for each row of docs and item that it contains.
 
@@ -161,20 +173,21 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, threshold: float = TH
     ship(spark)
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     out = spark.createDataFrame([], SCHEMA)
-    for ids, block in _blocks(benchmark, item_key, "text"):
-        shared = spark.sparkContext.broadcast((ids, block))
+    for blocks in _passes(benchmark, item_key, "text"):
+        shared = spark.sparkContext.broadcast(blocks)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, block = shared.value
-            items = Items(ids, block)
+            held = [Items(*b) for b in shared.value]
             for batch in batches:
                 for piece in B.pieces(batch, "text"):
-                    d, i, n = search(items, piece.column(1), threshold)
-                    size = items.sizes[i].astype(np.int64)
-                    yield pa.RecordBatch.from_arrays(
-                        [piece.column(0).take(pa.array(d)), pa.array(list(ids[i]), pa.int64()), pa.array(n.astype(np.int64)), pa.array(size), pa.array(n / size)],
-                        names=["doc_id", "item_id", "shared", "item_shingles", "containment"],
-                    )
+                    h, doc = shingled(piece.column(1))
+                    for items in held:
+                        d, i, n = search(items, h, doc, threshold)
+                        size = items.sizes[i].astype(np.int64)
+                        yield pa.RecordBatch.from_arrays(
+                            [piece.column(0).take(pa.array(d)), pa.array(list(items.ids[i]), pa.int64()), pa.array(n.astype(np.int64)), pa.array(size), pa.array(n / size)],
+                            names=["doc_id", "item_id", "shared", "item_shingles", "containment"],
+                        )
 
         out = out.unionByName(texts.mapInArrow(run, SCHEMA))
     return out
@@ -187,23 +200,26 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
     """
     spark = docs.sparkSession
     ship(spark)
-    out = docs
-    for ids, block in _blocks(benchmark, "item_id", "text"):
-        shared = spark.sparkContext.broadcast((ids, block))
 
+    def cleaner(shared):
         @F.arrow_udf("boolean")
         def clean(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            ids, block = shared.value
-            items = Items(ids, block)
+            held = [Items(*b) for b in shared.value]
             for part in column:
                 batch = pa.RecordBatch.from_arrays([part.fill_null("")], names=["text"])
                 bad = np.zeros(len(part), bool)
                 at = 0
                 for piece in B.pieces(batch, "text"):
-                    d, _, _ = search(items, piece.column(0), threshold)
-                    bad[at + np.unique(d)] = True
+                    h, doc = shingled(piece.column(0))
+                    for items in held:
+                        d, _, _ = search(items, h, doc, threshold)
+                        bad[at + np.unique(d)] = True
                     at += piece.num_rows
                 yield pa.array(~bad)
 
-        out = out.where(clean(F.col(text).cast("string")))
+        return clean
+
+    out = docs
+    for blocks in _passes(benchmark, "item_id", "text"):
+        out = out.where(cleaner(spark.sparkContext.broadcast(blocks))(F.col(text).cast("string")))
     return out

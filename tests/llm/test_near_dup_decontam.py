@@ -158,7 +158,10 @@ def test_items_in_blocks_and_nothing(spark, monkeypatch):
     want = [("1", 1), ("1", 1), ("None", 2), ("None", 2)]
     assert sorted((str(r.doc_id), r.item_id) for r in decontam.contained_items(docs, bench).collect()) == want
     monkeypatch.setattr(decontam, "BLOCK_ITEMS", 1)
-    assert sorted((str(r.doc_id), r.item_id) for r in decontam.contained_items(docs, bench).collect()) == want
+    for blocks in (4, 1):
+        monkeypatch.setattr(decontam, "PASS_BLOCKS", blocks)
+        assert sorted((str(r.doc_id), r.item_id) for r in decontam.contained_items(docs, bench).collect()) == want
+        assert decontam.drop_contaminated(docs, bench.where("item_id = 1")).count() == 1
     assert decontam.contained_items(docs.limit(0), bench).count() == 0
     assert decontam.contained_items(docs, bench.limit(0)).count() == 0
     assert decontam.drop_contaminated(docs, bench.limit(0)).count() == 3

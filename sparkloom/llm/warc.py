@@ -30,28 +30,30 @@ _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-
 
 
 def plan(pages: DataFrame, text: str = "html", key: str = "page_id", least: int = LEAST_REVISIT) -> DataFrame:
-    """(page_id, url, payload, payload_bytes, payload_digest, refers_to) of pages(page_id, url, html).
+    """(row, page_id, url, payload, payload_bytes, payload_digest, refers_to, refers_row) of pages(page_id, url, html).
 
-    refers_to is the least page_id with an equal payload of at least `least` bytes, if that is another one. Equal
+    row names the row where it is read, so pages must give the same rows in the same tasks when read again, as a table
+    does; records are named after it. refers_to is the least page_id with an equal payload of at least `least` bytes, if that is another one. Equal
     payloads are counted by digest before anything is joined, so a payload with very many rows makes one row.
     """
     payload = F.encode(F.coalesce(F.col(text).cast("string"), F.lit("")), "UTF-8")
     url = F.col("url").cast("string") if "url" in pages.columns else F.lit(None).cast("string")
-    base = pages.select(F.col(key).cast("long").alias("page_id"), url.alias("url"), payload.alias("payload"))
+    base = pages.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("page_id"), url.alias("url"), payload.alias("payload"))
     base = base.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha2("payload", 256)})
     twice = (
         base.where(F.col("payload_bytes") >= least)
         .groupBy("payload_digest")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first"))
-        .where("n > 1 AND first IS NOT NULL")
-        .select("payload_digest", "first")
+        .agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "row"))).alias("f"))
+        .where("n > 1 AND f IS NOT NULL")
+        .select("payload_digest", F.col("f.page_id").alias("first"), F.col("f.row").alias("first_row"))
     )
     # Payloads stay where they are read while the digests that occur twice are few; else both sides are shuffled.
     twice = saved(twice, "warc-twice")
     few = twice.limit(BROADCAST_DIGESTS + 1).count() <= BROADCAST_DIGESTS
     joined = base.join(F.broadcast(twice) if few else twice.hint("merge"), "payload_digest", "left")
     refers = F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("first")), F.col("first"))
-    return joined.select("page_id", "url", "payload", "payload_bytes", "payload_digest", refers.alias("refers_to"))
+    out = joined.withColumn("refers_to", refers)
+    return out.select("row", "page_id", "url", "payload", "payload_bytes", "payload_digest", "refers_to", F.when(F.col("refers_to").isNotNull(), F.col("first_row")).alias("refers_row"))
 
 
 def _char_cut(data: bytes, at: int) -> int:
@@ -97,17 +99,17 @@ def _record(kind: str, fields: dict[str, object], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + head.encode() + b"\r\n" + block
 
 
-def _page_ident(page_id: int | None, row: int | None = None) -> str:
-    """The record identifier of a page's first response; of rows that repeat a page_id, and of revisits, the row's own."""
-    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'page/{page_id}' if row is None else f'{row}/{page_id}')}>"
+def _ident(row: int, page_id: int | None) -> str:
+    """The identifier of a row's record."""
+    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'{row}/{page_id}')}>"
 
 
-def _records(row: int, page_id: int | None, url: str | None, payload: bytes, size: int, digest: str, refers_to: int | None) -> list[bytes]:
-    ident = _page_ident(page_id, row)
+def _records(row: int, page_id: int | None, url: str | None, payload: bytes, size: int, digest: str, refers_to: int | None, refers_row: int | None) -> list[bytes]:
+    ident = _ident(row, page_id)
     clean = None if url is None else url.replace("\r", "%0D").replace("\n", "%0A")
     common: dict[str, object] = {"WARC-Date": "1970-01-01T00:00:00Z", "WARC-Target-URI": clean, "X-Page-Id": page_id, "WARC-Payload-Digest": f"sha256:{digest}", "X-Payload-Length": size}
     if refers_to is not None:
-        more = {"WARC-Record-ID": ident, "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": _page_ident(refers_to), "X-Refers-To-Page": refers_to, "Content-Type": "application/http;msgtype=response"}
+        more = {"WARC-Record-ID": ident, "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": _ident(refers_row, refers_to), "X-Refers-To-Page": refers_to, "Content-Type": "application/http;msgtype=response"}
         return [_record("revisit", common | more, b"HTTP/1.1 200 OK\r\n\r\n")]
     parts = _cut(_HTTP + chunked(payload), SEGMENT)
     first = common | {"WARC-Record-ID": ident, "Content-Type": "application/http;msgtype=response", "WARC-Segment-Number": 1 if len(parts) > 1 else None}
@@ -141,8 +143,7 @@ def write_archives(planned: DataFrame, path: str) -> None:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()).cast(pa.string())], names=["value"])
 
-    numbered = planned.select(F.monotonically_increasing_id().alias("row"), "page_id", "url", "payload", "payload_bytes", "payload_digest", "refers_to")
-    text = numbered.mapInArrow(run, "value string")
+    text = planned.mapInArrow(run, "value string")
     text.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 

@@ -215,6 +215,17 @@ def test_revisits_beyond_the_broadcast(spark, monkeypatch):
     assert got == {i: (0 if 0 < i < 6 else None) for i in range(9)}
 
 
+def test_revisits_name_the_record_that_they_refer_to(spark, tmp_path):
+    df = spark.createDataFrame([(i, "u", "x" * (200 + i % 3)) for i in (7, 4, 1, 8, 2, 1)], "page_id long, url string, html string").repartition(3).cache()
+    path = str(tmp_path / "w")
+    warc.write_archives(warc.plan(df), path)
+    found = [h for f in (tmp_path / "w").glob("*.gz") for h, _ in warc.parse(b"".join(warc.members(f.read_bytes())))]
+    page = {h["warc-record-id"]: h["x-page-id"] for h in found}
+    revisits = [h for h in found if h["warc-type"] == "revisit"]
+    assert len(page) == len(found) == 6 and len(revisits) == 3
+    assert all(page[h["warc-refers-to"]] == h["x-refers-to-page"] for h in revisits)
+
+
 def test_missing_segment_fails(spark):
     schema = warc._RECORDS
     part = lambda n, total, block: ("i", "i", n, total, "response", 1, None, None, None, block)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import decontam, html_text, lang_id, lattice_lm, near_dup, packing, quality_rules, sharding, url_filter, warc
+from sparkloom.llm import alignment, decontam, divergence, html_text, lang_id, lattice_lm, near_dup, packing, quality_rules, sharding, substring_dedup, url_filter, warc
 from sparkloom.llm.store import new_path
 
 RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
@@ -73,13 +73,25 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_packing, op2_url_filter, op3_sharding, op4_language_id, op5_quality_rules, op6_decontamination, op7_html_text, op8_warc, op9_lm_scoring, op10_near_duplicates)
+    for f in (op1_packing, op2_url_filter, op3_sharding, op4_language_id, op5_quality_rules, op6_decontamination, op7_html_text, op8_warc, op9_lm_scoring, op10_near_duplicates, op11_substring_dedup, op12_source_divergence, op13_token_alignment)
 }
 
 
-
 def _host(u: str) -> str:
     return rf"CASE WHEN instr({u}, '://') > 0 THEN translate(regexp_extract({u}, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END"
 
@@ -129,4 +141,16 @@ ORACLE_SQL: dict[str, str] = {
         SELECT page_id, payload_bytes, p.payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
             CASE WHEN first <> page_id THEN first END AS refers_to
         FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest AND p.payload_bytes >= 100""",
+    # Every 20-word window against the first document and place where its words start.
+    "op11_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, [x FOR x IN regexp_split_to_array(coalesce(text, ''), '[ \t-\r]+') IF x <> ''] AS w FROM documents),
+        s AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS k, unnest([array_to_string(w[k:k+19], ' ') FOR k IN range(1, len(w) - 18)]) AS s FROM d),
+        r AS (SELECT doc_id, k, row_number() OVER (PARTITION BY s ORDER BY doc_id, k) AS n FROM s),
+        g AS (SELECT DISTINCT doc_id, unnest(range(k, k + 20)) AS k FROM r WHERE n > 1),
+        b AS (SELECT doc_id, list(k) AS gone FROM g GROUP BY doc_id),
+        e AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS k, unnest(w) AS x FROM d),
+        t AS (SELECT e.doc_id, string_agg(x, ' ' ORDER BY e.k) AS t FROM e ANTI JOIN g ON e.doc_id = g.doc_id AND e.k = g.k GROUP BY e.doc_id)
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+        FROM d LEFT JOIN b USING (doc_id) LEFT JOIN t USING (doc_id)""",
+    "op12_source_divergence": divergence.ORACLE_SQL,
 }

@@ -257,11 +257,16 @@ def categories(text: Column, words: dict[str, list[str]], suggester=None) -> Col
     return F.when(F.size(F.coalesce(own, F.array().cast("array<string>"))) > 0, F.slice(own, 1, 3)).otherwise(rule)
 
 
+def folded(t: Column) -> Column:
+    """A text without regard to case: lower case, with the sharp s as ss and the final sigma as any other."""
+    return F.replace(F.replace(F.lower(t), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
+
+
 def fold_tags(tags: Column, cap: int | None) -> Column:
     """Trimmed, non-blank tags, the first spelling of each without regard to case, at most `cap` of them."""
     clean = F.filter(F.transform(F.coalesce(tags, F.array().cast("array<string>")), strip), lambda t: t.isNotNull() & (t != ""))
-    first = F.filter(
-        F.transform(clean, lambda t, i: F.struct(t.alias("t"), i.alias("i"))), lambda e: e["i"] == F.array_position(F.transform(clean, lambda x: F.lower(x)), F.lower(e["t"])).cast("int") - 1
-    )
-    out = F.transform(first, lambda e: e["t"])
+    # Each tag's folded form beside it, built once a row.
+    pair = F.transform(clean, lambda t: F.struct(t.alias("t"), folded(t).alias("k")))
+    keep = lambda acc, e: F.when(F.exists(acc, lambda a: a["k"] == e["k"]), acc).otherwise(F.concat(acc, F.array(e)))
+    out = F.transform(F.aggregate(pair, F.array().cast("array<struct<t:string,k:string>>"), keep), lambda e: e["t"])
     return F.slice(out, 1, cap) if cap else out

@@ -37,8 +37,8 @@ def ingest_texts(texts: DataFrame, existing: DataFrame, extractor=first_line, **
     found = extracted(some, ["source_file"], F.array().cast("array<string>"), extractor)
     name = F.substring_index("source_file", "/", -1)
     tagged = found.withColumn("tags", F.when(F.coalesce("source_file", F.lit("")) != "", F.concat("tags", F.array(F.concat(F.lit("source:"), name)))).otherwise(F.col("tags")))
-    new = tagged.withColumn("new_id", F.xxhash64("source_file", "pos", "content")).drop("pos")
-    return K.upload(new, existing, **options)
+    new = tagged.withColumn("new_id", F.xxhash64("source_file", "pos", "content"))
+    return K.upload(new, existing, order=("source_file", "pos", "new_id"), **options)
 
 
 def segment_tags() -> Column:
@@ -70,8 +70,8 @@ def extract_and_upload(segments: DataFrame, messages: DataFrame, existing: DataF
     score = quality.score(F.col("quality_metrics"))
     fit = segments.where("labeled AND NOT memory_extracted").where(score >= DEFAULTS.memory_score)
     found = extract(fit, messages, window, extractor).withColumnRenamed("id", "segment_id")
-    new = found.withColumn("new_id", F.xxhash64("segment_id", "window", "pos")).drop("pos")
-    return K.upload(new, existing, **options)
+    new = found.withColumn("new_id", F.xxhash64("segment_id", "window", "pos"))
+    return K.upload(new, existing, order=("segment_id", "window", "pos"), **options)
 
 
 def memories_of_segments(memories: DataFrame, superseded: DataFrame) -> DataFrame:

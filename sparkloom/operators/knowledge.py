@@ -15,7 +15,8 @@ from sparkloom.config import DEFAULTS
 from sparkloom.functions import messages as M
 from sparkloom.functions import sections as S
 from sparkloom.functions import text as T
-from sparkloom.operators.similarity import nearest_duplicate
+from sparkloom.operators.ranking import global_rank
+from sparkloom.operators.similarity import best_match, nearest_duplicate
 from sparkloom.scratch import discard, saved
 from sparkloom.sources.sessions import slices
 
@@ -53,28 +54,165 @@ def decoded_vector(vector: Column) -> Column:
     return F.coalesce(vector.cast("array<double>"), F.array().cast("array<double>"))
 
 
-def upload(new: DataFrame, existing: DataFrame, soft: float = DEFAULTS.dedup_soft, hard: float = DEFAULTS.dedup_hard, embedder=embed, confirm=None, classifier=None) -> DataFrame:
-    """What becomes of each row of new(new_id, content, context, resolution) against existing memories.
+def upload(new: DataFrame, existing: DataFrame, soft: float = DEFAULTS.dedup_soft, hard: float = DEFAULTS.dedup_hard, embedder=embed, confirm=None, classifier=None, order: tuple[str, ...] = ("new_id",)) -> DataFrame:
+    """What becomes of each row of new(new_id, content, context, resolution), taken one after the other by `order`.
 
-    Fields are sanitised, typed and embedded; the nearest memory of the type at `hard` takes the row as a hit
-    (action merge). One at `soft` does so only if confirm says so, a column function of the existing and the new
-    content and context; without it, and else, the row is inserted as warm. Further columns of new are kept.
+    Fields are sanitised, typed and embedded. A row's candidates are the memories of its type that exist or were inserted for a row
+    before it; the most similar at `soft` is its nearest (ties: hot, warm, cold, then those inserted; then the first).
+    A nearest at `hard` takes the row as a hit (action merge); one below does so only if confirm says so, a column function of
+    its content and context and the row's. Else the row is inserted as warm. Result: new with sanitised fields, memory_type,
+    embedding, action, sim, and the nearest as id (an existing one) or earlier_id (a new row's); of a merge that is duplicate_of or
+    duplicate_of_new. A merge changes no candidate's vector within the call. Further columns of new are kept.
+
+    Rows that no undecided row before them can matter to are decided in rounds, as many as the longest chain of rows that wait for each
+    other. A round compares the undecided rows with one another in blocks and keeps one candidate a row, so that a group of equal rows
+    never becomes pairs.
     """
     clean = new.withColumns({c: T.sanitize(F.col(c)) for c in ("content", "context", "resolution")})
     kind = T.typed(F.col("content"), F.col("context"), F.col("resolution"), classifier)
     vec = lambda d: d.withColumn("embedding", embedder(T.embed_input(F.col("memory_type"), F.col("content"), F.col("context"), F.col("resolution"))))
-    # Rows are read twice below, and texts are embedded once.
-    rows = saved(vec(clean.withColumn("memory_type", kind)), "upload")
-    best = nearest_duplicate(rows.select("new_id", "memory_type", "embedding"), vec(existing), soft)
-    found = rows.join(best, "new_id", "left")
-    sure = F.col("sim") >= hard
-    if confirm is not None:
-        old = existing.select("id", F.col("content").alias("__content"), F.col("context").alias("__context"))
-        found = found.join(old, "id", "left")
-        sure = sure | confirm(F.col("__content"), F.col("__context"), F.col("content"), F.col("context"))
-    merged = F.coalesce(F.col("id").isNotNull() & sure, F.lit(False))
-    out = found.withColumn("action", F.when(merged, "merge").otherwise("insert")).withColumn("duplicate_of", F.when(F.col("action") == "merge", F.col("id")))
-    return out.drop("__content", "__context")
+    # Numbered in order, and written: texts are embedded once.
+    rows = global_rank(vec(clean.withColumn("memory_type", kind)), [F.col(c) for c in order], "__place")
+    old = existing if "embedding" in existing.columns else saved(vec(existing.select("id", "memory_type", "tier", "status", "content", "context", "resolution")), "upload-old")
+    vectors = rows.select("__place", "memory_type", "embedding")
+    best_old = nearest_duplicate(vectors.withColumnRenamed("__place", "new_id"), old, soft).select(F.col("new_id").alias("__place"), F.col("id").alias("old_id"), F.col("sim").alias("old_sim"))
+    best_old = saved(best_old, "upload-nearest")
+    left = saved(vectors.join(best_old.select("__place", "old_id", "old_sim"), "__place", "left").withColumns({"new_place": F.lit(None).cast("long"), "new_sim": F.lit(None).cast("double")}), "upload-open")
+    inserted: DataFrame | None = None
+    sure = F.greatest("old_sim", "new_sim")
+
+    def before(ours: DataFrame, theirs: DataFrame, least: float) -> DataFrame:
+        """(__place, other, sim): the most similar of theirs that comes before each of ours."""
+        found = best_match(ours.select("memory_type", F.col("__place").alias("left_id"), "embedding"), theirs.select("memory_type", F.col("__place").alias("right_id"), F.lit(0).alias("place"), "embedding"), least, "memory_type", earlier=True)
+        return found.select(F.col("left_id").alias("__place"), F.col("right_id").alias("other"), "sim")
+
+    while True:
+        if confirm is None:
+            # These merge, whatever else comes before them.
+            left = left.where(F.coalesce(sure, F.lit(-2.0)) < hard)
+        if left.isEmpty():
+            break
+        waits = saved(left.join(before(left, left, hard if confirm is None else soft), "__place", "left"), "upload-waits")
+        if confirm is None:
+            ready = F.col("other").isNull()
+            goes = waits.where(ready)
+        else:
+            settled = (sure > F.col("sim")) | ((sure == F.col("sim")) & ((F.col("old_sim") == sure) | (F.col("new_place") < F.col("other"))))
+            ready = F.col("other").isNull() | F.coalesce(settled, F.lit(False))
+            goes = waits.where(ready).join(_merged(waits.where(ready), rows, old, confirm, hard), "__place", "left_anti")
+        first = saved(goes.select("__place", "memory_type", "embedding"), "upload-new")
+        inserted = first if inserted is None else inserted.unionByName(first)
+        rest = waits.where(~ready).drop("other", "sim")
+        near = before(rest, first, hard if confirm is None else soft)
+        closer = F.col("sim").isNotNull() & (F.col("new_sim").isNull() | (F.col("sim") > F.col("new_sim")) | ((F.col("sim") == F.col("new_sim")) & (F.col("other") < F.col("new_place"))))
+        moved = rest.join(near, "__place", "left").withColumn("c", closer)
+        done, left = left, saved(moved.withColumns({"new_place": F.when(F.col("c"), F.col("other")).otherwise(F.col("new_place")), "new_sim": F.when(F.col("c"), F.col("sim")).otherwise(F.col("new_sim"))}).drop("other", "sim", "c"), "upload-open")
+        discard(done, waits)
+    # Each row's nearest among all that were there when its turn came.
+    if inserted is None:
+        inserted = vectors.limit(0)
+    fresh = inserted.select("__place").withColumn("__new", F.lit(True))
+    names = rows.select(F.col("__place").alias("other"), F.col("new_id").alias("earlier_id"))
+    nearest = before(vectors, inserted, soft).withColumnRenamed("sim", "new_sim").join(names, "other")
+    out = rows.join(best_old, "__place", "left").join(nearest, "__place", "left").join(fresh, "__place", "left")
+    of_old = F.coalesce(F.col("old_sim") >= F.col("new_sim"), F.col("old_sim").isNotNull())
+    out = out.withColumns({"sim": F.greatest("old_sim", "new_sim"), "id": F.when(of_old, F.col("old_id")), "earlier_id": F.when(~of_old, F.col("earlier_id")), "action": F.when(F.col("__new"), "insert").otherwise("merge")})
+    merge = F.col("action") == "merge"
+    return out.withColumns({"duplicate_of": F.when(merge, F.col("id")), "duplicate_of_new": F.when(merge, F.col("earlier_id"))}).drop("__place", "__new", "old_id", "old_sim", "new_sim", "other")
+
+
+def _merged(ready: DataFrame, rows: DataFrame, old: DataFrame, confirm, hard: float) -> DataFrame:
+    """Of rows whose nearest is known those that merge into it."""
+    of_old = F.coalesce(F.col("old_sim") >= F.col("new_sim"), F.col("old_sim").isNotNull())
+    texts = rows.select("__place", "content", "context")
+    pair = ready.select("__place", F.when(of_old, F.col("old_id")).alias("id"), F.when(~of_old, F.col("new_place")).alias("other"), F.greatest("old_sim", "new_sim").alias("sim")).where("sim IS NOT NULL").join(texts, "__place")
+    first = old.select("id", F.col("content").alias("a"), F.col("context").alias("ax"))
+    second = texts.select(F.col("__place").alias("other"), F.col("content").alias("b"), F.col("context").alias("bx"))
+    pair = pair.join(first, "id", "left").join(second, "other", "left")
+    says = confirm(F.when(F.col("id").isNotNull(), F.col("a")).otherwise(F.col("b")), F.when(F.col("id").isNotNull(), F.col("ax")).otherwise(F.col("bx")), F.col("content"), F.col("context"))
+    return pair.where((F.col("sim") >= hard) | F.coalesce(says, F.lit(False))).select("__place")
+
+
+#: Texts of one memory that are merged in one step of complete_uploads().
+FOLD = 500
+
+
+def complete_uploads(memories: DataFrame, uploaded: DataFrame, at: str, merger=None, embedder=embed, cap: int = DEFAULTS.tag_cap) -> DataFrame:
+    """memories after upload(): rows inserted, and those that took hits brought up to date.
+
+    A row of action insert becomes a memory of its new_id: warm, active, one hit, with its tags and summaries. Each row of action
+    merge gives its memory, existing or inserted, one hit at `at`, and its tags after those it has (the first spelling of
+    each, `cap` at most). A merger (see merged_fields) makes the memory's texts of the old and the row's, one row after the
+    other; where they change, embedding and summaries follow. Without one texts stay. new_id is their order.
+    Memories need the columns id, memory_type, content, context, resolution, tags, hit_count, tier, status; last_hit_at, created_at,
+    embedding and summaries are kept up where they are there.
+
+    Hits are sums, tags the first `cap` by order, so a memory that takes a third of all rows costs a task no more than
+    others; texts are merged FOLD rows of a memory at a step.
+    """
+    fields, cols = ["content", "context", "resolution"], memories.columns
+    when = F.lit(at).cast("timestamp_ntz")
+    up = uploaded if "tags" in uploaded.columns else uploaded.withColumn("tags", F.array().cast("array<string>"))
+    l0, l1 = T.summaries(*map(F.col, fields), DEFAULTS.l0_tokens, DEFAULTS.l1_tokens)
+    given = {"id": F.col("new_id"), "tier": F.lit("warm"), "hit_count": F.lit(1), "status": F.lit("active"), "created_at": when, "last_hit_at": when, "summary_l0": l0, "overview_l1": l1}
+    kinds = {f.name: f.dataType for f in memories.schema}
+    value = lambda c: given.get(c, F.col(c) if c in up.columns else F.lit(None))
+    born = up.where("action = 'insert'").select(*[value(c).cast(kinds[c]).alias(c) for c in cols])
+    now = saved(memories.unionByName(born), "uploaded")
+    hits = up.where("action = 'merge'").select(F.coalesce(F.col("duplicate_of"), F.col("duplicate_of_new")).cast(kinds["id"]).alias("id"), F.col("new_id").alias("seq"), *fields, "tags")
+    hits = saved(hits, "upload-hits")
+    count = hits.groupBy("id").agg(F.count(F.lit(1)).alias("__hits"))
+    tags = folded_tags(now.select("id", F.lit(None).cast("long").alias("seq"), "tags").join(count.select("id"), "id", "left_semi").unionByName(hits.select("id", F.col("seq").cast("long"), "tags")), cap)
+    out = now.join(count, "id", "left").join(tags.withColumnRenamed("tags", "__tags"), "id", "left")
+    hit = F.col("__hits").isNotNull()
+    values = {"hit_count": F.col("hit_count") + F.coalesce("__hits", F.lit(0)), "tags": F.when(hit, F.coalesce("__tags", F.array().cast("array<string>"))).otherwise(F.col("tags"))}
+    if "last_hit_at" in cols:
+        values["last_hit_at"] = F.when(hit, when).otherwise(F.col("last_hit_at"))
+    out = out.withColumns(values)
+    if merger is not None:
+        texts = _folded_texts(now.select("id", *fields), hits, merger)
+        out = out.join(texts, "id", "left")
+        changed = F.col("__merged").isNotNull() & ~F.struct(*fields).eqNullSafe(F.col("__merged"))
+        out = out.withColumn("__changed", changed).withColumns({c: F.when(F.col("__changed"), F.col(f"__merged.{c}")).otherwise(F.col(c)) for c in fields})
+        fresh = {}
+        if "embedding" in cols:
+            fresh["embedding"] = F.when(F.col("__changed"), embedder(F.when(F.col("__changed"), T.embed_input(F.col("memory_type"), *map(F.col, fields))))).otherwise(F.col("embedding"))
+        if "summary_l0" in cols:
+            fresh |= {"summary_l0": F.when(F.col("__changed"), l0).otherwise(F.col("summary_l0")), "overview_l1": F.when(F.col("__changed"), l1).otherwise(F.col("overview_l1"))}
+        out = out.withColumns(fresh) if fresh else out
+    return out.select(*cols)
+
+
+def folded_tags(rows: DataFrame, cap: int | None = DEFAULTS.tag_cap) -> DataFrame:
+    """(id, tags) of rows(id, seq, tags): the tags of each id's rows by seq (null first), trimmed, the first spelling of each
+    without regard to case, `cap` at most. By aggregates: no id's rows meet before its distinct tags are cut to the cap."""
+    each = rows.select("id", "seq", F.posexplode("tags").alias("at", "t")).withColumn("t", T.strip(F.col("t"))).where("t <> ''")
+    place = F.struct(F.coalesce(F.col("seq"), F.lit(-(1 << 63))).alias("s"), F.col("at"), F.col("t"))
+    first = each.groupBy("id", T.folded(F.col("t")).alias("k")).agg(F.min(place).alias("p"))
+    if cap is not None:
+        first = first.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("p"))).where(F.col("r") <= cap)
+    return first.groupBy("id").agg(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["t"]).alias("tags"))
+
+
+def _folded_texts(texts: DataFrame, hits: DataFrame, merger) -> DataFrame:
+    """(id, __merged): the texts of memories that took hits after a merger has gone over these in order."""
+    fields = ["content", "context", "resolution"]
+    parts = lambda s: [s[c] for c in fields]
+    numbered = saved(hits.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("seq"))), "upload-numbered")
+    now = texts.join(numbered.where("r = 1").select("id"), "id").select("id", F.struct(*fields).alias("__merged"))
+    last = numbered.agg(F.max("r")).first()[0] or 0
+    for start in range(0, last, FOLD):
+        some = numbered.where((F.col("r") > start) & (F.col("r") <= start + FOLD)).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("r", *fields))).alias("l"))
+        step = lambda acc, x: F.struct(*[c.alias(n) for n, c in zip(fields, merged_fields(parts(acc), parts(x), merger), strict=True)])
+        both = now.join(some, "id", "left")
+        now = saved(both.select("id", F.when(F.col("l").isNull(), F.col("__merged")).otherwise(F.aggregate("l", F.col("__merged"), step)).alias("__merged")), "upload-folded")
+    return now
+
+
+def contributions(uploaded: DataFrame, at: str) -> DataFrame:
+    """(memory_id, content, context, resolution, contributed_at): a row for each merge that brings a content or a resolution."""
+    m = uploaded.where("action = 'merge' AND (coalesce(content, '') <> '' OR coalesce(resolution, '') <> '')")
+    return m.select(F.coalesce(F.col("duplicate_of"), F.col("duplicate_of_new")).alias("memory_id"), "content", "context", "resolution", F.lit(at).cast("timestamp_ntz").alias("contributed_at"))
 
 
 def merge_tags(memories: DataFrame, incoming: DataFrame, cap: int = DEFAULTS.tag_cap) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.config import DEFAULTS
 from sparkloom.functions import text as T
+from sparkloom.operators import clusters as C
 from sparkloom.operators import evolution as E
 from sparkloom.operators import extraction as Q
 from sparkloom.operators import knowledge as K
@@ -35,16 +36,30 @@ def clean_sql(text: str) -> str:
     return f"list_reduce(list_prepend({text}, {cards}), lambda a, c: replace(a, c, '{T.CARD_MARK}'))"
 
 
-def upload_sql(new: str, old: str) -> str:
-    """DuckDB CTEs that end in `up`: what knowledge.upload() makes of `new` (new_id, content, context, resolution) against `old`."""
+def upload_sql(new: str, old: str, order: str = "new_id", confirm: str = "false", hard: float = 0.85) -> str:
+    """DuckDB CTEs that end in `up`: what knowledge.upload() makes of `new` (new_id, content, context, resolution) against `old`, row after row."""
     blob = "lower(concat_ws(chr(10), content, context, resolution))"
     put = lambda k: f"'memory type: ' || {k} || ' content: ' || substring(content, 1, 300) || ' context: ' || substring(context, 1, 200) || ' resolution: ' || substring(resolution, 1, 200)"
     return f"""clean AS (SELECT * REPLACE ({clean_sql('content')} AS content, {clean_sql('context')} AS context, {clean_sql('resolution')} AS resolution) FROM {new}),
     kinds AS (SELECT *, CASE WHEN {_any(T.SECURITY_MARKERS, 'b')} THEN 'security' WHEN {_any(T.ERROR_MARKERS, 'b')} THEN 'error' ELSE 'pattern' END AS memory_type FROM (SELECT *, {blob} AS b FROM clean)),
-    nv AS (SELECT *, {DIGITS_SQL.format(t=put('memory_type'))} AS v FROM kinds), ov AS (SELECT *, {DIGITS_SQL.format(t=put('memory_type'))} AS v FROM {old} WHERE status <> 'archived'),
-    cand AS (SELECT new_id, ov.id, ov.tier, ov.content AS old_content, round(list_cosine_similarity(nv.v, ov.v), 9) AS sim FROM nv JOIN ov USING (memory_type)),
-    best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY new_id ORDER BY sim DESC, CASE tier WHEN 'hot' THEN 0 WHEN 'warm' THEN 1 ELSE 2 END, id) AS r FROM cand WHERE sim >= 0.75) WHERE r = 1),
-    up AS (SELECT nv.*, best.id, sim, old_content, CASE WHEN sim >= 0.85 THEN 'merge' ELSE 'insert' END AS action, CASE WHEN sim >= 0.85 THEN best.id END AS duplicate_of FROM nv LEFT JOIN best USING (new_id))"""
+    nv AS (SELECT *, row_number() OVER (ORDER BY {order}) AS place, {DIGITS_SQL.format(t=put('memory_type'))} AS v FROM kinds), ov AS (SELECT *, {DIGITS_SQL.format(t=put('memory_type'))} AS v FROM {old} WHERE status <> 'archived'),
+    cand AS (SELECT nv.place, ov.id, NULL::BIGINT AS other, CASE tier WHEN 'hot' THEN 0 WHEN 'warm' THEN 1 ELSE 2 END AS t, ov.content AS said, round(list_cosine_similarity(nv.v, ov.v), 9) AS sim FROM nv JOIN ov USING (memory_type)
+        UNION ALL SELECT a.place, NULL, b.place, 3, b.content, round(list_cosine_similarity(a.v, b.v), 9) FROM nv a JOIN nv b ON a.memory_type = b.memory_type AND b.place < a.place),
+    lists AS (SELECT place, list({{'id': id, 'other': other, 'said': said, 'sim': sim}} ORDER BY sim DESC, t, coalesce(id, other)) AS c FROM cand WHERE sim >= 0.75 GROUP BY place),
+    turns AS (SELECT nv.place, c FROM nv LEFT JOIN lists USING (place)),
+    taken AS (SELECT 0::BIGINT AS place, []::BIGINT[] AS ins, NULL::VARCHAR AS action, NULL::BIGINT AS id, NULL::BIGINT AS other
+        UNION ALL SELECT place, CASE WHEN merges THEN ins ELSE list_append(ins, place) END, CASE WHEN merges THEN 'merge' ELSE 'insert' END, best.id, best.other FROM (
+            SELECT *, best IS NOT NULL AND coalesce(best.sim >= {hard} OR {confirm.format(said='best.said')}, false) AS merges FROM (
+            SELECT turns.place, ins, list_filter(c, lambda x: x.other IS NULL OR list_contains(ins, x.other))[1] AS best FROM taken JOIN turns ON turns.place = taken.place + 1))),
+    up AS (SELECT nv.*, taken.action, CASE WHEN taken.action = 'merge' THEN taken.id END AS duplicate_of, CASE WHEN taken.action = 'merge' THEN e.new_id END AS duplicate_of_new
+        FROM nv JOIN taken USING (place) LEFT JOIN nv e ON e.place = taken.other)"""
+
+
+#: DuckDB CTE of one cluster after the other: rows(k, i, id, v) of each k in order of i, from no clusters.
+LEADERS_SQL = """leaders AS (SELECT DISTINCT k, 0::BIGINT AS i, []::STRUCT(id BIGINT, s DOUBLE[])[] AS c, NULL::BIGINT AS id, NULL::BIGINT AS cluster_id FROM {rows}
+    UNION ALL SELECT k, i, CASE WHEN joins THEN list_concat(list_append(c[1:pos - 1], {{'id': c[pos].id, 's': list_transform(list_zip(c[pos].s, v), lambda x: x[1] + x[2])}}), c[pos + 1:]) ELSE list_append(c, {{'id': id, 's': v}}) END,
+        id, CASE WHEN joins THEN c[pos].id ELSE id END FROM (SELECT *, coalesce(list_max(sims) >= 0.3, false) AS joins, list_position(sims, list_max(sims)) AS pos FROM (
+        SELECT g.k, r.i, r.id, r.v, g.c, list_transform(g.c, lambda x: round(list_cosine_similarity(x.s, r.v), 12)) AS sims FROM leaders g JOIN {rows} r ON r.k = g.k AND r.i = g.i + 1)))"""
 
 
 _OLD = "old AS (SELECT id, CASE id % 3 WHEN 0 THEN memory_type ELSE 'pattern' END AS memory_type, tier, status, content, context, resolution FROM memories WHERE id % 10 <> 0)"
@@ -57,18 +72,61 @@ def _split(spark, sf):
     return new, old.select("id", "memory_type", "tier", "status", "content", "context", "resolution")
 
 
-@query(ctes("memories") + f", new AS (SELECT id AS new_id, content, context, resolution FROM memories WHERE id % 10 = 0), {_OLD}, " + upload_sql("new", "old") + " SELECT new_id, memory_type, action, duplicate_of FROM up")
+_NEW = "new AS (SELECT id AS new_id, content, context, resolution, tags FROM memories WHERE id % 10 = 0)"
+_UPLOAD = ctes("memories").replace("WITH ", "WITH RECURSIVE ", 1) + f", {_NEW}, {_OLD}, "
+
+
+@query(_UPLOAD + upload_sql("new", "old") + " SELECT new_id, memory_type, action, duplicate_of, duplicate_of_new FROM up")
 def pipe01_upload(spark, sf):
     new, old = _split(spark, sf)
-    return K.upload(new, old, embedder=digits).select("new_id", "memory_type", "action", "duplicate_of")
+    return K.upload(new, old, embedder=digits).select("new_id", "memory_type", "action", "duplicate_of", "duplicate_of_new")
 
 
 @query(
-    ctes("memories")
-    + f", new AS (SELECT id AS new_id, content, context, resolution FROM memories WHERE id % 10 = 0), {_OLD}, "
-    + upload_sql("new", "old")
-    + " SELECT new_id, CASE WHEN id IS NOT NULL AND length(old_content) % 2 = 0 THEN 'merge' ELSE 'insert' END AS action FROM up"
+    _UPLOAD + upload_sql("new", "old") + ", own AS (SELECT 'all' AS k, row_number() OVER (ORDER BY new_id) AS i, new_id AS id, v FROM up WHERE action = 'insert'), " + LEADERS_SQL.format(rows="own")
+    + " SELECT id, cluster_id FROM leaders WHERE id IS NOT NULL"
 )
+def pipe01_clusters(spark, sf):
+    """The memories that an upload inserts, each to the cluster that it joins or founds."""
+    new, old = _split(spark, sf)
+    up = K.upload(new, old, embedder=digits)
+    return C.leader_clusters(up.where("action = 'insert'").select(F.col("new_id").alias("id"), "embedding"), 0.3).assigned
+
+
+def _completed(spark, sf, merger=None):
+    m = X.memories(spark, sf)
+    new, old = _split(spark, sf)
+    up = K.upload(new.join(m.select(F.col("id").alias("new_id"), "tags"), "new_id"), old, embedder=digits)
+    known = old.join(m.select("id", "tags", "hit_count", "last_hit_at"), "id")
+    return K.complete_uploads(known, up, X.AS_OF, merger), K.contributions(up, X.AS_OF)
+
+
+_AFTER = """, base AS (SELECT o.id, o.content, m.tags, m.hit_count, m.last_hit_at FROM old o JOIN memories m USING (id) UNION ALL SELECT new_id, content, tags, 1, TIMESTAMP '2024-02-01' FROM up WHERE action = 'insert'),
+    hit AS (SELECT coalesce(duplicate_of, duplicate_of_new) AS id, new_id AS seq, content, tags FROM up WHERE action = 'merge'), n AS (SELECT id, count(*) AS hits FROM hit GROUP BY id),
+    e AS (SELECT id, -1 AS seq, unnest(tags) AS t, unnest(range(len(tags))) AS pos FROM base UNION ALL SELECT id, seq, unnest(tags), unnest(range(len(tags))) FROM hit),
+    f AS (SELECT id, arg_min(t, (seq, pos)) AS t, min((seq, pos)) AS p FROM e GROUP BY id, lower(t)), l AS (SELECT id, list(t ORDER BY p)[1:10] AS tags FROM f GROUP BY id)"""
+
+
+@query(_UPLOAD + upload_sql("new", "old") + _AFTER + " SELECT base.id, hit_count + coalesce(hits, 0) AS hit_count, CASE WHEN hits > 0 THEN TIMESTAMP '2024-02-01' ELSE last_hit_at END AS last_hit_at, l.tags FROM base LEFT JOIN n USING (id) LEFT JOIN l USING (id)")
+def pipe02_completed(spark, sf):
+    """Memories after an upload: those inserted, and hits and tags of those that took a near-duplicate."""
+    return _completed(spark, sf)[0].select("id", "hit_count", "last_hit_at", "tags")
+
+
+@query(_UPLOAD + upload_sql("new", "old") + " SELECT coalesce(duplicate_of, duplicate_of_new) AS memory_id, content, context, resolution, TIMESTAMP '2024-02-01' AS contributed_at FROM up WHERE action = 'merge' AND (content <> '' OR resolution <> '')")
+def pipe02_contributions(spark, sf):
+    return _completed(spark, sf)[1]
+
+
+@query(_UPLOAD + upload_sql("new", "old") + _AFTER + ", s AS (SELECT id, string_agg(length(content), '+' ORDER BY seq) AS more FROM hit GROUP BY id) SELECT base.id, CASE WHEN more IS NULL THEN content ELSE length(content) || '+' || more END AS content FROM base LEFT JOIN s USING (id)")
+def pipe02_merged_texts(spark, sf):
+    """A merger that tells the lengths of what it merged, so that the order of the merges shows."""
+    size = lambda c: F.when(c.rlike(r"^\d+(\+\d+)*$"), c).otherwise(F.length(c).cast("string"))
+    merger = lambda old, new: F.struct(F.concat_ws("+", size(old[0]), F.length(new[0])).alias("content"), old[1].alias("context"), old[2].alias("resolution"))
+    return _completed(spark, sf, merger)[0].select("id", "content")
+
+
+@query(_UPLOAD + upload_sql("new", "old", confirm="length({said}) % 2 = 0", hard=1.1) + " SELECT new_id, action FROM up")
 def udf03_confirmed_duplicates(spark, sf):
     new, old = _split(spark, sf)
     up = K.upload(new, old, hard=1.1, embedder=digits, confirm=lambda content, context, own, own_context: F.length(content) % 2 == 0)
@@ -79,8 +137,8 @@ _TEXTS = f"""t AS (SELECT '/data/' || lang || '/' || doc_id || '.txt' AS source_
 
 
 @query(
-    ctes("memories")
-    + f""", {_TEXTS}, new AS (SELECT doc_id AS new_id, split_part({strip_sql('text')}, chr(10), 1) AS content, '' AS context, '' AS resolution FROM t), {_OLD}, {upload_sql('new', 'old')}
+    ctes("memories").replace("WITH ", "WITH RECURSIVE ", 1)
+    + f""", {_TEXTS}, new AS (SELECT doc_id AS new_id, source_file, split_part({strip_sql('text')}, chr(10), 1) AS content, '' AS context, '' AS resolution FROM t), {_OLD}, {upload_sql('new', 'old', 'source_file')}
     SELECT '/data/' || lang || '/' || new_id || '.txt' AS source_file, up.content, ['source:' || new_id || '.txt'] AS tags, memory_type, action FROM up JOIN documents ON doc_id = new_id WHERE {strip_sql('up.content')} <> ''"""
 )
 def src04_ingest_texts(spark, sf):
@@ -108,7 +166,7 @@ WINDOWS_SQL = lambda most: _WINDOWED.replace("{most}", str(most)).replace("{cut}
     ctes("native", "memories").replace("WITH ", "WITH RECURSIVE ", 1)
     + WINDOWS_SQL(1000)
     + f""", x AS (SELECT session, win, split_part(string_agg('[' || role || ']: ' || body, chr(10) ORDER BY msg_idx), chr(10), 1) AS content FROM packed WHERE session % 7 <> 0 AND session % 4 <> 0 AND session % 11 >= 7 GROUP BY session, win),
-    new AS (SELECT session * 1000 + win AS new_id, session, win, content, '' AS context, '' AS resolution FROM x), {_OLD}, {upload_sql('new', 'old')}
+    new AS (SELECT session * 1000 + win AS new_id, session, win, content, '' AS context, '' AS resolution FROM x), {_OLD}, {upload_sql('new', 'old', 'session, win')}
     SELECT session AS segment_id, win AS "window", content, memory_type, action, list_filter(['trajectory', 'type:' || CASE WHEN session % 2 = 0 THEN 'code' ELSE 'other' END, 'segment:' || session,
     CASE WHEN session % 3 <> 0 THEN 'topic:' || substring(repeat('topic ', 8) || session, 1, 40) END, CASE WHEN session % 5 <> 0 THEN 'agent:agent' || (session % 4) END], lambda x: x IS NOT NULL) AS tags FROM up"""
 )

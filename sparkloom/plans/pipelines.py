@@ -162,12 +162,12 @@ def pipe21_role_resources(spark, sf):
 
 @query(
     ctes("memories")
-    + """SELECT id, CASE WHEN id % 2 = 0 THEN ['lang:' || context, 'src:' || resolution, 'extra'] ELSE tags END AS tags FROM memories"""
+    + """SELECT id, CASE WHEN id % 2 = 0 THEN ['lang:' || context, 'src:' || resolution, 'Extra'] ELSE tags END AS tags FROM memories"""
 )
 def pipe02_merged_tags(spark, sf):
     m = X.memories(spark, sf).select("id", "tags")
     new = m.where("id % 2 = 0").select("id", F.array(F.lit("Extra "), F.lit("EXTRA")).alias("incoming"))
-    return K.merge_tags(m, new).select("id", F.transform("tags", lambda t: F.when(t == "Extra", "extra").otherwise(t)).alias("tags"))
+    return K.merge_tags(m, new)
 
 
 _MERGES = """, p AS (SELECT a.id AS ia, b.id AS ib, a.hit_count AS ha, b.hit_count AS hb, round(list_cosine_similarity(a.embedding, b.embedding), 6) AS sim FROM vectors a JOIN vectors b
@@ -215,11 +215,6 @@ def pipe04_apply_merges(spark, sf):
     return done.select("id", "hit_count", "status", "content", "context", F.size("tags").cast("long").alias("tags"))
 
 
-@query(None)
-def pipe05_leader_clusters(spark, sf):
-    return V.leader_clusters(X.vectors(spark, sf), 0.3)
-
-
 @query("SELECT doc_id AS id, round(least(1.0, length(text) / 200.0), 4) AS score, true AS labeled FROM documents")
 def pipe08_label_segments(spark, sf):
     done = K.label(X.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"))

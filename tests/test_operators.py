@@ -90,30 +90,6 @@ def test_best_match_in_blocks(spark, block):
     assert got[0] == 400
 
 
-def test_leader_clusters(spark):
-    rows = [(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [0.0, 1.0]), (4, [0.1, 1.0]), (5, None)]
-    df = spark.createDataFrame(rows, "id long, embedding array<double>").withColumn("memory_type", F.lit("error"))
-    assert {r.id: r.cluster_id for r in S.leader_clusters(df).collect()} == {1: 1, 2: 1, 3: 3, 4: 3, 5: None}
-
-
-def test_leader_clusters_one_by_one(spark):
-    g = np.random.default_rng(5)
-    rows = [(i, "ab"[i % 2], g.normal(size=5).tolist()) for i in range(300)]
-    want, clusters = {}, {"a": [], "b": []}
-    for i, k, v in rows:
-        sims = [float(np.dot(c[1], v) / np.linalg.norm(c[1]) / np.linalg.norm(v)) for c in clusters[k]]
-        best = int(np.argmax(sims)) if sims else -1
-        if best >= 0 and sims[best] >= 0.9:
-            clusters[k][best][1] += np.array(v)
-        else:
-            clusters[k].append([i, np.array(v)])
-            best = len(clusters[k]) - 1
-        want[i] = clusters[k][best][0]
-    df = spark.createDataFrame(rows, "id long, memory_type string, embedding array<double>")
-    assert {r.id: r.cluster_id for r in S.leader_clusters(df, 0.9).collect()} == want
-    assert len({*want.values()}) > 140
-
-
 def greedy(pairs, most):
     lost, out = set(), []
     for sim, w, lo in sorted(pairs, key=lambda p: (-p[0], p[1], p[2])):

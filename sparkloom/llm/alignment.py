@@ -8,7 +8,7 @@ of every pair.
 
 Posting rows are shuffled by A id and sorted, so that each id comes as one stream: first the numbers of documents of its pairs, added up to counts and
 their maximum (as many entries as B has ids, at most), then its postings, from which each document's contribution follows. The
-contributions are summed by document. An A id with more postings than a quarter of a partition's share is dealt over several tasks, all of which
+contributions are shuffled by chunk and summed by document. An A id with more postings than a quarter of a partition's share is dealt over several tasks, all of which
 get its counts; those come from an aggregate then, so that no task gets more than its share.
 """
 
@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +28,14 @@ from sparkloom.llm import bytesops as B
 from sparkloom.llm.store import saved, ship
 
 #: Parts of texts that a worker remembers at once; beyond that it begins anew.
-KNOWN_UNITS = 200_000
+KNOWN_UNITS = 400_000
 #: Postings of a chunk, and its documents at most (a document's number in its chunk has 16 bits).
 CHUNK_POSTINGS, CHUNK_DOCS = 1_500_000, 60_000
+#: Parts that A encodes in one call.
+JOINED_UNITS = 5000
 #: Groups with more pairs than this are counted by distinct ids.
 LARGE_GROUP = 1024
-#: Contributions that a task adds up before it gives them away.
+#: Postings whose contributions a task adds up before it gives them away.
 TOGETHER = 1_000_000
 
 FACTS = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, a int, bs array<int>, ns array<int>, docs binary, times binary"
@@ -112,14 +115,45 @@ class Aligner:
         self.times: list[np.ndarray] = []
         self.sizes: list[np.ndarray] = []
 
+    def encoded_a(self, units: list[bytes], texts: list[str], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A's ids of the parts one after the other, and how many each has. Parts that end in a letter of Latin-1 or a printable ASCII
+        character go through the tokenizer many at a time: a text may be cut before the next one's space."""
+        plain = np.array([0x20 < u[-1] < 0x7F or (u[-1] >= 0x80 and u[-2] == 0xC3) for u in units])
+        alone = np.flatnonzero(~plain)
+        given = {int(k): e.ids for k, e in zip(alone, self.a.encode_batch([texts[k] for k in alone], add_special_tokens=False), strict=True)}
+        flat, counts = [], np.zeros(len(units), np.int64)
+        some = np.flatnonzero(plain)
+        for at in range(0, len(some), JOINED_UNITS):
+            part = some[at : at + JOINED_UNITS]
+            ids = np.array(self.a.encode("".join([texts[k] for k in part]), add_special_tokens=False).ids, np.int64)
+            ends, bounds = np.cumsum(self.of_a.sizes[ids]), np.cumsum(sizes[part])
+            cuts = np.searchsorted(ends, bounds, "right")
+            if not len(ids) or ends[-1] != bounds[-1] or (ends[cuts - 1] != bounds).any():
+                # Not a tokenizer that treats parts alone.
+                for k, e in zip(part, self.a.encode_batch([texts[k] for k in part], add_special_tokens=False), strict=True):
+                    given[int(k)] = e.ids
+                continue
+            counts[part] = np.diff(cuts, prepend=0)
+            flat.append((part, ids))
+        for k, ids in given.items():
+            counts[k] = len(ids)
+        out = np.zeros(int(counts.sum()), np.int64)
+        begin = np.cumsum(counts) - counts
+        for part, ids in flat:
+            n = counts[part]
+            out[np.arange(len(ids)) + np.repeat(begin[part] - (np.cumsum(n) - n), n)] = ids
+        for k, ids in given.items():
+            out[begin[k] : begin[k] + len(ids)] = ids
+        return out, counts
+
     def learn(self, hashes: np.ndarray, units: list[bytes]) -> None:
         """Remember what these parts give: numbers (A, B, groups, links), the groups as text, distinct pairs and their multiplicities."""
         texts = [u.decode("utf-8", "replace") for u in units]
-        ids_a = [e.ids for e in self.a.encode_batch(texts, add_special_tokens=False)]
-        ids_b = self.b.encode([t[1:] for t in texts], num_threads=1)
-        n_a, n_b = (np.array([len(x) for x in ids], np.int64) for ids in (ids_a, ids_b))
-        flat_a, flat_b = (np.fromiter((i for x in ids for i in x), np.int64) for ids in (ids_a, ids_b))
         sizes = np.array([len(u) for u in units], np.int64)
+        flat_a, n_a = self.encoded_a(units, texts, sizes)
+        ids_b = self.b.encode([t[1:] for t in texts], num_threads=1)
+        n_b = np.fromiter(map(len, ids_b), np.int64, len(ids_b))
+        flat_b = np.fromiter(chain.from_iterable(ids_b), np.int64, int(n_b.sum()))
         of_a, of_b = np.repeat(np.arange(len(units)), n_a), np.repeat(np.arange(len(units)), n_b)
         right = np.ones(len(units), bool)
         for of, flat, pieces in ((of_a, flat_a, self.of_a), (of_b, flat_b, self.of_b)):
@@ -298,16 +332,20 @@ def facts(docs: DataFrame, path_a: str, path_b: str, text: str = "text", key: st
 
 
 def _contributions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Streams of A ids, counts before postings, to (row, n_best, count_sum) of documents, summed within the task."""
+    """Streams of A ids, counts before postings, to contributions (chunk, docs, best, sums) of the documents of a chunk, added up
+    for as many postings as a task gathers."""
     rows, best, sums, n = [], [], [], 0
     stream, heard, bs, counts, most = None, [], None, None, 0
 
     def added() -> pa.RecordBatch:
-        row, b, s = (np.concatenate(x) for x in (rows, best, sums))
-        order = np.argsort(row, kind="stable")
-        row = row[order]
-        new = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-        return pa.RecordBatch.from_arrays([pa.array(row[new]), pa.array(np.add.reduceat(b[order], new)), pa.array(np.add.reduceat(s[order], new))], names=["row", "n_best", "count_sum"])
+        chunk, doc = (np.concatenate([x[k] for x in rows]) for k in (0, 1))
+        order = np.lexsort((doc, chunk))
+        chunk, doc = chunk[order], doc[order]
+        new = np.flatnonzero(np.append(True, (chunk[1:] != chunk[:-1]) | (doc[1:] != doc[:-1])))
+        b, s = (np.add.reduceat(np.concatenate(x)[order], new) for x in (best, sums))
+        chunk, doc = chunk[new], doc[new]
+        cuts = np.append(np.flatnonzero(np.append(True, chunk[1:] != chunk[:-1])), len(chunk))
+        return pa.RecordBatch.from_arrays([pa.array(chunk[cuts[:-1]]), _blobs(doc.astype("<u2"), cuts), _blobs(b.astype("<u8"), cuts), _blobs(s.astype("<u8"), cuts)], names=["chunk", "docs", "best", "sums"])
 
     for batch in batches:
         a, salt, tag, first, own_bs, own_ns, docs, times = (batch.column(batch.schema.get_field_index(c)) for c in ("a", "salt", "tag", "row", "bs", "ns", "docs", "times"))
@@ -326,7 +364,7 @@ def _contributions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 most = counts.max()
             c = np.repeat(counts[np.searchsorted(bs, b)], m)
             t = np.frombuffer(times[k].as_buffer(), "<u4").astype(np.int64)
-            rows.append(first[k].as_py() + np.frombuffer(docs[k].as_buffer(), "<u2").astype(np.int64))
+            rows.append((np.full(len(t), first[k].as_py()), np.frombuffer(docs[k].as_buffer(), "<u2").astype(np.int64)))
             best.append(np.where(c == most, t, 0))
             sums.append(c * t)
             n += len(t)
@@ -337,6 +375,29 @@ def _contributions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield added()
 
 
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contributions sorted by chunk to (row, n_best, count_sum): what is held is the sums of one chunk's documents."""
+    now, best, sums = None, None, None
+
+    def told() -> pa.RecordBatch:
+        at = np.flatnonzero(sums)
+        return pa.RecordBatch.from_arrays([pa.array(now + at), pa.array(best[at]), pa.array(sums[at])], names=["row", "n_best", "count_sum"])
+
+    for batch in batches:
+        chunk, docs, own_best, own_sums = batch.columns
+        for k in range(batch.num_rows):
+            if chunk[k].as_py() != now:
+                if now is not None:
+                    yield told()
+                now, best, sums = chunk[k].as_py(), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+            at = np.frombuffer(docs[k].as_buffer(), "<u2")
+            # A document is there once a row.
+            best[at] += np.frombuffer(own_best[k].as_buffer(), "<i8")
+            sums[at] += np.frombuffer(own_sums[k].as_buffer(), "<i8")
+    if now is not None:
+        yield told()
+
+
 def _counts(heard: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     b, n = (np.concatenate(x) for x in zip(*heard, strict=True))
     order = np.argsort(b, kind="stable")
@@ -376,7 +437,8 @@ def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None,
         dealt.select("a", F.coalesce(F.pmod(F.xxhash64("row"), F.col("salts")).cast("int"), F.lit(0)).alias("salt"), F.lit(1).alias("tag"), "row", "bs", F.col("ns").cast("array<long>").alias("ns"), "docs", "times"),
     ]
     stream = streams[0].unionByName(streams[1]).unionByName(streams[2]).repartition("a", "salt").sortWithinPartitions("a", "salt", "tag", "row")
-    given = stream.mapInArrow(_contributions, "row long, n_best long, count_sum long").groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
+    given = stream.mapInArrow(_contributions, "chunk long, docs binary, best binary, sums binary").repartition("chunk").sortWithinPartitions("chunk")
+    given = given.mapInArrow(_sums, "row long, n_best long, count_sum long")
     out = both.where("a IS NULL").join(given, "row", "left")
     zero = F.lit(0).cast("long")
     return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", F.coalesce("n_best", zero).alias("n_best"), F.coalesce("count_sum", zero).alias("count_sum"), "groups_sha256")

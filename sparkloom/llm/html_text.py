@@ -8,8 +8,8 @@ never is main text, are the page's text.
 Inside a marked main region nothing is weighed against being text: words there count at least KEPT, so that lists or
 headings that pages use elsewhere for menus do not cost an article its end. Blocks inside it that are something else
 are left out one by one and count nothing either way: those whose class, id or role the marked pages have outside
-their main region, and containers that are named as comments, adverts or the like, for which marked pages give no
-evidence as they may have them inside.
+their main region, and containers that are named as comments, adverts or the like as a whole (`comment-list`, but not
+`share-prices`), for which marked pages give no evidence as they may have them inside.
 """
 
 from __future__ import annotations
@@ -44,7 +44,9 @@ _NEVER = {"nav", "footer", "aside", "form", "button", "dialog", "menu", "fieldse
 _MAIN = {"article", "main"}
 #: Containers, and names of what is no main text though it often stands inside a main region.
 _CONTAINERS = {"div", "section", "aside", "ul", "ol", "dl", "table", "figure", "header"}
-_PRIOR = re.compile(r"(?:ads?|advert\w*|sponsor\w*|promo\w*|comments?|disqus\w*|replies|respond|sidebar|cookies?|consent|notices?|newsletter|subscribe|share|sharing|social|related|breadcrumbs?|menu|nav|navbar|popup|modal)", re.I)
+_PRIOR = re.compile(r"ads?|advert\w*|sponsor\w*|promo\w*|comments?|disqus\w*|replies|respond|sidebar|cookies?|consent|notices?|newsletter|subscribe|share|sharing|social|related|breadcrumbs?|menu|nav|navbar|popup|modal", re.I)
+#: What such a name may be joined with and still name the container alone.
+_LAYOUT = {"area", "banner", "bar", "block", "box", "button", "buttons", "container", "content", "form", "icons", "inner", "item", "items", "left", "links", "list", "main", "outer", "panel", "posts", "right", "section", "slot", "title", "top", "unit", "user", "widget", "wrap", "wrapper", ""}
 _CLOSES_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
 
 
@@ -60,7 +62,12 @@ class Weights:
 
 
 def _is_named_apart(element: str, names: list[str]) -> bool:
-    return element in _CONTAINERS and any(_PRIOR.fullmatch(p) for x in names for p in (x, re.split("[-_]", x)[0]))
+    def named(name: str) -> bool:
+        parts = [p for p in re.split("[-_]", name.lower()) if not p.isdigit()]
+        prior = [bool(_PRIOR.fullmatch(p)) for p in parts]
+        return any(prior) and all(x or p in _LAYOUT for x, p in zip(prior, parts, strict=True))
+
+    return element in _CONTAINERS and any(map(named, names))
 
 
 class Around:

@@ -131,6 +131,16 @@ def test_parts_of_an_article():
     assert html_text.main_text(page, w) == "\n\n".join(want)
 
 
+def test_names_that_begin_like_an_advert():
+    """Only a container's whole name speaks against it."""
+    w = html_text.learn([PAGE] * 5)
+    keep = ["notice-board", "share-prices", "social-history", "menu-of-the-day", "related-work", "commentary", "navigation-by-stars", "adverse", "promotion-of-health"]
+    drop = ["notice", "comments", "comment-list", "user-comments", "ad-slot", "ad_3", "sidebar-left", "cookie-banner", "share-buttons", "related-posts", "Newsletter", "adverts"]
+    cookie = [n.replace("cookie-", "cookies-") for n in drop]
+    page = "<body><article><h1>Head</h1>" + "".join(f"<div class='{n}'><p>text of {n}</p></div>" for n in [*keep, *cookie]) + "</article></body>"
+    assert html_text.main_text(page, w) == "\n\n".join(["Head", *(f"text of {n}" for n in keep)])
+
+
 def test_pages_that_mark_nothing():
     w = html_text.learn([PAGE.replace("Second", "Longer words in a second")] * 5)
     bare = "<body><nav><ul><li><a href=/a>one</a></li><li>two</li></ul></nav><div class='ad'>buy this now</div><h1>Head</h1><p>some words <b>and</b> more</p><p>last</p><aside>side</aside><footer>foot</footer></body>"

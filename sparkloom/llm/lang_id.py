@@ -21,12 +21,11 @@ from pyspark.sql import functions as F
 from sparkloom.llm import bytesops as B
 from sparkloom.llm.store import free_name, hash_limit, ship
 
-#: Bounds of the training sample: languages (those with most rows), documents of each, and of a longer text so many
-#: characters, as RUNS runs that are spread evenly over all of it.
-MOST_LANGS = 64
+#: Bounds of the training sample: documents of a language, of all languages together, and the length in characters up to
+#: which texts are preferred (longer ones teach, whole, where a language has too few others).
 TRAIN_DOCS = 160
-TRAIN_CHARS = 6000
-RUNS = 12
+TRAIN_TOTAL = 10_240
+TRAIN_LENGTH = 20_000
 TABLE_BITS = 17
 LINK = 40  # words of a training sequence
 BLOCK = 32  # words whose products are formed together in prediction
@@ -229,31 +228,29 @@ def fit(texts: list[str], langs: list[str], epochs: int = 6, rate: float = 0.4,
     return Model(names, weights.astype(np.float32), links, begin, lexicon)
 
 
-def sampled(text: Column, chars: int = TRAIN_CHARS, runs: int = RUNS) -> Column:
-    """The text, or of one longer than `chars` characters runs of whole words that are spread evenly over all of it."""
-    size = chars // runs
-    step = (F.length(text) - size) / F.lit(runs - 1)
-    run = lambda i: F.regexp_replace(F.substring(text, F.floor(i * step).cast("int") + 1, F.lit(size)), r"^\S*\s|\s\S*$", "")
-    return F.when(F.length(text) <= chars, text).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), run), " "))
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = TRAIN_DOCS, length: int = TRAIN_LENGTH) -> Model:
+    """Fit on at most per_lang labelled rows of every language, those with the least hashes of their key, whole texts.
 
-
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = TRAIN_DOCS, chars: int = TRAIN_CHARS) -> Model:
-    """Fit on about per_lang labelled rows of each of the MOST_LANGS languages with most rows, those with the least
-    hashes of their key, and `chars` characters of each. Rows with a null lang, key or text teach nothing.
+    A language with enough texts of up to `length` characters learns from these; else longer ones teach too. Beyond
+    TRAIN_TOTAL / per_lang languages each has fewer rows, one at least. Rows with a null lang, key or text teach nothing. The model's
+    size and the driver's work grow with the number of languages.
 
     Rows are chosen by a limit on the hash, from the number of keys of each language, so that no key's rows meet
     in one task. The number of a language's keys is estimated (within a few per cent)."""
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(lang).cast("string").alias("l"), F.col(text).cast("string").alias("t")).where("k IS NOT NULL AND l IS NOT NULL AND t IS NOT NULL")
-    counts = rows.groupBy("l").agg(F.approx_count_distinct("k").alias("n")).orderBy(F.col("n").desc(), "l").limit(MOST_LANGS).collect()  # at most MOST_LANGS rows
+    rows = rows.withColumn("short", F.length("t") <= length)
+    counts = rows.groupBy("l").agg(F.approx_count_distinct("k").alias("n"), F.approx_count_distinct(F.when(F.col("short"), F.col("k"))).alias("n_short")).orderBy("l").collect()  # one row a language
     if not counts:
         return fit([], [])
+    per_lang = max(1, min(per_lang, TRAIN_TOTAL // len(counts)))
     # More than per_lang are let through by four deviations and the counts' error, so that nearly always enough are; the
     # least hashes of them stay.
-    share = {r.l: 1.2 * (per_lang + 4 * per_lang**0.5 + 4) / max(r.n, 1) for r in counts}
-    limit = F.create_map(*[F.lit(x) for name, s in share.items() for x in (name, hash_limit(s))])
-    near = rows.where(F.xxhash64("k") <= F.try_element_at(limit, F.col("l")))
-    # One row a key: about per_lang rows a language, and no more than `chars` characters of each.
-    once = near.groupBy("l", "k").agg(F.min(sampled(F.col("t"), chars)).alias("t")).select("k", "l", "t", F.xxhash64("k").alias("h"))
+    enough = {r.l: r.n_short >= 1.2 * per_lang for r in counts}
+    share = {r.l: 1.2 * (per_lang + 4 * per_lang**0.5 + 4) / max(r.n_short if enough[r.l] else r.n, 1) for r in counts}
+    plan = docs.sparkSession.createDataFrame([(name, hash_limit(s), enough[name]) for name, s in share.items()], "l string, most long, enough boolean")
+    near = rows.join(F.broadcast(plan), "l").where((F.xxhash64("k") <= F.col("most")) & (F.col("short") | ~F.col("enough")))
+    # One row a key: about per_lang rows a language.
+    once = near.groupBy("l", "k").agg(F.min("t").alias("t")).select("k", "l", "t", F.xxhash64("k").alias("h"))
     got = sorted((r.l, r.h, r.k, r.t) for r in once.collect())
     place: dict[str, int] = {}
     some = []

@@ -58,6 +58,11 @@ def merged(user_text: Column, source_default: Column, target_default: Column) ->
     return content(F.concat(base, added))
 
 
+def changes(user_text: Column, source_default: Column) -> Column:
+    """How many of the user's sections the default has not, or not in these words."""
+    return F.size(F.filter(compared(parsed(user_text), parsed(source_default)), lambda s: s["kind"] != "unchanged"))
+
+
 TASKS = "## Active Tasks"
 
 

@@ -13,7 +13,6 @@ from pyspark.sql.window import Window
 
 from sparkloom.config import DEFAULTS
 from sparkloom.functions import messages as M
-from sparkloom.functions import sections as S
 from sparkloom.functions import text as T
 from sparkloom.operators.ranking import global_rank
 from sparkloom.operators.similarity import best_match, nearest_duplicate
@@ -439,17 +438,3 @@ def concatenated(parts: DataFrame, key: list[str]) -> DataFrame:
     """(key, content): the texts of parts(key, pos, text) in order, a line each."""
     ordered = F.array_sort(F.collect_list(F.struct("pos", "text")))
     return parts.groupBy(*key).agg(F.array_join(F.transform(ordered, lambda e: e["text"]), "\n").alias("content"))
-
-
-def merge_workspace(incoming: DataFrame, source_defaults: DataFrame, target_defaults: DataFrame) -> DataFrame:
-    """(path, content, action) of (path, text) tables: a file only of the target is its default, one only incoming is
-    imported, an unchanged one is skipped in favour of the target's, a changed one merged by sections."""
-    f = (
-        incoming.select("path", F.col("text").alias("i"))
-        .join(source_defaults.select("path", F.col("text").alias("s")), "path", "full")
-        .join(target_defaults.select("path", F.col("text").alias("t")), "path", "full")
-    )
-    same = F.trim("i") == F.trim(F.coalesce("s", F.lit("")))
-    action = F.when(F.col("i").isNull(), "default").when(F.col("t").isNull(), "import").when(same, "skip").otherwise("merged")
-    content = F.when(F.col("i").isNull() | (F.col("t").isNotNull() & same), F.col("t")).when(F.col("t").isNull(), F.col("i")).otherwise(S.merged(F.col("i"), F.coalesce("s", F.lit("")), F.col("t")))
-    return f.select("path", content.alias("content"), action.alias("action")).where("content IS NOT NULL")

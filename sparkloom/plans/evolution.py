@@ -42,14 +42,14 @@ def upload_sql(new: str, old: str, order: str = "new_id", confirm: str = "false"
     put = lambda k: f"'memory type: ' || {k} || ' content: ' || substring(content, 1, 300) || ' context: ' || substring(context, 1, 200) || ' resolution: ' || substring(resolution, 1, 200)"
     return f"""clean AS (SELECT * REPLACE ({clean_sql('content')} AS content, {clean_sql('context')} AS context, {clean_sql('resolution')} AS resolution) FROM {new}),
     kinds AS (SELECT *, CASE WHEN {_any(T.SECURITY_MARKERS, 'b')} THEN 'security' WHEN {_any(T.ERROR_MARKERS, 'b')} THEN 'error' ELSE 'pattern' END AS memory_type FROM (SELECT *, {blob} AS b FROM clean)),
-    nv AS (SELECT *, row_number() OVER (ORDER BY {order}) AS place, {DIGITS_SQL.format(t=put('memory_type'))} AS v FROM kinds), ov AS (SELECT *, {DIGITS_SQL.format(t=put('memory_type'))} AS v FROM {old} WHERE status <> 'archived'),
+    nv AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY {order}) AS place, {DIGITS_SQL.format(t=put('memory_type'))} AS v FROM kinds), ov AS (SELECT *, {DIGITS_SQL.format(t=put('memory_type'))} AS v FROM {old} WHERE status <> 'archived'),
     cand AS (SELECT nv.place, ov.id, NULL::BIGINT AS other, CASE tier WHEN 'hot' THEN 0 WHEN 'warm' THEN 1 ELSE 2 END AS t, ov.content AS said, round(list_cosine_similarity(nv.v, ov.v), 9) AS sim FROM nv JOIN ov USING (memory_type)
         UNION ALL SELECT a.place, NULL, b.place, 3, b.content, round(list_cosine_similarity(a.v, b.v), 9) FROM nv a JOIN nv b ON a.memory_type = b.memory_type AND b.place < a.place),
-    lists AS (SELECT place, list({{'id': id, 'other': other, 'said': said, 'sim': sim}} ORDER BY sim DESC, t, coalesce(id, other)) AS c FROM cand WHERE sim >= 0.75 GROUP BY place),
-    turns AS (SELECT nv.place, c FROM nv LEFT JOIN lists USING (place)),
+    lists AS (SELECT place, list({{'id': id, 'other': other, 'yes': coalesce(sim >= {hard} OR {confirm.format(said='said')}, false)}} ORDER BY sim DESC, t, coalesce(id, other)) AS c FROM cand WHERE sim >= 0.75 GROUP BY place),
+    turns AS MATERIALIZED (SELECT nv.place, c FROM nv LEFT JOIN lists USING (place)),
     taken AS (SELECT 0::BIGINT AS place, []::BIGINT[] AS ins, NULL::VARCHAR AS action, NULL::BIGINT AS id, NULL::BIGINT AS other
         UNION ALL SELECT place, CASE WHEN merges THEN ins ELSE list_append(ins, place) END, CASE WHEN merges THEN 'merge' ELSE 'insert' END, best.id, best.other FROM (
-            SELECT *, best IS NOT NULL AND coalesce(best.sim >= {hard} OR {confirm.format(said='best.said')}, false) AS merges FROM (
+            SELECT *, coalesce(best.yes, false) AS merges FROM (
             SELECT turns.place, ins, list_filter(c, lambda x: x.other IS NULL OR list_contains(ins, x.other))[1] AS best FROM taken JOIN turns ON turns.place = taken.place + 1))),
     up AS (SELECT nv.*, taken.action, CASE WHEN taken.action = 'merge' THEN taken.id END AS duplicate_of, CASE WHEN taken.action = 'merge' THEN e.new_id END AS duplicate_of_new
         FROM nv JOIN taken USING (place) LEFT JOIN nv e ON e.place = taken.other)"""

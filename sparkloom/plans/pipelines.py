@@ -144,17 +144,6 @@ def pipe19_merged_tasks(spark, sf):
     return d.select("doc_id", S.merged_tasks(user, base, base).alias("merged"))
 
 
-@query(
-    """SELECT p_partkey AS path, CASE WHEN p_partkey % 4 = 0 THEN 'default' WHEN p_partkey % 4 = 1 THEN 'import' WHEN p_partkey % 4 = 2 THEN 'merged' ELSE 'skip' END AS action, CASE WHEN p_partkey % 4 IN (1, 2) THEN p_name ELSE 'd' END AS content FROM part"""
-)
-def pipe20_workspace_merge(spark, sf):
-    p = X.table(spark, sf, "part").select(F.col("p_partkey").alias("path"), "p_name")
-    n = F.col("path") % 4
-    incoming = p.where(n != 0).select("path", F.when(n == 3, F.lit("d")).otherwise(F.col("p_name")).alias("text"))
-    defaults = p.where(n != 1).select("path", F.lit("d").alias("text"))
-    return K.merge_workspace(incoming, defaults, defaults).select("path", "action", "content")
-
-
 @query("SELECT p_brand AS category, string_agg(p_name, chr(10) ORDER BY p_partkey) AS content FROM part GROUP BY p_brand")
 def pipe21_role_resources(spark, sf):
     return K.concatenated(X.table(spark, sf, "part").select(F.col("p_brand").alias("category"), F.col("p_partkey").alias("pos"), F.col("p_name").alias("text")), ["category"])

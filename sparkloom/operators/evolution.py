@@ -4,7 +4,7 @@ What a model does is an argument, a column function:
     synthesize(prompt, topic)  -> struct<quality, name, description, content>, null for no skill
     revise(skill text, version, prompt, number of new memories) -> struct<evolution, name, description, content>
     verify(content, prompt)    -> struct<grounded, contradiction, clarity, specificity, preserves>, null for not checked
-    topic(prompt)              -> a label, cut at 80 characters
+    topic(summaries)           -> a label for at most TOPIC_ENTRIES summaries; quotes around it go, 80 characters stay
 """
 
 from __future__ import annotations
@@ -15,23 +15,51 @@ from pyspark.sql.window import Window
 
 from sparkloom.config import DEFAULTS
 from sparkloom.functions import text as T
+from sparkloom.operators.aggregates import members_since
+from sparkloom.scratch import saved
 
 _AUDIT = ["skill_slug", "cluster_id", "old_version", "new_version", "old_score", "new_score", "status", "trigger", "memory_count", "new_memory_ids", "mutation_summary"]
 
 
-def prompt(members: DataFrame, memories: DataFrame, most: int = 600) -> DataFrame:
-    """(cluster_id, n, ids, prompt): each cluster's memories as text in the order they came, fields cut to their share
-    of `most` characters."""
-    joined = members.join(memories.select(F.col("id").alias("memory_id"), "content", "context", "resolution"), "memory_id")
+#: Memories of a cluster that a prompt shows, and that a topic is made of.
+ENTRIES, TOPIC_ENTRIES = 400, 10
+
+
+def first_members(members: DataFrame, memories: DataFrame, most: int) -> DataFrame:
+    """(cluster_id, i, memory_id): the first `most` memories of each cluster in the order they came, i from 1.
+
+    Ranked on keys alone, and cut in every task before a cluster's rows meet."""
+    known = members.select("cluster_id", "memory_id", "added_at").join(memories.select(F.col("id").alias("memory_id")), "memory_id", "left_semi")
+    placed = known.withColumn("i", F.row_number().over(Window.partitionBy("cluster_id").orderBy("added_at", "memory_id")))
+    return placed.where(F.col("i") <= most).select("cluster_id", "i", "memory_id")
+
+
+def prompt(members: DataFrame, memories: DataFrame, most: int = 600, entries: int = ENTRIES) -> DataFrame:
+    """(cluster_id, n, ids, prompt): each cluster's number of memories, their ids in the order they came, and the first
+    `entries` of them as text, fields cut to their share of `most` characters."""
     cut = lambda c, share: T.truncate(F.coalesce(c, F.lit("")), most // share)
-    placed = joined.withColumn("__i", F.row_number().over(Window.partitionBy("cluster_id").orderBy("added_at", "memory_id")))
     line = lambda label, c: F.when(F.col(c) != "", F.concat(F.lit(f"\n- {label}: "), F.col(c)))
-    short = placed.select("cluster_id", "__i", "memory_id", cut(F.col("content"), 3).alias("c"), cut(F.col("context"), 4).alias("x"), cut(F.col("resolution"), 3).alias("r"))
-    head = F.concat(F.lit("### Experience "), F.col("__i"), F.lit(" (id: "), F.substring(F.col("memory_id").cast("string"), 1, 8), F.lit(")"))
+    shown = first_members(members, memories, entries).join(memories.select(F.col("id").alias("memory_id"), "content", "context", "resolution"), "memory_id")
+    short = shown.select("cluster_id", "i", "memory_id", cut(F.col("content"), 3).alias("c"), cut(F.col("context"), 4).alias("x"), cut(F.col("resolution"), 3).alias("r"))
+    head = F.concat(F.lit("### Experience "), F.col("i"), F.lit(" (id: "), F.substring(F.col("memory_id").cast("string"), 1, 8), F.lit(")"))
     entry = F.concat(head, F.lit("\n- Content: "), F.col("c"), F.coalesce(line("Context", "x"), F.lit("")), F.coalesce(line("Resolution", "r"), F.lit("")))
-    listed = F.array_sort(F.collect_list(F.struct("__i", F.col("memory_id").alias("id"), entry.alias("e"))))
-    grouped = short.groupBy("cluster_id").agg(listed.alias("l"))
-    return grouped.select("cluster_id", F.size("l").alias("n"), F.transform("l", lambda e: e["id"]).alias("ids"), F.array_join(F.transform("l", lambda e: e["e"]), "\n\n").alias("prompt"))
+    text = short.groupBy("cluster_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", entry.alias("e")))), lambda e: e["e"]), "\n\n").alias("prompt"))
+    known = members.join(memories.select(F.col("id").alias("memory_id")), "memory_id", "left_semi")
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("added_at", "memory_id"))), lambda e: e["memory_id"])
+    return known.groupBy("cluster_id").agg(F.count(F.lit(1)).cast("int").alias("n"), ids.alias("ids")).join(text, "cluster_id").select("cluster_id", "n", "ids", "prompt")
+
+
+def summaries(members: DataFrame, memories: DataFrame, most: int = TOPIC_ENTRIES) -> DataFrame:
+    """(cluster_id, summaries): a line for each of a cluster's first `most` memories, its short summary or the beginning of its
+    content; those with neither are left out."""
+    short = F.coalesce(F.nullif(F.col("summary_l0"), F.lit("")), F.substring("content", 1, 100)) if "summary_l0" in memories.columns else F.substring("content", 1, 100)
+    lines = first_members(members, memories, most).join(memories.select(F.col("id").alias("memory_id"), short.alias("s")), "memory_id").where("coalesce(s, '') <> ''")
+    return lines.groupBy("cluster_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda e: F.concat(F.lit("- "), e["s"])), "\n").alias("summaries"))
+
+
+def topic_label(said: Column) -> Column:
+    """A model's answer as a label: without white space and quotes at its ends, at most 80 characters."""
+    return F.substring(F.trim(F.trim(T.strip(said), F.lit('"')), F.lit("'")), 1, 80)
 
 
 def _checked(rows: DataFrame, verify) -> DataFrame:
@@ -57,7 +85,10 @@ def crystallize(clusters: DataFrame, members: DataFrame, memories: DataFrame, sk
     """
     p = prompt(members, memories)
     c = clusters.where("coalesce(skill_slug, '') = ''").select("cluster_id", "topic").join(p, "cluster_id", "left")
-    label = F.substring(topic(F.col("prompt")), 1, 80) if topic else F.lit("")
+    label = F.lit("")
+    if topic:
+        c = c.join(summaries(members, memories), "cluster_id", "left")
+        label = F.when(F.col("summaries").isNotNull(), topic_label(topic(F.col("summaries")))).otherwise("")
     c = c.withColumns({"n": F.coalesce("n", F.lit(0)), "topic": F.coalesce(F.nullif("topic", F.lit("")), label)})
     made = synthesize(F.col("prompt"), F.col("topic")) if synthesize else F.lit(None).cast("struct<quality:string,name:string,description:string,content:string>")
     m = c.withColumn("m", F.when(F.col("n") >= least, made)).select("*", "m.quality", "m.name", "m.description", "m.content")
@@ -140,3 +171,22 @@ def with_skills(clusters: DataFrame, crystallized: DataFrame) -> DataFrame:
     new = crystallized.select("cluster_id", F.nullif("topic", F.lit("")).alias("__topic"), F.col("slug").alias("__slug"))
     out = clusters.join(new, "cluster_id", "left").withColumns({"topic": F.coalesce("__topic", "topic"), "skill_slug": F.coalesce("__slug", "skill_slug")})
     return out.drop("__topic", "__slug")
+
+
+def cycle(clusters: DataFrame, members: DataFrame, memories: DataFrame, skills: DataFrame, evolutions: DataFrame, limit: int = DEFAULTS.evolution_batch, synthesize=None, revise=None, verify=None, topic=None) -> tuple[DataFrame, DataFrame]:
+    """(crystallize(), recrystallize()) of one evolution cycle of at most `limit` skills made.
+
+    The first `limit` clusters that are large enough and have no skill, the youngest first, are tried. What is left of the limit after those
+    that succeeded, and no others, goes to clusters whose skill has enough new memories. skills(slug, version, name, description,
+    text, structure_score) has one row a slug.
+    """
+    n = members.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
+    youngest = [F.col("created_at").desc(), F.col("cluster_id")]
+    ready = clusters.where("coalesce(skill_slug, '') = ''").join(n.where(F.col("n") >= DEFAULTS.crystallize_members), "cluster_id", "left_semi").orderBy(*youngest).limit(limit)
+    own = members.join(F.broadcast(ready.select("cluster_id")), "cluster_id", "left_semi")
+    made = saved(crystallize(ready, own, memories, skills, synthesize, verify, topic), "evolved")
+    remaining = limit - made.where("outcome = 'crystallized'").count()
+    since = members_since(members, evolutions).where(F.col("n") >= DEFAULTS.recrystallize_delta)
+    grown = clusters.where("coalesce(skill_slug, '') <> ''").join(since.select("cluster_id", "n"), "cluster_id").orderBy(*youngest).limit(max(remaining, 0))
+    own = members.join(F.broadcast(grown.select("cluster_id")), "cluster_id", "left_semi")
+    return made, recrystallize(grown.drop("n"), own, memories, skills, grown.select("cluster_id", "n"), revise, verify)

@@ -400,17 +400,6 @@ def label(segments: DataFrame, scorer=None) -> DataFrame:
     return segments.withColumns({"quality_metrics": metrics, "labeled": F.lit(True)})
 
 
-def evolution_cycle(clusters: DataFrame, members: DataFrame, evolutions: DataFrame, limit: int) -> DataFrame:
-    """(cluster_id, phase): up to `limit` clusters, those ready to crystallise first, then to recrystallise."""
-    from sparkloom.operators.aggregates import members_since
-
-    n = members.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= DEFAULTS.crystallize_members)
-    first = clusters.where("coalesce(skill_slug, '') = ''").join(n, "cluster_id").select("cluster_id", "created_at", F.lit("crystallize").alias("phase"))
-    grown = members_since(members, evolutions).where(F.col("n") >= DEFAULTS.recrystallize_delta)
-    again = clusters.where("coalesce(skill_slug, '') <> ''").join(grown, "cluster_id").select("cluster_id", "created_at", F.lit("recrystallize").alias("phase"))
-    return first.unionByName(again).orderBy("phase", F.col("created_at").desc(), "cluster_id").limit(limit).select("cluster_id", "phase")
-
-
 def upgrade_gate(evolutions: DataFrame) -> DataFrame:
     """evolutions with `outcome`: the first of a cluster crystallises, a later one must beat the score before it."""
     old = F.lag("new_score").over(Window.partitionBy("cluster_id").orderBy("timestamp", "id"))

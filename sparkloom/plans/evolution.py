@@ -219,7 +219,7 @@ def pipe06_superseded_segments(spark, sf):
 
 
 _PROMPT = f"""placed AS (SELECT cluster_id, memory_id, row_number() OVER (PARTITION BY cluster_id ORDER BY added_at, memory_id) AS i, {cut_sql('content', 200)} AS c, {cut_sql('context', 150)} AS x, {cut_sql('resolution', 200)} AS r FROM members JOIN memories ON memory_id = id),
-    prompts AS (SELECT cluster_id, count(*) AS n, string_agg('### Experience ' || i || ' (id: ' || substring(CAST(memory_id AS VARCHAR), 1, 8) || ')' || chr(10) || '- Content: ' || c || CASE WHEN x <> '' THEN chr(10) || '- Context: ' || x ELSE '' END || CASE WHEN r <> '' THEN chr(10) || '- Resolution: ' || r ELSE '' END, chr(10) || chr(10) ORDER BY i) AS prompt,
+    prompts AS (SELECT cluster_id, count(*) AS n, string_agg('### Experience ' || i || ' (id: ' || substring(CAST(memory_id AS VARCHAR), 1, 8) || ')' || chr(10) || '- Content: ' || c || CASE WHEN x <> '' THEN chr(10) || '- Context: ' || x ELSE '' END || CASE WHEN r <> '' THEN chr(10) || '- Resolution: ' || r ELSE '' END, chr(10) || chr(10) ORDER BY i) FILTER (WHERE i <= 400) AS prompt,
     list(memory_id ORDER BY i) AS ids FROM placed GROUP BY cluster_id)"""
 
 
@@ -229,12 +229,12 @@ def udf16_memory_prompt(spark, sf):
 
 
 _GOOD = "when it fails, use this: " + "x" * 450 + "\n1. a\n2. b\n3. c"
-_MEMBERS = "mem AS (SELECT memory_id % 9 AS cluster_id, memory_id, added_at FROM members WHERE memory_id % 9 <> 8 OR memory_id < 30)"
+_MEMBERS = "mem AS (SELECT CASE WHEN memory_id < 4 THEN 8 ELSE memory_id % 8 END AS cluster_id, memory_id, added_at FROM members)"
 _CLUST = "clus AS (SELECT unnest(range(10)) AS cluster_id)"
 
 
 def _clusters(spark, sf):
-    m = X.members(spark, sf).withColumn("cluster_id", F.col("memory_id") % 9).where("memory_id % 9 <> 8 OR memory_id < 30")
+    m = X.members(spark, sf).withColumn("cluster_id", F.when(F.col("memory_id") < 4, 8).otherwise(F.col("memory_id") % 8))
     c = spark.range(10).select(F.col("id").alias("cluster_id"), F.when(F.col("id") % 2 == 0, "given").otherwise("").alias("topic"), F.lit("").alias("skill_slug"))
     return c, m
 
@@ -268,7 +268,7 @@ def _crystallized(spark, sf):
     return E.crystallize(c, m, X.memories(spark, sf), skills, synthesize=_synthesize, verify=_verify, topic=lambda p: F.when(F.length(p) >= 0, "made"))
 
 
-@query(_CRYSTAL + " SELECT cluster_id, outcome, CAST(n AS INTEGER) AS n, CASE WHEN topic = 'made' AND prompt IS NULL THEN NULL ELSE topic END AS topic, slug, CASE WHEN outcome = 'crystallized' THEN 0.755::DOUBLE END AS score FROM s")
+@query(_CRYSTAL + " SELECT cluster_id, outcome, CAST(n AS INTEGER) AS n, CASE WHEN topic = 'made' AND prompt IS NULL THEN '' ELSE topic END AS topic, slug, CASE WHEN outcome = 'crystallized' THEN 0.755::DOUBLE END AS score FROM s")
 def pipe14_crystallize(spark, sf):
     return _crystallized(spark, sf).select("cluster_id", "outcome", "n", "topic", "slug", F.round("score", 4).alias("score"))
 
@@ -372,15 +372,41 @@ def udf07_segments_without_model(spark, sf):
     return m.select("session").distinct().join(K.task_segments(m).select("session", "end_line"), "session", "left")
 
 
-_TOPIC = "substring('on ' || replace(prompt, chr(10), ' '), 1, 80)"
+_SUMMARIES = """told AS (SELECT cluster_id, string_agg('- ' || substring(content, 1, 100), chr(10) ORDER BY i) AS said FROM (SELECT cluster_id, content, row_number() OVER (PARTITION BY cluster_id ORDER BY added_at, memory_id) AS i
+    FROM members JOIN memories ON memory_id = id) WHERE i <= 10 AND content <> '' GROUP BY cluster_id)"""
 
 
-@query(ctes("members", "memories") + f", {_PROMPT} SELECT cluster_id, {_TOPIC} AS topic FROM prompts")
+@query(ctes("members", "memories") + f", {_SUMMARIES} SELECT cluster_id, said AS summaries FROM told")
+def udf11_topic_summaries(spark, sf):
+    return E.summaries(X.members(spark, sf), X.memories(spark, sf))
+
+
+@query(ctes("members", "memories") + f", {_SUMMARIES} SELECT cluster_id, substring('On ' || (length(said) - length(replace(said, chr(10), '')) + 1) || ' memories: ' || replace(said, chr(10), ' '), 1, 80) AS topic FROM told")
 def udf11_cluster_topics(spark, sf):
     c = X.members(spark, sf).select("cluster_id").distinct().select("cluster_id", F.lit("").alias("topic"), F.lit("").alias("skill_slug"))
     none = X.skills(spark, sf).select("slug", "version")
-    made = E.crystallize(c, X.members(spark, sf), X.memories(spark, sf), none, topic=lambda p: F.concat(F.lit("on "), F.replace(p, F.lit("\n"), F.lit(" "))))
-    return made.select("cluster_id", "topic")
+    said = lambda t: F.concat(F.lit(" \"'On "), F.size(F.split(t, "\n")), F.lit(" memories: "), F.replace(t, F.lit("\n"), F.lit(" ")))
+    return E.crystallize(c, X.members(spark, sf), X.memories(spark, sf), none, topic=said).select("cluster_id", "topic")
+
+
+_CYCLE = (
+    ctes("clusters", "members", "evolutions")
+    + """, e AS (SELECT cluster_id, max(timestamp) AS last FROM evolutions WHERE status IN ('crystallized', 'recrystallized') GROUP BY cluster_id), n AS (SELECT m.cluster_id, count(*) AS n, count(*) FILTER (WHERE last IS NULL OR added_at > last) AS since FROM members m LEFT JOIN e USING (cluster_id) GROUP BY m.cluster_id),
+    one AS (SELECT cluster_id, CASE WHEN cluster_id % 3 = 0 THEN 'insufficient' ELSE 'crystallized' END AS outcome FROM (SELECT cluster_id FROM clusters JOIN n USING (cluster_id) WHERE skill_slug = '' AND n >= 5 ORDER BY created_at DESC, cluster_id LIMIT 4)),
+    left_over AS (SELECT 4 - count(*) FILTER (WHERE outcome = 'crystallized') AS k FROM one),
+    two AS (SELECT cluster_id FROM (SELECT cluster_id, row_number() OVER (ORDER BY created_at DESC, cluster_id) AS r FROM clusters JOIN n USING (cluster_id) WHERE skill_slug <> '' AND since >= 3), left_over WHERE r <= k)
+    SELECT cluster_id, 1 AS phase, outcome FROM one UNION ALL SELECT cluster_id, 2, 'revert' FROM two"""
+)
+
+
+@query(_CYCLE)
+def pipe13_evolution_cycle(spark, sf):
+    """Only skills that were made use up the limit: clusters of every third number have nothing to say."""
+    s = X.clusters(spark, sf).where("skill_slug <> ''").select(F.col("skill_slug").alias("slug"), F.lit("1.0.0").alias("version"), F.lit("n").alias("name"), F.lit("d").alias("description"), F.lit("t").alias("text"), F.lit(0.9).alias("structure_score"))
+    new = lambda prompt, topic: F.when(F.col("cluster_id") % 3 != 0, F.struct(F.lit("ok").alias("quality"), topic.alias("name"), F.lit("d").alias("description"), F.lit(_GOOD).alias("content")))
+    revise = lambda text, version, prompt, n: F.struct(F.lit("ok").alias("evolution"), F.lit("").alias("name"), F.lit("").alias("description"), F.lit(_GOOD).alias("content"))
+    one, two = E.cycle(X.clusters(spark, sf), X.members(spark, sf), X.memories(spark, sf), s, X.evolutions(spark, sf), 4, new, revise)
+    return one.select("cluster_id", F.lit(1).alias("phase"), "outcome").unionByName(two.select("cluster_id", F.lit(2).alias("phase"), "outcome"))
 
 
 @query(ctes("members", "memories") + f", {_PROMPT} SELECT cluster_id, CASE WHEN n < 5 THEN 'too_few' ELSE 'insufficient' END AS outcome FROM prompts")

@@ -12,6 +12,7 @@ from sparkloom.functions import text as T
 from sparkloom.operators import aggregates as A
 from sparkloom.operators import knowledge as K
 from sparkloom.operators import lookup as L
+from sparkloom.operators import search as Q
 from sparkloom.operators import similarity as V
 from sparkloom.plans.evolution import WINDOWS_SQL
 from sparkloom.plans.registry import cut_sql, query, strip_sql
@@ -248,32 +249,17 @@ def pipe12_should_trigger(spark, sf):
     return A.eligible(X.segments(spark, sf), DEFAULTS.sft_score).agg((F.count(F.lit(1)) >= DEFAULTS.sft_trigger).alias("trigger"))
 
 
-@query(
-    ctes("clusters", "members", "evolutions")
-    + """, e AS (SELECT cluster_id, max(timestamp) AS last FROM evolutions WHERE status IN ('crystallized', 'recrystallized') GROUP BY cluster_id), n AS (SELECT m.cluster_id, count(*) AS n, count(*) FILTER (WHERE last IS NULL OR added_at > last) AS since FROM members m LEFT JOIN e USING (cluster_id) GROUP BY m.cluster_id),
-    c AS (SELECT cluster_id, created_at, CASE WHEN skill_slug = '' THEN 'crystallize' ELSE 'recrystallize' END AS phase FROM clusters JOIN n USING (cluster_id) WHERE (skill_slug = '' AND n >= 5) OR (skill_slug <> '' AND since >= 3))
-    SELECT cluster_id, phase FROM c ORDER BY phase, created_at DESC, cluster_id LIMIT 10"""
-)
-def pipe13_evolution_cycle(spark, sf):
-    return K.evolution_cycle(X.clusters(spark, sf), X.members(spark, sf), X.evolutions(spark, sf), DEFAULTS.evolution_batch)
-
-
 @query(ctes("evolutions") + ", e AS (SELECT *, lag(new_score) OVER (PARTITION BY cluster_id ORDER BY timestamp, id) AS old_score FROM evolutions) SELECT id, CASE WHEN old_score IS NULL THEN 'crystallized' WHEN new_score > old_score THEN 'recrystallized' ELSE 'revert' END AS outcome FROM e")
 def pipe15_upgrade_gate(spark, sf):
     return K.upgrade_gate(X.evolutions(spark, sf)).select("id", "outcome")
 
 
-@query(ctes("memories") + ", q AS (SELECT unnest([5, 3, 5, 999999999]) AS id, unnest(range(4)) AS pos) SELECT CAST(pos AS BIGINT) AS pos, m.id, tier FROM q JOIN memories m ON m.id = q.id")
-def pipe17_details(spark, sf):
-    q = spark.createDataFrame([([5, 3, 5, 999999999],)], "ids array<long>").select(F.posexplode("ids").alias("pos", "id"))
-    return X.memories(spark, sf).join(F.broadcast(q), "id").select(F.col("pos").cast("long").alias("pos"), "id", "tier")
-
-
 @query(None)
 def udf01_hash_embedding(spark, sf):
     return X.table(spark, sf, "documents").select("doc_id", F.transform(K.embed(F.col("text"), 32), lambda x: F.round(x, 4)).alias("embedding"))
 
 
-@query(f"SELECT conv_id, turn, CASE WHEN {strip_sql('text')} = '' THEN [] ELSE [{strip_sql('text')}] END AS phrases FROM conversations")
+@query(f"SELECT conv_id, turn, [{strip_sql('text')}] AS phrases FROM conversations")
 def udf12_query_phrases(spark, sf):
-    return X.table(spark, sf, "conversations").select("conv_id", "turn", T.fold_tags(F.array("text"), None).alias("phrases"))
+    """Without an analyzer a query is its own only phrase."""
+    return X.table(spark, sf, "conversations").select("conv_id", "turn", Q.phrases(F.col("text")).alias("phrases"))

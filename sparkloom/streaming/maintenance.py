@@ -53,3 +53,12 @@ def hit_log(spark: SparkSession, path: str, schema: str = "id long, ts timestamp
 def adoption_stream(hits: DataFrame, late: str = "1 hour", window: str = "1 day") -> DataFrame:
     """(window, id, hits): weights by id and day, late rows up to the watermark."""
     return hits.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", window), "id").agg(F.sum("weight").alias("hits"))
+
+
+def apply_by_batch(stream: DataFrame, out: str, checkpoint: str) -> None:
+    """Write what a stream gives, once over what is there, a folder for each batch; a batch that comes again replaces its own folder."""
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(put).trigger(availableNow=True).start().awaitTermination()

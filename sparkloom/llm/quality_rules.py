@@ -2,7 +2,7 @@
 
 Sequential covering: each rule is grown condition by condition (a statistic at least, or at most, a threshold) on
 one part of the labelled rows by information gain, pruned on the other part, and kept if it is precise; its rows
-are then taken away and the next rule is learned. The list becomes one ordered conditional expression, so that
+are then taken away and the next rule is learned, as long as the list with its exceptions gets shorter to tell. The list becomes one ordered conditional expression, so that
 judging a text is a projection: nothing is moved.
 """
 
@@ -19,7 +19,8 @@ from sparkloom.llm.store import hash_limit, saved
 #: Bound of the labelled rows that rules are learned from.
 TRAIN_ROWS = 12_000
 BINS = 32
-MOST_RULES = 10
+#: Covering ends when a list takes so many bits more to tell, with its exceptions, than the shortest before it.
+SLACK_BITS = 64
 MOST_CONDITIONS = 3
 LEAST_PRECISION = 0.95
 LEAST_COVERED = 4
@@ -140,9 +141,10 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     total = marks.count()
     share = min(1.0, most / total) if total else 1.0
     near = F.xxhash64("k") <= hash_limit(share)
-    some = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("text")).where(F.col("k").isNotNull() & near)
-    stats = with_statistics(some).select("row.k", "q.*")
-    rows = saved(stats.join(marks.where(near), "k").where("NOT base_failed").select("k", "y", *[F.col(c).cast("double").alias(c) for c in _STATS]), "rules-stats")
+    # The chosen marks first, about `most` rows: statistics are computed for their texts alone.
+    some = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("text")).where(F.col("k").isNotNull() & near).join(F.broadcast(marks.where(near)), "k")
+    stats = with_statistics(some).select("row.k", "row.y", "q.*")
+    rows = saved(stats.where("NOT base_failed").select("k", "y", *[F.col(c).cast("double").alias(c) for c in _STATS]), "rules-stats")
 
     # Thresholds: quantiles of each statistic over all rows and over bad rows.
     qs = F.array(*[F.lit(i / BINS) for i in range(BINS + 1)])
@@ -173,9 +175,20 @@ def cover(rows: list[tuple[bool, bool, list[int]]], bins: list[int]) -> list[lis
         good = sum(g for g, _, _ in some)
         return len(some) - good, good
 
+    def length(rules: list[list[Test]], left: list[tuple[bool, bool, list[int]]]) -> float:
+        """Bits to tell the rules, then which rows are exceptions to them."""
+        choose = lambda n, k: (math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)) / math.log(2)
+        tests = math.log2(max(2 * sum(bins), 2))
+        bad, good = counts(left)
+        all_good = counts(rows)[1]
+        told = sum(0.5 * (math.log2(len(r) + 1) + len(r) * tests) for r in rules)
+        covered = len(rows) - len(left)
+        return told + choose(covered, all_good - good) + choose(len(left), bad)
+
     rules: list[list[Test]] = []
     left = rows
-    while len(rules) < MOST_RULES:
+    shortest, stay = length(rules, left), 0
+    while True:
         rule: list[Test] = []
         grown = [r for r in left if r[1]]
         while len(rule) < MOST_CONDITIONS:
@@ -213,7 +226,12 @@ def cover(rows: list[tuple[bool, bool, list[int]]], bins: list[int]) -> list[lis
             break
         rules.append(rule[: -max(tried)[1]])
         left = [r for r in left if not fits(r[2], rules[-1])]
-    return rules
+        bits = length(rules, left)
+        if bits < shortest:
+            shortest, stay = bits, len(rules)
+        elif bits > shortest + SLACK_BITS:
+            break
+    return rules[:stay]
 
 
 def judge(docs: DataFrame, rules: DecisionList, text: str = "text") -> DataFrame:

@@ -82,23 +82,36 @@ def test_many_languages_and_a_long_text():
     assert np.allclose(post, want / want.sum(1, keepdims=True))
 
 
-def test_samples_cover_whole_texts(spark):
-    text = " ".join(f"w{i}" for i in range(20_000))
-    df = spark.createDataFrame([(text,), ("short text",), ("x" * 50_000,)], "t string")
-    got = [r.s for r in df.select(lang_id.sampled(F.col("t")).alias("s")).collect()]
-    assert got[1] == "short text" and len(got[2]) <= 6011
-    taken = [int(w[1:]) for w in got[0].split()]
-    assert set(taken) <= set(range(20_000)) and min(taken) < 100 and max(taken) > 19_900 and len(got[0]) <= 6011
-    assert max(b - a for a, b in zip(taken, taken[1:])) < 2500
-
-
-def test_hot_rows_of_one_key_and_more_languages_than_the_bound(spark, monkeypatch):
-    monkeypatch.setattr(lang_id, "MOST_LANGS", 3)
+def test_all_languages_are_learned(spark, monkeypatch):
+    """However many there are; beyond the total of rows each language has fewer."""
+    monkeypatch.setattr(lang_id, "TRAIN_TOTAL", 240)
+    rng = random.Random(8)
+    names = [chr(97 + i // 9) + chr(97 + i % 9) for i in range(70)]
+    text = lambda name: " ".join(name + rng.choice(names) for _ in range(40))
+    rows = [(i, text(names[i % 70]), names[i % 70]) for i in range(700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = lang_id.train(df)
+    assert model.langs == sorted(names)
+    got = lang_id.predict(df, model).collect()
+    assert sum(r.lang_pred == r.lang for r in got) > 0.95 * len(got)
+
+
+def test_training_texts_are_whole(spark, monkeypatch):
+    """Rows are chosen, never parts of them; a language with none but long texts learns from these."""
+    seen = []
+    monkeypatch.setattr(lang_id, "fit", lambda texts, langs: seen.append(list(zip(langs, texts, strict=True))))
+    rows = [(i, ("ab " * (30 if i % 2 else 300)).strip(), "short") for i in range(40)] + [(i, "cd " * 500, "long") for i in range(100, 104)]
+    lang_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_lang=5, length=200)
+    assert [t for n, t in seen[0] if n == "short"] == [("ab " * 30).strip()] * 5
+    assert [t for n, t in seen[0] if n == "long"] == ["cd " * 500] * 4
+
+
+def test_hot_rows_of_one_key(spark):
     rng = random.Random(4)
     rows = [(i, words(rng, "abc"[i % 3] * 2, 40), "abc"[i % 3] * 2) for i in range(90)] + [(1000, words(rng, "aa", 40), "rare")] + [(5, words(rng, "cc", 40), "cc")] * 300
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = lang_id.train(df)
-    assert model.langs == ["aa", "bb", "cc"]
+    assert model.langs == ["aa", "bb", "cc", "rare"]
     assert lang_id.predict(df.where("doc_id < 3"), model).orderBy("doc_id").first().lang_pred == "aa"
 
 
@@ -229,8 +242,19 @@ def test_statistics(spark):
 def plain_cover(rows, bins):
     """The same choices, by trying every condition on every row."""
     ok = lambda b, rule: all((b[f] >= at) == up for f, up, at in rule)
-    rules, left = [], list(rows)
-    for _ in range(quality_rules.MOST_RULES):
+    rules, left, told = [], list(rows), []
+
+    def bits():
+        n, out = sum(bins) * 2, 0.0
+        for r in rules:
+            out += (math.log2(len(r) + 1) + len(r) * math.log2(max(n, 2))) / 2
+        gone = len(rows) - len(left)
+        wrong = sum(r[0] for r in rows) - sum(r[0] for r in left)
+        missed = sum(not r[0] for r in left)
+        return out + math.log2(math.comb(gone, wrong)) + math.log2(math.comb(len(left), missed))
+
+    told.append(bits())
+    while True:
         rule = []
         while len(rule) < quality_rules.MOST_CONDITIONS:
             live = [r for r in left if r[1] and ok(r[2], rule)]
@@ -259,7 +283,10 @@ def plain_cover(rows, bins):
             break
         rules.append(rule[: -max(tried)[1]])
         left = [r for r in left if not ok(r[2], rules[-1])]
-    return rules
+        told.append(bits())
+        if told[-1] > min(told) + quality_rules.SLACK_BITS:
+            break
+    return rules[: told.index(min(told))]
 
 
 @pytest.mark.parametrize("seed", range(6))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm import decontam, lang_id, near_dup, packing, quality_rules
 from sparkloom.llm.queries import pieces, table
-from sparkloom.llm.store import saved
+from sparkloom.llm.store import discard, saved
 
 #: A document is rejected if no language takes at least this share of its words.
 LEAST_SCORE = 0.5
@@ -54,7 +54,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = saved(docs, f"stage{k}")
+            # What a stage read goes once its own result is written.
+            discard(before)
     return docs

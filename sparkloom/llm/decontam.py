@@ -161,7 +161,7 @@ def _passes(benchmark: DataFrame, key: str, text: str) -> Iterator[list[tuple[np
         yield some
 
 
-def contained_items(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, text: str = "text", key: str = "doc_id", item_key: str = "item_id") -> DataFrame:
+def contained_items(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id") -> DataFrame:
     """(doc_id, item_id, shared, item_shingles, containment): a row for each row of docs and item that it contains.
 
     containment is the share of the item's distinct five-word shingles (lower case, words between ASCII white
@@ -173,7 +173,7 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, threshold: float = TH
     ship(spark)
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     out = spark.createDataFrame([], SCHEMA)
-    for blocks in _passes(benchmark, item_key, "text"):
+    for blocks in _passes(benchmark, item_key, item_text):
         shared = spark.sparkContext.broadcast(blocks)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -193,7 +193,7 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, threshold: float = TH
     return out
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, text: str = "text", item_text: str = "text", item_key: str = "item_id") -> DataFrame:
     """The rows of docs, all columns as they were, that contain no item; nothing is moved between tasks.
 
     The same search as contained_items, as a filter on the texts themselves.
@@ -220,6 +220,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
         return clean
 
     out = docs
-    for blocks in _passes(benchmark, "item_id", "text"):
+    for blocks in _passes(benchmark, item_key, item_text):
         out = out.where(cleaner(spark.sparkContext.broadcast(blocks))(F.col(text).cast("string")))
     return out

@@ -30,6 +30,8 @@ THRESHOLD = 0.8
 RARE = 0.002
 #: Counters are named over at least so many rows of the share RARE, so that chance names few of them.
 LEAST_NAMED = 16
+#: Characters of texts that a task of that pass reads at most, but for a single text.
+NAMING_CHARS = 128 << 20
 ROWS, BANDS = 7, 25
 SAMPLES = ROWS * BANDS
 #: What stars leave open in a bucket is compared in blocks of so many classes.
@@ -117,7 +119,8 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
 def named_counters(texts: DataFrame) -> DataFrame:
     """(bucket, n): the counters of hashed shingles that reach the share RARE of some task's rows, and the rows under -1.
 
-    Small partitions are read together: in a task of few rows the share is a row or two, which nearly all shingles reach.
+    Small partitions are read together, up to NAMING_CHARS of text: in a task of few rows the share is a row or two, which nearly
+    all shingles reach.
     """
     mask = np.uint64((1 << BUCKET_BITS) - 1)
 
@@ -132,7 +135,8 @@ def named_counters(texts: DataFrame) -> DataFrame:
         hot = np.flatnonzero(counters >= max(RARE * rows, 1)) if rows else np.zeros(0, np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(hot, -1), pa.int64()), pa.array(np.append(np.zeros(len(hot), np.int64), rows), pa.int64())], names=["bucket", "n"])
 
-    tasks = max(1, int(texts.count() * RARE / LEAST_NAMED))
+    size = texts.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.length("text")).alias("chars")).first()
+    tasks = max(1, int(size.rows * RARE / LEAST_NAMED), (size.chars or 0) // NAMING_CHARS)
     # At most 2**22 + 1 groups, whatever the corpus.
     return texts.coalesce(tasks).mapInArrow(name, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
 

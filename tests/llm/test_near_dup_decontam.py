@@ -152,6 +152,24 @@ def test_items_against_brute_force(spark):
     assert {r.doc_id for r in clean.collect()} == set(range(len(texts))) - {w[0] for w in want}
 
 
+def test_items_under_other_names(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "p q r s t")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, "b c d e f", "x")], "number long, passage string, text string")
+    assert [(r.doc_id, r.item_id) for r in decontam.contained_items(docs, bench, item_text="passage", item_key="number").collect()] == [(1, 7)]
+    assert [r.doc_id for r in decontam.drop_contaminated(docs, bench, item_text="passage", item_key="number").collect()] == [2]
+
+
+def test_naming_reads_bounded_text(spark, monkeypatch):
+    """Long texts are not gathered in one task, and what is counted stays the same."""
+    rng = random.Random(6)
+    df = spark.createDataFrame([(prose(rng, 200) + (" same five words each time" if i % 2 else ""),) for i in range(120)], "text string").repartition(12)
+    want = near_dup.corpus_idf(df)
+    monkeypatch.setattr(near_dup, "NAMING_CHARS", 20_000)
+    assert near_dup.named_counters(df).where("bucket = -1").first().n == 120
+    got = near_dup.corpus_idf(df)
+    assert got.hashes.tolist() == want.hashes.tolist() and got.idf.tolist() == want.idf.tolist()
+
+
 def test_items_in_blocks_and_nothing(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "a b c d e f g"), (1, "a b c d e f g"), (None, "q r s t u v")], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "a b c d e"), (2, "q r s t u"), (2, "q r s t u")], "item_id long, text string")

@@ -20,6 +20,40 @@ def first_line(text: Column) -> Column:
     return F.array(F.struct(F.substring_index(strip(text), "\n", 1).alias("content"), none.alias("context"), none.alias("resolution"), F.array().cast("array<string>").alias("tags")))
 
 
+#: What an extractor as a table function gives, behind the key of its window.
+EXTRACTED = "key string, pos int, content string, context string, resolution string, tags array<string>"
+
+
+def table_extractor(extract):
+    """An extractor that sees a whole window, as a Python table function over TABLE(...) PARTITION BY key ORDER BY place, with rows(key, text).
+
+    extract takes the window's texts in order and gives dictionaries of content and, where there are, context, resolution and tags. A
+    window's rows come to it one by one; they are held until it ends, as far as `window` characters of the caller's windows go.
+    """
+
+    @F.udtf(returnType=EXTRACTED)
+    class Extract:
+        def __init__(self):
+            self.key, self.texts = None, []
+
+        def eval(self, row):
+            self.key = row["key"]
+            self.texts.append(row["text"] or "")
+
+        def terminate(self):
+            for pos, m in enumerate(extract(self.texts)):
+                if (m.get("content") or "").strip():
+                    yield str(self.key), pos, m["content"], m.get("context") or "", m.get("resolution") or "", list(m.get("tags") or [])
+
+    return Extract
+
+
+def extracted_by_table(windows: DataFrame, extractor, place: str = "place") -> DataFrame:
+    """(key, pos, content, context, resolution, tags) of windows(key, place, text) by a table_extractor."""
+    rows = windows.select("key", place, "text").asTable().partitionBy("key").orderBy(place)
+    return extractor(rows)
+
+
 def extracted(texts: DataFrame, key: list[str], base_tags: Column, extractor) -> DataFrame:
     """(key, pos, content, context, resolution, tags) of texts(key, text); memories without content go."""
     each = texts.select(*key, base_tags.alias("__base"), F.posexplode(extractor(F.col("text"))).alias("pos", "m"))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +34,8 @@ def embed(text: Column, dims: int = EMBED_DIMS) -> Column:
         out = np.zeros((len(column), dims))
         for i, t in enumerate(column.to_pylist()):
             for w in re.findall(r"\w+", (t or "").lower()):
-                h = zlib.crc32(w.encode())
-                out[i, h % dims] += 1.0 if h >> 16 & 1 else -1.0
+                h = hashlib.md5(w.encode()).digest()
+                out[i, (h[0] << 8 | h[1]) % dims] += 1.0 if h[2] & 1 else -1.0
         n = np.linalg.norm(out, axis=1, keepdims=True)
         out = out / np.where(n > 0, n, 1)
         return pa.ListArray.from_arrays(pa.array(np.arange(len(column) + 1, dtype=np.int32) * dims), pa.array(out.ravel()))

@@ -366,6 +366,29 @@ def udf06_extracted_memories(spark, sf):
     return Q.extracted(d, ["doc_id"], F.array().cast("array<string>"), each).select("doc_id", F.col("pos").cast("long").alias("pos"), "content")
 
 
+def _said_by_user(texts):
+    """One memory a user line of the window, which tells how many lines came before it."""
+    return [{"content": t, "context": f"{n} before", "tags": ["window"]} for n, t in enumerate(texts) if t.startswith("user")]
+
+
+_ASKS = "SELECT CAST(conv_id AS VARCHAR) AS key, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS pos, role || text AS content, n || ' before' AS context, ['window'] AS tags FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n FROM conversations) WHERE role = 'user'"
+
+
+@query(_ASKS)
+def udf06_extracted_windows(spark, sf):
+    """An extractor that sees whole sessions, as a table function over partitions in order."""
+    c = X.table(spark, sf, "conversations").select(F.col("conv_id").alias("key"), F.col("turn").alias("place"), F.concat("role", "text").alias("text"))
+    return Q.extracted_by_table(c, Q.table_extractor(_said_by_user)).select("key", "pos", "content", "context", "tags")
+
+
+@query(_ASKS)
+def udf06_extracted_by_sql(spark, sf):
+    """The same, registered under a name and called from SQL."""
+    spark.udtf.register("extract_memories", Q.table_extractor(_said_by_user))
+    c = X.table(spark, sf, "conversations").select(F.col("conv_id").alias("key"), F.col("turn").alias("place"), F.concat("role", "text").alias("text"))
+    return spark.sql("SELECT key, pos, content, context, tags FROM extract_memories(TABLE({c}) PARTITION BY key ORDER BY place)", c=c)
+
+
 @query(ctes("native") + "SELECT session, CAST(CASE WHEN count(*) <= 2 THEN count(*) END AS INTEGER) AS end_line FROM native GROUP BY session")
 def udf07_segments_without_model(spark, sf):
     m = X.native(spark, sf)

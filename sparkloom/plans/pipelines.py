@@ -30,10 +30,40 @@ def _lines(spark, sf):
     return c.select(F.col("conv_id").alias("session"), (F.col("turn") + 1).alias("line_no"), F.when(F.col("conv_id") % 2 == 0, plain).otherwise(blocks).alias("raw"))
 
 
-@query("SELECT count(*) AS total_files, count(*) FILTER (WHERE length(html) > 2000) AS successful, CAST(sum(CASE WHEN length(html) > 2000 THEN length(html) % 7 ELSE 0 END) AS BIGINT) AS total_memories FROM pages")
+_MADE = "CASE WHEN doc_id % 4 = 0 THEN doc_id % 5 END"
+
+
+@query(f"SELECT count(*) AS total_files, count(*) FILTER (WHERE length(text) <= 2000) AS successful, CAST(sum(CASE WHEN length(text) > 2000 THEN 0 WHEN {_MADE} > 0 THEN {_MADE} WHEN doc_id % 6 = 1 THEN 7 WHEN doc_id % 3 <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS total_memories FROM documents")
 def src03_ingest_totals(spark, sf):
-    u = X.uploads(spark, sf).select((F.col("size") > 2000).alias("success"), F.when(F.col("size") > 2000, F.col("size") % 7).alias("memories_uploaded"))
-    return u.agg(F.count(F.lit(1)).alias("total_files"), F.count_if("success").alias("successful"), F.sum(F.coalesce("memories_uploaded", F.lit(0))).alias("total_memories"))
+    """Documents as session files: some gave memories, some of those none, some have another counter, the rest count where they are new."""
+    d = X.table(spark, sf, "documents")
+    name = F.concat("doc_id", F.lit(".jsonl"))
+    known = d.where("doc_id % 3 = 0").select(F.col("source").alias("agent_id"), name.alias("session_file"))
+    files = d.select("source", name.alias("session"), F.length("text").cast("long").alias("size"), "text")
+    made = d.select(name.alias("session_file"), F.expr(_MADE).alias("memories_uploaded"), F.expr("CASE WHEN doc_id % 6 = 1 THEN 7 ELSE 0 END").alias("total_uploaded"))
+    return J.ingest_totals(J.ingested(files, F.col("source"), known, cap=2000).join(made, "session_file"))
+
+
+_READ = f"SELECT source AS agent_id, doc_id || '.jsonl' AS session_file, doc_id, length(text) AS size, CASE WHEN {strip_sql('text')} = '' THEN [] ELSE string_split({strip_sql('text')}, chr(10)) END AS l FROM documents"
+
+
+def _read_on(spark, sf):
+    """Of every three files one is unread, one has grown since its first line was read, and one is as it was."""
+    d = X.table(spark, sf, "documents").withColumn("session", F.concat("doc_id", F.lit(".jsonl")))
+    files = d.select("source", "session", F.length("text").cast("long").alias("size"), "text")
+    size = F.length("text").cast("long")
+    progress = d.where("doc_id % 3 <> 0").select(F.col("source").alias("agent_id"), F.col("session").alias("session_file"), F.lit(1).cast("long").alias("lines"), F.when(F.col("doc_id") % 3 == 1, size - 1).otherwise(size).alias("size"))
+    return J.read_on(files, F.col("source"), progress)
+
+
+@query(f"SELECT agent_id, session_file, i AS line_no, l[i] AS raw FROM (SELECT *, unnest(range(CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 2 END, len(l) + 1)) AS i FROM ({_READ}) WHERE doc_id % 3 <> 2)")
+def src02_appended_lines(spark, sf):
+    return _read_on(spark, sf)[0]
+
+
+@query(f"SELECT agent_id, session_file, CAST(CASE WHEN doc_id % 3 = 2 THEN 1 ELSE len(l) END AS BIGINT) AS lines, size FROM ({_READ})")
+def flt37_progress_after_reading(spark, sf):
+    return _read_on(spark, sf)[1]
 
 
 @query(f"SELECT doc_id AS session, unnest(range(1, len(l) + 1)) AS line_no, unnest(l) AS raw FROM (SELECT doc_id, string_split({strip_sql('text')}, chr(10)) AS l FROM documents)")
@@ -254,7 +284,16 @@ def pipe15_upgrade_gate(spark, sf):
     return K.upgrade_gate(X.evolutions(spark, sf)).select("id", "outcome")
 
 
-@query(None)
+_HEX = lambda k: f"(strpos('0123456789abcdef', substr(h, {k}, 1)) - 1)"
+
+
+@query(
+    f"""WITH w AS (SELECT doc_id, md5(unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'))) AS h FROM documents),
+    s AS (SELECT doc_id, ({_HEX(3)} * 16 + {_HEX(4)}) % 32 AS d, CAST(sum(CASE WHEN {_HEX(6)} % 2 = 1 THEN 1 ELSE -1 END) AS DOUBLE) AS x FROM w GROUP BY ALL), n AS (SELECT doc_id, sqrt(sum(x * x)) AS n FROM s GROUP BY doc_id),
+    f AS (SELECT doc_id, i, coalesce(x / nullif(n, 0), 0) AS x FROM documents CROSS JOIN (SELECT unnest(range(32)) AS i) LEFT JOIN s USING (doc_id) LEFT JOIN n USING (doc_id) WHERE s.d = i OR s.d IS NULL
+        UNION ALL SELECT doc_id, i, 0 FROM documents CROSS JOIN (SELECT unnest(range(32)) AS i) WHERE EXISTS (SELECT 1 FROM s WHERE s.doc_id = documents.doc_id) AND NOT EXISTS (SELECT 1 FROM s WHERE s.doc_id = documents.doc_id AND s.d = i))
+    SELECT doc_id, list(round(x, 4) ORDER BY i) AS embedding FROM f GROUP BY doc_id"""
+)
 def udf01_hash_embedding(spark, sf):
     return X.table(spark, sf, "documents").select("doc_id", F.transform(K.embed(F.col("text"), 32), lambda x: F.round(x, 4)).alias("embedding"))
 

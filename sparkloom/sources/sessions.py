@@ -62,6 +62,33 @@ def ingested(files: DataFrame, agent: Column, known: DataFrame, cap: int = DEFAU
     )
 
 
+def ingest_totals(results: DataFrame) -> DataFrame:
+    """One row (total_files, successful, total_memories) of the results of files. A file that succeeded counts with the first of
+    memories_uploaded, total_uploaded and new_trajectory_count, as far as results has them, that is neither null nor 0."""
+    counters = [c for c in ("memories_uploaded", "total_uploaded", "new_trajectory_count") if c in results.columns]
+    first = F.coalesce(*[F.nullif(F.col(c).cast("long"), F.lit(0).cast("long")) for c in counters], F.lit(0).cast("long"))
+    return results.agg(F.count(F.lit(1)).alias("total_files"), F.count_if("success").alias("successful"), F.coalesce(F.sum(F.when(F.col("success"), first)), F.lit(0)).alias("total_memories"))
+
+
+def read_on(files: DataFrame, agent: Column, progress: DataFrame, cap: int = DEFAULTS.file_cap_bytes) -> tuple[DataFrame, DataFrame]:
+    """(lines, progress) of files(session, size, text) that were read before up to progress(agent_id, session_file, lines, size).
+
+    lines(agent_id, session_file, line_no, raw) are those behind the last one read; files of the size they had are not looked into.
+    The new progress has all files, the old ones' rows where nothing came and for files over the cap. A file that got shorter starts anew.
+    """
+    own = files.select(agent.alias("agent_id"), F.col("session").alias("session_file"), "size", "text")
+    before = progress.select("agent_id", "session_file", F.col("lines").alias("__read"), F.col("size").alias("__size"))
+    changed = own.where(F.col("size") <= cap).join(before, ["agent_id", "session_file"], "left").where("__size IS NULL OR __size <> size")
+    clean = strip(F.coalesce("text", F.lit("")))
+    split = F.when(clean == "", F.array().cast("array<string>")).otherwise(F.split(clean, "\n"))
+    at = changed.withColumns({"l": split, "__read": F.when(F.col("size") < F.col("__size"), 0).otherwise(F.coalesce("__read", F.lit(0)))})
+    new = F.when(F.size("l") > F.col("__read"), F.slice("l", F.col("__read").cast("int") + 1, F.size("l"))).otherwise(F.array().cast("array<string>"))
+    out = at.select("agent_id", "session_file", "__read", F.posexplode(new).alias("p", "raw")).select("agent_id", "session_file", (F.col("__read") + F.col("p") + 1).cast("long").alias("line_no"), "raw")
+    now = at.select("agent_id", "session_file", F.size("l").cast("long").alias("lines"), "size")
+    same = progress.select("agent_id", "session_file", F.col("lines").cast("long").alias("lines"), "size").join(now, ["agent_id", "session_file"], "left_anti")
+    return out, same.unionByName(now)
+
+
 def lines(texts: DataFrame) -> DataFrame:
     """(session, line_no, raw) of (session, text): lines from 1 in the file's order, the text trimmed."""
     return texts.select("session", F.posexplode(F.split(strip(F.col("text")), "\n")).alias("p", "raw")).select("session", (F.col("p") + 1).cast("long").alias("line_no"), "raw")

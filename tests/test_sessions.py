@@ -178,3 +178,44 @@ def test_maintenance(spark, tmp_path):
     q.awaitTermination(60)
     assert seen["sum"] == "ok" and seen["bad"].startswith("failed")
     assert {(r.id, r.n) for r in spark.read.parquet(str(out)).collect()} == {(1, 3), (2, 1)}
+
+
+def test_reading_on(spark):
+    """Only lines behind the last one read come again; a file as large as before is not looked into, a shorter one starts anew."""
+    from pyspark.sql import functions as F
+
+    from sparkloom.sources import sessions as J
+
+    rows = [("grown", "a\nb\nc\n"), ("same", "x\ny"), ("new", "p"), ("empty", "  "), ("short", "q"), ("large", "z" * 100), ("none", None)]
+    files = spark.createDataFrame([(n, len(t or ""), t) for n, t in rows], "session string, size long, text string")
+    before = spark.createDataFrame([("me", "grown", 1, 2), ("me", "same", 1, 3), ("me", "short", 5, 50), ("you", "new", 1, 1)], "agent_id string, session_file string, lines long, size long")
+    got, now = J.read_on(files, F.lit("me"), before, cap=50)
+    assert sorted((r.session_file, r.line_no, r.raw) for r in got.collect()) == [("grown", 2, "b"), ("grown", 3, "c"), ("new", 1, "p"), ("short", 1, "q")]
+    assert {(r.agent_id, r.session_file): (r.lines, r.size) for r in now.collect()} == {
+        ("me", "grown"): (3, 6), ("me", "same"): (1, 3), ("me", "new"): (1, 1), ("me", "empty"): (0, 2), ("me", "short"): (1, 1), ("you", "new"): (1, 1), ("me", "none"): (0, 0),
+    }
+    again, same = J.read_on(files, F.lit("me"), now, cap=50)
+    assert again.count() == 0 and sorted(map(str, same.collect())) == sorted(map(str, now.collect()))
+
+
+def test_totals_fall_through(spark):
+    from sparkloom.sources import sessions as J
+
+    rows = [(True, 3, 9, 1), (True, 0, 4, 1), (True, None, 0, 1), (True, None, None, None), (False, 8, 8, 1)]
+    df = spark.createDataFrame(rows, "success boolean, memories_uploaded int, total_uploaded int, new_trajectory_count int")
+    assert tuple(J.ingest_totals(df).first()) == (5, 4, 8)
+    assert tuple(J.ingest_totals(df.limit(0)).first()) == (0, 0, 0)
+    assert tuple(J.ingest_totals(df.select("success", "new_trajectory_count")).first()) == (5, 4, 3)
+
+
+def test_extractor_as_a_table_function(spark):
+    """It sees each window whole and in order, and gives what the array form gives."""
+    from sparkloom.operators import extraction as Q
+
+    def extract(texts):
+        return [{"content": f"{len(texts)}:{t}", "tags": [texts[0]]} for t in texts if t] + [{"content": " "}]
+
+    rows = [("b", 2, "y"), ("a", 1, "m"), ("b", 1, "x"), ("b", 3, None), ("c", 1, None)]
+    df = spark.createDataFrame(rows, "key string, place int, text string").repartition(3)
+    got = sorted((r.key, r.pos, r.content, tuple(r.tags)) for r in Q.extracted_by_table(df, Q.table_extractor(extract)).collect())
+    assert got == [("a", 0, "1:m", ("m",)), ("b", 0, "3:x", ("x",)), ("b", 1, "3:y", ("x",))]

@@ -67,6 +67,27 @@ def test_shards_are_near_equal(spark):
     assert [r.doc_id for r in order] == sorted(r.doc_id for r in rows)
 
 
+def test_splitters_are_those_of_sorted_sums(spark):
+    """Without tolerance each boundary is the one of the sorted rows whose bytes below come nearest to its share."""
+    import random
+
+    rng = random.Random(12)
+    rows = [(k, "x" * rng.choice([0, 3, 40, 41, 700])) for k in rng.sample(range(-(10**12), 10**12), 400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: (r.shard, r.slot) for r in sharding.histogram_shards(df, tolerance=0.0).collect()}
+    ordered = sorted(rows)
+    below = [0]
+    for _, t in ordered:
+        below.append(below[-1] + len(t) + 1)
+    cuts = [min(range(len(below)), key=lambda j, w=below[-1] * i / 8: (abs(below[j] - w), j)) for i in range(1, 8)]
+    want, seen = {}, {}
+    for i, (k, _) in enumerate(ordered):
+        shard = sum(j <= i for j in cuts)
+        want[k] = (shard, seen.get(shard, 0))
+        seen[shard] = seen.get(shard, 0) + 1
+    assert got == want
+
+
 def test_a_hot_id_is_parted(spark):
     df = spark.createDataFrame([(7, "same text")] * 1000 + [(i, "y" * 9) for i in range(1000, 2000)], "doc_id long, text string")
     sizes = check_shards(sharding.histogram_shards(df).collect(), 8)

@@ -27,7 +27,7 @@ from sparkloom.llm.store import saved, ship
 FREQUENT = 300_000
 #: Words whose lattice score a Python worker remembers.
 KNOWN_WORDS = 300_000
-ROUNDS = 1
+ROUNDS = 2
 #: Shares of the vocabulary's own scores that learning chooses from.
 WEIGHTS = (0.0001, 0.001, 0.01, 0.1, 0.5)
 #: Places of a word whose pieces are looked up together.

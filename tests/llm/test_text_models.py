@@ -184,7 +184,10 @@ def test_learned_scores_against_brute_force(spark):
         return np.log(p / p.sum())
 
     learn_on = {w: n for w, n in counts.items() if w not in kept}
-    n = expected(learn_on, v.scores, 6 * 0.8)
+    scores = v.scores
+    for _ in range(lattice_lm.ROUNDS):
+        n = expected(learn_on, scores, 6 * 0.8)
+        scores = mixed(n, lattice_lm.WEIGHTS[0])
     likely = lambda s: sum(c * math.log(sum(math.exp(sum(s[i] for i in x)) for x in ways(b" " + w.encode()))) for w, c in counts.items() if w in kept)
     best = max(lattice_lm.WEIGHTS, key=lambda w: (likely(mixed(n, w)), -w))
     want = mixed(expected(counts, mixed(n, best), 6), best)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -10,11 +11,16 @@ from pyspark.sql import functions as F
 from sparkloom.functions.text import strip
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once a row, however often and in whatever lambda the body names it."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def parsed(text: Column) -> Column:
     """array<struct<title, body>>; the first section has no title and holds what comes before the first heading."""
     # A mark before every heading at a line's beginning, then each part is its first line and the rest.
     parts = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?dm)^## ", "\u0001## "), "\u0001")
-    clean = F.transform(parts, lambda p, i: F.when(i < F.size(parts) - 1, F.regexp_replace(p, r"\n\z", "")).otherwise(p))
+    clean = let(parts, lambda ps: F.transform(ps, lambda p, i: F.when((i < F.size(ps) - 1) & p.endswith("\n"), F.substring(p, F.lit(1), F.length(p) - 1)).otherwise(p)))
     first = lambda p: p.startswith("## ")
     return F.transform(
         clean,
@@ -42,20 +48,28 @@ def _body_of(sections: Column, title: Column, last: bool) -> Column:
 def compared(user: Column, default: Column) -> Column:
     """array<struct<title, body, kind>> of the user's sections; kind is unchanged, modified or added."""
 
-    def kind(s: Column) -> Column:
+    def kind(default: Column, s: Column) -> Column:
         other = F.when(s["title"] == "", F.coalesce(_body_of(default, F.lit(""), False), F.lit(""))).otherwise(_body_of(default, s["title"], True))
-        return F.when(other.isNull(), "added").when(strip(other) == strip(s["body"]), "unchanged").otherwise("modified")
+        return let(other, lambda o: F.when(o.isNull(), "added").when(strip(o) == strip(s["body"]), "unchanged").otherwise("modified"))
+
+    return let(default, lambda d: F.transform(user, lambda s: F.struct(s["title"].alias("title"), s["body"].alias("body"), kind(d, s).alias("kind"))))
+
+
+def _merged(user: Column, source: Column, target: Column) -> Column:
+    """merged() of parsed texts, as sections."""
 
-    return F.transform(user, lambda s: F.struct(s["title"].alias("title"), s["body"].alias("body"), kind(s).alias("kind")))
+    def put(marked: Column) -> Column:
+        changed = F.filter(marked, lambda s: s["kind"] == "modified")
+        base = let(changed, lambda c: F.transform(target, lambda t: F.struct(t["title"].alias("title"), F.coalesce(_body_of(c, t["title"], True), t["body"]).alias("body"))))
+        added = F.transform(F.filter(marked, lambda s: s["kind"] == "added"), lambda s: F.struct(s["title"].alias("title"), s["body"].alias("body")))
+        return F.concat(base, added)
+
+    return let(compared(user, source), put)
 
 
 def merged(user_text: Column, source_default: Column, target_default: Column) -> Column:
     """The target's sections, those that the user changed in the user's words, then what the user added."""
-    marked = compared(parsed(user_text), parsed(source_default))
-    changed = F.filter(marked, lambda s: s["kind"] == "modified")
-    base = F.transform(parsed(target_default), lambda t: F.struct(t["title"].alias("title"), F.coalesce(_body_of(changed, t["title"], True), t["body"]).alias("body")))
-    added = F.transform(F.filter(marked, lambda s: s["kind"] == "added"), lambda s: F.struct(s["title"].alias("title"), s["body"].alias("body")))
-    return content(F.concat(base, added))
+    return content(_merged(parsed(user_text), parsed(source_default), parsed(target_default)))
 
 
 def changes(user_text: Column, source_default: Column) -> Column:
@@ -73,27 +87,37 @@ def task_lines(body: Column) -> Column:
 
 def merged_tasks(user_text: Column, source_default: Column, target_default: Column) -> Column:
     """merged(), with the user's new task lines put before the first comment of the task section."""
-    first_body = lambda t: F.coalesce(_body_of(parsed(t), F.lit(TASKS), False), F.lit(""))
-    known = F.transform(task_lines(first_body(source_default)), strip)
-    new = F.filter(task_lines(first_body(user_text)), lambda x: ~F.array_contains(known, strip(x)))
-    base = parsed(merged(user_text, source_default, target_default))
-    at = F.array_position(F.transform(base, lambda s: s["title"]), F.lit(TASKS))
+    first_body = lambda sections: F.coalesce(_body_of(sections, F.lit(TASKS), False), F.lit(""))
+
+    def with_tasks(s: Column, i: Column, at: Column, new: Column) -> Column:
+        def put(lines: Column, cut: Column) -> Column:
+            after = F.when(cut < F.size(lines), F.slice(lines, cut + 1, F.size(lines))).otherwise(F.array().cast("array<string>"))
+            return F.array_join(F.concat(F.slice(lines, F.lit(1), cut), new, after), "\n")
+
+        def marks(lines: Column) -> Column:
+            return F.filter(F.transform(lines, lambda x, j: F.when(F.contains(x, F.lit("<!--")) & (j > 0), j)), lambda j: j.isNotNull())
+
+        text = let(F.split(s["body"], "\n"), lambda lines: let(F.coalesce(F.array_min(marks(lines)), F.size(lines)), lambda cut: put(lines, cut)))
+        return F.struct(s["title"].alias("title"), F.when(i + 1 == at, text).otherwise(s["body"]).alias("body"))
+
+    def lines_put(base: Column, new: Column) -> Column:
+        at = F.array_position(F.transform(base, lambda s: s["title"]), F.lit(TASKS))
+        return F.when(F.size(new) == 0, content(base)).otherwise(content(let(at, lambda a: F.transform(base, lambda s, i: with_tasks(s, i, a, new)))))
 
-    def with_tasks(s: Column, i: Column) -> Column:
-        lines = F.split(s["body"], "\n")
-        marks = F.filter(F.transform(lines, lambda x, j: F.when(F.contains(x, F.lit("<!--")) & (j > 0), j)), lambda j: j.isNotNull())
-        cut = F.coalesce(F.array_min(marks), F.size(lines))
-        after = F.when(cut < F.size(lines), F.slice(lines, cut + 1, F.size(lines))).otherwise(F.array().cast("array<string>"))
-        put = F.array_join(F.concat(F.slice(lines, F.lit(1), cut), new, after), "\n")
-        return F.struct(s["title"].alias("title"), F.when(i + 1 == at, put).otherwise(s["body"]).alias("body"))
+    def made(user: Column, source: Column) -> Column:
+        known = F.transform(task_lines(first_body(source)), strip)
+        new = let(known, lambda k: F.filter(task_lines(first_body(user)), lambda x: ~F.array_contains(k, strip(x))))
+        # Merged texts are parsed again: what a body holds may be a heading by then.
+        base = parsed(content(_merged(user, source, parsed(target_default))))
+        return let(base, lambda b: let(new, lambda n: lines_put(b, n)))
 
-    return F.when(F.size(new) == 0, content(base)).otherwise(content(F.transform(base, with_tasks)))
+    return let(parsed(user_text), lambda u: let(parsed(source_default), lambda s: made(u, s)))
 
 
 def user_lines(user_text: Column, default: Column) -> Column:
     """The user's lines that the default has not, trimmed for comparing; the whole text where there is no default."""
     known = F.transform(F.split(strip(default), "\n"), strip)
-    mine = F.filter(F.split(strip(user_text), "\n"), lambda x: (strip(x) != "") & ~F.array_contains(known, strip(x)))
+    mine = let(known, lambda k: F.filter(F.split(strip(user_text), "\n"), lambda x: (strip(x) != "") & ~F.array_contains(k, strip(x))))
     return F.when(strip(default) == "", strip(user_text)).otherwise(strip(F.array_join(mine, "\n")))
 
 

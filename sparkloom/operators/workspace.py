@@ -200,6 +200,8 @@ def merge_workspaces(incoming: DataFrame, workspaces: DataFrame, defaults: DataF
     number = F.lit(len(cases) - 1)
     for n, case in reversed(list(enumerate(cases[:-1]))):
         number = F.when(case[0], n).otherwise(number)
+    # Texts are compared after this exchange: tables of keys are small files, which few tasks read.
+    rows = rows.repartition(int(incoming.sparkSession.conf.get("spark.sql.shuffle.partitions")), "workspace", "pos")
     rows = rows.withColumn("__case", number)
     rows = rows.select("workspace", "pos", F.coalesce(to, path).alias("path"), to.isNotNull().alias("handled"), chosen(lambda c: F.lit(c[1])).alias("action"), chosen(lambda c: c[2]).cast("string").alias("content"), chosen(lambda c: c[3]).alias("detail"))
     rows = saved(rows, "workspace-rows")

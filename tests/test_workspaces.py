@@ -1,7 +1,9 @@
 """Whole workspaces put into another product."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from sparkloom.functions import sections as S
 from sparkloom.operators import workspace as O
 
 
@@ -55,3 +57,10 @@ def test_places_and_tasks(spark):
     assert ("memory/HISTORY.md", "import", "No mapping for openclaw, imported as-is") in log
     assert ("AGENTS.md", "import", "No target default available, imported as-is") in log
     assert log[-1] == ("IDENTITY.md", "default", "Added from openclaw default template")
+
+
+def test_sections_are_parsed_once_a_row(spark):
+    """Each text is parsed once, not again for each of its sections: the plan splits no text inside a lambda over sections."""
+    df = spark.createDataFrame([("## A\nx\n## B\ny",) * 3], "u string, s string, t string")
+    plan = df.select(S.merged_tasks(F.col("u"), F.col("s"), F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert all(plan.count(f"coalesce({c}#") == 1 for c in "ust")

@@ -1,9 +1,10 @@
 """Sequential leader clustering: each vector joins the nearest centroid, which then moves, or founds a cluster.
 
-Every step depends on all before it. What can be done apart is: the comparison of a block of vectors with all centroids, in
-Spark, which leaves each vector its few nearest. A block is then settled in order by one small task, which needs those
-centroids alone: a vector's nearest is either one that no vector of the block has touched, and stands in its list, or one
-that was touched or founded in the block, and is held there. Where a list is used up before that is sure, the block ends early.
+Every step depends on all before it. While there are few centroids, a block of vectors is settled in order by one small task that
+holds them all. Beyond that the comparison of the block with all centroids is done in Spark, which leaves each vector its few nearest,
+and the task needs those alone: a vector's nearest is either one that no vector of the block has touched, and stands in its list, or one
+that was touched or founded in the block, and is held there. Where a list is used up before that is sure, the block ends early, and the
+next one keeps longer lists.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,9 +22,10 @@ from sparkloom.config import DEFAULTS
 from sparkloom.operators.ranking import global_rank
 from sparkloom.scratch import discard, saved
 
-#: Vectors of a block, and centroids that each keeps.
-BLOCK, NEAREST = 4096, 8
+#: Vectors of a block, centroids that each keeps at first and at most, and centroids up to which a task holds them all.
+BLOCK, NEAREST, FARTHEST, HELD = 4096, 8, 256, 8192
 CLUSTERS = "seq long, cluster_id {kind}, n long, sums array<double>"
+OUT = "place long, id {kind}, cluster_id {kind}, seq long, n long, sums array<double>"
 
 
 @dataclass
@@ -43,15 +46,17 @@ class Leader:
         self.names: list[object] = []
         self.counts: list[int] = []
         self.sums = np.zeros((0, 0))
+        self.sizes = np.zeros(0)
 
     def hold(self, seq: int, name: object, n: int, vector: np.ndarray) -> int:
         k = len(self.seqs)
         if k == len(self.sums) or self.sums.shape[1] != len(vector):
-            bigger = np.zeros((max(64, 2 * k), len(vector)))
+            bigger, sizes = np.zeros((max(64, 2 * k), len(vector))), np.zeros(max(64, 2 * k))
             if k:
-                bigger[:k] = self.sums[:k]
-            self.sums = bigger
+                bigger[:k], sizes[:k] = self.sums[:k], self.sizes[:k]
+            self.sums, self.sizes = bigger, sizes
         self.sums[k] = vector
+        self.sizes[k] = np.linalg.norm(vector)
         self.seqs.append(seq)
         self.names.append(name)
         self.counts.append(n)
@@ -62,14 +67,17 @@ class Leader:
         n = len(self.seqs)
         if not n:
             return -2.0, -1
-        size = np.linalg.norm(self.sums[:n], axis=1) * np.linalg.norm(v)
-        sim = np.round(np.where(size > 0, self.sums[:n] @ v / np.where(size > 0, size, 1), 0.0), 12)
-        best = np.flatnonzero(sim == sim.max())
-        k = min(best, key=lambda i: self.seqs[i])
+        size = self.sizes[:n] * np.linalg.norm(v)
+        sim = np.divide(self.sums[:n] @ v, size, out=np.zeros(n), where=size > 0)
+        # Rounding keeps the order, so that only those near the top can be it.
+        near = np.flatnonzero(sim >= sim.max() - 1e-11)
+        sim = dict(zip(near.tolist(), np.round(sim[near], 12).tolist(), strict=True))
+        k = min(sim, key=lambda i: (-sim[i], self.seqs[i]))
         return float(sim[k]), int(k)
 
     def join(self, k: int, v: np.ndarray) -> None:
         self.sums[k] += v
+        self.sizes[k] = np.linalg.norm(self.sums[k])
         self.counts[k] += 1
 
 
@@ -100,7 +108,7 @@ def _near(block: list[tuple[int, list[float]]], threshold: float, most: int):
     return scan
 
 
-def leader_clusters(vectors: DataFrame, threshold: float = DEFAULTS.cluster_similarity, order: str = "id", start: DataFrame | None = None, block: int = BLOCK, nearest: int = NEAREST) -> Clustering:
+def leader_clusters(vectors: DataFrame, threshold: float = DEFAULTS.cluster_similarity, order: str = "id", start: DataFrame | None = None, block: int = BLOCK, nearest: int = NEAREST, held: int = HELD) -> Clustering:
     """vectors(id, embedding) clustered one after the other by `order`, going on from the clusters `start` if given.
 
     A vector joins the cluster whose centroid, the mean of its members, is most similar (cosine, at the threshold, ties to the
@@ -116,20 +124,29 @@ def leader_clusters(vectors: DataFrame, threshold: float = DEFAULTS.cluster_simi
     total = rows.count()
     clusters = saved(start.select("seq", F.col("cluster_id").cast(kind).alias("cluster_id"), "n", "sums"), "leader-start") if start is not None else spark.createDataFrame([], CLUSTERS.format(kind=kind))
     founded = (clusters.agg(F.max("seq")).first()[0] or 0) + 1
-    done, parts = 0, []
+    done, parts, known, most = 0, [], clusters.count(), nearest
     while done < total:
         own = rows.where((F.col("place") > done) & (F.col("place") <= done + block))
-        held = [(r.place, list(r.embedding)) for r in own.select("place", "embedding").collect()]  # at most `block` rows
-        near = clusters.mapInArrow(_near(held, threshold, nearest + 1), f"place long, sim double, seq long, cluster_id {kind}, n long, sums array<double>")
-        # One group of at most `block` rows, each with its nearest centroids of every task cut to `nearest`.
-        top = near.groupBy("place").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("sim")).alias("d"), "seq", "cluster_id", "n", "sums"))), 1, nearest + 1).alias("near"))
-        grouped = own.join(top, "place", "left").select("place", "id", "embedding", "near").withColumn("one", F.lit(1))
-        settled = saved(grouped.groupBy("one").applyInArrow(_settle(threshold, nearest, founded + done), f"place long, id {kind}, cluster_id {kind}, seq long, n long, sums array<double>"), "leader-settled")
+        if known <= held:
+            # One group of at most `block` vectors and `held` centroids.
+            both = own.unionByName(clusters.select("seq", "cluster_id", "n", F.col("sums").alias("embedding")), allowMissingColumns=True).withColumn("one", F.lit(1))
+            settled = saved(both.groupBy("one").applyInArrow(_settle_held(threshold, founded + done), OUT.format(kind=kind)), "leader-settled")
+            clusters = settled.where("place IS NULL").select("seq", "cluster_id", "n", "sums")
+        else:
+            listed = [(r.place, list(r.embedding)) for r in own.select("place", "embedding").collect()]  # at most `block` rows
+            near = clusters.mapInArrow(_near(listed, threshold, most + 1), f"place long, sim double, seq long, cluster_id {kind}, n long, sums array<double>")
+            # One group of at most `block` rows, each with its nearest centroids of every task cut to `most`.
+            top = near.groupBy("place").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("sim")).alias("d"), "seq", "cluster_id", "n", "sums"))), 1, most + 1).alias("near"))
+            grouped = own.join(top, "place", "left").select("place", "id", "embedding", "near").withColumn("one", F.lit(1))
+            settled = saved(grouped.groupBy("one").applyInArrow(_settle(threshold, most, founded + done), OUT.format(kind=kind)), "leader-settled")
+            touched = settled.where("place IS NULL").select("seq", "cluster_id", "n", "sums")
+            before, clusters = clusters, saved(clusters.join(F.broadcast(touched.select("seq")), "seq", "left_anti").select("seq", "cluster_id", "n", "sums").unionByName(touched), "leader-clusters")
+            discard(before)
         parts.append(settled.where("place IS NOT NULL").select("place", "id", "cluster_id"))
-        touched = settled.where("place IS NULL").select("seq", "cluster_id", "n", "sums")
-        before, clusters = clusters, saved(clusters.join(F.broadcast(touched.select("seq")), "seq", "left_anti").select("seq", "cluster_id", "n", "sums").unionByName(touched), "leader-clusters")
-        discard(before)
-        done += parts[-1].count()
+        step = parts[-1].count()
+        if known > held and step < min(block, total - done) // 2:
+            most = min(2 * most, max(FARTHEST, nearest))
+        done, known = done + step, clusters.count()
     assigned = spark.createDataFrame([], f"place long, id {kind}, cluster_id {kind}")
     for p in parts:
         assigned = assigned.unionByName(p)
@@ -162,17 +179,45 @@ def _settle(threshold: float, nearest: int, next_seq: int):
                 k = lead.hold(next_seq + i, ids[i], 1, v)
                 held[next_seq + i] = k
             given.append(lead.names[k])
-        n, m = len(given), len(lead.seqs)
-        schema = group.schema
-        return pa.table(
-            {
-                "place": pa.concat_arrays([group.column("place").combine_chunks().slice(0, n), pa.nulls(m, pa.int64())]),
-                "id": pa.concat_arrays([group.column("id").combine_chunks().slice(0, n), pa.nulls(m, schema.field("id").type)]),
-                "cluster_id": pa.array(given + lead.names, schema.field("id").type),
-                "seq": pa.array([None] * n + lead.seqs, pa.int64()),
-                "n": pa.array([None] * n + lead.counts, pa.int64()),
-                "sums": pa.array([None] * n + [s.tolist() for s in lead.sums[:m]], pa.list_(pa.float64())),
-            }
-        )
+        return _told(group, ids, given, lead)
 
     return run
+
+
+def _settle_held(threshold: float, next_seq: int):
+    """The block's vectors in order to their clusters, then all clusters; the group has both, clusters without a place."""
+
+    def run(group: pa.Table) -> pa.Table:
+        known = group.filter(pc.is_null(group.column("place"))).sort_by("seq")
+        group = group.filter(pc.is_valid(group.column("place"))).sort_by("place")
+        lead = Leader(threshold)
+        for c in zip(*(known.column(n).to_pylist() for n in ("seq", "cluster_id", "n", "embedding")), strict=True):
+            lead.hold(*c[:3], np.array(c[3]))
+        ids, given = group.column("id").to_pylist(), []
+        for i, v in enumerate(group.column("embedding").to_pylist()):
+            v = np.array(v)
+            sim, k = lead.nearest(v)
+            if k >= 0 and sim >= threshold:
+                lead.join(k, v)
+            else:
+                k = lead.hold(next_seq + i, ids[i], 1, v)
+            given.append(lead.names[k])
+        return _told(group, ids, given, lead)
+
+    return run
+
+
+def _told(group: pa.Table, ids: list, given: list, lead: Leader) -> pa.Table:
+    """OUT of a block: the first rows of the group with the clusters given to them, then the clusters held."""
+    n, m = len(given), len(lead.seqs)
+    kind = group.schema.field("id").type
+    return pa.table(
+        {
+            "place": pa.array(group.column("place").to_pylist()[:n] + [None] * m, pa.int64()),
+            "id": pa.array(ids[:n] + [None] * m, kind),
+            "cluster_id": pa.array(given + lead.names, kind),
+            "seq": pa.array([None] * n + lead.seqs, pa.int64()),
+            "n": pa.array([None] * n + lead.counts, pa.int64()),
+            "sums": pa.array([None] * n + [s.tolist() for s in lead.sums[:m]], pa.list_(pa.float64())),
+        }
+    )

@@ -144,6 +144,22 @@ def test_leader_clusters_one_by_one(spark, block, nearest):
     assert len(sizes) > 20
 
 
+def test_leader_clusters_settle_whole_blocks(spark, monkeypatch):
+    """Many centroids near every vector: a block that a task can hold is settled at once; lists grow where it cannot."""
+    g = np.random.default_rng(8)
+    rows = [(i, g.normal(size=16).tolist()) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>")
+    names, plain = [], C.saved
+    monkeypatch.setattr(C, "saved", lambda d, name: names.append(name) or plain(d, name))
+    got = C.leader_clusters(df, 0.3, block=200)
+    assert {r.id: r.cluster_id for r in got.assigned.collect()} == plain_leaders(rows, 0.3)
+    assert names.count("leader-settled") == 2
+    names.clear()
+    got = C.leader_clusters(df, 0.3, block=200, nearest=4, held=40)
+    assert {r.id: r.cluster_id for r in got.assigned.collect()} == plain_leaders(rows, 0.3)
+    assert names.count("leader-settled") < 15
+
+
 def test_leader_clusters_go_on(spark):
     g = np.random.default_rng(6)
     rows = [(i, g.normal(size=3).tolist()) for i in range(200)]

@@ -242,3 +242,29 @@ def test_hotness(spark):
     df = spark.createDataFrame([("2024-01-01 00:00:00",), ("2024-03-01 00:00:00",), (None,)], "t string").select(F.col("t").cast("timestamp_ntz").alias("t"))
     got = [r.h for r in df.select(hotness(F.col("t"), F.lit("2024-01-11").cast("timestamp_ntz"), 0.05).alias("h")).collect()]
     assert got == [pytest.approx(math.exp(-0.5)), 1.0, 0.0]
+
+
+@pytest.mark.parametrize("block", [1024, 4, 1])
+def test_best_match_of_copies_and_lengths(spark, block):
+    """Equal vectors count once, the first of them; vectors of another length are similar to none, whatever stands first."""
+    v = [[1.0, 0.0], [0.0, 1.0], [1.0, 1.0, 0.0]]
+    left = spark.createDataFrame([(i, v[i % 3]) for i in range(60)], "left_id long, embedding array<double>")
+    right = spark.createDataFrame([(i, i % 2, v[i % 3]) for i in range(90)], "right_id long, place int, embedding array<double>")
+    got = {r.left_id: (r.right_id, round(r.sim, 9)) for r in S.best_match(left, right, 0.9, block=block).collect()}
+    assert got == {i: ([0, 4, 2][i % 3], 1.0) for i in range(60)}
+    before = {r.left_id: r.right_id for r in S.best_match(left, right.withColumn("place", F.lit(0)), 0.9, block=block, earlier=True).collect()}
+    assert before == {i: i % 3 for i in range(3, 60)}
+
+
+def test_pairs_go_without_joins(spark):
+    """Winners are told where pairs are found: no exchange of pairs for the hits of their ends."""
+    rows = [(i, "a", "active", i % 3, [1.0, i / 50]) for i in range(30)]
+    df = spark.createDataFrame(rows, "id long, memory_type string, status string, hit_count long, embedding array<double>")
+    pairs = S.consolidation_pairs(df, 0.9, block=8)
+    assert "Join" not in pairs._jdf.queryExecution().optimizedPlan().toString().split("FlatMapGroupsInArrow")[0]
+    hits = {r[0]: r[3] for r in rows}
+    got = [(r.winner, r.loser) for r in pairs.collect()]
+    assert len(got) == len(set(got)) and all((hits[w], -w) > (hits[lo], -lo) for w, lo in got)
+    x = np.array([r[4] for r in rows])
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert {frozenset(p) for p in got} == {frozenset((i, j)) for i in range(30) for j in range(i) if x[i] @ x[j] >= 0.9}

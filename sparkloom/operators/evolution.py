@@ -21,22 +21,22 @@ from sparkloom.scratch import saved
 _AUDIT = ["skill_slug", "cluster_id", "old_version", "new_version", "old_score", "new_score", "status", "trigger", "memory_count", "new_memory_ids", "mutation_summary"]
 
 
-#: Memories of a cluster that a prompt shows, and that a topic is made of.
-ENTRIES, TOPIC_ENTRIES = 400, 10
+#: Memories of a cluster that a topic is made of.
+TOPIC_ENTRIES = 10
 
 
-def first_members(members: DataFrame, memories: DataFrame, most: int) -> DataFrame:
-    """(cluster_id, i, memory_id): the first `most` memories of each cluster in the order they came, i from 1.
+def first_members(members: DataFrame, memories: DataFrame, most: int | None) -> DataFrame:
+    """(cluster_id, i, memory_id): the first `most` memories of each cluster in the order they came, i from 1; all where most is None.
 
     Ranked on keys alone, and cut in every task before a cluster's rows meet."""
     known = members.select("cluster_id", "memory_id", "added_at").join(memories.select(F.col("id").alias("memory_id")), "memory_id", "left_semi")
     placed = known.withColumn("i", F.row_number().over(Window.partitionBy("cluster_id").orderBy("added_at", "memory_id")))
-    return placed.where(F.col("i") <= most).select("cluster_id", "i", "memory_id")
+    return (placed if most is None else placed.where(F.col("i") <= most)).select("cluster_id", "i", "memory_id")
 
 
-def prompt(members: DataFrame, memories: DataFrame, most: int = 600, entries: int = ENTRIES) -> DataFrame:
-    """(cluster_id, n, ids, prompt): each cluster's number of memories, their ids in the order they came, and the first
-    `entries` of them as text, fields cut to their share of `most` characters."""
+def prompt(members: DataFrame, memories: DataFrame, most: int = 600, entries: int | None = None) -> DataFrame:
+    """(cluster_id, n, ids, prompt): each cluster's number of memories, their ids in the order they came, and all of them, or the first
+    `entries`, as text, fields cut to their share of `most` characters."""
     cut = lambda c, share: T.truncate(F.coalesce(c, F.lit("")), most // share)
     line = lambda label, c: F.when(F.col(c) != "", F.concat(F.lit(f"\n- {label}: "), F.col(c)))
     shown = first_members(members, memories, entries).join(memories.select(F.col("id").alias("memory_id"), "content", "context", "resolution"), "memory_id")

@@ -114,3 +114,15 @@ def test_budget_is_spent_by_successes(spark):
         one, two = E.cycle(c, m, memories, skills, history, limit, new)
         assert {r.cluster_id: r.outcome for r in one.collect()} == {i: "crystallized" if i in good else "insufficient" for i in tried}
         assert {r.cluster_id for r in two.collect()} == {r[0] for r in by_age if r[2]}.intersection([r[0] for r in by_age if r[2]][: max(rest, 0)])
+
+
+def test_prompts_of_whole_clusters(spark):
+    """A skill is made of all memories of its cluster, not of the first ones."""
+    members = spark.range(450).select(F.lit(0).cast("long").alias("cluster_id"), F.col("id").alias("memory_id"), F.lit("2024-01-01").cast("timestamp_ntz").alias("added_at"))
+    memories = spark.range(450).select("id", F.lit("c").alias("content"), F.lit("").alias("context"), F.lit("").alias("resolution"))
+    clusters = spark.createDataFrame([(0, "t", "")], "cluster_id long, topic string, skill_slug string")
+    skills = spark.createDataFrame([], "slug string, version string")
+    size = lambda prompt, topic: F.struct(F.lit("ok").alias("quality"), F.regexp_count(prompt, F.lit("### Experience")).cast("string").alias("name"), F.lit("d").alias("description"), F.lit(GOOD).alias("content"))
+    verify = lambda content, prompt: F.struct(F.lit(0.9).alias("grounded"), F.lit(False).alias("contradiction"), F.lit(0.8).alias("clarity"), F.lit(1.0).alias("specificity"), F.lit(1.0).alias("preserves"))
+    got = E.crystallize(clusters, members, memories, skills, synthesize=size, verify=verify).first()
+    assert (got.outcome, got.name) == ("crystallized", "450")

@@ -2,18 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.functions.text import strip
-
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with the value computed once a row, however often and in whatever lambda the body names it."""
-    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+from sparkloom.functions.text import let, strip
 
 
 def parsed(text: Column) -> Column:

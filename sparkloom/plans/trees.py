@@ -69,7 +69,7 @@ def src11_skill_packages(spark, sf):
 
 @query("SELECT p_partkey, CASE WHEN p_partkey % 10 = 9 THEN NULL ELSE p_name END AS name, CASE WHEN p_partkey % 10 = 9 THEN p_name ELSE '# Use ' || p_brand END AS body FROM part")
 def fn29_skill_file(spark, sf):
-    p = X.table(spark, sf, "part")
+    p = X.dealt(X.table(spark, sf, "part"), "p_partkey")
     md = F.when(F.col("p_partkey") % 10 == 9, F.col("p_name")).otherwise(_skill_md(F.col("p_name"), F.col("p_type"), "[]", F.concat(F.lit("# Use "), "p_brand")))
     f = p.select("p_partkey", md.alias("md")).select("p_partkey", P.front_matter(F.col("md")).alias("f"), P.body(F.col("md")).alias("body"))
     return f.select("p_partkey", P.typed_value(F.try_element_at("f", F.lit("name")))["value"].alias("name"), "body")
@@ -78,7 +78,7 @@ def fn29_skill_file(spark, sf):
 @query("SELECT p_partkey, 'name' AS key, '''' || p_name || '''' AS value FROM part UNION ALL SELECT p_partkey, 'description', p_type || chr(10) || '  more: of it' FROM part UNION ALL SELECT p_partkey, 'metadata', '{\"own\": {\"categories\": []}}' FROM part")
 def fn62_front_matter(spark, sf):
     md = _skill_md(F.col("p_name"), F.col("p_type"), "[]", F.lit("x"))
-    return X.table(spark, sf, "part").select("p_partkey", F.explode(P.front_matter(md)))
+    return X.dealt(X.table(spark, sf, "part"), "p_partkey").select("p_partkey", F.explode(P.front_matter(md)))
 
 
 @query(
@@ -139,7 +139,7 @@ def api08_upload_results(spark, sf):
 
 
 def _preset_tree(spark, sf):
-    p = X.table(spark, sf, "part")
+    p = X.dealt(X.table(spark, sf, "part"), "p_partkey")
     name = F.when(F.col("p_partkey") % 20 == 3, "README.md").otherwise(F.concat(F.lit("n"), "p_partkey", F.lit(".md")))
     path = F.concat(F.lit("roles/"), F.replace("p_brand", F.lit("#"), F.lit("-")), F.lit("/"), name)
     text = F.concat(F.lit("---\nName: \""), F.when(F.col("p_partkey") % 7 == 0, "").otherwise(F.concat("p_name", F.lit(" & "), "p_partkey")), F.lit("\"\nemoji: 'E'\nvibe: "), "p_type", F.lit("\nnot a pair\n---\n\nbody "), "p_partkey")

@@ -50,10 +50,13 @@ def defaults(tree: DataFrame, product: str) -> DataFrame:
 
 def _last_of_each(entries: Column) -> Column:
     """map of array<struct<key, value>>; of equal keys the last counts."""
-    names = F.reverse(F.transform(entries, lambda e: e["key"]))
-    n = F.size(entries)
-    placed = F.transform(entries, lambda e, i: F.struct(e["key"].alias("key"), e["value"].alias("value"), (F.array_position(names, e["key"]) == n - i).alias("last")))
-    return F.map_from_entries(F.transform(F.filter(placed, lambda e: e["last"]), lambda e: F.struct(e["key"], e["value"])))
+
+    def mapped(e: Column) -> Column:
+        names = F.transform(e, lambda x: x["key"])
+        last = lambda ns: F.filter(e, lambda x, i: ~F.array_contains(F.slice(ns, i + 2, F.size(ns)), x["key"]))
+        return F.map_from_entries(T.let(names, last))
+
+    return T.let(entries, mapped)
 
 
 _FRONT = r"(?s)\A---\s*\n(.*?)\n---\s*\n"
@@ -81,7 +84,10 @@ def body(text: Column) -> Column:
 
 def typed_value(value: Column) -> Column:
     """struct<kind, value> of a front matter value: json, bool, null, float, int or string, with its text."""
-    v = T.strip(value)
+    return T.let(T.strip(value), _typed)
+
+
+def _typed(v: Column) -> Column:
     low = F.lower(v)
     is_json = v.rlike(r"\A[{\[]") & F.try_parse_json(v).isNotNull()
     is_float = v.rlike(r"\A[+-]?(\d+(_\d+)*\.(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+)?\z")
@@ -199,15 +205,20 @@ def simple_front_matter(text: Column, lower: bool = False) -> Column:
     Quotes at a value's ends go. Without both marks meta is empty and body the whole text.
     """
     whole = r"(?s)\A---(.*?)---(.*)\z"
-    pairs = F.filter(F.split(T.strip(F.regexp_extract(text, whole, 1)), "\r\n|\n|\r"), lambda x: F.contains(x, F.lit(":")))
     name = lambda x: T.strip(F.substring_index(x, ":", 1))
     value = lambda x: F.trim(T.strip(F.substring(x, F.length(F.substring_index(x, ":", 1)) + 2, F.length(x))), F.lit("'\""))
-    entries = F.transform(pairs, lambda x: F.struct((F.lower(name(x)) if lower else name(x)).alias("key"), value(x).alias("value")))
-    found = text.rlike(whole)
-    return F.struct(
-        F.when(found, _last_of_each(entries)).otherwise(F.create_map().cast("map<string,string>")).alias("meta"),
-        F.when(found, F.ltrim(F.regexp_extract(text, whole, 2), F.lit("\n"))).otherwise(text).alias("body"),
-    )
+
+    def read(t: Column) -> Column:
+        pairs = F.filter(F.split(T.strip(F.regexp_extract(t, whole, 1)), "\r\n|\n|\r"), lambda x: F.contains(x, F.lit(":")))
+        entries = F.transform(pairs, lambda x: F.struct((F.lower(name(x)) if lower else name(x)).alias("key"), value(x).alias("value")))
+        found = t.rlike(whole)
+        return F.struct(
+            F.when(found, _last_of_each(entries)).otherwise(F.create_map().cast("map<string,string>")).alias("meta"),
+            F.when(found, F.ltrim(F.regexp_extract(t, whole, 2), F.lit("\n"))).otherwise(t).alias("body"),
+        )
+
+    # One value, so that a plan that takes its fields several times reads a text once.
+    return T.let(text, read)
 
 
 def listed(value: Column) -> Column:

@@ -268,3 +268,15 @@ def test_pairs_go_without_joins(spark):
     x = np.array([r[4] for r in rows])
     x = x / np.linalg.norm(x, axis=1, keepdims=True)
     assert {frozenset(p) for p in got} == {frozenset((i, j)) for i in range(30) for j in range(i) if x[i] @ x[j] >= 0.9}
+
+
+def test_front_matter_is_read_once_a_row(spark):
+    """Front matter is cut out of a text once, however many of its fields are taken."""
+    from sparkloom.sources import packages as P
+
+    df = spark.createDataFrame([("---\nA: 1\nb: 2\nA: 3\n---\nx",)], "t string").withColumn("f", P.simple_front_matter(F.col("t"), lower=True))
+    out = df.select(F.try_element_at("f.meta", F.lit("a")).alias("a"), F.try_element_at("f.meta", F.lit("b")).alias("b"), "f.body")
+    assert tuple(out.first()) == ("3", "2", "x")
+    front = spark.createDataFrame([("---\nA: 1\n---\nx",)], "t string").select(P.front_matter(F.col("t")).alias("f"))
+    for frame in (out, front):
+        assert frame._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") <= 2

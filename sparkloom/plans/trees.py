@@ -8,6 +8,7 @@ from sparkloom.functions import text as T
 from sparkloom.operators import knowledge as K
 from sparkloom.operators import workspace as W
 from sparkloom.plans.registry import query
+from sparkloom.scratch import saved
 from sparkloom.sources import fixtures as X
 from sparkloom.sources import packages as P
 from sparkloom.sources.fixtures import ctes
@@ -42,7 +43,7 @@ def _skill_md(name, description, categories: str, body):
 
 def _tree(spark, sf):
     """Packages of the parts: every tenth has no front matter, every second a _meta.json, every third a script."""
-    p = X.table(spark, sf, "part")
+    p = X.dealt(X.table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_type"), "p_partkey")
     folder = F.concat(F.lit("pkg"), F.col("p_partkey") % 50, F.lit("-1."), F.col("p_partkey"), F.lit(".0"))
     md = F.when(F.col("p_partkey") % 10 == 9, F.col("p_name")).otherwise(_skill_md(F.col("p_name"), F.col("p_type"), '["general"]', F.concat(F.lit("# Use "), "p_brand")))
     meta = F.concat(F.lit('{"ownerId": "o", "slug": "s-'), F.col("p_partkey") % 50, F.lit('", "version": "1.'), "p_partkey", F.lit('.0", "publishedAt": '), "p_partkey", F.lit("}"))
@@ -104,8 +105,7 @@ def _letters(text):
     return F.array(*[(F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))).cast("double") for c in "aeiou"])
 
 
-def _uploaded(spark, sf):
-    tree = _tree(spark, sf)
+def _uploaded(spark, sf, tree):
     known = X.table(spark, sf, "part").select(F.concat(F.lit("s-"), F.col("p_partkey") % 50).alias("slug"), F.concat(F.lit("1."), "p_partkey", F.lit(".0")).alias("version"), F.col("p_partkey").alias("published_at"))
     return P.uploaded(P.skills(tree), known, _WORDS, 1, "us", "$.own.categories", _letters)
 
@@ -122,7 +122,7 @@ _UPLOADED = f"""WITH {_PACKAGES}, newest AS (SELECT 's-' || (p_partkey % 50) AS
     SELECT dir, slug, version, CASE WHEN len(hits) = 0 THEN 'general' ELSE list_reduce(hits, lambda x, y: CASE WHEN y.n > x.n THEN y ELSE x END).c END AS category, CAST(a AS DOUBLE) AS a FROM s"""
 )
 def api02_upload_skills(spark, sf):
-    return _uploaded(spark, sf).select("dir", "slug", "version", F.get("categories", F.lit(0)).alias("category"), F.get("embedding", F.lit(0)).alias("a"))
+    return _uploaded(spark, sf, _tree(spark, sf)).select("dir", "slug", "version", F.get("categories", F.lit(0)).alias("category"), F.get("embedding", F.lit(0)).alias("a"))
 
 
 @query(
@@ -132,14 +132,15 @@ def api02_upload_skills(spark, sf):
     UNION ALL SELECT 'none', NULL, false, NULL, 'not a skill directory (no SKILL.md)'"""
 )
 def api08_upload_results(spark, sf):
-    tree = _tree(spark, sf)
+    # Read five times, mostly for its paths alone.
+    tree = saved(_tree(spark, sf), "tree")
     own = X.table(spark, sf, "part").where("p_partkey % 4 <> 0").select(F.concat(F.lit("pkg"), F.col("p_partkey") % 50, F.lit("-1."), "p_partkey", F.lit(".0")).alias("path"))
     paths = own.unionByName(spark.createDataFrame([("",), ("none",)], "path string"))
-    return P.upload_results(paths, tree, _uploaded(spark, sf)).select("path", "dir", "success", "version", "error")
+    return P.upload_results(paths, tree, _uploaded(spark, sf, tree)).select("path", "dir", "success", "version", "error")
 
 
 def _preset_tree(spark, sf):
-    p = X.dealt(X.table(spark, sf, "part"), "p_partkey")
+    p = X.dealt(X.table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_type"), "p_partkey")
     name = F.when(F.col("p_partkey") % 20 == 3, "README.md").otherwise(F.concat(F.lit("n"), "p_partkey", F.lit(".md")))
     path = F.concat(F.lit("roles/"), F.replace("p_brand", F.lit("#"), F.lit("-")), F.lit("/"), name)
     text = F.concat(F.lit("---\nName: \""), F.when(F.col("p_partkey") % 7 == 0, "").otherwise(F.concat("p_name", F.lit(" & "), "p_partkey")), F.lit("\"\nemoji: 'E'\nvibe: "), "p_type", F.lit("\nnot a pair\n---\n\nbody "), "p_partkey")

@@ -6,8 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sparkloom.functions import text as T
 from sparkloom.operators import clusters as C
 from sparkloom.operators import knowledge as K
+from sparkloom.sources import fixtures as X
 from sparkloom.streaming import clustering
 
 
@@ -67,6 +69,36 @@ def test_two_equal_rows(spark):
     assert K.upload(df.limit(0), have, embedder=numbers).count() == 0
 
 
+def test_texts_are_embedded_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<double>")
+    def counted(text):
+        calls.add(1)
+        return [1.0, float(len(text))]
+
+    have = spark.createDataFrame([], "id long, memory_type string, tier string, status string, content string, context string, resolution string")
+    df = spark.range(40).select(F.col("id").alias("new_id"), F.repeat(F.lit("x"), F.col("id").cast("int")).alias("content"), F.lit("").alias("context"), F.lit("").alias("resolution"))
+    up = K.upload(df, have, embedder=counted)
+    assert up.count() == 40 and up.where("action = 'insert'").count() > 0
+    assert calls.value == 40
+
+
+def test_dealt_rows_are_filtered_where_they_are_dealt(spark):
+    df = spark.range(100).select("id", F.concat(F.lit("t"), "id").alias("t")).coalesce(1)
+    some = X.dealt(df, "id").where(F.col("t").rlike("t[0-4]"))
+    assert "Repartition" not in some._jdf.queryExecution().optimizedPlan().toString()
+    assert some.count() == 45
+
+
+def test_names_of_keys_once_a_word(spark):
+    plain = T.CREDENTIAL_PATTERNS[6][0]
+    texts = ["api_key = abc", "my_token:'x-y'", "\"password\": \"a.b\" pwd=c", "token=abc\"secret=x", "9token=1", "tokentoken=2pwd=3", "x'apikey=4'", "no key at all: 1", "passwd =", "''token=q"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select(F.regexp_replace("t", "(?i)" + plain, "<C>").alias("a"), T.replace_all(F.col("t"), [(plain, "<C>")]).alias("b")).collect()
+    assert T.ONCE_A_WORD[plain] != plain and all(r.a == r.b for r in got) and sum("<C>" in r.b for r in got) >= 6
+
+
 def test_completion_in_order(spark, monkeypatch):
     monkeypatch.setattr(K, "FOLD", 3)
     rng = random.Random(4)

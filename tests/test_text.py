@@ -1,5 +1,6 @@
 """Text functions against small plain models and the published contracts."""
 
+import random
 import re
 
 import pytest
@@ -128,3 +129,23 @@ def test_language(spark):
 def test_quality_bar(spark):
     good = "When used:\n1. do\n2. it\n- now\n" + "x" * 450
     assert column(spark, [good, "short when error", re.sub("[12-]", "", good)], T.quality_bar) == [True, False, False]
+
+
+def test_markers_and_patterns_are_looked_for_at_once(spark):
+    """What RE2 finds in one reading is what the markers and patterns find one by one, also beside odd letters."""
+    rng = random.Random(5)
+    pieces = ["/Users/", "/home/", "/root", "C:\\", "Users\\", "x", "\\", "sk-" + "a1" * 10, "ghp_" + "Z" * 36, "AKIA" + "0" * 16, "Bearer", "\x0b", " ", "\n", "Basic", "a+/=", "api_key", "token", '"', ":", "=", "0123abcd-0123-0123-0123-0123456789ab"]
+    pieces += ["13912345678", "9", "1.", "2.3.4", "me@", "a-b", ".", "4111 1111 1111 1111", "é", "\u212a", "ſ", "\u0130", "rf\u0130", "xſS", "lfI", "CVE-", "traceBac\u212a", "exit code", "漏洞", "<", "_"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 9))) for _ in range(4000)] + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(4)
+    low, t = F.lower(F.coalesce("t", F.lit(""))), F.col("t")
+    kind = F.when(T.any_of(low, T.SECURITY_MARKERS), "security").when(T.any_of(low, T.ERROR_MARKERS), "error").otherwise("pattern")
+    clean = F.when(t == "", t).otherwise(T.without_personal_data(T.replace_all(T.replace_all(t, T.PATH_PATTERNS), T.CREDENTIAL_PATTERNS)))
+    got = df.select("t", kind.alias("k"), T.memory_type(t, F.lit(None), F.lit("")).alias("k2"), clean.alias("c"), T.sanitize(t).alias("c2")).collect()
+    assert all(r.k == r.k2 and r.c == r.c2 for r in got)
+    assert {r.k for r in got} == {"security", "error", "pattern"} and 1000 < sum(r.c != r.t for r in got) < 3900
+    # A text is read once for all markers, and not at all where a classifier has told the type.
+    own = df.select(T.typed(t, t, t, lambda *_: F.when(F.col("i") % 2 == 0, "life")).alias("k"), F.col("i"))
+    plan = own._jdf.queryExecution().executedPlan().toString().lower()
+    assert "contains(" not in plan and "arrowevalpython" in plan and "case when not" in plan
+    assert all((r.k == "life") == (r.i % 2 == 0) for r in own.collect())

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,13 +69,25 @@ def front_matter(text: Column) -> Column:
     A key stands at a line's beginning before the first colon; lines that are indented or have no colon go on with
     the value before them.
     """
-    block = F.regexp_extract(text, _FRONT, 1)
-    parts = F.filter(F.split(T.strip(block), r"\n(?=(?![ \t])[^\n]*:)"), lambda x: x.rlike(r"\A[^ \t\n:][^\n]*:|\A[^ \t\n:]:"))
-    key = lambda x: T.strip(F.substring_index(x, ":", 1))
-    rest = lambda x: F.substring(x, F.length(F.substring_index(x, ":", 1)) + 2, F.length(x))
-    value = lambda x: T.strip(F.regexp_replace(rest(x), r"\A([^\n]*?)[ \t\r]+\n", "$1\n"))
-    entries = F.transform(parts, lambda x: F.struct(key(x).alias("key"), value(x).alias("value")))
-    return F.when(text.rlike(_FRONT), _last_of_each(F.filter(entries, lambda e: e["key"] != "")))
+    pattern, white = _FRONT, T.WHITE
+
+    @F.arrow_udf("map<string,string>")
+    def run(column: pa.Array) -> pa.Array:
+        front = re.compile(pattern, re.ASCII)
+        out = []
+        for text in column.to_pylist():
+            found = front.match(text) if text is not None else None
+            entries: dict[str, str] = {}
+            for part in re.split(r"\n(?=(?![ \t])[^\n]*:)", found[1].strip(white)) if found else []:
+                key, colon, value = part.partition(":")
+                if colon and "\n" not in key and key[:1] not in (" ", "\t") and key.strip(white):
+                    # Of equal keys the last counts, at its own place.
+                    entries.pop(key.strip(white), None)
+                    entries[key.strip(white)] = re.sub(r"\A([^\n]*?)[ \t\r]+\n", r"\1\n", value).strip(white)
+            out.append(list(entries.items()) if found else None)
+        return pa.array(out, pa.map_(pa.string(), pa.string()))
+
+    return run(text)
 
 
 def body(text: Column) -> Column:

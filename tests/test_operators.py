@@ -280,3 +280,24 @@ def test_front_matter_is_read_once_a_row(spark):
     front = spark.createDataFrame([("---\nA: 1\n---\nx",)], "t string").select(P.front_matter(F.col("t")).alias("f"))
     for frame in (out, front):
         assert frame._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") <= 2
+
+
+def test_front_matter_of_odd_files(spark):
+    from sparkloom.sources import packages as P
+
+    cases = {
+        "---\na: 1\nb : 'x'  \n  more: of b\n- c: d\na: 3\n---\n\nbody": [("b", "'x'\n  more: of b"), ("- c", "d"), ("a", "3")],
+        "---\nno colon\n: no key\n\tindented: 1\n---\n": [],
+        "--- \x0b\n\n　k\x85:\xa0v\r\n---\t\nx: y": [("k", "v")],
+        "---\n---\n": None,
+        "---\na: 1\n--- b\n": None,
+        "x---\na: 1\n---\n": None,
+        "": None,
+        None: None,
+    }
+    df = spark.createDataFrame([(t,) for t in cases], "t string")
+    got = df.select("t", F.map_entries(P.front_matter(F.col("t"))).alias("f"))
+    assert {r.t: None if r.f is None else [tuple(e) for e in r.f] for r in got.collect()} == cases
+    # A text is parsed once a row, by one call, not by expressions that each read it anew.
+    plan = df.select(F.explode(P.front_matter(F.col("t"))))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [") == 1 and "RLIKE" not in plan

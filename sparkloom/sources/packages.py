@@ -150,7 +150,8 @@ def skills(tree: DataFrame) -> DataFrame:
     of = lambda k: F.max(F.when(F.col("kind") == k, F.col("text")))
     scripts = F.array_sort(F.collect_list(F.when(F.col("kind") == "script", F.struct(F.regexp_extract("path", "[^/]+$", 0).alias("name"), F.col("text").alias("text")))))
     one = files.groupBy("dir").agg(of("md").alias("md"), of("meta").alias("meta"), F.map_from_entries(scripts).alias("scripts"))
-    f = one.withColumn("front", front_matter(F.col("md"))).where("md IS NOT NULL AND front IS NOT NULL")
+    # Told by the pattern, as a filter on what was parsed would parse it again.
+    f = one.where(F.col("md").rlike(_FRONT)).withColumn("front", front_matter(F.col("md")))
     f = f.withColumn("name", F.coalesce(_field(F.col("front"), "name"), F.lit("")))
     get = lambda k, otherwise: F.when(F.col("meta").isNull(), otherwise[0]).otherwise(F.coalesce(F.get_json_object("meta", f"$.{k}"), otherwise[1]))
     return f.select(

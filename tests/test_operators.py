@@ -301,3 +301,5 @@ def test_front_matter_of_odd_files(spark):
     # A text is parsed once a row, by one call, not by expressions that each read it anew.
     plan = df.select(F.explode(P.front_matter(F.col("t"))))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython [") == 1 and "RLIKE" not in plan
+    skills = P.skills(spark.createDataFrame([("a/SKILL.md", "---\nname: x\n---\n"), ("b/SKILL.md", "none")], "path string, text string"))
+    assert skills._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython [") == 1 and [r.name for r in skills.collect()] == ["x"]

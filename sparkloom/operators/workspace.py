@@ -130,6 +130,10 @@ class Rules:
         return out
 
 
+#: Templates of all products together that are broadcast; more are joined by sorting.
+TEMPLATES = 4096
+
+
 @dataclass
 class Merged:
     """files(workspace, path, content) and log(workspace, step, pos, path, action, detail) of merged workspaces."""
@@ -151,14 +155,18 @@ def merge_workspaces(incoming: DataFrame, workspaces: DataFrame, defaults: DataF
     """
     rules = rules or Rules()
     source, target, path, text = (F.col(c) for c in ("source", "target", "path", "text"))
-    rows = incoming.select("workspace", "pos", "path", F.coalesce(text, F.lit("")).alias("text")).join(workspaces.select("workspace", "source", "target"), "workspace")
+    # Sizes that Spark estimates from files say nothing of the rows that are made of them, so joins by workspace sort and merge, and templates are counted.
+    sort = lambda d: d.hint("merge")
+    few = defaults.limit(TEMPLATES + 1).count() <= TEMPLATES
+    by_product = F.broadcast if few else sort
+    rows = incoming.select("workspace", "pos", "path", F.coalesce(text, F.lit("")).alias("text")).join(sort(workspaces.select("workspace", "source", "target")), "workspace")
     skill = path.startswith("skills/")
     name = F.coalesce(F.get(F.split(path, "/"), F.lit(1)), F.lit(""))
     has = skills.select("workspace", F.col("name").alias("__skill")).distinct().withColumn("__has", F.lit(True))
-    rows = rows.withColumns({"__skill": F.when(skill, name), "to": F.when(~skill, S.target_path(source, path, target, rules.paths))}).join(has, ["workspace", "__skill"], "left")
+    rows = rows.withColumns({"__skill": F.when(skill, name), "to": F.when(~skill, S.target_path(source, path, target, rules.paths))}).join(sort(has), ["workspace", "__skill"], "left")
     own = defaults.select(F.col("product").alias("source"), "path", F.col("text").alias("__source"))
     theirs = defaults.select(F.col("product").alias("target"), F.col("path").alias("to"), F.col("text").alias("__target"))
-    rows = rows.join(own, ["source", "path"], "left").join(theirs, ["target", "to"], "left").withColumns({c: F.coalesce(c, F.lit("")) for c in ("__source", "__target")})
+    rows = rows.join(by_product(own), ["source", "path"], "left").join(by_product(theirs), ["target", "to"], "left").withColumns({c: F.coalesce(c, F.lit("")) for c in ("__source", "__target")})
 
     same, to, from_default, to_default = source == target, F.col("to"), F.col("__source"), F.col("__target")
     portable = rules.listed(rules.portable, source, path)
@@ -208,8 +216,8 @@ def merge_workspaces(incoming: DataFrame, workspaces: DataFrame, defaults: DataF
 
     files = rows.where("action <> 'skip'").groupBy("workspace", "path").agg(F.max_by("content", "pos").alias("content"))
     taken = rows.where("handled OR action <> 'skip'").select("workspace", "path").distinct()
-    template = workspaces.select("workspace", F.col("target").alias("product")).join(defaults.select("product", "pos", "path", F.col("text").alias("content")), "product")
-    missing = template.join(taken, ["workspace", "path"], "left_anti")
+    template = workspaces.select("workspace", F.col("target").alias("product")).join(by_product(defaults.select("product", "pos", "path", F.col("text").alias("content"))), "product")
+    missing = template.join(sort(taken), ["workspace", "path"], "left_anti")
     log = rows.select("workspace", F.lit(1).alias("step"), "pos", "path", "action", "detail")
     filled = missing.select("workspace", F.lit(2).alias("step"), "pos", "path", F.lit("default").alias("action"), F.concat(F.lit("Added from "), "product", F.lit(" default template")).alias("detail"))
     return Merged(files.unionByName(missing.select("workspace", "path", "content")), log.unionByName(filled))

@@ -64,3 +64,26 @@ def test_sections_are_parsed_once_a_row(spark):
     df = spark.createDataFrame([("## A\nx\n## B\ny",) * 3], "u string, s string, t string")
     plan = df.select(S.merged_tasks(F.col("u"), F.col("s"), F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
     assert all(plan.count(f"coalesce({c}#") == 1 for c in "ust")
+
+
+def plans(spark, tmp_path, monkeypatch):
+    """Plans of what merge_workspaces saves and returns over files that are many rows made of a small table on disk."""
+    spark.range(50).select(F.col("id").alias("workspace"), F.lit("nanobot").alias("source"), F.lit("openclaw").alias("target")).write.parquet(str(tmp_path / "w"))
+    w = spark.read.parquet(str(tmp_path / "w"))
+    incoming = w.select("workspace", F.posexplode(F.array(*[F.lit(f"{i}.md") for i in range(20)])).alias("pos", "path"), F.lit("text").alias("text"))
+    skills = w.select("workspace", F.lit("a").alias("name"))
+    defaults = spark.createDataFrame([("nanobot", 0, "SOUL.md", "s"), ("openclaw", 0, "SOUL.md", "s")], "product string, pos int, path string, text string")
+    seen = []
+    real = O.saved
+    monkeypatch.setattr(O, "saved", lambda df, name: seen.append(df) or real(df, name))
+    out = O.merge_workspaces(incoming, w, defaults, skills)
+    assert out.log.count() == 50 * 21 and out.files.count() == 50 * 21
+    return [d._jdf.queryExecution().executedPlan().toString() for d in (*seen, out.log, out.files)]
+
+
+def test_only_templates_are_broadcast(spark, tmp_path, monkeypatch):
+    """Files, workspaces and skills are never broadcast, however small the file that they are made of: their rows are many."""
+    rows, log, files = plans(spark, tmp_path, monkeypatch)
+    assert rows.count("+- BroadcastExchange") == 2 and rows.count("SortMergeJoin") == 2
+    assert "BuildLeft" not in rows + log + files
+    assert all(p.count("+- BroadcastExchange") == 1 and "LeftAnti" in p and "BroadcastHashJoin [workspace" not in p for p in (log, files))

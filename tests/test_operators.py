@@ -303,3 +303,22 @@ def test_front_matter_of_odd_files(spark):
     assert plan.count("ArrowEvalPython [") == 1 and "RLIKE" not in plan
     skills = P.skills(spark.createDataFrame([("a/SKILL.md", "---\nname: x\n---\n"), ("b/SKILL.md", "none")], "path string, text string"))
     assert skills._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython [") == 1 and [r.name for r in skills.collect()] == ["x"]
+
+
+def test_best_match_moves_vectors_once(spark, monkeypatch):
+    """However many blocks there are, vectors are dealt and written once; no pairs of blocks are made, and the driver takes a block at a time."""
+    g = np.random.default_rng(5)
+    rows = [(i, i % 3, g.normal(size=3).round(1).tolist()) for i in range(400)]
+    right = spark.createDataFrame(rows, "right_id long, place int, embedding array<double>")
+    left = right.selectExpr("right_id AS left_id", "embedding")
+    for ours, earlier in ((left, False), (left.where("left_id < 150"), False), (left, True), (left.where("left_id >= 250"), True)):
+        theirs = right.withColumn("place", F.lit(0)) if earlier else right
+        blocks, real = [], type(right).toArrow
+        with monkeypatch.context() as m:
+            m.setattr(type(right), "toArrow", lambda self: blocks.append(real(self)) or blocks[-1])
+            m.setattr(S, "HELD_BYTES", 50 * 24)
+            out = S.best_match(ours, theirs, 0.9, block=8, earlier=earlier)
+            got = {x.left_id: (x.right_id, x.sim) for x in out.collect()}
+        assert len(blocks) > 2 and max(map(len, blocks)) < 130
+        assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()
+        assert got == {x.left_id: (x.right_id, x.sim) for x in S.best_match(ours, theirs, 0.9, earlier=earlier).collect()}

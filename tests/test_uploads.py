@@ -217,3 +217,15 @@ def test_clusters_of_a_stream(spark, tmp_path):
     for shard in "ab":
         want |= plain_leaders([(i, v) for i, s, v in rows if s == shard], 0.85)
     assert {(r.id, r.cluster_id) for r in got} == {(i, c) for i, c in want.items()} and len(got) == 170
+
+
+def test_rows_are_compared_again_only_where_their_nearest_was_not_inserted(spark, monkeypatch):
+    """Of far apart rows and their copies none is looked for again among those inserted."""
+    texts = [f"{np.cos(k % 12 * 0.5):.3f},{np.sin(k % 12 * 0.5):.3f},{k % 12}" for k in range(36)]
+    new = spark.createDataFrame([(k, t, "", "") for k, t in enumerate(texts)], "new_id long, content string, context string, resolution string")
+    old = spark.createDataFrame([], "id long, memory_type string, tier string, status string, content string, context string, resolution string")
+    sizes, real = [], K.best_match
+    monkeypatch.setattr(K, "best_match", lambda left, *a, **b: sizes.append(left.count()) or real(left, *a, **b))
+    got = {r.new_id: (r.action, r.earlier_id) for r in K.upload(new, old, soft=0.99999, hard=0.999999, embedder=numbers).collect()}
+    assert got == {k: ("insert", None) if k < 12 else ("merge", k % 12) for k in range(36)}
+    assert sizes == [36, 0, 0]

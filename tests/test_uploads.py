@@ -229,3 +229,15 @@ def test_rows_are_compared_again_only_where_their_nearest_was_not_inserted(spark
     got = {r.new_id: (r.action, r.earlier_id) for r in K.upload(new, old, soft=0.99999, hard=0.999999, embedder=numbers).collect()}
     assert got == {k: ("insert", None) if k < 12 else ("merge", k % 12) for k in range(36)}
     assert sizes == [36, 0, 0]
+
+
+def test_a_confirmation_reads_only_texts_of_its_pairs(spark, tmp_path):
+    """Texts that no pair needs are left out before they are shuffled, by keys that are broadcast."""
+    spark.range(500).selectExpr("id AS __place", "id", "concat('t', id) AS content", "'' AS context").write.parquet(str(tmp_path / "t"))
+    texts = spark.read.parquet(str(tmp_path / "t"))
+    ready = spark.createDataFrame([(7, 3, 0.9, None, None), (9, None, None, 4, 0.8), (8, None, None, None, None), (10, 5, 0.8, 2, 0.85)], "__place long, old_id long, old_sim double, new_place long, new_sim double")
+    said = []
+    out = K._merged(ready, texts.drop("id"), texts.drop("__place"), lambda a, ax, b, bx: said.append((a, b)) or F.concat(a, b).isin("t3t7", "t2t10"), 1.1)
+    assert sorted(r[0] for r in out.collect()) == [7, 10] and len(said) == 1
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftSemi") == 3
